@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, read_table
-from . import bpe, media, mixing, pii, quality, secret_scan, toxicity
+from . import bpe, media, minhash, mixing, pii, quality, secret_scan, toxicity
 from .common import crc_fold, map_arrow
 
 
@@ -46,6 +46,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85, bands=21, rows=6)
+
+
 #: Domain of a source in the mixture tree.
 DOMAIN_SQL = "CASE WHEN source = 'src0' THEN 'web' WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') THEN 'books' WHEN source IN ('src7', 'src8', 'src9', 'src10', 'src11', 'src12', 'src13') THEN 'forums' ELSE 'reference' END"
 WEIGHTS = {"domain": {"web": 40, "books": 30, "forums": 10, "reference": 20}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}, "source": {}}
@@ -63,5 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_media": op6_media,
         "op8_quality": op8_quality,
+        "op9_minhash": op9_minhash,
         "op10_mixing": op10_mixing,
     }
