@@ -2,16 +2,17 @@
 
 A document is the set of its word shingles. Documents with equal sets are one class, found by
 the digest of the set. For each class many universal hash functions give the minima of the
-set; bands of minima are bucket keys. Buckets with the same members count once. Within a
-bucket, in blocks of bounded size, signatures are compared as matrices and each class names
-its most similar partners in other components; the named pairs are confirmed on the full sets
-and join components. Rounds name more partners each, in the last one all, but only where a
-bucket still spans several components, so a bucket of thousands of near copies costs a few
-confirmed pairs each and not all of its pairs, while no link that could join two components
-goes unexamined.
-
-Full sets are made again from the text for the classes in named pairs alone and are never
-shuffled for the rest.
+set; bands of minima are bucket keys. Buckets with the same members count once. Classes that
+buckets connect form a group, or, where comparing all of a group would be more work than
+comparing the members of each of its buckets, each bucket is a group of its own.
+
+A group is compared in blocks of bounded size. Signatures rule out what cannot be linked; the
+full sets of the rest are intersected exactly, as a product of sparse columns taken in slices,
+and a block returns a spanning forest of its links. So a group of thousands of near copies
+gives as many rows as it has members in each block and never its pairs, while no link that
+could join two components is lost. The forests join components by large-star and small-star.
+
+Full sets are made again from the text, for members of groups alone.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from ..session import durable
 from .common import MIX_A, MIX_B, MIX_C, as_bytes, ascii_words, hash_tokens, map_arrow, non_empty, ship_package
 from .components import BROADCAST_ROWS, components, joined
 
-#: Classes of a bucket that are compared in one block are at most about twice this number.
-BLOCK = 256
-#: Partners named by each class in successive rounds; the last names all.
-ROUNDS = (2, 16, 128, None)
+#: A group is cut into chunks of about this many classes; two chunks are a block.
+BLOCK = 128
+#: Columns of the membership matrix that are multiplied at once.
+SLICE = 4096
 #: Bits of the filter by which documents outside all pairs are skipped, where ids are too many to broadcast.
 FILTER_BITS = 1 << 27
 SEED = 20_240_229
@@ -110,94 +111,136 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int, id_col: str = "doc_
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, "id long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
-def _named(similar: np.ndarray, allowed: np.ndarray, count: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each row its ``count`` most similar allowed columns (all if None), as index pairs."""
-    if count is None or count >= similar.shape[1]:
-        return np.nonzero(allowed)
-    ranked = np.where(allowed, similar, -1)
-    best = np.argpartition(-ranked, count - 1, axis=1)[:, :count]
-    at = np.repeat(np.arange(len(similar)), count)
-    keep = ranked[at, best.ravel()] >= 0
-    return at[keep], best.ravel()[keep]
-
-
-def name_pairs(members: DataFrame, least: float, count: int | None) -> DataFrame:
-    """(u, v), u > v: pairs of different components that share a block and look similar enough.
-
-    members: (key, c, rep, sig, component), c being the size of the bucket. Buckets of more
-    than ``BLOCK`` are cut by hash into chunks, and every pair of chunks is a block.
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, in memory bounded by slices."""
+    sizes = np.zeros((len(left), len(right)))
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])]) if len(values) else values
+    shared = np.bincount(column.astype(np.int64))[column.astype(np.int64)] > 1 if len(values) else column
+    column, owner = column[shared], owner[shared]
+    for start in range(0, int(column.max(initial=-1)) + 1, SLICE):
+        a, b = np.searchsorted(column, [start, start + SLICE])
+        if a < b:
+            held = np.zeros((len(left) + len(right), SLICE), np.float32)
+            held[owner[a:b], column[a:b] - start] = 1
+            sizes += held[: len(left)] @ held[len(left) :].T
+    return sizes
+
+
+def forest(ids: np.ndarray, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The links that join two trees, as pairs of ids, larger first."""
+    root = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            root[x] = y
+            kept.append((int(max(ids[a], ids[b])), int(min(ids[a], ids[b]))))
+    return kept
+
+
+def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
+    """(u, v), u > v: for each block a spanning forest of its links.
+
+    members: (group, n, rep, sig, found), n being the size of the group.
     """
-    chunks = F.ceil(F.col("c") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep", "key"), F.col("chunks")).cast("int")
-    cut = members.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "sig")
+    mine = F.pmod(F.xxhash64("rep", "group"), F.col("chunks")).cast("int")
+    cut = members.withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", mine)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = cut.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "sig", "found")
 
     def run(keys, table):
         _, i, j = (k.as_py() for k in keys)
-        rep, comp, side = (table[c].to_numpy() for c in ("rep", "component", "mine"))
+        rep, side = table["rep"].to_numpy(), table["mine"].to_numpy()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(rep), -1)
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        pairs = []
-        for a, b in ((left, right), (right, left))[: 1 + (i != j)]:
-            for start in range(0, len(a), 64):
-                rows = a[start : start + 64]
-                similar = (sig[rows][:, None, :] == sig[b][None, :, :]).mean(axis=2)
-                x, y = _named(similar, (similar >= least) & (comp[rows][:, None] != comp[b][None, :]), count)
-                pairs.append(np.stack([rep[rows[x]], rep[b[y]]]))
-        got = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-        return pa.table({"u": got.max(axis=0, initial=np.iinfo(np.int64).min), "v": got.min(axis=0, initial=np.iinfo(np.int64).max)})
+        likely = np.zeros((len(left), len(right)), bool)
+        for start in range(0, len(left), 32):
+            likely[start : start + 32] = (sig[left[start : start + 32], None, :] == sig[None, right, :]).mean(axis=2) >= least
+        likely &= rep[left][:, None] != rep[right][None, :]
+        left, right = left[likely.any(axis=1)], right[likely.any(axis=0)]
+        kept = []
+        if len(left):
+            sets = [np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()]
+            a, b = [sets[x] for x in left], [sets[x] for x in right]
+            same = intersections(a, b)
+            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - same
+            x, y = np.nonzero((100 * same >= percent * union) & (rep[left][:, None] != rep[right][None, :]))
+            kept = forest(rep, list(zip(left[x].tolist(), right[y].tolist())))
+        return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
 
     ship_package(members.sparkSession)
-    return blocks.groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct()
+    return blocks.groupBy("group", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, count: int, limit: int) -> tuple[DataFrame, object]:
-    """Documents that may be among the ids, and a filter that workers apply first, if any."""
-    if count <= limit:
-        return docs.join(F.broadcast(ids), "id", "left_semi"), None
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    parts = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for r in parts:  # part n holds the places 32768 (n - 1) + 1 to 32768 n
-        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return docs.withColumn("place", place), docs.sparkSession.sparkContext.broadcast(bits)
+def grouped(placed: DataFrame, limit: int) -> DataFrame:
+    """(rep, group, n) of the classes that share a bucket with others, from (rep, key).
 
+    The group is what buckets connect if n * n is at most the sum of the squares of its
+    buckets' sizes, and otherwise the bucket.
+    """
+    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead"), F.expr("bit_xor(xxhash64(rep))").alias("mark")).where("c > 1")
+    buckets = durable(buckets.groupBy("c", "mark", "lead").agg(F.min("key").alias("key")))
+    n_buckets = buckets.count()
+    members = durable(joined(placed, buckets, "key", n_buckets, limit=limit).select("rep", "key", "c", "lead"))
+    stars, n_stars = components(members.select(F.col("rep").alias("u"), F.col("lead").alias("v")), limit)
 
-def full_sets(docs: DataFrame, ids: DataFrame, count: int, width: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, found binary): sorted shingle hashes of at least the documents among the ids.
+    def with_star(rows: DataFrame, on: str) -> DataFrame:
+        return joined(rows, stars.withColumnRenamed("node", on), on, n_stars, "left", limit).withColumn("star", F.coalesce("component", on)).drop("component")
 
-    docs: (id, text). Texts are never shuffled: few ids are broadcast, and of many a bitmap of
-    fixed size, whose false positives only cost work.
-    """
-    rows, bits = _chosen(docs, ids, count, limit)
-    at = None if bits is None else 2
+    work = with_star(buckets, "lead").groupBy("star").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+    in_star = durable(with_star(members, "lead"))
+    sizes = in_star.select("star", "rep").distinct().groupBy("star").agg(F.count(F.lit(1)).alias("n"))
+    plan = durable(sizes.join(work, "star").select("star", F.when(F.col("n") * F.col("n") <= F.col("work"), F.col("n")).alias("n_star")))
+    planned = joined(in_star, plan, "star", plan.count(), limit=limit)
+    whole = planned.where("n_star is not null").select("rep", F.col("star").alias("group"), F.col("n_star").alias("n")).distinct()
+    return whole.unionByName(planned.where("n_star is null").select("rep", F.col("key").alias("group"), F.col("c").alias("n")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in non_empty(batches):
-            if at is not None:
-                place = batch.column(at).to_numpy(zero_copy_only=False) - 1
-                batch = batch.filter(pa.array((bits.value[place // 8] >> (place % 8)) & 1 == 1))
-            found = [shingles(t, width).tobytes() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "found"])
 
-    return map_arrow(rows.select("id", "text", *["place"] * (at is not None)), run, "id long, found binary")
+def _filtered(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """(text, id, place) and a broadcast bitmap of the places of the ids."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    parts = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return docs.select("text", "id", place.alias("place")), docs.sparkSession.sparkContext.broadcast(bits)
+
 
+def with_sets(docs: DataFrame, members: DataFrame, count: int, width: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The members (rep, group, n, sig) with ``found``, the sorted shingle hashes of their text.
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union on the full sets."""
-    with_u = pairs.join(sets.withColumnsRenamed({"id": "u", "found": "found_u"}), "u")
-    with_both = with_u.join(sets.withColumnsRenamed({"id": "v", "found": "found_v"}), "v")
+    docs: (id, text). Texts are never shuffled: few members are broadcast, and of many a
+    bitmap of fixed size, whose false positives only cost work.
+    """
+    if count <= limit:
+        rows, bits = docs.join(F.broadcast(members.withColumnRenamed("rep", "id")), "id").select("text", "id", "group", "n", "sig"), None
+    else:
+        rows, bits = _filtered(docs, members.select(F.col("rep").alias("id")).distinct())
+    names = rows.columns[1:] if bits is None else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * same >= percent * (len(a) + len(b) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            if bits is not None:
+                place = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((bits.value[place // 8] >> (place % 8)) & 1 == 1))
+            found = [shingles(t, width).tobytes() for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + len(names)], pa.array(found, pa.binary())], names=[*names, "found"])
 
-    return map_arrow(with_both.select("u", "v", "found_u", "found_v"), run, "u long, v long").distinct()
+    if bits is None:
+        return map_arrow(rows, run, "id long, group long, n long, sig binary, found binary").withColumnRenamed("id", "rep")
+    made = map_arrow(rows, run, "id long, found binary").withColumnRenamed("id", "rep")
+    return durable(members).join(made, "rep")
 
 
 def near_duplicates(
@@ -214,46 +257,18 @@ def near_duplicates(
     an id belong to one component, and all of them carry its mark. Ids must be whole numbers.
     Ties need no rule. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = durable(sign(docs, width, bands, rows, id_col, text_col))
     alike = signed.where("id is not null and digest is not null")
     classes = durable(alike.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    placed = classes.select("rep", "sig", F.explode("bands").alias("key"))
-    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(rep))").alias("mark")).where("c > 1")
-    buckets = durable(buckets.groupBy("c", "mark").agg(F.min("key").alias("key")).select("key", "c"))
-    n_buckets = buckets.count()
-    members = durable(joined(placed, buckets, "key", n_buckets, limit=limit))
-
-    share = percent / 100
-    least = max(0.0, share - 4.5 * (share * (1 - share) / (bands * rows)) ** 0.5)
-    empty = spark.createDataFrame([], "u long, v long")
-    links, tested, found, n_found = empty, empty, None, 0
-    done = 1  # buckets of up to so many classes have had all their pairs examined
-    for count in ROUNDS:
-        rest = members.where(F.col("c") > done)
-        if n_found:
-            rest = joined(rest, found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit)
-            rest = rest.withColumn("component", F.coalesce("component", "rep"))
-            spread = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            rest = joined(rest, spread, "key", n_buckets, "left_semi", limit)
-        else:
-            rest = rest.withColumn("component", F.col("rep"))
-        pairs = name_pairs(rest, least, count)
-        if done > 1:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = durable(pairs)
-        if not pairs.isEmpty():
-            ids = durable(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
-            n_ids = ids.count()
-            sets = durable(full_sets(texts, ids, n_ids, width, limit))
-            links = links.unionByName(durable(confirm(pairs, sets, percent)))
-            tested = tested.unionByName(pairs)
-            found, n_found = components(links, limit)
-        elif count is None:
-            break
-        if members.where(F.col("c") > (done := (count or 0) + 1)).isEmpty():
-            break
+    members = durable(grouped(classes.select("rep", F.explode("bands").alias("key")), limit))
+    n_members = members.count()
+    n_found = 0
+    if n_members:
+        share = percent / 100
+        least = max(0.0, share - 4.5 * (share * (1 - share) / (bands * rows)) ** 0.5)
+        signed_members = durable(joined(classes.select("rep", "sig"), members, "rep", n_members, limit=limit).select("rep", "group", "n", "sig"))
+        found, n_found = components(linked(with_sets(texts, signed_members, n_members, width, limit), percent, least), limit)
     of_class = classes.select("digest", "rep")
     if n_found:
         of_class = joined(of_class, found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit)
