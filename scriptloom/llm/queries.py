@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, read_table
-from . import bpe, media, minhash, mixing, pii, quality, secret_scan, toxicity
+from . import bpe, lattice, lm, media, minhash, mixing, pii, quality, secret_scan, toxicity
 from .common import crc_fold, map_arrow
 
 
@@ -20,6 +20,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "position", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_fold(F.col("doc_id"), 5) == 1
+    scored = lm.score_texts(read_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), lambda c: crc_fold(c, 4) != 2)
@@ -63,9 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_bpe": op2_bpe,
+        "op3_lattice": op3_lattice,
         "op4_pii": op4_pii,
         "op5_toxicity": op5_toxicity,
         "op6_media": op6_media,
+        "op7_lm": op7_lm,
         "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_mixing": op10_mixing,
