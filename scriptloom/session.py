@@ -31,16 +31,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that survives the loss of executors.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for written intermediate tables, which all executors share.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in local tests, a temporary folder of this machine is used.
+    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
+    as in local tests, a temporary folder of this machine is used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "scriptloom-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
