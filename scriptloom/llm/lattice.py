@@ -28,12 +28,14 @@ from .common import MIX_A, MIX_B, MIX_C, map_arrow, non_empty, ship_package
 from .components import BROADCAST_ROWS, components, joined
 from .minhash import forest
 
-#: Classes of a cell are cut into chunks of about this many; two chunks are a block.
+#: A cell of more classes is cut into chunks of about this many, of which two are a block;
+#: smaller cells are compared by the thousand of rows in one task.
 BLOCK = 256
+BATCH_ROWS = 4096
 TABLES = 8
 VISITS = 12
 #: Lattice units for a distance of one between unit vectors.
-SCALE = 2.7
+SCALE = 3.2
 SEED = 11
 
 
@@ -117,55 +119,87 @@ def _salt(labels: np.ndarray, dims: int) -> np.ndarray:
     return (labels.astype(np.int64).view(np.uint64) + np.uint64(1)) * MIX_B + np.uint64(dims)
 
 
-def _met_before(t: int, home_a, seen_a, home_b, seen_b) -> np.ndarray:
-    """Whether pairs (rows of a with rows of b) meet in a table below t."""
+def _met_before(tab, home_a, seen_a, home_b, seen_b) -> np.ndarray:
+    """Whether pairs (rows of a with rows of b) meet in a table below ``tab`` (one for all, or by pair)."""
     met = np.zeros(len(home_a), bool)
-    for k in range(t):
-        met |= home_a[:, k] == home_b[:, k]
-        met |= (seen_a[:, k] == home_b[:, k, None]).any(axis=1) | (seen_b[:, k] == home_a[:, k, None]).any(axis=1)
+    for k in range(int(np.max(tab, initial=0))):
+        here = home_a[:, k] == home_b[:, k]
+        here |= (seen_a[:, k] == home_b[:, k, None]).any(axis=1) | (seen_b[:, k] == home_a[:, k, None]).any(axis=1)
+        met |= here & (k < tab)
     return met
 
 
-def link_blocks(members: DataFrame, threshold: float, tables: int, visits: int, scale: float) -> DataFrame:
+def _close_in_cells(cell: np.ndarray, at_home: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell, one at home, that are close enough."""
+    order = np.argsort(cell, kind="stable")
+    sorted_cells = cell[order]
+    found = []
+    for step in range(1, len(cell)):
+        same = np.flatnonzero(sorted_cells[step:] == sorted_cells[:-step])
+        if not len(same):
+            break
+        x, y = order[same], order[same + step]
+        some = at_home[x] | at_home[y]
+        x, y = x[some], y[some]
+        close = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+        found.append((x[close], y[close]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _close_in_block(left: np.ndarray, right: np.ndarray, alone: bool, at_home: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for two chunks of a large cell, or for one chunk with itself."""
+    close = unit[left] @ unit[right].T >= threshold
+    close &= at_home[left][:, None] | at_home[right][None, :]
+    if alone:
+        close &= left[:, None] < right[None, :]
+    x, y = np.nonzero(close)
+    return left[x], right[y]
+
+
+def link_blocks(members: DataFrame, count: int, threshold: float, tables: int, visits: int, scale: float) -> DataFrame:
     """(rep, n_links, v): per block the links that each class has there, and forest edges.
 
-    members: (cell, tab, n, home, rep, mult, label, vector). Rows with v null count links;
-    rows with v are edges (rep, v) of the block's spanning forest.
+    members: ``count`` rows of (cell, tab, n, home, rep, mult, label, vector). Rows with v null
+    count links; rows with v are edges (rep, v) of the block's spanning forest.
     """
+    batches = max(64, count // BATCH_ROWS)
+    small = F.col("n") <= BLOCK
     mine = F.pmod(F.xxhash64("rep", "cell"), F.col("chunks")).cast("int")
     cut = members.withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = cut.select("cell", "tab", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home", "rep", "mult", "label", "vector")
+    batch = F.when(small, F.pmod(F.xxhash64("cell"), F.lit(batches))).otherwise(F.col("cell"))
+    i, j = (F.when(small, F.lit(-1)).otherwise(f("mine", "other")) for f in (F.least, F.greatest))
+    blocks = cut.select(batch.alias("batch"), i.alias("i"), j.alias("j"), "cell", "tab", "mine", "home", "rep", "mult", "label", "vector")
 
     def run(keys, table):
-        cell, t, i, j = (k.as_py() for k in keys)
-        rep, mult, side = (table[c].to_numpy() for c in ("rep", "mult", "mine"))
-        at_home = table["home"].to_numpy()
-        vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(len(rep), -1)
-        unit = _unit(vectors)
-        homes, seen = cells(unit, _salt(table["label"].to_numpy(), unit.shape[1]), tables, visits, scale)
-        links = np.zeros(len(rep), np.int64)
-        edges = []
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        for start in range(0, len(left), 64):
-            a = left[start : start + 64]
-            close = unit[a] @ unit[right].T >= threshold
-            close &= at_home[a][:, None] | at_home[right][None, :]
-            close &= (a[:, None] < right[None, :]) if i == j else True
-            x, y = np.nonzero(close)
-            x, y = a[x], right[y]
+        _, i, j = (k.as_py() for k in keys)
+        cell, tab, rep, mult, side, at_home, label = (table[c].to_numpy() for c in ("cell", "tab", "rep", "mult", "mine", "home", "label"))
+        vectors = [np.frombuffer(v, np.float64) for v in table["vector"].to_pylist()]
+        sizes = np.array([len(v) for v in vectors])
+        links, edges = np.zeros(len(rep), np.int64), []
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            unit = _unit(np.stack([vectors[r] for r in rows]))
+            if i < 0:
+                x, y = _close_in_cells(cell[rows], at_home[rows], unit, threshold)
+            else:
+                x, y = _close_in_block(np.flatnonzero(side[rows] == i), np.flatnonzero(side[rows] == j), i == j, at_home[rows], unit, threshold)
+            if not len(x):
+                continue
+            used, places = np.unique(np.concatenate([x, y]), return_inverse=True)
+            homes, seen = cells(unit[used], _salt(label[rows[used]], int(size)), tables, visits, scale)
+            p_all, q_all = places[: len(x)], places[len(x) :]
             for part in range(0, len(x), 8192):
-                p, q = x[part : part + 8192], y[part : part + 8192]
+                p, q, r = p_all[part : part + 8192], q_all[part : part + 8192], rows[x[part : part + 8192]]
+                t, w = tab[r], rows[y[part : part + 8192]]
                 first = ~_met_before(t, homes[p], seen[p], homes[q], seen[q])
-                # both at home elsewhere in this table and visiting each other: the lower home counts
-                mutual = (homes[p, t] != homes[q, t]) & (seen[p, t] == homes[q, t, None]).any(axis=1) & (seen[q, t] == homes[p, t, None]).any(axis=1)
-                first &= ~mutual | (np.minimum(homes[p, t].view(np.int64), homes[q, t].view(np.int64)) == cell)
-                p, q = p[first], q[first]
-                np.add.at(links, p, mult[q])
-                np.add.at(links, q, mult[p])
-                edges += zip(p.tolist(), q.tolist())
-                if len(edges) > 100_000:
-                    place = {int(r): k for k, r in enumerate(rep)}
-                    edges = [(place[u], place[v]) for u, v in forest(rep, edges)]
+                # where each visits the home of the other, the pair counts in the lower home
+                home_p, home_q = homes[p, t], homes[q, t]
+                mutual = (home_p != home_q) & (seen[p, t] == home_q[:, None]).any(axis=1) & (seen[q, t] == home_p[:, None]).any(axis=1)
+                first &= ~mutual | (np.minimum(home_p.view(np.int64), home_q.view(np.int64)) == cell[r])
+                r, w = r[first], w[first]
+                np.add.at(links, r, mult[w])
+                np.add.at(links, w, mult[r])
+                edges += zip(r.tolist(), w.tolist())
         tree = forest(rep, edges)
         some = np.flatnonzero(links)
         return pa.table(
@@ -177,7 +211,7 @@ def link_blocks(members: DataFrame, threshold: float, tables: int, visits: int,
         )
 
     ship_package(members.sparkSession)
-    return blocks.groupBy("cell", "tab", "i", "j").applyInArrow(run, "rep long, n_links long, v long")
+    return blocks.groupBy("batch", "i", "j").applyInArrow(run, "rep long, n_links long, v long")
 
 
 def near_vectors(
@@ -240,7 +274,7 @@ def near_vectors(
 
     vectors = map_arrow(classes, packed, "rep long, mult long, label long, vector binary")
     full = members.join(durable(vectors), "rep")
-    got = durable(link_blocks(full, threshold, tables, visits, scale))
+    got = durable(link_blocks(full, members.count(), threshold, tables, visits, scale))
     counts = got.where("v is null").groupBy("rep").agg(F.sum("n_links").alias("links"))
     found, n_found = components(got.where("v is not null").select(F.col("rep").alias("u"), "v"), limit)
     of_class = joined(classes.join(counts, "rep", "left"), found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit)
