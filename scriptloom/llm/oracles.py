@@ -1,7 +1,47 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+The others rest on automata, trained models, hash families or iteration; tests hold them
+against brute force, round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from .queries import DOMAIN_SQL, WEIGHTS
+
+PERCENT, EPOCHS, SEED = 120, 3, 17
+
+
+def _weight(level: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {w}.0" for name, w in WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE 1.0 END" if cases else "1.0"
+
+
+def _share(level: str, keys: list[str], given: str) -> str:
+    """CTEs that share the budget of each parent among its children."""
+    parents = keys[:-1]
+    over = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    before = f"({over} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    budget = f"JOIN {given} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {given}"
+    k = ", ".join(keys)
+    return f"""
+{level}_c AS (SELECT {k}, cap, weight, budget FROM (SELECT {k}, sum(cap) AS cap, {_weight(level)} AS weight FROM leaves GROUP BY {k}) {budget}),
+{level}_r AS (SELECT *, row_number() OVER ({over} ORDER BY cap / weight, {level}) AS place,
+  (budget - coalesce(sum(cap) OVER {before}, 0.0)) / (sum(weight) OVER ({over}) - coalesce(sum(weight) OVER {before}, 0.0)) AS rate FROM {level}_c),
+{level}_s AS (SELECT *, min(CASE WHEN cap > rate * weight THEN place END) OVER ({over}) AS short FROM {level}_r),
+{level}_t AS (SELECT *, max(CASE WHEN place = short THEN rate END) OVER ({over}) AS final_rate FROM {level}_s),
+{level}_b AS (SELECT {k}, CASE WHEN short IS NULL OR place < short THEN cap ELSE floor(final_rate * weight) END AS budget FROM {level}_t)"""
+
+
+def mixing_sql() -> str:
+    return f"""WITH docs AS (SELECT doc_id, {DOMAIN_SQL} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * {EPOCHS} AS cap FROM docs GROUP BY ALL),
+whole AS (SELECT floor(sum(tokens) * {PERCENT} / 100) AS budget FROM leaves),{_share("domain", ["domain"], "whole")},{_share("lang", ["domain", "lang"], "domain_b")},{_share("source", ["domain", "lang", "source"], "lang_b")},
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens) AS BIGINT) ELSE 1 END AS whole_epochs FROM leaves JOIN source_b USING (domain, lang, source)),
+rest AS (SELECT domain, lang, source, whole_epochs, CASE WHEN tokens > 0 THEN CAST(budget - whole_epochs * tokens AS BIGINT) ELSE 0 END AS rest FROM plan),
+keyed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole_epochs || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM docs JOIN rest USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(unnest(generate_series(0, whole_epochs - 1 + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS INTEGER) AS epoch FROM keyed"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing_sql()}
