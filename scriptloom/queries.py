@@ -1,11 +1,356 @@
-"""The editing operators as queries over the driver's tables."""
+"""The editing operators as queries over the driver's tables, and the same in DuckDB SQL.
+
+The tables hold no recordings, so words are made from conversations with synthetic times, and
+the other inputs from tables that have the right shape. All queries run over whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as fn
+from .operators import detect, export, feedback, review
+from .plans.edit import edit
+from .session import read_table
+from .sources.readers import Settings, habits, manuscript
+
+HABITS_MD = ["# Filler", "Words to drop.", "- the", "- und", "- et", "# Protected", "* not", "* of", "* und"]
+SETTINGS_JSON = '{"silence_ms": 800, "layers": ["filler", "stumble", "event"], "unknown": 1}'
+LAYERS = ("filler", "stumble", "event")
+GAP_MS, CUE_WORDS, FPS = 800, 8, 30
+
+
+def _words(spark, sf_dir):
+    return review.stand_in_words(read_table(spark, sf_dir, "conversations"))
+
+
+def _habits(spark):
+    lines = spark.createDataFrame([("a.md", i, x) for i, x in enumerate(HABITS_MD)], "file string, n int, value string")
+    return habits(lines)
+
+
+def _intervals(words):
+    """A scored interval around every 25th word, as a detector of coughs would give."""
+    return words.where("idx % 25 = 7").select("stream_id", F.lit("cough").alias("kind"), (F.col("start_ms") + 10).alias("start_ms"), (F.col("end_ms") + 200).alias("end_ms"), ((F.col("idx") % 10) / 10.0).alias("score"))
+
+
+def _voiced(words):
+    return words.where("idx % 40 < 38").select("stream_id", F.lit("voice").alias("kind"), "start_ms", "end_ms", F.lit(1.0).alias("score"))
+
+
+def _decisions(words):
+    return words.where("idx % 17 = 0").select("stream_id", "idx", (F.col("idx") % 2 == 0).alias("keep"))
+
+
+def _layers(spark, words):
+    return {"filler": detect.fillers(words, _habits(spark).where("rule = 'filler'")), "stumble": detect.stumbles(words), "event": detect.non_speech(words, _intervals(words), 0.5)}
+
+
+def _proposals(spark, words):
+    return review.protect(review.union_layers(_layers(spark, words), LAYERS), words, _habits(spark).where("rule = 'protected'"))
+
+
+def _decided(spark, words):
+    return review.decided(words, review.with_reasons(_proposals(spark, words)), _decisions(words))
+
+
+def _kept(spark, sf_dir):
+    return _decided(spark, _words(spark, sf_dir)).where("keep")
+
+
+def _segments(spark, sf_dir):
+    return review.segments(_kept(spark, sf_dir), GAP_MS)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to segments: fillers, stumbles and coughs cut, protection and overrides applied."""
+    words = _words(spark, sf_dir)
+    settings = Settings.from_json(SETTINGS_JSON)
+    return edit(words, _habits(spark), settings, _decisions(words), events=_intervals(words)).segments
+
+
+def q_manuscript(spark, sf_dir):
+    return manuscript(read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def q_habits(spark, sf_dir):
+    return _habits(spark)
+
+
+def q_settings(spark, sf_dir):
+    got = Settings.from_json(SETTINGS_JSON)
+    return spark.createDataFrame([(got.silence_ms, got.cue_words, ",".join(got.layers))], "silence_ms int, cue_words int, layers string")
+
+
+def q_traditional(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "这说时"), (1, "學习语词 abc"), (2, "")], "idx int, text string")
+    return rows.select("idx", fn.to_traditional(F.col("text")).alias("text"))
+
+
+def q_silence(spark, sf_dir):
+    return detect.silences(_words(spark, sf_dir), GAP_MS)
+
+
+def q_event_gaps(spark, sf_dir):
+    return detect.event_gaps(read_table(spark, sf_dir, "events"), 3600)
+
+
+def q_retakes(spark, sf_dir):
+    lines = review.document_lines(read_table(spark, sf_dir, "documents")).where(~F.col("line").rlike("[^\\x00-\\x7F]"))
+    return detect.retakes(lines.where("char_length(line) <= 400"), 0.7, 1)
+
+
+def q_fillers(spark, sf_dir):
+    return detect.fillers(_words(spark, sf_dir), _habits(spark).where("rule = 'filler'"))
+
+
+def q_stumbles(spark, sf_dir):
+    return detect.stumbles(_words(spark, sf_dir))
+
+
+def q_repeats(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("stream_id"), F.col("vec_id").alias("i"), "embedding")
+    return detect.repeats(vectors, 0.2, 3)
+
+
+def q_events(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return detect.non_speech(words, _intervals(words), 0.5)
+
+
+def q_unvoiced(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return detect.unvoiced(words, _voiced(words))
+
+
+def q_protect(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return review.protect(detect.fillers(words, _habits(spark).where("rule = 'filler'")), words, _habits(spark).where("rule = 'protected'"))
+
+
+def q_layers(spark, sf_dir):
+    return review.union_layers(_layers(spark, _words(spark, sf_dir)), ("filler", "event"))
+
+
+def q_reasons(spark, sf_dir):
+    rows = review.with_reasons(_proposals(spark, _words(spark, sf_dir)))
+    return rows.withColumn("reasons", F.array_join("reasons", "+"))
+
+
+def q_overrides(spark, sf_dir):
+    return _decided(spark, _words(spark, sf_dir)).select("stream_id", "idx", "proposed", "keep")
+
+
+def q_misheard(spark, sf_dir):
+    words = manuscript(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return review.misheard(words.where(~F.col("text").rlike("[^\\x00-\\x7F]")), q_manuscript(spark, sf_dir))
+
+
+def q_misheard_pairs(spark, sf_dir):
+    return review.misheard_in_context(_words(spark, sf_dir), q_manuscript(spark, sf_dir))
+
+
+def q_time_map(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    points = words.where("idx % 5 = 0").select("stream_id", F.col("start_ms").alias("src_ms"))
+    return export.to_output_time(points, _segments(spark, sf_dir))
+
+
+def q_seams(spark, sf_dir):
+    return review.seams(_kept(spark, sf_dir), GAP_MS, 3)
+
+
+def q_cues(spark, sf_dir):
+    return export.cues(_kept(spark, sf_dir), GAP_MS, CUE_WORDS)
+
+
+def q_srt(spark, sf_dir):
+    return export.srt(q_cues(spark, sf_dir))
+
+
+def q_transcript(spark, sf_dir):
+    return export.transcript(_kept(spark, sf_dir))
+
+
+def q_edl_events(spark, sf_dir):
+    return export.edl_events(_segments(spark, sf_dir), FPS)
+
+
+def q_edl(spark, sf_dir):
+    return export.edl(q_edl_events(spark, sf_dir))
+
+
+def q_fcpxml(spark, sf_dir):
+    return export.fcpxml(_segments(spark, sf_dir), FPS)
+
+
+def q_check_duration(spark, sf_dir):
+    observed = q_cues(spark, sf_dir).groupBy("stream_id").agg((F.max("end_ms") + F.when(F.col("stream_id") % 3 == 0, 900).otherwise(10)).alias("observed_ms"))
+    return export.check_duration(_segments(spark, sf_dir), observed, 100)
+
+
+def q_check_silence(spark, sf_dir):
+    return detect.silences(export.output_words(_kept(spark, sf_dir), GAP_MS), 200)
+
+
+def q_check_words(spark, sf_dir):
+    expected = export.numbered(_kept(spark, sf_dir))
+    heard = expected.where("not (stream_id % 4 = 1 and n % 50 = 49)").select("stream_id", "n", F.when((F.col("stream_id") + F.col("n")) % 60 == 0, F.lit("?")).otherwise(F.col("text")).alias("text"))
+    return export.check_words(expected, heard)
+
+
+def _feedback(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    pre = review.with_reasons(_proposals(spark, words))
+    whole = _decided(spark, words)
+    rows = feedback.differences(pre.select("stream_id", "idx", F.lit(True).alias("proposed")), whole.select("stream_id", "idx", F.col("keep").alias("kept")), ["stream_id", "idx"])
+    return rows.join(whole.select("stream_id", "idx", "reasons", "text"), ["stream_id", "idx"])
+
+
+def q_feedback(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    pre = docs.select("doc_id", (F.col("n_chars") < 600).alias("proposed"))
+    final = labels.select("doc_id", (F.col("quality") == 1).alias("kept"))
+    return feedback.differences(pre, final, ["doc_id"])
+
+
+def q_feedback_summary(spark, sf_dir):
+    return feedback.summary(_feedback(spark, sf_dir), ["stream_id", "class"])
+
+
+def q_examples(spark, sf_dir):
+    return feedback.examples(_feedback(spark, sf_dir), 5)
+
+
+_WORDS = r"""
+toks AS (SELECT conv_id AS stream_id, turn, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS text FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM conversations)),
+timed AS (SELECT *, 40 + 60 * length(text) AS took, CASE WHEN text LIKE '%.' THEN 900 WHEN text LIKE '%,' THEN 250 ELSE 20 END AS pause FROM toks),
+placed AS (SELECT stream_id, row_number() OVER w - 1 AS idx, text, took, CAST(coalesce(sum(took + pause) OVER (PARTITION BY stream_id ORDER BY turn, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM timed WINDOW w AS (PARTITION BY stream_id ORDER BY turn, pos)),
+words AS (SELECT stream_id, idx, text, start_ms, start_ms + took AS end_ms, regexp_replace(lower(text), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g') AS bare FROM placed)"""
+_LAYERS = (
+    _WORDS
+    + r""",
+coughs AS (SELECT stream_id, start_ms + 10 AS a, end_ms + 200 AS b FROM words WHERE idx % 25 = 7 AND (idx % 10) / 10.0 >= 0.5),
+filler AS (SELECT stream_id, idx, 'filler' AS layer, 'filler' AS reason FROM words WHERE bare IN ('the', 'und', 'et')),
+stumble AS (SELECT stream_id, idx, 'stumble' AS layer, 'stumble' AS reason FROM (SELECT *, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS n FROM words) WHERE bare = n AND bare <> ''),
+event AS (SELECT DISTINCT w.stream_id, w.idx, 'event' AS layer, 'event' AS reason FROM words w JOIN coughs c ON w.stream_id = c.stream_id AND w.start_ms < c.b AND c.a < w.end_ms),
+proposals AS (SELECT p.* FROM (SELECT * FROM filler UNION ALL SELECT * FROM stumble UNION ALL SELECT * FROM event) p JOIN words USING (stream_id, idx) WHERE bare NOT IN ('not', 'of', 'und')),
+reasons AS (SELECT stream_id, idx, array_to_string(list_sort(list(DISTINCT reason)), '+') AS reasons, count(DISTINCT layer) AS n_layers FROM proposals GROUP BY ALL),
+decided AS (SELECT w.*, r.reasons, r.idx IS NOT NULL AS proposed, coalesce(CASE WHEN w.idx % 17 = 0 THEN w.idx % 2 = 0 END, r.idx IS NULL) AS keep FROM words w LEFT JOIN reasons r USING (stream_id, idx)),
+kept AS (SELECT *, CASE WHEN lag(idx) OVER w IS NULL OR idx <> lag(idx) OVER w + 1 OR start_ms - lag(end_ms) OVER w > 800 THEN 1 ELSE 0 END AS fresh FROM decided WHERE keep WINDOW w AS (PARTITION BY stream_id ORDER BY idx)),
+inseg AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS BIGINT) AS seg FROM kept),
+spans AS (SELECT stream_id, seg, min(start_ms) AS src_start, max(end_ms) AS src_end, count(*) AS n_words FROM inseg GROUP BY ALL),
+segs AS (SELECT stream_id, seg, src_start, src_end, CAST(coalesce(sum(src_end - src_start) OVER (PARTITION BY stream_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start, n_words FROM spans),
+outw AS (SELECT i.stream_id, i.idx, i.text, i.seg, row_number() OVER (PARTITION BY i.stream_id, i.seg ORDER BY i.idx) - 1 AS place, i.start_ms + s.out_start - s.src_start AS start_ms, i.end_ms + s.out_start - s.src_start AS end_ms FROM inseg i JOIN segs s USING (stream_id, seg)),
+parts AS (SELECT stream_id, seg, place // 8 AS part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY idx) AS text FROM outw GROUP BY ALL),
+cues AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY seg, part) AS cue, start_ms, end_ms, text FROM parts),
+fr AS (SELECT stream_id, seg, (src_start * 30 + 500) // 1000 AS f_in, greatest((src_end * 30 + 500) // 1000, (src_start * 30 + 500) // 1000 + 1) AS f_out FROM segs),
+recs AS (SELECT *, CAST(coalesce(sum(f_out - f_in) OVER (PARTITION BY stream_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rec FROM fr)"""
+)
+
+
+def _clock(c: str) -> str:
+    return f"lpad(CAST({c} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({c} % 1000 AS VARCHAR), 3, '0')"
+
+
+def _timecode(c: str) -> str:
+    return "||':'||".join(f"lpad(CAST({x} AS VARCHAR), 2, '0')" for x in (f"({c}) // 108000", f"({c}) // 1800 % 60", f"({c}) // 30 % 60", f"({c}) % 30"))
+
+
+_EDL = f"edl AS (SELECT stream_id, seg + 1 AS event, {_timecode('f_in')} AS src_in, {_timecode('f_out')} AS src_out, {_timecode('rec')} AS rec_in, {_timecode('rec + f_out - f_in')} AS rec_out FROM recs)"
+_FEEDBACK = ", fb AS (SELECT stream_id, idx, text, reasons, CASE WHEN proposed AND keep THEN 'restored' WHEN NOT proposed AND NOT keep THEN 'added' ELSE 'agreed' END AS class FROM decided)"
+_BENCH = r"man AS (SELECT item_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM benchmark))"
+_BARE = r"""regexp_replace(lower(text), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g')"""
+_COS = "CASE WHEN {0} IS NOT NULL THEN list_inner_product(CAST(e AS DOUBLE[]), CAST({0} AS DOUBLE[])) / sqrt(list_inner_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])) * list_inner_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) END"
+
+_W = f"WITH {_WORDS}"
+_L = f"WITH {_LAYERS}"
+_SQL = {
+    "c00_flagship_segments": f"{_L} SELECT * FROM segs",
+    "c02_manuscript": f"WITH {_BENCH} SELECT * FROM man",
+    "c03_habits": "SELECT * FROM (VALUES ('the', 'filler'), ('und', 'filler'), ('et', 'filler'), ('not', 'protected'), ('of', 'protected'), ('und', 'protected')) t(token, rule)",
+    "c04_settings": "SELECT 800 AS silence_ms, 8 AS cue_words, 'filler,stumble,event' AS layers",
+    "c08_traditional": "SELECT * FROM (VALUES (0, '這說時'), (1, '學习語詞 abc'), (2, '')) t(idx, text)",
+    "c09_silence": f"{_W} SELECT stream_id, idx, s AS start_ms, start_ms AS end_ms, start_ms - s AS gap_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY idx) AS s FROM words) WHERE start_ms - s > 800",
+    "c09_event_gaps": "SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, date_sub('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap_s FROM events) WHERE gap_s > 3600",
+    "c10_retakes": r"""WITH lines AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+        ahead AS (SELECT *, lead(i) OVER w AS by_i, lead(line) OVER w AS n FROM lines WHERE NOT regexp_matches(line, '[^\x00-\x7F]') AND length(line) <= 400 WINDOW w AS (PARTITION BY stream_id ORDER BY i))
+        SELECT stream_id, i, by_i AS "by" FROM ahead WHERE by_i IS NOT NULL AND regexp_matches(trim(line), '\S\s+\S') AND CASE WHEN greatest(length(line), length(n)) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein(line, n) AS DOUBLE) / greatest(length(line), length(n)) END >= 0.7""",
+    "c11_fillers": f"{_L} SELECT * FROM filler",
+    "c12_stumbles": f"{_L} SELECT * FROM stumble",
+    "c13_repeats": f"""WITH v AS (SELECT CAST(label AS BIGINT) AS stream_id, vec_id AS i, embedding AS e FROM embeddings),
+        a AS (SELECT *, lead(i, 1) OVER w AS i1, lead(e, 1) OVER w AS e1, lead(i, 2) OVER w AS i2, lead(e, 2) OVER w AS e2, lead(i, 3) OVER w AS i3, lead(e, 3) OVER w AS e3 FROM v WINDOW w AS (PARTITION BY stream_id ORDER BY i)),
+        c AS (SELECT stream_id, i, i1, i2, i3, {_COS.format('e1')} AS c1, {_COS.format('e2')} AS c2, {_COS.format('e3')} AS c3 FROM a)
+        SELECT stream_id, i, CASE WHEN c1 >= 0.2 THEN i1 WHEN c2 >= 0.2 THEN i2 ELSE i3 END AS "by" FROM c WHERE c1 >= 0.2 OR c2 >= 0.2 OR c3 >= 0.2""",
+    "c14_events": f"{_L} SELECT * FROM event",
+    "c15_unvoiced": f"{_W}, v AS (SELECT stream_id, start_ms AS a, end_ms AS b FROM words WHERE idx % 40 < 38) SELECT stream_id, idx, 'unvoiced' AS layer, 'unvoiced' AS reason FROM words w WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.stream_id = w.stream_id AND w.start_ms < v.b AND v.a < w.end_ms)",
+    "c17_protect": f"{_L} SELECT f.* FROM filler f JOIN words USING (stream_id, idx) WHERE bare NOT IN ('not', 'of', 'und')",
+    "c18_layers": f"{_L} SELECT * FROM filler UNION ALL SELECT * FROM event",
+    "c19_reasons": f"{_L} SELECT * FROM reasons",
+    "c20_overrides": f"{_L} SELECT stream_id, idx, proposed, keep FROM decided",
+    "c21_misheard": rf"WITH {_BENCH}, d AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents)), b AS (SELECT *, {_BARE} AS bare FROM d WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) SELECT stream_id, idx, text FROM b WHERE bare <> '' AND bare NOT IN (SELECT {_BARE} FROM man)",
+    "c21_misheard_pairs": f"{_W}, {_BENCH}, mb AS (SELECT {_BARE} AS a, lead({_BARE}) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM man), k AS (SELECT DISTINCT a, b FROM mb WHERE b IS NOT NULL), p AS (SELECT stream_id, idx, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM words), h AS (SELECT stream_id, idx FROM p JOIN k USING (a, b) UNION SELECT stream_id, idx + 1 FROM p JOIN k USING (a, b)) SELECT stream_id, idx, text FROM words w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.stream_id = w.stream_id AND h.idx = w.idx)",
+    "c22_segments": f"{_L} SELECT stream_id, seg, src_start, src_end, n_words FROM segs",
+    "c23_time_map": f"{_L} SELECT w.stream_id, w.start_ms AS src_ms, s.seg, s.out_start + w.start_ms - s.src_start AS out_ms FROM words w LEFT JOIN segs s ON w.stream_id = s.stream_id AND w.start_ms >= s.src_start AND w.start_ms < s.src_end WHERE w.idx % 5 = 0",
+    "c24_seams": f"{_L}, c AS (SELECT stream_id, seg, fresh, concat_ws(' ', lag(text, 3) OVER w, lag(text, 2) OVER w, lag(text, 1) OVER w) AS before, concat_ws(' ', text, lead(text, 1) OVER w, lead(text, 2) OVER w) AS after FROM inseg WINDOW w AS (PARTITION BY stream_id ORDER BY idx)) SELECT stream_id, seg, before, after FROM c WHERE fresh = 1 AND seg > 0",
+    "c27_cues": f"{_L} SELECT * FROM cues",
+    "c27_srt": f"{_L} SELECT stream_id, string_agg(CAST(cue AS VARCHAR) || chr(10) || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS body FROM cues GROUP BY 1",
+    "c28_transcript": f"{_L} SELECT stream_id, string_agg(text, ' ' ORDER BY idx) AS body FROM kept GROUP BY 1",
+    "c29_edl_events": f"{_L}, {_EDL} SELECT * FROM edl",
+    "c29_edl": f"{_L}, {_EDL} SELECT stream_id, 'TITLE: ' || stream_id || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || string_agg(lpad(CAST(event AS VARCHAR), 3, '0') || '  AX       V     C        ' || src_in || ' ' || src_out || ' ' || rec_in || ' ' || rec_out, chr(10) ORDER BY event) || chr(10) AS body FROM edl GROUP BY 1",
+    "c29_fcpxml": _L
+    + """ SELECT stream_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<fcpxml version="1.9"><resources><format id="r1" frameDuration="1/30s"/><asset id="r2" format="r1"/></resources><library><event><project><sequence format="r1" duration="' || CAST(sum(f_out - f_in) AS BIGINT) || '/30s"><spine>' || string_agg('<asset-clip ref="r2" offset="' || rec || '/30s" start="' || f_in || '/30s" duration="' || (f_out - f_in) || '/30s"/>', '' ORDER BY seg) || '</spine></sequence></project></event></library></fcpxml>' || chr(10) AS body FROM recs GROUP BY 1""",
+    "c30_check_duration": f"{_L}, p AS (SELECT stream_id, CAST(sum(src_end - src_start) AS BIGINT) AS planned_ms FROM segs GROUP BY 1), o AS (SELECT stream_id, max(end_ms) + CASE WHEN stream_id % 3 = 0 THEN 900 ELSE 10 END AS observed_ms FROM cues GROUP BY stream_id) SELECT stream_id, planned_ms, observed_ms, abs(planned_ms - observed_ms) <= 100 AS ok FROM p FULL JOIN o USING (stream_id)",
+    "c31_check_silence": f"{_L} SELECT stream_id, idx, s AS start_ms, start_ms AS end_ms, start_ms - s AS gap_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY idx) AS s FROM outw) WHERE start_ms - s > 200",
+    "c32_check_words": f"{_L}, e AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS n, text FROM kept) SELECT stream_id, count(*) AS n_expected, count(*) FILTER (NOT (stream_id % 4 = 1 AND n % 50 = 49)) AS n_observed, count(*) FILTER ((stream_id % 4 = 1 AND n % 50 = 49) OR ((stream_id + n) % 60 = 0 AND text <> '?')) AS n_different FROM e GROUP BY 1",
+    "c33_feedback": "SELECT doc_id, proposed, kept, CASE WHEN proposed AND kept THEN 'restored' WHEN NOT proposed AND NOT kept THEN 'added' ELSE 'agreed' END AS class FROM (SELECT doc_id, coalesce(n_chars < 600, false) AS proposed, coalesce(quality = 1, NOT coalesce(n_chars < 600, false)) AS kept FROM documents FULL JOIN labels USING (doc_id))",
+    "c34_feedback_summary": f"{_L}{_FEEDBACK} SELECT stream_id, class, count(*) AS n FROM fb GROUP BY ALL",
+    "c35_examples": f"{_L}{_FEEDBACK}, x AS (SELECT unnest(string_split(coalesce(reasons, ''), '+')) AS reason, class, text FROM fb WHERE class <> 'agreed'), c AS (SELECT reason, class, text, count(*) AS n FROM x GROUP BY ALL) SELECT reason, rank, class, text, n FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY n DESC, class, text) AS rank FROM c) WHERE rank <= 5",
+}
+_QUERIES = {
+    "c00_flagship_segments": flagship,
+    "c02_manuscript": q_manuscript,
+    "c03_habits": q_habits,
+    "c04_settings": q_settings,
+    "c08_traditional": q_traditional,
+    "c09_silence": q_silence,
+    "c09_event_gaps": q_event_gaps,
+    "c10_retakes": q_retakes,
+    "c11_fillers": q_fillers,
+    "c12_stumbles": q_stumbles,
+    "c13_repeats": q_repeats,
+    "c14_events": q_events,
+    "c15_unvoiced": q_unvoiced,
+    "c17_protect": q_protect,
+    "c18_layers": q_layers,
+    "c19_reasons": q_reasons,
+    "c20_overrides": q_overrides,
+    "c21_misheard": q_misheard,
+    "c21_misheard_pairs": q_misheard_pairs,
+    "c22_segments": lambda spark, sf_dir: _segments(spark, sf_dir).drop("out_start"),
+    "c23_time_map": q_time_map,
+    "c24_seams": q_seams,
+    "c27_cues": q_cues,
+    "c27_srt": q_srt,
+    "c28_transcript": q_transcript,
+    "c29_edl_events": q_edl_events,
+    "c29_edl": q_edl,
+    "c29_fcpxml": q_fcpxml,
+    "c30_check_duration": q_check_duration,
+    "c31_check_silence": q_check_silence,
+    "c32_check_words": q_check_words,
+    "c33_feedback": q_feedback,
+    "c34_feedback_summary": q_feedback_summary,
+    "c35_examples": q_examples,
+}
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
