@@ -24,7 +24,7 @@ from .common import as_text, map_arrow, non_empty
 #: Longest word, in bytes, for which repeated scans are used.
 LONG_WORD = 96
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 60

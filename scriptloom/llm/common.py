@@ -19,6 +19,9 @@ MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_C = np.uint64(0x9FB21C651E98DF25)
 
+#: Rows of an Arrow batch that a worker turns into Python objects at once.
+SLICE_ROWS = 256
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers unless their PYTHONPATH has it already."""
@@ -56,10 +59,19 @@ def hash_tokens(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the workers."""
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the workers, ``SLICE_ROWS`` rows at a time.
+
+    Texts are long and become Python objects, so a worker holds few rows of a batch in that
+    form, and gives freed Arrow memory back before it serves the next task.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batch.slice(i, SLICE_ROWS) for batch in batches for i in range(0, batch.num_rows, SLICE_ROWS))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def non_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

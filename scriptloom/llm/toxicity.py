@@ -40,7 +40,7 @@ DRIFT = -0.05
 #: Lengths, in bytes, of the prefixes of a word that are tokens too.
 PREFIXES = (4, 5, 6, 7, 8, 10)
 #: Words whose scores a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def letter_words(text: bytes) -> list[bytes]:
