@@ -1,0 +1,110 @@
+"""Secrets, personal data and tokens against plain patterns and the tokenizers library."""
+
+import hashlib
+import random
+import re
+
+from tokenizers import Tokenizer
+
+from scriptloom.llm import bpe, pii, secret_scan
+
+
+def plain_secrets(text):
+    ascii_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    assign = re.compile("(" + "|".join(map(ascii_case, ["password", "passwd", "secret", "token"])) + "|" + ascii_case("api") + "_?" + ascii_case("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def plain_pii(text):
+    spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate(d[::-1])) % 10 == 0:
+            spans.append(("card", *m.span()))
+    spans += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return spans
+
+
+def scrambled(pieces, count, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(count)]
+
+
+def test_secrets_equal_plain_patterns(docs, rows):
+    pieces = ["password", "TOKEN", "ApiKey", "api_key", "secret", "=", ": ", '"', "'", " ", "abc", "123456", "AKIA", "ABCDEFGHIJKLMNOP", "deadbeef" * 3, "0f", "é", "ſecret=abcdefg", "K", "token = 'x"]
+    for text in scrambled(pieces, 4000, 1) + [t for _, t in rows]:
+        assert [s for s in secret_scan.scan_text(text) if s[0] in secret_scan.BASE_KINDS] == plain_secrets(text), text
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).collect()}
+    for i, text in rows:
+        want = plain_secrets(text)
+        assert got[i]["n_hex"] == sum(s[0] == "hex" for s in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+def test_checksums_decide():
+    good = "ghp_" + secret_scan.with_checksum("A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5")
+    bad = good[:-1] + ("0" if good[-1] != "0" else "1")
+    kinds = lambda t: [s[0] for s in secret_scan.scan_text(t)]
+    assert kinds(f"x {good} y") == ["github"]
+    assert kinds(f"x {bad} y") == []
+    assert kinds("eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln") == ["jwt"]
+    assert kinds("eyJub3QganNvbg.eyJhIjoxfQ.c2ln") == []
+
+
+def test_pii_equals_plain_patterns(docs, rows):
+    pieces = ["a@b.c", "@", "x.y", ".", "+1 ", "(555)", "-", "4111 1111 1111 1111", "4111111111111112", "1.2.3.4", "256", "999.1.1.1", "0", " ", "é", "+", "-12", "me@", "..", "1"]
+    for text in scrambled(pieces, 4000, 2) + [t for _, t in rows]:
+        assert pii.base_spans(text) == plain_pii(text), text
+    got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    for i, text in rows:
+        want = plain_pii(text)
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in want) for k in pii.BASE_KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+def test_pii_scan_is_linear():
+    for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "a@" * 50_000, "+1" * 50_000, "1 " * 100_000):
+        pii.base_spans(text)
+
+
+def test_weak_supervision_learns_extra_kinds(spark):
+    texts = ["Dear Mr. Smith Jones, my iban DE89370400440532013000 at the bank.", "social security ssn 123-45-6789 is mine", "version build 000-00-0000 DE00370400440532013000"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(df)
+    kinds = lambda t: {s[0] for s in pii.find_spans(t, model)}
+    assert {"iban", "name"} <= kinds(texts[0]) and "ssn" in kinds(texts[1])
+    assert not kinds(texts[2]) & {"iban", "ssn"}
+    masked = pii.redact(df.withColumnRenamed("doc_id", "i"), length_col=None, model=model).where("i = 0").first()["text"]
+    assert "<IBAN>" in masked and "DE89" not in masked
+
+
+def test_bpe_equals_library_and_round_trips(docs, rows):
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    codec = bpe.Codec(open(bpe.default_vocabulary(), "rb").read())
+    pieces = ["the", " of", "é", "中文", "\n", "  ", "'s", "12", "###", "<|endoftext|>", "\x1c\x85", "😀", "x" * 200, "."]
+    for text in scrambled(pieces, 500, 3) + [t for _, t in rows[:100]]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == ids
+        assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
+    encoded = bpe.encode_column(docs)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode_column(encoded).collect()}
+    assert back == dict(rows)
+    digests = {r["doc_id"]: r for r in bpe.round_trip(docs).collect()}
+    for r in encoded.collect():
+        assert digests[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+        assert digests[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(back[r["doc_id"]].encode()).hexdigest()
+
+
+def test_edge_cases(edge_docs, no_docs):
+    secrets = secret_scan.scan_secrets(edge_docs).collect()
+    assert len(secrets) == edge_docs.count() and all(r["spans"] == "" for r in secrets if r["doc_id"] in (1, 2, 3))
+    assert len(pii.find_pii(edge_docs).collect()) == edge_docs.count()
+    kept = pii.redact(edge_docs)
+    assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() and kept.where("text is null").count() == 1
+    assert sorted((r["n_tokens"] for r in bpe.encode_column(edge_docs).collect()))[:2] == [0, 0]
+    for df in (secret_scan.scan_secrets(no_docs), pii.find_pii(no_docs), bpe.round_trip(no_docs), bpe.encode_column(no_docs)):
+        assert df.count() == 0
