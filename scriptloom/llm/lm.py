@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import MIX_A, MIX_B, MIX_C, as_bytes, ascii_words, hash_tokens, map_arrow, non_empty, ship_package
+from .common import MIX_A, MIX_B, MIX_C, as_bytes, ascii_words, hash_tokens, map_arrow, non_empty
 
 #: The end of a text as a token; no word holds a space.
 END = b" "
