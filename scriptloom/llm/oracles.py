@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-The others rest on automata, trained models, hash families or iteration; tests hold them
-against brute force, round trips or held-out accuracy.
+The others rest on automata, trained models or file formats; tests hold them against brute
+force, round trips or held-out accuracy. SQL compares pairs plainly, by exact cosine and exact
+set sizes, where the operators use hashing.
 """
 
 from __future__ import annotations
@@ -43,5 +44,36 @@ keyed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(unnest(generate_series(0, whole_epochs - 1 + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS INTEGER) AS epoch FROM keyed"""
 
 
+#: Components of links (u, v) given both ways: what each node reaches, and the smallest of it.
+REACH = """reach AS (SELECT DISTINCT u, u AS v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+found AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)"""
+
+
+def lattice_sql() -> str:
+    return f"""WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS (SELECT vec_id, label, x FROM vectors WHERE label IS NOT NULL AND len(x) > 0 AND list_count(x) = len(x)
+  AND len(list_filter(x, lambda c: NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+{REACH},
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM vectors LEFT JOIN counts ON vec_id = counts.u LEFT JOIN found ON vec_id = found.u"""
+
+
+def minhash_sql() -> str:
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+tokens AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM words),
+runs AS (SELECT doc_id, n, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM tokens WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+every AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS shingle FROM runs WHERE c IS NOT NULL OR (n < 3 AND i = 1)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM every GROUP BY doc_id),
+shingles AS MATERIALIZED (SELECT doc_id, n, shingle FROM every JOIN sizes USING (doc_id)),
+links AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+{REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN found ON doc_id = found.u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing_sql()}
+    return {"op3_lattice": lattice_sql(), "op9_minhash": minhash_sql(), "op10_mixing": mixing_sql()}

@@ -123,8 +123,9 @@ def test_pages_keep_order_and_captions(spark, sf_dir):
     assert sorted((r["doc_id"], r["position"], r["n_bytes"]) for r in media.resolve(refs, store).collect()) == [(1, 0, 7), (2, 4, 7)]
 
 
-def test_mixture_equals_sql(spark, sf_dir):
-    assert compare(spark, sf_dir, queries()["op10_mixing"], oracles.oracle_sql()["op10_mixing"]) > 0
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
+    assert compare(spark, sf_dir, queries()[name], oracles.oracle_sql()[name]) > 0
 
 
 def test_mixture_budgets(spark):
