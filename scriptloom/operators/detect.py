@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bare, cosine, likeness
+from ..functions.text import alike, bare, cosine
+
 
 def by_stream():
     """The words of a recording in order."""
@@ -56,12 +57,13 @@ def stumbles(words: DataFrame) -> DataFrame:
 def retakes(sentences: DataFrame, least: float, ahead: int = 1) -> DataFrame:
     """(stream_id, i, by): sentences that one of the next ``ahead`` says again; the last take stays.
 
-    sentences: (stream_id, i, line). A sentence of fewer than two words is no take.
+    sentences: (stream_id, i, line), of any length and in any script. A sentence of fewer than
+    two words is no take; a null line is none either, and nothing repeats it.
     """
     order = Window.partitionBy("stream_id").orderBy("i")
     enough = F.size(F.split(F.trim("line"), "\\s+")) >= 2
     found = sentences.select("stream_id", "i", "line", *(F.struct(F.lead("i", k).over(order).alias("i"), F.lead("line", k).over(order).alias("line")).alias(f"n{k}") for k in range(1, ahead + 1)))
-    first = F.coalesce(*(F.when(likeness(F.col("line"), F.col(f"n{k}.line")) >= least, F.col(f"n{k}.i")) for k in range(1, ahead + 1)))
+    first = F.coalesce(*(F.when(alike(F.col("line"), F.col(f"n{k}.line"), least), F.col(f"n{k}.i")) for k in range(1, ahead + 1)))
     return found.where(enough).select("stream_id", "i", first.alias("by")).where("by is not null")
 
 

@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, frames, timecode
 from .review import in_segments
 
 
+def _in_spans(points: DataFrame, at: str, spans: DataFrame, start: Column, length: Column, value: Column, name: str) -> DataFrame:
+    """(stream_id, at, seg, name): the span in which each point lies, and value + what it is past the start.
+
+    Points and spans of a recording are laid in one order, in which each point meets the span
+    that began last. So the work is a sort, not a comparison of points with spans.
+    """
+    span = F.struct("seg", start.alias("start"), length.alias("length"), value.alias("value"))
+    begun = spans.where(F.col("stream_id").isNotNull() & start.isNotNull()).select("stream_id", start.alias(at), span.alias("span"))
+    both = points.select("stream_id", at, F.lit(None).cast(begun.schema["span"].dataType).alias("span"), F.lit(True).alias("point")).unionByName(begun.withColumn("point", F.lit(False)))
+    order = Window.partitionBy("stream_id").orderBy(at, "point", "span.length").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("span", F.last("span", ignorenulls=True).over(order)).where("point").withColumn("past", F.col(at) - F.col("span.start"))
+    inside = F.col("past") < F.col("span.length")
+    return met.select("stream_id", at, F.when(inside, F.col("span.seg")).alias("seg"), F.when(inside, F.col("span.value") + F.col("past")).alias(name))
+
+
 def to_output_time(points: DataFrame, segs: DataFrame) -> DataFrame:
     """(stream_id, src_ms, seg, out_ms) of source times; times that were cut have null seg and out_ms.
 
-    points: (stream_id, src_ms). The join is on the recording and the range of the segment.
+    points: (stream_id, src_ms); null times and recordings are in no segment, repeated points
+    are repeated. Segments of a recording must not overlap.
     """
-    a, b = points.alias("a"), segs.alias("b")
-    inside = (F.col("a.stream_id") == F.col("b.stream_id")) & (F.col("a.src_ms") >= F.col("b.src_start")) & (F.col("a.src_ms") < F.col("b.src_end"))
-    return a.join(b, inside, "left").select("a.stream_id", "a.src_ms", "b.seg", (F.col("b.out_start") + F.col("a.src_ms") - F.col("b.src_start")).alias("out_ms"))
+    return _in_spans(points, "src_ms", segs, F.col("src_start"), F.col("src_end") - F.col("src_start"), F.col("out_start"), "out_ms")
 
 
 def to_source_time(points: DataFrame, segs: DataFrame) -> DataFrame:
     """(stream_id, out_ms, seg, src_ms): the inverse on the output's times."""
-    a, b = points.alias("a"), segs.alias("b")
-    length = F.col("b.src_end") - F.col("b.src_start")
-    inside = (F.col("a.stream_id") == F.col("b.stream_id")) & (F.col("a.out_ms") >= F.col("b.out_start")) & (F.col("a.out_ms") < F.col("b.out_start") + length)
-    return a.join(b, inside, "left").select("a.stream_id", "a.out_ms", "b.seg", (F.col("b.src_start") + F.col("a.out_ms") - F.col("b.out_start")).alias("src_ms"))
+    return _in_spans(points, "out_ms", segs, F.col("out_start"), F.col("src_end") - F.col("src_start"), F.col("src_start"), "src_ms")
 
 
 def output_words(kept: DataFrame, gap_ms: int) -> DataFrame:

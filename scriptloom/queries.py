@@ -99,8 +99,7 @@ def q_event_gaps(spark, sf_dir):
 
 
 def q_retakes(spark, sf_dir):
-    lines = review.document_lines(read_table(spark, sf_dir, "documents")).where(~F.col("line").rlike("[^\\x00-\\x7F]"))
-    return detect.retakes(lines.where("char_length(line) <= 400"), 0.7, 1)
+    return detect.retakes(review.document_lines(read_table(spark, sf_dir, "documents")), 0.7, 1)
 
 
 def q_fillers(spark, sf_dir):
@@ -145,8 +144,7 @@ def q_overrides(spark, sf_dir):
 
 
 def q_misheard(spark, sf_dir):
-    words = manuscript(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return review.misheard(words.where(~F.col("text").rlike("[^\\x00-\\x7F]")), q_manuscript(spark, sf_dir))
+    return review.misheard(manuscript(read_table(spark, sf_dir, "documents"), "doc_id", "text"), q_manuscript(spark, sf_dir))
 
 
 def q_misheard_pairs(spark, sf_dir):
@@ -155,7 +153,7 @@ def q_misheard_pairs(spark, sf_dir):
 
 def q_time_map(spark, sf_dir):
     words = _words(spark, sf_dir)
-    points = words.where("idx % 5 = 0").select("stream_id", F.col("start_ms").alias("src_ms"))
+    points = words.select("stream_id", F.col("start_ms").alias("src_ms"))
     return export.to_output_time(points, _segments(spark, sf_dir))
 
 
@@ -277,8 +275,9 @@ _SQL = {
     "c09_silence": f"{_W} SELECT stream_id, idx, s AS start_ms, start_ms AS end_ms, start_ms - s AS gap_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY idx) AS s FROM words) WHERE start_ms - s > 800",
     "c09_event_gaps": "SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, date_sub('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap_s FROM events) WHERE gap_s > 3600",
     "c10_retakes": r"""WITH lines AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-        ahead AS (SELECT *, lead(i) OVER w AS by_i, lead(line) OVER w AS n FROM lines WHERE NOT regexp_matches(line, '[^\x00-\x7F]') AND length(line) <= 400 WINDOW w AS (PARTITION BY stream_id ORDER BY i))
-        SELECT stream_id, i, by_i AS "by" FROM ahead WHERE by_i IS NOT NULL AND regexp_matches(trim(line), '\S\s+\S') AND CASE WHEN greatest(length(line), length(n)) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein(line, n) AS DOUBLE) / greatest(length(line), length(n)) END >= 0.7""",
+        ahead AS (SELECT *, lead(i) OVER w AS by_i, lead(line) OVER w AS n FROM lines WINDOW w AS (PARTITION BY stream_id ORDER BY i)),
+        near AS (SELECT *, list_distinct(string_split(line || n, '')) AS letters FROM ahead WHERE regexp_matches(trim(line), '\S\s+\S') AND least(length(line), length(n)) >= 0.69 * greatest(length(line), length(n)))
+        SELECT stream_id, i, by_i AS "by" FROM near WHERE CASE WHEN line = n THEN true WHEN len(letters) > 127 THEN error('more letters in a pair than bytes that stand for one') ELSE 1 - CAST(levenshtein({0}, {1}) AS DOUBLE) / greatest(length(line), length(n)) >= 0.7 END""".format(*(f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(CAST(list_position(letters, x) AS INTEGER))), '')" for c in ("line", "n"))),
     "c11_fillers": f"{_L} SELECT * FROM filler",
     "c12_stumbles": f"{_L} SELECT * FROM stumble",
     "c13_repeats": f"""WITH v AS (SELECT CAST(label AS BIGINT) AS stream_id, vec_id AS i, embedding AS e FROM embeddings),
@@ -291,10 +290,10 @@ _SQL = {
     "c18_layers": f"{_L} SELECT * FROM filler UNION ALL SELECT * FROM event",
     "c19_reasons": f"{_L} SELECT * FROM reasons",
     "c20_overrides": f"{_L} SELECT stream_id, idx, proposed, keep FROM decided",
-    "c21_misheard": rf"WITH {_BENCH}, d AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents)), b AS (SELECT *, {_BARE} AS bare FROM d WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) SELECT stream_id, idx, text FROM b WHERE bare <> '' AND bare NOT IN (SELECT {_BARE} FROM man)",
+    "c21_misheard": rf"WITH {_BENCH}, d AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents)), b AS (SELECT *, {_BARE} AS bare FROM d) SELECT stream_id, idx, text FROM b WHERE bare <> '' AND bare NOT IN (SELECT {_BARE} FROM man)",
     "c21_misheard_pairs": f"{_W}, {_BENCH}, mb AS (SELECT {_BARE} AS a, lead({_BARE}) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM man), k AS (SELECT DISTINCT a, b FROM mb WHERE b IS NOT NULL), p AS (SELECT stream_id, idx, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM words), h AS (SELECT stream_id, idx FROM p JOIN k USING (a, b) UNION SELECT stream_id, idx + 1 FROM p JOIN k USING (a, b)) SELECT stream_id, idx, text FROM words w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.stream_id = w.stream_id AND h.idx = w.idx)",
     "c22_segments": f"{_L} SELECT stream_id, seg, src_start, src_end, n_words FROM segs",
-    "c23_time_map": f"{_L} SELECT w.stream_id, w.start_ms AS src_ms, s.seg, s.out_start + w.start_ms - s.src_start AS out_ms FROM words w LEFT JOIN segs s ON w.stream_id = s.stream_id AND w.start_ms >= s.src_start AND w.start_ms < s.src_end WHERE w.idx % 5 = 0",
+    "c23_time_map": f"{_L} SELECT w.stream_id, w.start_ms AS src_ms, s.seg, s.out_start + w.start_ms - s.src_start AS out_ms FROM words w LEFT JOIN segs s ON w.stream_id = s.stream_id AND w.start_ms >= s.src_start AND w.start_ms < s.src_end",
     "c24_seams": f"{_L}, c AS (SELECT stream_id, seg, fresh, concat_ws(' ', lag(text, 3) OVER w, lag(text, 2) OVER w, lag(text, 1) OVER w) AS before, concat_ws(' ', text, lead(text, 1) OVER w, lead(text, 2) OVER w) AS after FROM inseg WINDOW w AS (PARTITION BY stream_id ORDER BY idx)) SELECT stream_id, seg, before, after FROM c WHERE fresh = 1 AND seg > 0",
     "c27_cues": f"{_L} SELECT * FROM cues",
     "c27_srt": f"{_L} SELECT stream_id, string_agg(CAST(cue AS VARCHAR) || chr(10) || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS body FROM cues GROUP BY 1",

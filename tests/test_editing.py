@@ -1,6 +1,7 @@
 """Editing operators on small inputs, and what must always hold of a cut."""
 
 import json
+import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -50,6 +51,46 @@ def test_the_last_take_stays(spark):
     assert ids(detect.retake_words(words, sentences, taken)) == [(1, k) for k in range(5)]
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_retakes_of_any_length_and_script(spark):
+    rng = random.Random(6)
+    lines = []
+    for _ in range(100):
+        line = [rng.choice("ab éß字 ") for _ in range(rng.choice([0, 1, 5, 10, 40, 900]))]
+        lines.append("".join(line))
+        for at in rng.sample(range(len(line)), int(len(line) * rng.choice([0, 0.1, 0.3, 0.35, 0.9]))):
+            line[at] = rng.choice(["", "x", "y字"])
+        lines.append("".join(line))
+    want = set()
+    for i, (a, b) in enumerate(zip(lines, lines[1:])):
+        longer = max(len(a), len(b))
+        if len(a.split()) >= 2 and (1 if longer == 0 else 1 - distance(a, b) / longer) >= 0.7:
+            want.add((i, i + 1))
+    rows = [(1, i, x) for i, x in enumerate(lines)] + [(2, 0, None), (2, 1, "a b"), (2, 2, None)]
+    got = detect.retakes(spark.createDataFrame(rows, "stream_id long, i long, line string"), 0.7, 1).collect()
+    assert {(r["i"], r["by"]) for r in got} == want and all(r["stream_id"] == 1 for r in got) and 20 < len(want) < 180
+
+
+def test_points_meet_the_segment_that_holds_them(spark):
+    segs = spark.createDataFrame([(1, 0, 10, 20, 0), (1, 1, 20, 25, 10), (1, 2, 40, 50, 15), (2, 0, 0, 5, 0)], "stream_id long, seg long, src_start long, src_end long, out_start long")
+    points = [(s, t) for s in (1, 2, 3, None) for t in (0, 9, 10, 10, 19, 20, 24, 25, 39, 40, 49, 50, None)]
+    held = {1: [(10, 20, 0), (20, 25, 10), (40, 50, 15)], 2: [(0, 5, 0)]}
+    want = []
+    for s, t in points:
+        inside = [(k, o + t - a) for k, (a, b, o) in enumerate(held.get(s, [])) if t is not None and a <= t < b]
+        want.append((s, t, *(inside[0] if inside else (None, None))))
+    got = export.to_output_time(spark.createDataFrame(points, "stream_id long, src_ms long"), segs).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_intervals_touch_but_do_not_overlap(spark):
     words = spark.createDataFrame([(1, 0, "a", 0, 100), (1, 1, "b", 100, 30_000), (1, 2, None, None, None), (2, 0, "c", 0, 100)], WORDS)
     spans = spark.createDataFrame([(1, "cough", 100, 200, 0.9), (1, "cough", 15_000, 16_000, 0.1)], "stream_id long, kind string, start_ms long, end_ms long, score double")
