@@ -4,7 +4,8 @@ A short word is held as its parts and the ranks of adjacent parts, both contiguo
 smallest rank is found by a scan, the boundary under it is deleted and the two ranks beside it
 are looked up again, until no adjacent pair can be merged. Words beyond ``LONG_WORD`` bytes,
 for which repeated scans would be quadratic, use a heap over the same ranks and give the same
-parts. Words repeat, so each worker remembers a bounded number of them.
+parts. Words repeat, so each worker remembers a bounded number of them: those met since the
+memory last filled up, and those met in the period before.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import repeat
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,8 +25,8 @@ from .common import as_text, map_arrow, non_empty
 
 #: Longest word, in bytes, for which repeated scans are used.
 LONG_WORD = 96
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+#: Words that a worker remembers of each of two periods.
+REMEMBERED = 200_000
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 60
@@ -43,6 +45,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """The decimal ids of words, joined by commas, made when a word is first asked for."""
+
+    def __init__(self, merge):
+        self.merge = merge
+        self.before: dict[str, str] = {}
+
+    def __missing__(self, word: str) -> str:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = ",".join(map(str, self.merge(word.encode())))
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        """Begin a new period if this one is full."""
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -67,23 +91,23 @@ class Codec:
         self.named = {str(i): b for i, b in self.bytes_of.items()}
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.seen: dict[str, str] = {}
+        self.seen = Memo(self.merge)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
-        parts = [self.first[b] for b in word]
+        parts = [*map(self.first.__getitem__, word)]
         if len(parts) > LONG_WORD:
             return self._merge_long(parts)
-        get = self.ranks.get
-        ranks = [get(pair, NONE) for pair in zip(parts, parts[1:])]
+        get, merged = self.ranks.get, self.merged
+        ranks = [*map(get, zip(parts, parts[1:]), repeat(NONE))]
         while ranks and (least := min(ranks)) != NONE:
             at = ranks.index(least)
-            parts[at] = self.merged[least]
+            parts[at] = here = merged[least]
             del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = get((parts[at - 1], parts[at]), NONE)
+                ranks[at - 1] = get((parts[at - 1], here), NONE)
             if at < len(ranks):
-                ranks[at] = get((parts[at], parts[at + 1]), NONE)
+                ranks[at] = get((here, parts[at + 1]), NONE)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -106,25 +130,16 @@ class Codec:
                     heapq.heappush(heap, (self.ranks[p], left, p))
         return [p for p in parts if p >= 0]
 
-    def _named_words(self, text: str) -> list[str]:
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        out = []
-        for word in self.words.findall(text):
-            ids = seen.get(word)
-            if ids is None:
-                ids = ",".join(map(str, self.merge(word.encode())))
-                if len(word) <= LONG_WORD:
-                    seen[word] = ids
-            out.append(ids)
-        return out
+    def _named_words(self, text: str) -> str:
+        """Decimal ids of a text without special tokens, joined by commas."""
+        self.seen.turn()
+        return ",".join(map(self.seen.__getitem__, self.words.findall(text)))
 
     def encode_named(self, text: str) -> str:
         """Decimal ids joined by commas."""
         if self.split is None or not any(s in text for s in self.special):
-            return ",".join(self._named_words(text))
-        return ",".join(y for x in self.split.split(text) if x for y in ([str(self.special[x])] if x in self.special else self._named_words(x)))
+            return self._named_words(text)
+        return ",".join(str(self.special[x]) if x in self.special else self._named_words(x) for x in self.split.split(text) if x)
 
     def encode(self, text: str) -> list[int]:
         named = self.encode_named(text)

@@ -108,3 +108,15 @@ def test_edge_cases(edge_docs, no_docs):
     assert sorted((r["n_tokens"] for r in bpe.encode_column(edge_docs).collect()))[:2] == [0, 0]
     for df in (secret_scan.scan_secrets(no_docs), pii.find_pii(no_docs), bpe.round_trip(no_docs), bpe.encode_column(no_docs)):
         assert df.count() == 0
+
+
+def test_bpe_memory_stays_small_and_changes_nothing(rows, monkeypatch):
+    content = open(bpe.default_vocabulary(), "rb").read()
+    plain, small = bpe.Codec(content), bpe.Codec(content)
+    texts = [t for _, t in rows if len(t) < 5000]
+    want = [plain.encode_named(t) for t in texts]
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    assert [small.encode_named(t) for t in texts] == want
+    small.encode_named("")
+    assert len(small.seen) <= 50 and len(small.seen.before) < 50 + 5000
+    assert all("x" * 200 != w for w in small.seen) and small.encode_named("x" * 200) == plain.encode_named("x" * 200) and "x" * 200 not in small.seen
