@@ -21,6 +21,8 @@ MIX_C = np.uint64(0x9FB21C651E98DF25)
 
 #: Rows of an Arrow batch that a worker turns into Python objects at once.
 SLICE_ROWS = 256
+#: Most rows of an Arrow batch that goes to a worker.
+BATCH_ROWS = 1024
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -63,9 +65,14 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the workers, ``SLICE_ROWS`` rows at a time.
 
     Texts are long and become Python objects, so a worker holds few rows of a batch in that
-    form, and gives freed Arrow memory back before it serves the next task.
+    form, and gives freed Arrow memory back before it serves the next task. The JVM holds a
+    batch outside its heap and doubles the buffer as it fills, so batches are kept to
+    ``BATCH_ROWS`` rows: the session's limit is lowered to that where it is higher.
     """
     ship_package(df.sparkSession)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(limit)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(limit, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batch.slice(i, SLICE_ROWS) for batch in batches for i in range(0, batch.num_rows, SLICE_ROWS))
