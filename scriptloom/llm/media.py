@@ -8,7 +8,7 @@ digest, and leaves positions and captions as they were.
 
 The join is on digests alone, never on payloads. A digest to which a third of all documents
 refer is one row of the store, and the many rows on the other side of a sort-merge join can be
-split by adaptive execution, since both sides come from written tables.
+split by adaptive execution. A reference takes the sequence of its page along.
 """
 
 from __future__ import annotations
@@ -180,9 +180,12 @@ def store_media(df: DataFrame, id_col: str, text_col: str, with_media: bool = Tr
 
 
 def references(sequences: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, position, caption, digest) of every media item whose reference is ``sha256:``."""
+    """(id_col, position, caption, digest, items) of every media item whose reference is ``sha256:``.
+
+    ``items`` is the whole sequence of the page in which the reference stands.
+    """
     item = F.explode("items").alias("item")
-    return sequences.select(id_col, item).where("item.kind = 'media' and item.ref like 'sha256:%'").select(id_col, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.substring("item.ref", 8, 64).alias("digest"))
+    return sequences.select(id_col, "items", item).where("item.kind = 'media' and item.ref like 'sha256:%'").select(id_col, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.substring("item.ref", 8, 64).alias("digest"), "items")
 
 
 def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
@@ -195,12 +198,19 @@ def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
     return refs.join(durable(once), "digest")
 
 
-def page_of(id_col: str, digest_col: str, text_col: str, width: int = 40):
-    """A page with one figure, whose medium is the digest and whose caption begins the text."""
+def page_html(digest: str, text: str) -> str:
+    """A page of the whole text: its first line is the caption of the medium, the others are paragraphs."""
+    caption, *rest = [line for line in text.splitlines() if line.strip()] or [""]
+    said = "".join(f"<p>{escape(line)}</p>" for line in rest)
+    return f'<article><figure><audio src="sha256:{digest}"></audio><figcaption>{escape(caption)}</figcaption></figure>{said}</article>'
+
+
+def page_of(id_col: str, digest_col: str, text_col: str):
+    """Pages of (id_col, digest_col, text_col), see ``page_html``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            pages = [f'<article><figure><audio src="sha256:{d}"></audio><figcaption>{escape(t[:width])}</figcaption></figure></article>' for d, t in zip(batch.column(1).to_pylist(), as_text(batch.column(2)))]
+            pages = [page_html(d, t) for d, t in zip(batch.column(1).to_pylist(), as_text(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string())], names=[id_col, "html"])
 
     return build

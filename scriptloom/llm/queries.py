@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable, read_table
+from ..session import read_table
 from . import bpe, lattice, lm, media, minhash, mixing, pii, quality, secret_scan, toxicity
 from .common import crc_fold, map_arrow
 
@@ -37,11 +37,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    stored = media.store_media(docs, "doc_id", "text", with_media=False)
+    hashes = ("payload_sha256", "media_sha256")
+    # shuffled are digests as bytes, and captions as part of the sequence alone
+    stored = media.store_media(docs, "doc_id", "text", with_media=False).withColumns({c: F.unhex(c) for c in ("digest", *hashes)})
     pages = map_arrow(docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest"), "text"), media.page_of("doc_id", "digest", "text"), "doc_id long, html string")
-    refs = durable(media.references(media.interleave(pages, "doc_id", "html"), "doc_id"))
-    found = media.resolve(refs, stored.drop("doc_id"))
-    return found.select("doc_id", "position", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    refs = media.references(media.interleave(pages, "doc_id", "html"), "doc_id").drop("caption").withColumn("digest", F.unhex("digest"))
+    found = media.resolve(refs, stored.drop("doc_id")).withColumns({c: F.lower(F.hex(c)) for c in hashes}).withColumn("caption", F.get("items", "position")["caption"])
+    return found.select("doc_id", "position", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "items")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,15 @@ def test_media_payloads(spark, rows):
         assert r["position"] == 0
 
 
+def test_media_pages_hold_the_whole_text(spark, rows):
+    texts = dict(rows)
+    for r in queries()["op6_media"](spark, "/root/testdata/sf0.001").collect():
+        lines = [" ".join(line.split()) for line in texts[r["doc_id"]].splitlines() if line.strip()] or [None]
+        assert r["caption"] == lines[0]
+        assert [(x["position"], x["kind"], x["text"], x["caption"]) for x in r["items"]] == [(0, "media", None, lines[0]), *((i, "text", line, None) for i, line in enumerate(lines[1:], 1))]
+    assert media.parse_page(media.page_html("d", "a <b> & c\n\n x  y\r\nz")) == [(0, "media", None, "sha256:d", "a <b> & c"), (1, "text", "x y", None, None), (2, "text", "z", None, None)]
+
+
 def test_pages_keep_order_and_captions(spark, sf_dir):
     page = "<p>One <b>two</b></p><figure><img src='a.png' alt='x'><figcaption>Cap &amp; tion</figcaption></figure><script>no</script><p>three<img src='b.png' alt='alt'>four"
     assert media.parse_page(page) == [(0, "text", "One two", None, None), (1, "media", None, "a.png", "Cap & tion"), (2, "text", "three", None, None), (3, "media", None, "b.png", "alt"), (4, "text", "four", None, None)]
