@@ -13,6 +13,8 @@ logistic calibration on the training fold, its score.
 The model is fitted on at most ``max_rows`` labelled documents of each class, chosen by the
 hash of their id. That bounds the ids that are broadcast to select them; the token counts of
 these documents are then summed in a shuffle and the tokens with evidence go to the driver.
+The calibration weighs each class by its labelled documents over its chosen ones, so its base
+rate is that of all labels, whatever the bound.
 """
 
 from __future__ import annotations
@@ -164,24 +166,32 @@ def fit_law(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
     return float(rate), float(size)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope, at least 0, and offset by Newton steps on the penalised likelihood."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60) -> tuple[float, float]:
+    """Slope, at least 0, and offset by Newton steps on the penalised likelihood of weighted rows.
+
+    Weights count relative to their mean, so the rows weigh against the penalty by their number.
+    """
+    v = np.ones(len(x)) if weight is None else weight / weight.mean()
     w = np.zeros(2)
     m = np.stack([x, np.ones(len(x))], axis=1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
-        w += np.linalg.solve(m.T @ (m * (p * (1 - p))[:, None]) + 0.05 * np.eye(2), m.T @ (y - p) - 0.05 * w)
+        w += np.linalg.solve(m.T @ (m * (v * p * (1 - p))[:, None]) + 0.05 * np.eye(2), m.T @ (v * (y - p)) - 0.05 * w)
     return max(0.0, float(w[0])), float(w[1])
 
 
+def labelled(labels: DataFrame, label_col: str, fold: Column, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, y) of the fold. Labels that are null or contradict each other for an id teach nothing."""
+    return labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & fold).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_most")).where("y = _most").select(id_col, "y")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, fold: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, y) of at most ``max_rows`` labelled documents of each class in the fold.
 
-    Ids are taken in the order of their hash, so the choice depends on nothing else. Labels
-    that are null, or that contradict each other for an id, teach nothing. The chosen ids, at
-    most twice ``max_rows``, are broadcast, so the texts are not shuffled.
+    Ids are taken in the order of their hash, so the choice depends on nothing else. The chosen
+    ids, at most twice ``max_rows``, are broadcast, so the texts are not shuffled.
     """
-    once = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & fold).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_most")).where("y = _most")
+    once = labelled(labels, label_col, fold, id_col)
     order = F.xxhash64(F.col(id_col).cast("string"))
     picked = [once.where(F.col("y") == c).select(F.col(id_col).alias("_id"), "y").orderBy(order, "_id").limit(max_rows) for c in (0, 1)]
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("text", "y")
@@ -235,7 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
         s = sorted((model.surprise(float(x), r["n"]) for x in r["scores"].split("|") if x), reverse=True)
         return math.log1p(s[0] + sum(max(0.0, x - 3.0) for x in s[1:])) if s else 0.0
 
-    return ToxicModel(draft.weights, rate, size, fit_logistic(np.array([evidence(r) for r in seen]), y))
+    in_labels = {int(r["y"]): r["count"] for r in labelled(labels, label_col, fold, id_col).groupBy("y").count().collect()}
+    weight = np.array([max(1.0, in_labels[c] / max_rows) for c in (0, 1)])[y.astype(int)]
+    return ToxicModel(draft.weights, rate, size, fit_logistic(np.array([evidence(r) for r in seen]), y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

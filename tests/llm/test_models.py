@@ -100,3 +100,18 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert all(r["n_tokens"] == 1 for r in scored if r["doc_id"] in (1, 2, 3))
     assert lm.score_texts(no_docs, F.lit(True)).count() == 0
     assert all(r["n_known"] == 0 for r in lm.score_texts(edge_docs, F.lit(False)).collect())
+
+
+def test_toxicity_base_rate_does_not_depend_on_the_bound(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1100):
+        toxic = int(i % 11 == 0)
+        words = [rng.choice(["tree", "river", "stone", "cloud", "lamp"]) for _ in range(12)]
+        if rng.random() < (0.7 if toxic else 0.1):
+            words[5] = "vile"
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, bounded = (toxicity.train(docs, docs.select("doc_id", "toxic"), F.lit(True), max_rows=n) for n in (2000, 100))
+    odds = [m.logistic[0] * m.evidence(b"tree river vile stone") + m.logistic[1] for m in (whole, bounded)]
+    assert abs(odds[0] - odds[1]) < 0.8  # without weights the bound adds ln(10)
