@@ -35,7 +35,7 @@ BATCH_ROWS = 4096
 TABLES = 8
 VISITS = 12
 #: Lattice units for a distance of one between unit vectors.
-SCALE = 3.2
+SCALE = 2.7
 SEED = 11
 
 

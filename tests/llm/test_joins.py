@@ -100,6 +100,16 @@ def test_lattice_decodes_to_the_nearest_point_and_recalls():
     assert lattice._met_before(lattice.TABLES, *sides[0], *sides[1]).mean() >= 0.95
 
 
+def test_lattice_misses_few_pairs_at_the_threshold():
+    rng = np.random.default_rng(7)
+    u = lattice._unit(rng.normal(size=(8000, 64)))
+    w = rng.normal(size=u.shape)
+    w = lattice._unit(w - (w * u).sum(axis=1)[:, None] * u)
+    salt = np.zeros(len(u), np.uint64)
+    sides = [lattice.cells(y, salt, lattice.TABLES, lattice.VISITS, lattice.SCALE) for y in (u, 0.93 * u + (1 - 0.93**2) ** 0.5 * w)]
+    assert lattice._met_before(lattice.TABLES, *sides[0], *sides[1]).mean() >= 0.998
+
+
 def test_media_payloads(spark, rows):
     got = {r["doc_id"]: r for r in queries()["op6_media"](spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == len(rows)
