@@ -84,7 +84,7 @@ def repeats(vectors: DataFrame, least: float, ahead: int) -> DataFrame:
     """(stream_id, i, by): sentences whose meaning one of the next ``ahead`` repeats.
 
     vectors: (stream_id, i, embedding). Looking ahead a bounded number of sentences keeps the
-    work linear in the recording.
+    work linear in the recording; repeats farther ahead are not found.
     """
     order = Window.partitionBy("stream_id").orderBy("i")
     found = vectors.select("stream_id", "i", "embedding", *(F.struct(F.lead("i", k).over(order).alias("i"), F.lead("embedding", k).over(order).alias("e")).alias(f"n{k}") for k in range(1, ahead + 1)))
