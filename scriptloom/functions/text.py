@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 WORD = "[^ \\t\\n\\r]+"
 
-#: Simplified characters and their traditional forms, one to one. Characters whose form depends
-#: on the phrase are left out, so this is no full conversion.
+#: 44 simplified characters and their traditional forms, one to one. All others are left out,
+#: most of them with a one-to-one form too, so this is no full conversion.
 SIMPLIFIED = "这说时对们个来会过为国学问题经开动样关间长见话没书车门马鸟鱼龙点电脑网记认识语词译让请谢"
 TRADITIONAL = "這說時對們個來會過為國學問題經開動樣關間長見話沒書車門馬鳥魚龍點電腦網記認識語詞譯讓請謝"
 
