@@ -1,0 +1,32 @@
+"""The simplified-to-traditional character table of the ICU library that Spark ships with."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import SparkSession
+
+#: The planes' blocks of unified ideographs, with what lies between.
+BLOCKS = ((0x3400, 0x9FFF), (0x20000, 0x323AF))
+
+
+@lru_cache(1)
+def _table(transliterator) -> tuple[str, str]:
+    letters = [chr(c) for first, last in BLOCKS for c in range(first, last + 1)]
+    turned = transliterator.transliterate("\n".join(letters)).split("\n")
+    pairs = [(a, b) for a, b in zip(letters, turned) if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def traditional_table(spark: SparkSession) -> tuple[str, str]:
+    """(simplified, traditional): all single characters that ICU's Hans-Hant rules turn into another.
+
+    Made on the driver by one call; its size is bounded by the blocks of ideographs, and the
+    plan holds it as two literals.
+    """
+    return _table(_transliterator(spark))
+
+
+@lru_cache(1)
+def _transliterator(spark: SparkSession):
+    return spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Hans-Hant")

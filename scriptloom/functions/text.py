@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 WORD = "[^ \\t\\n\\r]+"
 
-#: 44 simplified characters and their traditional forms, one to one. All others are left out,
-#: most of them with a one-to-one form too, so this is no full conversion.
-SIMPLIFIED = "这说时对们个来会过为国学问题经开动样关间长见话没书车门马鸟鱼龙点电脑网记认识语词译让请谢"
-TRADITIONAL = "這說時對們個來會過為國學問題經開動樣關間長見話沒書車門馬鳥魚龍點電腦網記認識語詞譯讓請謝"
-
 
 def words_of(text: Column) -> Column:
     """Words between white space, in order; null text gives null."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def to_traditional(text: Column) -> Column:
-    return F.translate(text, SIMPLIFIED, TRADITIONAL)
+def to_traditional(text: Column, table: tuple[str, str]) -> Column:
+    """Simplified characters, the first string of ``table``, become those of the second.
+
+    One to one: a character with several traditional forms gets the table's one, whatever
+    phrase it stands in. Others stay as they are; null stays null.
+    """
+    return F.translate(text, *table)
 
 
 def bare(word: Column) -> Column:
@@ -53,15 +53,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def _two(n: Column, width: int = 2) -> Column:
-    return F.lpad(n.cast("string"), width, "0")
+def padded(n: Column, width: int = 2) -> Column:
+    """Decimal digits with zeros in front up to the width; longer numbers keep all digits."""
+    digits = n.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
 
 
 def clock(ms: Column, mark: str = ",") -> Column:
-    """HH:MM:SS,mmm."""
+    """HH:MM:SS,mmm; hours beyond 99 have more digits."""
     total = ms.cast("long")
     part = lambda unit, base: F.floor(total / unit) % base
-    return F.concat(_two(F.floor(total / 3_600_000)), F.lit(":"), _two(part(60_000, 60)), F.lit(":"), _two(part(1000, 60)), F.lit(mark), _two(total % 1000, 3))
+    return F.concat(padded(F.floor(total / 3_600_000)), F.lit(":"), padded(part(60_000, 60)), F.lit(":"), padded(part(1000, 60)), F.lit(mark), padded(total % 1000, 3))
 
 
 def frames(ms: Column, fps: int) -> Column:
@@ -70,7 +72,7 @@ def frames(ms: Column, fps: int) -> Column:
 
 
 def timecode(frame: Column, fps: int) -> Column:
-    """HH:MM:SS:FF, no dropped frames."""
+    """HH:MM:SS:FF, no dropped frames; hours beyond 99 have more digits."""
     return F.concat(
-        _two(F.floor(frame / (fps * 3600))), F.lit(":"), _two(F.floor(frame / (fps * 60)) % 60), F.lit(":"), _two(F.floor(frame / fps) % 60), F.lit(":"), _two(frame % fps)
+        padded(F.floor(frame / (fps * 3600))), F.lit(":"), padded(F.floor(frame / (fps * 60)) % 60), F.lit(":"), padded(F.floor(frame / fps) % 60), F.lit(":"), padded(frame % fps)
     )

@@ -2,7 +2,10 @@
 
 Every window is partitioned by recording, which bounds it by the length of one recording;
 dimension tables are the lexicons of one user. Nulls: a word without text, time or index is
-never proposed.
+never proposed, and a null recording is a recording of its own. Words of a recording have
+different indexes; a word that is repeated under one index is proposed once for each row by
+fillers and stumbles and once by the other layers. Empty tables propose nothing. Columns
+beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alike, bare, cosine
+from ..functions.text import alike, bare
 
 
 def by_stream():
@@ -41,6 +44,21 @@ def event_gaps(events: DataFrame, least_s: int) -> DataFrame:
     return events.select("user_id", "event_id", gap.alias("gap_s")).where(F.col("gap_s") > least_s)
 
 
+def flagged(words: DataFrame, habits: DataFrame) -> DataFrame:
+    """The words with bare, filler, protected and stumble, in one pass over each recording.
+
+    habits: (token, rule). Tokens are gathered to one row each, so a word meets one row at
+    most; the optimiser broadcasts that table by its size. A lexicon joins by the bare form,
+    a stumble is a word that the next repeats.
+    """
+    has = lambda rule: F.max(F.coalesce(F.col("rule") == rule, F.lit(False)))
+    rules = habits.where("token is not null").groupBy(F.col("token").alias("bare")).agg(has("filler").alias("filler"), has("protected").alias("protected"))
+    after = F.lead("bare").over(by_stream())
+    marked = words.withColumn("bare", bare(F.col("text"))).withColumn("stumble", F.coalesce((F.col("bare") == after) & (F.col("bare") != ""), F.lit(False)))
+    none = F.lit(False)
+    return marked.join(rules, "bare", "left").withColumns({"filler": F.coalesce("filler", none), "protected": F.coalesce("protected", none)})
+
+
 def fillers(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Words whose bare form is a token of the lexicon (a user's list, broadcast by its size)."""
     tokens = lexicon.select(F.col("token").alias("_token")).distinct()
@@ -67,29 +85,57 @@ def retakes(sentences: DataFrame, least: float, ahead: int = 1) -> DataFrame:
     return found.where(enough).select("stream_id", "i", first.alias("by")).where("by is not null")
 
 
-def retake_words(words: DataFrame, sentences: DataFrame, taken: DataFrame) -> DataFrame:
-    """Proposals for the words of retaken sentences. sentences: (stream_id, i, first_idx, last_idx)."""
+def retake_words(words: DataFrame, sentences: DataFrame, taken: DataFrame, layer: str = "retake") -> DataFrame:
+    """Proposals for the words of sentences that are said again.
+
+    sentences: (stream_id, i, first_idx, last_idx); taken: (stream_id, i). Indexes between the
+    first and the last that no word has are not proposed.
+    """
     ranges = taken.join(sentences, ["stream_id", "i"]).select("stream_id", F.explode(F.sequence("first_idx", "last_idx")).alias("idx"))
-    return proposal(words.join(ranges, ["stream_id", "idx"], "left_semi"), "retake")
+    return proposal(words.join(ranges, ["stream_id", "idx"], "left_semi"), layer)
 
 
-def sentences_of(words: DataFrame) -> DataFrame:
-    """(stream_id, i, first_idx, last_idx, line): words up to one that ends in a full stop."""
-    closed = F.coalesce(F.sum(F.col("text").rlike("[.!?。！？]$").cast("long")).over(by_stream().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def sentences_of(words: DataFrame, pause_ms: int | None = None) -> DataFrame:
+    """(stream_id, i, first_idx, last_idx, line): words up to one that ends in a full stop.
+
+    With ``pause_ms`` a pause longer than that ends a sentence too, so recordings whose
+    recogniser sets no punctuation have sentences. Words without times end none by a pause.
+    """
+    ends = F.coalesce(F.col("text").rlike("[.!?。！？]$"), F.lit(False))
+    if pause_ms is not None:
+        ends = ends | F.coalesce(F.lead("start_ms").over(by_stream()) - F.col("end_ms") > pause_ms, F.lit(False))
+    closed = F.coalesce(F.sum(F.col("_ends").cast("long")).over(by_stream().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")
-    return words.withColumn("i", closed).groupBy("stream_id", "i").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), line.alias("line"))
+    return words.withColumn("_ends", ends).withColumn("i", closed).groupBy("stream_id", "i").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), line.alias("line"))
+
 
+#: Sentences in a block of a recording; blocks are what tasks compare.
+BLOCK_SENTENCES = 64
 
-def repeats(vectors: DataFrame, least: float, ahead: int) -> DataFrame:
-    """(stream_id, i, by): sentences whose meaning one of the next ``ahead`` repeats.
 
-    vectors: (stream_id, i, embedding). Looking ahead a bounded number of sentences keeps the
-    work linear in the recording; repeats farther ahead are not found.
+def repeats(vectors: DataFrame, least: float) -> DataFrame:
+    """(stream_id, i, by): sentences whose meaning a later one of the recording repeats, and the first such.
+
+    vectors: (stream_id, i, embedding); null, zero and empty vectors and null keys repeat
+    nothing, and vectors of different lengths do not meet. The whole recording is searched.
+    Its sentences are cut into blocks, and pairs of blocks are the keys of an equi-join, so a
+    long recording is spread over tasks; a pair of sentences leaves the join only if it is
+    alike, and partial aggregation keeps one of these for each sentence. The work is the
+    square of the sentences of one recording, never of the table.
     """
-    order = Window.partitionBy("stream_id").orderBy("i")
-    found = vectors.select("stream_id", "i", "embedding", *(F.struct(F.lead("i", k).over(order).alias("i"), F.lead("embedding", k).over(order).alias("e")).alias(f"n{k}") for k in range(1, ahead + 1)))
-    first = F.coalesce(*(F.when(cosine(F.col("embedding"), F.col(f"n{k}.e")) >= least, F.col(f"n{k}.i")) for k in range(1, ahead + 1)))
-    return found.select("stream_id", "i", first.alias("by")).where("by is not null")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = vectors.where("stream_id is not null and i is not null and size(embedding) > 0").select("stream_id", "i", "embedding", norm.alias("_norm")).where((F.col("_norm") > 0) & (F.col("_norm") < float("inf")))
+    unit = unit.select("stream_id", "i", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("u"))
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("i")) - 1
+    blocks = unit.withColumn("mine", F.floor(place / BLOCK_SENTENCES))
+    last = F.max("mine").over(Window.partitionBy("stream_id"))
+    blocks = blocks.withColumn("last", last)
+    # a pair of blocks (a, b) holds the earlier sentences of a and the later ones of b
+    early = blocks.select("stream_id", F.col("mine").alias("a"), F.explode(F.sequence("mine", "last")).alias("b"), "i", "u")
+    late = blocks.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), "mine")).alias("a"), F.col("mine").alias("b"), F.col("i").alias("by"), F.col("u").alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    alike_pairs = early.join(late, ["stream_id", "a", "b"]).where((F.col("i") < F.col("by")) & (F.size("u") == F.size("v")) & (dot >= least))
+    return alike_pairs.groupBy("stream_id", "i").agg(F.min("by").alias("by"))
 
 
 def overlapping(words: DataFrame, intervals: DataFrame) -> DataFrame:

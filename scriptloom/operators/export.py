@@ -1,11 +1,18 @@
-"""Exports of a cut: time map, captions, transcript, edit lists, and the checks on them."""
+"""Exports of a cut: time map, captions, transcript, edit lists, and the checks on them.
+
+Null recordings are a recording of their own; words without index or times are left out of the
+segments that need them. Empty tables give empty tables. Equal rows stay as often as they come
+except where a key counts once (segments, cues). Columns beyond those named are ignored.
+Texts that an export gathers are those of one recording.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clock, frames, timecode
+from ..functions.text import clock, frames, padded, timecode
+from .detect import by_stream
 from .review import in_segments
 
 
@@ -42,12 +49,12 @@ def output_words(kept: DataFrame, gap_ms: int) -> DataFrame:
     """Kept words with seg, place in it, and times in the output."""
     placed = in_segments(kept, gap_ms)
     by_seg = Window.partitionBy("stream_id", "seg")
-    placed = placed.withColumn("src_start", F.min("start_ms").over(by_seg)).withColumn("place", F.row_number().over(by_seg.orderBy("idx")) - 1)
-    starts = placed.groupBy("stream_id", "seg").agg((F.max("end_ms") - F.min("start_ms")).alias("length"))
-    before = Window.partitionBy("stream_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("out_start", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("length")
-    shift = F.col("out_start") - F.col("src_start")
-    return placed.join(starts, ["stream_id", "seg"]).select("stream_id", "idx", "text", "seg", "place", (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
+    placed = placed.withColumns({"src_start": F.min("start_ms").over(by_seg), "src_end": F.max("end_ms").over(by_seg), "place": F.row_number().over(by_seg.orderBy("idx")) - 1})
+    # the first word of a segment adds its length; up to the segment of a word this counts that one too
+    length = F.col("src_end") - F.col("src_start")
+    added = F.sum(F.when(F.col("place") == 0, length).otherwise(0)).over(by_stream().rowsBetween(Window.unboundedPreceding, 0))
+    shift = added - length - F.col("src_start")
+    return placed.withColumn("_shift", shift).select("stream_id", "idx", "text", "seg", "place", (F.col("start_ms") + F.col("_shift")).alias("start_ms"), (F.col("end_ms") + F.col("_shift")).alias("end_ms"))
 
 
 def _ordered_text(order: str, text: str, joiner: str):
@@ -87,14 +94,17 @@ def edl_events(segs: DataFrame, fps: int) -> DataFrame:
 
 
 def edl(events: DataFrame) -> DataFrame:
-    """(stream_id, body): a cut list with one video cut for each event."""
-    line = F.concat(F.lpad(F.col("event").cast("string"), 3, "0"), F.lit("  AX       V     C        "), F.concat_ws(" ", "src_in", "src_out", "rec_in", "rec_out"))
+    """(stream_id, body): a cut list with one video cut for each event, and the name of its clip."""
+    line = F.concat(padded(F.col("event"), 3), F.lit("  AX       V     C        "), F.concat_ws(" ", "src_in", "src_out", "rec_in", "rec_out"), F.lit("\n* FROM CLIP NAME: "), F.col("stream_id").cast("string"), F.lit(".mp4"))
     body = F.concat(F.lit("TITLE: "), F.col("stream_id").cast("string"), F.lit("\nFCM: NON-DROP FRAME\n"), _ordered_text("event", "line", "\n"), F.lit("\n"))
     return events.withColumn("line", line).groupBy("stream_id").agg(body.alias("body"))
 
 
 def fcpxml(segs: DataFrame, fps: int) -> DataFrame:
-    """(stream_id, body): a timeline of clips, times as whole frames of the frame rate."""
+    """(stream_id, body): a timeline of clips, times as whole frames of the frame rate.
+
+    The asset refers to ``<stream_id>.mp4`` beside the file and is as long as the last cut needs.
+    """
     n_in = frames(F.col("src_start"), fps)
     length = F.greatest(frames(F.col("src_end"), fps) - n_in, F.lit(1))
     before = Window.partitionBy("stream_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,11 +112,20 @@ def fcpxml(segs: DataFrame, fps: int) -> DataFrame:
     time = lambda c: F.concat(F.col(c).cast("string"), F.lit(f"/{fps}s"))
     clip = F.concat(F.lit('<asset-clip ref="r2" offset="'), time("rec"), F.lit('" start="'), time("f_in"), F.lit('" duration="'), time("f_len"), F.lit('"/>'))
     total = F.concat(F.sum("f_len").cast("string"), F.lit(f"/{fps}s"))
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<fcpxml version="1.9"><resources><format id="r1" frameDuration="1/{fps}s"/><asset id="r2" format="r1"/></resources><library><event><project><sequence format="r1" duration="'
-    body = F.concat(F.lit(head), total, F.lit('"><spine>'), _ordered_text("seg", "clip", ""), F.lit("</spine></sequence></project></event></library></fcpxml>\n"))
+    needed = F.concat(F.max(F.col("f_in") + F.col("f_len")).cast("string"), F.lit(f"/{fps}s"))
+    name = F.col("stream_id").cast("string")
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<fcpxml version="1.9"><resources><format id="r1" frameDuration="1/{fps}s"/><asset id="r2" name="'
+    asset = F.concat(F.lit(head), name, F.lit('" start="0s" duration="'), needed, F.lit('" hasVideo="1" hasAudio="1" format="r1"><media-rep kind="original-media" src="./'), name, F.lit('.mp4"/></asset></resources><library><event><project><sequence format="r1" duration="'))
+    body = F.concat(asset, total, F.lit('"><spine>'), _ordered_text("seg", "clip", ""), F.lit("</spine></sequence></project></event></library></fcpxml>\n"))
     return placed.withColumn("clip", clip).groupBy("stream_id").agg(body.alias("body"))
 
 
+def timeline_map(segs: DataFrame) -> DataFrame:
+    """(stream_id, body): the time map of a recording as one JSON array, by segment."""
+    one = F.struct("seg", "src_start", "src_end", "out_start")
+    return segs.groupBy("stream_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("body"))
+
+
 def check_duration(segs: DataFrame, observed: DataFrame, tolerance_ms: int) -> DataFrame:
     """(stream_id, planned_ms, observed_ms, ok); recordings on one side alone are not ok."""
     planned = segs.groupBy("stream_id").agg(F.sum(F.col("src_end") - F.col("src_start")).alias("planned_ms"))

@@ -1,8 +1,12 @@
-"""What reviewers changed, and examples for the next recording."""
+"""What reviewers changed, and examples for the next recording.
+
+Null keys meet nothing and stay on their side; repeated keys multiply, as in any join. Null
+classes are no corrections. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,8 +19,17 @@ def differences(preselected: DataFrame, final: DataFrame, keys: list[str]) -> Da
     """
     both = preselected.join(final, keys, "full").withColumn("proposed", F.coalesce("proposed", F.lit(False)))
     both = both.withColumn("kept", F.coalesce("kept", ~F.col("proposed")))
-    kind = F.when(F.col("proposed") & F.col("kept"), "restored").when(~F.col("proposed") & ~F.col("kept"), "added").otherwise("agreed")
-    return both.withColumn("class", kind)
+    return both.withColumn("class", _class_of("proposed", "kept"))
+
+
+def _class_of(proposed: str, kept: str) -> Column:
+    both = F.col(proposed), F.col(kept)
+    return F.when(both[0] & both[1], "restored").when(~both[0] & ~both[1], "added").otherwise("agreed")
+
+
+def of_decided(whole: DataFrame) -> DataFrame:
+    """The records of words that ``decided`` has decided, with reasons and text, without a join."""
+    return whole.select("stream_id", "idx", "proposed", F.col("keep").alias("kept"), _class_of("proposed", "keep").alias("class"), "reasons", "text")
 
 
 def summary(records: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,9 @@
-"""From proposals to kept words and segments: protection, union, overrides, mismatches, seams."""
+"""From proposals to kept words and segments: protection, union, overrides, mismatches, seams.
+
+Null recordings and indexes meet nothing in joins: such words are neither proposed, protected
+nor overridden, and are kept. Repeated proposals and decisions of a word count once; repeated
+words are decided each. Empty tables give empty tables, other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -32,6 +37,30 @@ def with_reasons(proposals: DataFrame) -> DataFrame:
     return proposals.groupBy("stream_id", "idx").agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.count_distinct("layer").alias("n_layers"))
 
 
+def decided_at_once(flagged: DataFrame, enabled: tuple[str, ...], other: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+    """What ``protect``, ``with_reasons`` and ``decided`` give, from flagged words in one pass.
+
+    flagged: words as ``detect.flagged`` gives them; their own layers (filler, stumble) are
+    read from the row. other: proposals of further layers, which are gathered to one row for
+    each word and joined once. The result adds layers and n_layers to that of ``decided``.
+    """
+    own = [F.when(F.col(layer), F.lit(layer)) for layer in ("filler", "stumble") if layer in enabled]
+    layers = reasons = F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
+    out = flagged
+    if other is not None:
+        found = other.groupBy("stream_id", "idx").agg(F.collect_set("reason").alias("_reasons"), F.collect_set("layer").alias("_layers"))
+        out = out.join(found, ["stream_id", "idx"], "left")
+        none = F.array().cast("array<string>")
+        layers, reasons = (F.array_union(own_part, F.coalesce(c, none)) for own_part, c in ((layers, "_layers"), (reasons, "_reasons")))
+    open_to = F.when(F.col("protected"), F.array().cast("array<string>"))
+    out = out.withColumns({"layers": F.array_sort(F.coalesce(open_to, layers)), "reasons": F.array_sort(F.coalesce(open_to, reasons))})
+    out = out.withColumn("proposed", F.size("layers") > 0).withColumns({"n_layers": F.size("layers").cast("long"), "reasons": F.when(F.col("proposed"), F.col("reasons"))})
+    if decisions is None:
+        return out.withColumn("keep", ~F.col("proposed"))
+    said = decisions.where("keep is not null").groupBy("stream_id", "idx").agg(F.max("keep").alias("user_keep"))
+    return out.join(said, ["stream_id", "idx"], "left").withColumn("keep", F.coalesce("user_keep", ~F.col("proposed"))).drop("user_keep")
+
+
 def decided(words: DataFrame, preselected: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """All words with proposed, reasons and keep; the user's decision wins over the proposal.
 
@@ -45,21 +74,28 @@ def decided(words: DataFrame, preselected: DataFrame, decisions: DataFrame | Non
 
 
 def misheard(words: DataFrame, manuscript: DataFrame) -> DataFrame:
-    """(stream_id, idx, text): words whose bare form the manuscripts never use."""
-    vocabulary = manuscript.select(bare(F.col("text")).alias("_token")).distinct()
-    mine = words.withColumn("_token", bare(F.col("text"))).where("_token <> ''")
-    return mine.join(vocabulary, "_token", "left_anti").select("stream_id", "idx", "text")
+    """(stream_id, idx, text): words whose bare form the manuscript of their recording never uses.
+
+    Recordings without a manuscript have no suspects.
+    """
+    vocabulary = manuscript.select("stream_id", bare(F.col("text")).alias("_token")).distinct()
+    mine = words.withColumn("_token", bare(F.col("text"))).where("_token <> ''").join(vocabulary.select("stream_id").distinct(), "stream_id", "left_semi")
+    return mine.join(vocabulary, ["stream_id", "_token"], "left_anti").select("stream_id", "idx", "text")
 
 
 def misheard_in_context(words: DataFrame, manuscript: DataFrame) -> DataFrame:
-    """Words in no word pair, with the word before or after, that the manuscripts use."""
+    """Words in no word pair, with the word before or after, that their recording's manuscript uses.
+
+    Recordings without a manuscript have no suspects.
+    """
 
     def pairs(df: DataFrame) -> DataFrame:
         return df.select("stream_id", "idx", "text", bare(F.col("text")).alias("a"), F.lead(bare(F.col("text"))).over(by_stream()).alias("b"))
 
-    known = pairs(manuscript).where("b is not null").select("a", "b").distinct()
-    held = pairs(words).where("b is not null").join(known, ["a", "b"], "left_semi").select("stream_id", F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("idx")).distinct()
-    return words.join(held, ["stream_id", "idx"], "left_anti").select("stream_id", "idx", "text")
+    known = pairs(manuscript).where("b is not null").select("stream_id", "a", "b").distinct()
+    held = pairs(words).where("b is not null").join(known, ["stream_id", "a", "b"], "left_semi").select("stream_id", F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("idx")).distinct()
+    mine = words.join(manuscript.select("stream_id").distinct(), "stream_id", "left_semi")
+    return mine.join(held, ["stream_id", "idx"], "left_anti").select("stream_id", "idx", "text")
 
 
 def in_segments(kept: DataFrame, gap_ms: int) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import detect, export, review
 from ..sources.readers import Settings
@@ -20,7 +22,7 @@ class Cut:
     cues: DataFrame
 
 
-def edit(
+def decide(
     words: DataFrame,
     habits: DataFrame,
     settings: Settings = Settings(),
@@ -28,23 +30,36 @@ def edit(
     events: DataFrame | None = None,
     voiced: DataFrame | None = None,
     judged: DataFrame | None = None,
-) -> Cut:
-    """Build the plan. Layers whose input is not given are left out.
+    vectors: DataFrame | None = None,
+) -> DataFrame:
+    """All words with layers, reasons, proposed and keep. Layers whose input is not given are left out.
 
     habits: (token, rule) with the rules ``filler`` and ``protected``; judged: proposals of an
-    external judge.
+    external judge; vectors: (stream_id, i, embedding) of the sentences that
+    ``detect.sentences_of`` numbers with the pause of the settings.
+
+    Lexicons and stumbles are read off the words in one pass; only layers that rest on other
+    tables are joined, all in one join. Proposals for words that are not there propose nothing.
     """
-    layers = {"filler": detect.fillers(words, habits.where("rule = 'filler'")), "stumble": detect.stumbles(words)}
-    if "retake" in settings.layers:
-        sentences = detect.sentences_of(words)
-        layers["retake"] = detect.retake_words(words, sentences, detect.retakes(sentences, settings.retake_likeness, settings.retake_ahead))
-    if events is not None:
-        layers["event"] = detect.non_speech(words, events, settings.event_score)
-    if voiced is not None:
-        layers["unvoiced"] = detect.unvoiced(words, voiced)
-    if judged is not None:
-        layers["judge"] = judged
-    proposals = review.protect(review.union_layers(layers, settings.layers), words, habits.where("rule = 'protected'"))
-    whole = review.decided(words, review.with_reasons(proposals), decisions)
+    on, other = settings.layers, []
+    if "retake" in on or ("repeat" in on and vectors is not None):
+        sentences = detect.sentences_of(words, settings.silence_ms)
+        if "retake" in on:
+            other.append(detect.retake_words(words, sentences, detect.retakes(sentences, settings.retake_likeness, settings.retake_ahead)))
+        if "repeat" in on and vectors is not None:
+            other.append(detect.retake_words(words, sentences, detect.repeats(vectors, settings.repeat_cosine), "repeat"))
+    if "event" in on and events is not None:
+        other.append(detect.non_speech(words, events, settings.event_score))
+    if "unvoiced" in on and voiced is not None:
+        other.append(detect.unvoiced(words, voiced))
+    if "judge" in on and judged is not None:
+        other.append(judged.select("stream_id", "idx", "layer", "reason"))
+    return review.decided_at_once(detect.flagged(words, habits), on, reduce(DataFrame.unionByName, other) if other else None, decisions)
+
+
+def edit(words: DataFrame, habits: DataFrame, settings: Settings = Settings(), decisions: DataFrame | None = None, **inputs: DataFrame | None) -> Cut:
+    """Build the plan; inputs are those of ``decide``. proposals: (stream_id, idx, layer)."""
+    whole = decide(words, habits, settings, decisions, **inputs)
     kept = whole.where("keep")
+    proposals = whole.select("stream_id", "idx", F.explode("layers").alias("layer"))
     return Cut(proposals, whole, review.segments(kept, settings.silence_ms), export.cues(kept, settings.silence_ms, settings.cue_words))

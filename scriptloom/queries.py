@@ -6,21 +6,27 @@ the other inputs from tables that have the right shape. All queries run over who
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
+from .functions.hanzi import traditional_table
 from .operators import detect, export, feedback, review
-from .plans.edit import edit
+from .plans.edit import decide, edit
 from .session import read_table
-from .sources.readers import Settings, habits, manuscript
+from .sources.readers import Settings, habits, manuscript, settings_rows
 
 HABITS_MD = ["# Filler", "Words to drop.", "- the", "- und", "- et", "# Protected", "* not", "* of", "* und"]
 SETTINGS_JSON = '{"silence_ms": 800, "layers": ["filler", "stumble", "event"], "unknown": 1}'
 LAYERS = ("filler", "stumble", "event")
 GAP_MS, CUE_WORDS, FPS = 800, 8, 30
+EVERY_LAYER = Settings(silence_ms=GAP_MS, retake_likeness=0.35, repeat_cosine=0.2)
 
 
 def _words(spark, sf_dir):
@@ -54,7 +60,24 @@ def _proposals(spark, words):
 
 
 def _decided(spark, words):
-    return review.decided(words, review.with_reasons(_proposals(spark, words)), _decisions(words))
+    return decide(words, _habits(spark), Settings(layers=LAYERS), _decisions(words), events=_intervals(words))
+
+
+def _manuscripts(words):
+    """The words of most recordings, without every 13th, as the text that was to be read."""
+    return words.where("stream_id % 7 <> 3 and idx % 13 <> 5").select("stream_id", "idx", "text")
+
+
+def _vectors(spark, sf_dir):
+    """Vectors of the first sentences of 50 recordings."""
+    return read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("stream_id"), F.expr("vec_id div 50").alias("i"), "embedding")
+
+
+def q_every_layer(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    judged = words.where("idx % 31 = 4").select("stream_id", "idx", F.lit("judge").alias("layer"), F.lit("judge").alias("reason"))
+    whole = decide(words, _habits(spark), EVERY_LAYER, _decisions(words), _intervals(words), _voiced(words), judged, _vectors(spark, sf_dir))
+    return whole.select("stream_id", "idx", F.array_join("layers", "+").alias("layers"), F.array_join("reasons", "+").alias("reasons"), "n_layers", "keep")
 
 
 def _kept(spark, sf_dir):
@@ -77,17 +100,27 @@ def q_manuscript(spark, sf_dir):
 
 
 def q_habits(spark, sf_dir):
-    return _habits(spark)
+    """Each region is a file: its name a heading, its nations list items, with a line of prose between."""
+    regions, nations = read_table(spark, sf_dir, "region"), read_table(spark, sf_dir, "nation")
+    heads = regions.select(F.col("r_regionkey").alias("file"), F.explode(F.array(F.struct(F.lit(-2).alias("n"), F.concat(F.lit("## "), "r_name").alias("value")), F.struct(F.lit(-1).alias("n"), F.col("r_name").alias("value")))).alias("l"))
+    items = nations.select(F.col("n_regionkey").alias("file"), F.col("n_nationkey").alias("n"), F.concat(F.lit("- "), "n_name").alias("value"))
+    return habits(heads.select("file", "l.n", "l.value").unionByName(items))
 
 
 def q_settings(spark, sf_dir):
-    got = Settings.from_json(SETTINGS_JSON)
-    return spark.createDataFrame([(got.silence_ms, got.cue_words, ",".join(got.layers))], "silence_ms int, cue_words int, layers string")
+    """A settings object from each event's own JSON."""
+    k = F.get_json_object("props", "$.k")
+    given = F.when(F.col("event_id") % 3 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"silence_ms": '), k, F.lit(', "event_score": 0.25, "layers": ["filler", "'), "event_type", F.lit('"], "unknown": 1}')))
+    rows = settings_rows(read_table(spark, sf_dir, "events").select("event_id", given.alias("given")), "given")
+    return rows.select("event_id", "silence_ms", "cue_words", "event_score", F.array_join("layers", ",").alias("layers"))
 
 
 def q_traditional(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "这说时"), (1, "學习语词 abc"), (2, "")], "idx int, text string")
-    return rows.select("idx", fn.to_traditional(F.col("text")).alias("text"))
+    """Forty ideographs for each document, by rule from its id, so that all of the basic block occur."""
+    code = lambda k: F.hex(F.lit(19968) + F.pmod(F.col("doc_id") * 40 + k, F.lit(20992)))
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), code), "")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.decode(F.unhex(letters), "UTF-16BE").alias("text"))
+    return rows.select("doc_id", fn.to_traditional(F.col("text"), traditional_table(spark)).alias("text"))
 
 
 def q_silence(spark, sf_dir):
@@ -112,7 +145,7 @@ def q_stumbles(spark, sf_dir):
 
 def q_repeats(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("stream_id"), F.col("vec_id").alias("i"), "embedding")
-    return detect.repeats(vectors, 0.2, 3)
+    return detect.repeats(vectors, 0.2)
 
 
 def q_events(spark, sf_dir):
@@ -144,11 +177,13 @@ def q_overrides(spark, sf_dir):
 
 
 def q_misheard(spark, sf_dir):
-    return review.misheard(manuscript(read_table(spark, sf_dir, "documents"), "doc_id", "text"), q_manuscript(spark, sf_dir))
+    words = _words(spark, sf_dir)
+    return review.misheard(words, _manuscripts(words))
 
 
 def q_misheard_pairs(spark, sf_dir):
-    return review.misheard_in_context(_words(spark, sf_dir), q_manuscript(spark, sf_dir))
+    words = _words(spark, sf_dir)
+    return review.misheard_in_context(words, _manuscripts(words))
 
 
 def q_time_map(spark, sf_dir):
@@ -157,6 +192,10 @@ def q_time_map(spark, sf_dir):
     return export.to_output_time(points, _segments(spark, sf_dir))
 
 
+def q_timeline_map(spark, sf_dir):
+    return export.timeline_map(_segments(spark, sf_dir))
+
+
 def q_seams(spark, sf_dir):
     return review.seams(_kept(spark, sf_dir), GAP_MS, 3)
 
@@ -201,11 +240,7 @@ def q_check_words(spark, sf_dir):
 
 
 def _feedback(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    pre = review.with_reasons(_proposals(spark, words))
-    whole = _decided(spark, words)
-    rows = feedback.differences(pre.select("stream_id", "idx", F.lit(True).alias("proposed")), whole.select("stream_id", "idx", F.col("keep").alias("kept")), ["stream_id", "idx"])
-    return rows.join(whole.select("stream_id", "idx", "reasons", "text"), ["stream_id", "idx"])
+    return feedback.of_decided(_decided(spark, _words(spark, sf_dir)))
 
 
 def q_feedback(spark, sf_dir):
@@ -250,58 +285,110 @@ recs AS (SELECT *, CAST(coalesce(sum(f_out - f_in) OVER (PARTITION BY stream_id
 )
 
 
+def _padded(x: str, width: int = 2) -> str:
+    return f"CASE WHEN length(CAST({x} AS VARCHAR)) < {width} THEN lpad(CAST({x} AS VARCHAR), {width}, '0') ELSE CAST({x} AS VARCHAR) END"
+
+
 def _clock(c: str) -> str:
-    return f"lpad(CAST({c} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({c} % 1000 AS VARCHAR), 3, '0')"
+    return f"{_padded(f'{c} // 3600000')} || ':' || {_padded(f'{c} // 60000 % 60')} || ':' || {_padded(f'{c} // 1000 % 60')} || ',' || {_padded(f'{c} % 1000', 3)}"
 
 
 def _timecode(c: str) -> str:
-    return "||':'||".join(f"lpad(CAST({x} AS VARCHAR), 2, '0')" for x in (f"({c}) // 108000", f"({c}) // 1800 % 60", f"({c}) // 30 % 60", f"({c}) % 30"))
+    return "||':'||".join(_padded(x) for x in (f"({c}) // 108000", f"({c}) // 1800 % 60", f"({c}) // 30 % 60", f"({c}) % 30"))
+
+
+def _alike(a: str, b: str, least: float) -> str:
+    """Likeness of two lines by characters: DuckDB's distance counts bytes, so each letter of the pair becomes one byte."""
+    one = [f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(CAST(list_position(letters, x) AS INTEGER))), '')" for c in (a, b)]
+    return f"CASE WHEN {a} = {b} THEN true WHEN len(letters) > 127 THEN error('more letters in a pair than bytes that stand for one') ELSE 1 - CAST(levenshtein({one[0]}, {one[1]}) AS DOUBLE) / greatest(length({a}), length({b})) >= {least} END"
+
+
+@lru_cache(1)
+def _traditional_pairs() -> tuple[str, str]:
+    """The table of ``functions.hanzi`` again, read from the rules in ICU's file instead of by running them."""
+    jar = next(Path(pyspark.__file__).parent.glob("jars/icu4j-*.jar"))
+    with zipfile.ZipFile(jar) as content:
+        text = content.read("com/ibm/icu/impl/data/icudata/translit/root.res").decode("utf-16-be", "replace")
+    at = text.index("单于↔單于;")
+    pairs: dict[str, str] = {}
+    for rule in text[text.rindex("\0", 0, at) : text.index("\0", at)].split(";"):
+        for arrow in "↔→":
+            left, found, right = rule.strip().partition(arrow)
+            if found and len(left) == len(right) == 1:
+                pairs.setdefault(left, right)
+    pairs = {a: b for a, b in pairs.items() if a != b}
+    return "".join(pairs), "".join(pairs.values())
+
+
+def _traditional_sql() -> str:
+    a, b = _traditional_pairs()
+    return f"SELECT doc_id, translate(array_to_string(list_transform(range(40), lambda k: chr(CAST(19968 + (doc_id * 40 + k) % 20992 AS INTEGER))), ''), '{a}', '{b}') AS text FROM documents"
 
 
 _EDL = f"edl AS (SELECT stream_id, seg + 1 AS event, {_timecode('f_in')} AS src_in, {_timecode('f_out')} AS src_out, {_timecode('rec')} AS rec_in, {_timecode('rec + f_out - f_in')} AS rec_out FROM recs)"
 _FEEDBACK = ", fb AS (SELECT stream_id, idx, text, reasons, CASE WHEN proposed AND keep THEN 'restored' WHEN NOT proposed AND NOT keep THEN 'added' ELSE 'agreed' END AS class FROM decided)"
 _BENCH = r"man AS (SELECT item_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM benchmark))"
-_BARE = r"""regexp_replace(lower(text), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g')"""
-_COS = "CASE WHEN {0} IS NOT NULL THEN list_inner_product(CAST(e AS DOUBLE[]), CAST({0} AS DOUBLE[])) / sqrt(list_inner_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])) * list_inner_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) END"
+_MAN = "man AS (SELECT stream_id, idx, bare FROM words WHERE stream_id % 7 <> 3 AND idx % 13 <> 5)"
+_EVERY = (
+    _LAYERS
+    + """,
+ends AS (SELECT stream_id, idx, text, coalesce(regexp_matches(text, '[.!?。！？]$'), false) OR coalesce(lead(start_ms) OVER w - end_ms > 800, false) AS e FROM words WINDOW w AS (PARTITION BY stream_id ORDER BY idx)),
+numbered AS (SELECT stream_id, idx, text, CAST(coalesce(sum(e::INT) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS i FROM ends),
+sent AS (SELECT stream_id, i, string_agg(text, ' ' ORDER BY idx) AS line FROM numbered GROUP BY ALL),
+ahead AS (SELECT a.stream_id, a.i, a.line, b.line AS n, list_distinct(string_split(a.line || b.line, '')) AS letters FROM sent a JOIN sent b ON a.stream_id = b.stream_id AND b.i BETWEEN a.i + 1 AND a.i + 2
+  WHERE regexp_matches(trim(a.line), '\\S\\s+\\S') AND least(length(a.line), length(b.line)) >= 0.34 * greatest(length(a.line), length(b.line))),
+taken AS (SELECT DISTINCT stream_id, i, 'retake' AS layer FROM ahead WHERE """
+    + _alike("line", "n", 0.35)
+    + """),
+vecs AS (SELECT vec_id % 50 AS stream_id, vec_id // 50 AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+again AS (SELECT DISTINCT a.stream_id, a.i, 'repeat' AS layer FROM vecs a JOIN vecs b ON a.stream_id = b.stream_id AND a.i < b.i WHERE list_cosine_similarity(a.e, b.e) >= 0.2),
+voiced AS (SELECT stream_id, start_ms AS a, end_ms AS b FROM words WHERE idx % 40 < 38),
+every AS (SELECT stream_id, idx, layer FROM filler UNION ALL SELECT stream_id, idx, layer FROM stumble UNION ALL SELECT stream_id, idx, layer FROM event
+  UNION ALL SELECT stream_id, idx, layer FROM numbered JOIN (SELECT * FROM taken UNION ALL SELECT * FROM again) USING (stream_id, i)
+  UNION ALL SELECT stream_id, idx, 'unvoiced' FROM words w WHERE NOT EXISTS (SELECT 1 FROM voiced v WHERE v.stream_id = w.stream_id AND w.start_ms < v.b AND v.a < w.end_ms)
+  UNION ALL SELECT stream_id, idx, 'judge' FROM words WHERE idx % 31 = 4),
+found AS (SELECT stream_id, idx, list_sort(list(DISTINCT layer)) AS layers FROM every JOIN words USING (stream_id, idx) WHERE bare NOT IN ('not', 'of', 'und') GROUP BY ALL)"""
+)
 
 _W = f"WITH {_WORDS}"
 _L = f"WITH {_LAYERS}"
 _SQL = {
     "c00_flagship_segments": f"{_L} SELECT * FROM segs",
     "c02_manuscript": f"WITH {_BENCH} SELECT * FROM man",
-    "c03_habits": "SELECT * FROM (VALUES ('the', 'filler'), ('und', 'filler'), ('et', 'filler'), ('not', 'protected'), ('of', 'protected'), ('und', 'protected')) t(token, rule)",
-    "c04_settings": "SELECT 800 AS silence_ms, 8 AS cue_words, 'filler,stumble,event' AS layers",
-    "c08_traditional": "SELECT * FROM (VALUES (0, '這說時'), (1, '學习語詞 abc'), (2, '')) t(idx, text)",
+    "c03_habits": "SELECT DISTINCT lower(trim(n_name)) AS token, lower(trim(r_name)) AS rule FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "c04_settings": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 800 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS silence_ms, CAST(8 AS BIGINT) AS cue_words,
+        CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.25 END::DOUBLE AS event_score, CASE WHEN event_id % 3 = 0 THEN 'filler,stumble,retake,repeat,event,unvoiced,judge' ELSE 'filler,' || event_type END AS layers FROM events""",
     "c09_silence": f"{_W} SELECT stream_id, idx, s AS start_ms, start_ms AS end_ms, start_ms - s AS gap_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY idx) AS s FROM words) WHERE start_ms - s > 800",
     "c09_event_gaps": "SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, date_sub('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap_s FROM events) WHERE gap_s > 3600",
     "c10_retakes": r"""WITH lines AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
         ahead AS (SELECT *, lead(i) OVER w AS by_i, lead(line) OVER w AS n FROM lines WINDOW w AS (PARTITION BY stream_id ORDER BY i)),
         near AS (SELECT *, list_distinct(string_split(line || n, '')) AS letters FROM ahead WHERE regexp_matches(trim(line), '\S\s+\S') AND least(length(line), length(n)) >= 0.69 * greatest(length(line), length(n)))
-        SELECT stream_id, i, by_i AS "by" FROM near WHERE CASE WHEN line = n THEN true WHEN len(letters) > 127 THEN error('more letters in a pair than bytes that stand for one') ELSE 1 - CAST(levenshtein({0}, {1}) AS DOUBLE) / greatest(length(line), length(n)) >= 0.7 END""".format(*(f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(CAST(list_position(letters, x) AS INTEGER))), '')" for c in ("line", "n"))),
+        SELECT stream_id, i, by_i AS "by" FROM near WHERE """
+    + _alike("line", "n", 0.7),
     "c11_fillers": f"{_L} SELECT * FROM filler",
     "c12_stumbles": f"{_L} SELECT * FROM stumble",
-    "c13_repeats": f"""WITH v AS (SELECT CAST(label AS BIGINT) AS stream_id, vec_id AS i, embedding AS e FROM embeddings),
-        a AS (SELECT *, lead(i, 1) OVER w AS i1, lead(e, 1) OVER w AS e1, lead(i, 2) OVER w AS i2, lead(e, 2) OVER w AS e2, lead(i, 3) OVER w AS i3, lead(e, 3) OVER w AS e3 FROM v WINDOW w AS (PARTITION BY stream_id ORDER BY i)),
-        c AS (SELECT stream_id, i, i1, i2, i3, {_COS.format('e1')} AS c1, {_COS.format('e2')} AS c2, {_COS.format('e3')} AS c3 FROM a)
-        SELECT stream_id, i, CASE WHEN c1 >= 0.2 THEN i1 WHEN c2 >= 0.2 THEN i2 ELSE i3 END AS "by" FROM c WHERE c1 >= 0.2 OR c2 >= 0.2 OR c3 >= 0.2""",
+    "c13_repeats": f"""WITH v AS (SELECT CAST(label AS BIGINT) AS stream_id, vec_id AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+        SELECT a.stream_id, a.i, min(b.i) AS "by" FROM v a JOIN v b ON a.stream_id = b.stream_id AND a.i < b.i WHERE list_cosine_similarity(a.e, b.e) >= 0.2 GROUP BY ALL""",
     "c14_events": f"{_L} SELECT * FROM event",
     "c15_unvoiced": f"{_W}, v AS (SELECT stream_id, start_ms AS a, end_ms AS b FROM words WHERE idx % 40 < 38) SELECT stream_id, idx, 'unvoiced' AS layer, 'unvoiced' AS reason FROM words w WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.stream_id = w.stream_id AND w.start_ms < v.b AND v.a < w.end_ms)",
     "c17_protect": f"{_L} SELECT f.* FROM filler f JOIN words USING (stream_id, idx) WHERE bare NOT IN ('not', 'of', 'und')",
     "c18_layers": f"{_L} SELECT * FROM filler UNION ALL SELECT * FROM event",
     "c19_reasons": f"{_L} SELECT * FROM reasons",
     "c20_overrides": f"{_L} SELECT stream_id, idx, proposed, keep FROM decided",
-    "c21_misheard": rf"WITH {_BENCH}, d AS (SELECT doc_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents)), b AS (SELECT *, {_BARE} AS bare FROM d) SELECT stream_id, idx, text FROM b WHERE bare <> '' AND bare NOT IN (SELECT {_BARE} FROM man)",
-    "c21_misheard_pairs": f"{_W}, {_BENCH}, mb AS (SELECT {_BARE} AS a, lead({_BARE}) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM man), k AS (SELECT DISTINCT a, b FROM mb WHERE b IS NOT NULL), p AS (SELECT stream_id, idx, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM words), h AS (SELECT stream_id, idx FROM p JOIN k USING (a, b) UNION SELECT stream_id, idx + 1 FROM p JOIN k USING (a, b)) SELECT stream_id, idx, text FROM words w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.stream_id = w.stream_id AND h.idx = w.idx)",
+    "c21_misheard": f"{_W}, {_MAN} SELECT stream_id, idx, text FROM words w WHERE bare <> '' AND stream_id IN (SELECT stream_id FROM man) AND NOT EXISTS (SELECT 1 FROM man m WHERE m.stream_id = w.stream_id AND m.bare = w.bare)",
+    "c21_misheard_pairs": f"{_W}, {_MAN}, mb AS (SELECT stream_id, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM man), k AS (SELECT DISTINCT stream_id, a, b FROM mb WHERE b IS NOT NULL), p AS (SELECT stream_id, idx, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM words), h AS (SELECT stream_id, idx FROM p JOIN k USING (stream_id, a, b) UNION SELECT stream_id, idx + 1 FROM p JOIN k USING (stream_id, a, b)) SELECT stream_id, idx, text FROM words w WHERE stream_id IN (SELECT stream_id FROM man) AND NOT EXISTS (SELECT 1 FROM h WHERE h.stream_id = w.stream_id AND h.idx = w.idx)",
+    "c36_every_layer": f"WITH {_EVERY} SELECT stream_id, idx, coalesce(array_to_string(layers, '+'), '') AS layers, array_to_string(layers, '+') AS reasons, coalesce(len(layers), 0) AS n_layers, coalesce(CASE WHEN idx % 17 = 0 THEN idx % 2 = 0 END, layers IS NULL) AS keep FROM words LEFT JOIN found USING (stream_id, idx)",
     "c22_segments": f"{_L} SELECT stream_id, seg, src_start, src_end, n_words FROM segs",
     "c23_time_map": f"{_L} SELECT w.stream_id, w.start_ms AS src_ms, s.seg, s.out_start + w.start_ms - s.src_start AS out_ms FROM words w LEFT JOIN segs s ON w.stream_id = s.stream_id AND w.start_ms >= s.src_start AND w.start_ms < s.src_end",
+    "c23_timeline_map": f"""{_L} SELECT stream_id, '[' || string_agg('{{"seg":' || seg || ',"src_start":' || src_start || ',"src_end":' || src_end || ',"out_start":' || out_start || '}}', ',' ORDER BY seg) || ']' AS body FROM segs GROUP BY 1""",
     "c24_seams": f"{_L}, c AS (SELECT stream_id, seg, fresh, concat_ws(' ', lag(text, 3) OVER w, lag(text, 2) OVER w, lag(text, 1) OVER w) AS before, concat_ws(' ', text, lead(text, 1) OVER w, lead(text, 2) OVER w) AS after FROM inseg WINDOW w AS (PARTITION BY stream_id ORDER BY idx)) SELECT stream_id, seg, before, after FROM c WHERE fresh = 1 AND seg > 0",
     "c27_cues": f"{_L} SELECT * FROM cues",
     "c27_srt": f"{_L} SELECT stream_id, string_agg(CAST(cue AS VARCHAR) || chr(10) || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS body FROM cues GROUP BY 1",
     "c28_transcript": f"{_L} SELECT stream_id, string_agg(text, ' ' ORDER BY idx) AS body FROM kept GROUP BY 1",
     "c29_edl_events": f"{_L}, {_EDL} SELECT * FROM edl",
-    "c29_edl": f"{_L}, {_EDL} SELECT stream_id, 'TITLE: ' || stream_id || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || string_agg(lpad(CAST(event AS VARCHAR), 3, '0') || '  AX       V     C        ' || src_in || ' ' || src_out || ' ' || rec_in || ' ' || rec_out, chr(10) ORDER BY event) || chr(10) AS body FROM edl GROUP BY 1",
+    "c29_edl": f"{_L}, {_EDL} SELECT stream_id, 'TITLE: ' || stream_id || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || string_agg({_padded('event', 3)} || '  AX       V     C        ' || src_in || ' ' || src_out || ' ' || rec_in || ' ' || rec_out || chr(10) || '* FROM CLIP NAME: ' || stream_id || '.mp4', chr(10) ORDER BY event) || chr(10) AS body FROM edl GROUP BY 1",
     "c29_fcpxml": _L
-    + """ SELECT stream_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<fcpxml version="1.9"><resources><format id="r1" frameDuration="1/30s"/><asset id="r2" format="r1"/></resources><library><event><project><sequence format="r1" duration="' || CAST(sum(f_out - f_in) AS BIGINT) || '/30s"><spine>' || string_agg('<asset-clip ref="r2" offset="' || rec || '/30s" start="' || f_in || '/30s" duration="' || (f_out - f_in) || '/30s"/>', '' ORDER BY seg) || '</spine></sequence></project></event></library></fcpxml>' || chr(10) AS body FROM recs GROUP BY 1""",
+    + """ SELECT stream_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<fcpxml version="1.9"><resources><format id="r1" frameDuration="1/30s"/><asset id="r2" name="' || stream_id || '" start="0s" duration="' || max(f_out) || '/30s" hasVideo="1" hasAudio="1" format="r1"><media-rep kind="original-media" src="./' || stream_id || '.mp4"/></asset></resources><library><event><project><sequence format="r1" duration="' || CAST(sum(f_out - f_in) AS BIGINT) || '/30s"><spine>' || string_agg('<asset-clip ref="r2" offset="' || rec || '/30s" start="' || f_in || '/30s" duration="' || (f_out - f_in) || '/30s"/>', '' ORDER BY seg) || '</spine></sequence></project></event></library></fcpxml>' || chr(10) AS body FROM recs GROUP BY 1""",
     "c30_check_duration": f"{_L}, p AS (SELECT stream_id, CAST(sum(src_end - src_start) AS BIGINT) AS planned_ms FROM segs GROUP BY 1), o AS (SELECT stream_id, max(end_ms) + CASE WHEN stream_id % 3 = 0 THEN 900 ELSE 10 END AS observed_ms FROM cues GROUP BY stream_id) SELECT stream_id, planned_ms, observed_ms, abs(planned_ms - observed_ms) <= 100 AS ok FROM p FULL JOIN o USING (stream_id)",
     "c31_check_silence": f"{_L} SELECT stream_id, idx, s AS start_ms, start_ms AS end_ms, start_ms - s AS gap_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY idx) AS s FROM outw) WHERE start_ms - s > 200",
     "c32_check_words": f"{_L}, e AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS n, text FROM kept) SELECT stream_id, count(*) AS n_expected, count(*) FILTER (NOT (stream_id % 4 = 1 AND n % 50 = 49)) AS n_observed, count(*) FILTER ((stream_id % 4 = 1 AND n % 50 = 49) OR ((stream_id + n) % 60 = 0 AND text <> '?')) AS n_different FROM e GROUP BY 1",
@@ -329,8 +416,10 @@ _QUERIES = {
     "c20_overrides": q_overrides,
     "c21_misheard": q_misheard,
     "c21_misheard_pairs": q_misheard_pairs,
+    "c36_every_layer": q_every_layer,
     "c22_segments": lambda spark, sf_dir: _segments(spark, sf_dir).drop("out_start"),
     "c23_time_map": q_time_map,
+    "c23_timeline_map": q_timeline_map,
     "c24_seams": q_seams,
     "c27_cues": q_cues,
     "c27_srt": q_srt,
@@ -352,4 +441,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"c08_traditional": _traditional_sql()}

@@ -26,7 +26,6 @@ class Settings:
     retake_likeness: float = 0.7
     retake_ahead: int = 2
     repeat_cosine: float = 0.9
-    repeat_ahead: int = 3
     event_score: float = 0.5
     cue_words: int = 8
     fps: int = 30
@@ -34,10 +33,41 @@ class Settings:
 
     @staticmethod
     def from_json(text: str) -> Settings:
-        """Known keys of a JSON object; others are ignored, missing ones keep their defaults."""
-        known = {f.name for f in fields(Settings)}
-        given = {k: tuple(v) if k == "layers" else v for k, v in json.loads(text or "{}").items() if k in known}
-        return Settings(**given)
+        """Known keys of a JSON object; others are ignored, missing and null ones keep their defaults.
+
+        A value of the wrong type is an error: numbers where numbers are due (whole ones for
+        milliseconds and counts), names of layers in a list.
+        """
+        given = json.loads(text or "{}")
+        if not isinstance(given, dict):
+            raise ValueError("settings are a JSON object")
+        out = {}
+        for f in fields(Settings):
+            if (value := given.get(f.name)) is None:
+                continue
+            default = Settings.__dataclass_fields__[f.name].default
+            if f.name == "layers":
+                if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
+                    raise ValueError("layers is a list of names")
+                value = tuple(value)
+            elif isinstance(value, bool) or not isinstance(value, int if isinstance(default, int) else (int, float)):
+                raise ValueError(f"{f.name} is {'a whole number' if isinstance(default, int) else 'a number'}, not {value!r}")
+            out[f.name] = value
+        return Settings(**out)
+
+
+def settings_rows(df: DataFrame, json_col: str) -> DataFrame:
+    """The columns of ``df`` with those of the settings, read from a JSON column, one row per input row.
+
+    As in ``Settings.from_json``, but a value of the wrong type, and an object that is
+    malformed, null or missing, counts as not given. Columns of ``df`` with the name of a
+    setting are replaced.
+    """
+    types = {f.name: T.ArrayType(T.StringType()) if f.name == "layers" else T.LongType() if isinstance(f.default, int) else T.DoubleType() for f in fields(Settings)}
+    given = F.from_json(F.col(json_col), T.StructType([T.StructField(k, t) for k, t in types.items()]))
+    own = Settings()
+    default = {k: F.array(*map(F.lit, own.layers)) if k == "layers" else F.lit(getattr(own, k)) for k in types}
+    return df.withColumn("_given", given).withColumns({k: F.coalesce(F.col("_given")[k], default[k]) for k in types}).drop("_given")
 
 
 def read_json(spark: SparkSession, path: str, kind: str) -> DataFrame:

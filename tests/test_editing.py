@@ -3,11 +3,14 @@
 import json
 import random
 from pathlib import Path
+from xml.etree import ElementTree
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptloom import queries as own
 from scriptloom.functions import text as fn
+from scriptloom.functions.hanzi import traditional_table
 from scriptloom.operators import detect, export, feedback, review
 from scriptloom.plans.edit import edit
 from scriptloom.sources import readers, sinks
@@ -34,7 +37,14 @@ def test_chinese_words(spark):
     lexicon = spark.createDataFrame([("嗯",)], "token string")
     assert ids(detect.fillers(words, lexicon)) == [(1, 1)]
     assert ids(detect.stumbles(words)) == [(1, 2)]
-    assert [r["t"] for r in words.orderBy("idx").select(fn.to_traditional(F.col("text")).alias("t")).collect()][:3] == ["這個", "嗯", "我們"]
+    table = traditional_table(spark)
+    assert [r["t"] for r in words.orderBy("idx").select(fn.to_traditional(F.col("text"), table).alias("t")).collect()][:3] == ["這個", "嗯", "我們"]
+    odd = spark.createDataFrame([(None,), ("",), ("习汉东 abc 學 𬨎",)], "t string").select(fn.to_traditional(F.col("t"), table).alias("t")).collect()
+    assert [r["t"] for r in odd] == [None, "", "習漢東 abc 學 " + dict(zip(*table))["𬨎"]]
+
+
+def test_traditional_table_is_that_of_the_rules(spark):
+    assert dict(zip(*traditional_table(spark))) == dict(zip(*own._traditional_pairs())) and len(traditional_table(spark)[0]) > 2500
 
 
 def test_silence_is_over_the_threshold(spark):
@@ -51,6 +61,54 @@ def test_the_last_take_stays(spark):
     assert ids(detect.retake_words(words, sentences, taken)) == [(1, k) for k in range(5)]
 
 
+def test_pauses_end_sentences_without_punctuation(spark):
+    words = timed(spark, 1, "we went to the shop we went to a shop then home we go", pauses=(5, 10))
+    assert detect.sentences_of(words).count() == 1
+    sentences = detect.sentences_of(words, 800)
+    assert sorted((r["first_idx"], r["last_idx"]) for r in sentences.collect()) == [(0, 4), (5, 9), (10, 13)]
+    cut = edit(words, spark.createDataFrame([], "token string, rule string"), readers.Settings(layers=("retake",)))
+    assert {r["idx"] for r in cut.words.where("not keep").collect()} == {0, 1, 2, 3, 4}
+
+
+def test_repeats_are_found_anywhere_in_the_recording(spark):
+    rng = random.Random(8)
+    vectors = {s: [[rng.gauss(0, 1) for _ in range(4)] for _ in range(200)] for s in (1, 2)}
+    rows = [(s, i, v) for s, vs in vectors.items() for i, v in enumerate(vs)]
+    rows += [(3, 0, [0.0] * 4), (3, 1, [0.0] * 4), (3, 2, None), (3, 3, [1.0]), (3, 4, [float("inf")] * 4), (3, 5, []), (None, 0, [1.0]), (None, 1, [1.0]), (3, 6, [1.0, None])]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {(s, i, min(later)) for s, vs in vectors.items() for i in range(200) if (later := [j for j in range(i + 1, 200) if cos(vs[i], vs[j]) >= 0.97])}
+    got = detect.repeats(spark.createDataFrame(rows, "stream_id long, i long, embedding array<double>"), 0.97)
+    assert {tuple(r) for r in got.collect()} == want and any(b - i > 100 for _, i, b in want)
+    assert detect.repeats(spark.createDataFrame([], "stream_id long, i long, embedding array<double>"), 0.9).count() == 0
+
+
+def test_repeated_sentences_are_cut(spark):
+    words = timed(spark, 1, "first said. other thing. same meaning. the end.")
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [1.0, 0.01])], "stream_id long, i long, embedding array<double>")
+    cut = edit(words, spark.createDataFrame([], "token string, rule string"), readers.Settings(layers=("repeat",)), vectors=vectors)
+    assert {(r["idx"], r["layer"]) for r in cut.proposals.collect()} == {(0, "repeat"), (1, "repeat")}
+
+
+def test_one_pass_decides_as_the_operators_do(spark, sf_dir):
+    words = own._words(spark, sf_dir)
+    apart = review.decided(words, review.with_reasons(own._proposals(spark, words)), own._decisions(words))
+    pick = lambda df: sorted(map(str, df.select("stream_id", "idx", "proposed", "keep", "reasons").collect()))
+    assert pick(apart) == pick(own._decided(spark, words))
+
+
+def test_every_layer_takes_part(spark, sf_dir):
+    rows = own.q_every_layer(spark, sf_dir).collect()
+    assert {x for r in rows for x in r["layers"].split("+")} - {""} == set(own.EVERY_LAYER.layers)
+
+
+def test_suspects_are_judged_by_their_own_manuscript(spark):
+    words = spark.createDataFrame([(1, 0, "the", 0, 1), (1, 1, "Cat", 1, 2), (1, 2, "sat", 2, 3), (2, 0, "cat", 0, 1), (2, 1, "dog", 1, 2), (3, 0, "cat", 0, 1), (None, 0, "cat", 0, 1)], WORDS)
+    man = spark.createDataFrame([(1, 0, "the"), (1, 1, "hat"), (1, 2, "sat"), (2, 0, "cat"), (4, 0, "cat")], "stream_id long, idx long, text string")
+    assert ids(review.misheard(words, man)) == [(1, 1), (2, 1)]
+    more = spark.createDataFrame([(1, 0, "the"), (1, 1, "cat"), (2, 0, "dog"), (2, 1, "cat")], "stream_id long, idx long, text string")
+    assert ids(review.misheard_in_context(words, more)) == [(1, 2), (2, 0), (2, 1)]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -147,6 +205,41 @@ def test_frames_and_clocks(spark):
     assert (row["c"], row["f"], row["t"], row["l"], row["n"]) == ("01:02:03,004", 2, "01:00:01:01", 1.0, None)
 
 
+def test_long_recordings_keep_all_digits(spark):
+    rows = spark.createDataFrame([(3_600_000 * 100 + 7,), (359_999_999,)], "ms long")
+    got = [(r["c"], r["t"]) for r in rows.select(fn.clock(F.col("ms")).alias("c"), fn.timecode(fn.frames(F.col("ms"), 30), 30).alias("t")).collect()]
+    assert got == [("100:00:00,007", "100:00:00:00"), ("99:59:59,999", "100:00:00:00")]
+    events = spark.createDataFrame([(1, n, "a", "b", "c", "d") for n in (1, 99, 1000, 1001)], "stream_id long, event long, src_in string, src_out string, rec_in string, rec_out string")
+    body = export.edl(events).first()["body"]
+    assert [x.split()[0] for x in body.splitlines() if "AX" in x] == ["001", "099", "1000", "1001"] and body.count("* FROM CLIP NAME: 1.mp4") == 4
+
+
+def test_fcpxml_names_its_media(spark):
+    segs = spark.createDataFrame([(5, 0, 0, 1000, 0, 1), (5, 1, 4000, 5000, 1000, 1)], "stream_id long, seg long, src_start long, src_end long, out_start long, n_words long")
+    root = ElementTree.fromstring(export.fcpxml(segs, 30).first()["body"].encode())
+    asset = root.find("resources/asset")
+    assert asset.get("duration") == "150/30s" and asset.find("media-rep").get("src") == "./5.mp4" and len(root.findall(".//asset-clip")) == 2
+
+
+def test_timeline_map_is_one_ordered_array(spark):
+    segs = spark.createDataFrame([(5, 1, 4000, 5000, 1000, 1), (5, 0, 0, 1000, 0, 1)], "stream_id long, seg long, src_start long, src_end long, out_start long, n_words long")
+    assert json.loads(export.timeline_map(segs).first()["body"]) == [{"seg": 0, "src_start": 0, "src_end": 1000, "out_start": 0}, {"seg": 1, "src_start": 4000, "src_end": 5000, "out_start": 1000}]
+
+
+@pytest.mark.parametrize("text", ['{"silence_ms": "500"}', '{"silence_ms": 1.5}', '{"fps": true}', '{"layers": "filler"}', '{"layers": [1]}', "[]"])
+def test_settings_of_the_wrong_type_are_errors(text):
+    with pytest.raises(ValueError):
+        readers.Settings.from_json(text)
+
+
+def test_settings_rows(spark):
+    assert readers.Settings.from_json('{"layers": null, "silence_ms": null}') == readers.Settings()
+    df = spark.createDataFrame([(1, '{"silence_ms": 5, "layers": ["x"]}'), (2, None), (3, "not json"), (4, '{"silence_ms": "a"}')], "k long, j string")
+    got = {r["k"]: (r["silence_ms"], r["fps"], tuple(r["layers"])) for r in readers.settings_rows(df, "j").collect()}
+    own_layers = readers.Settings().layers
+    assert got == {1: (5, 30, ("x",)), 2: (800, 30, own_layers), 3: (800, 30, own_layers), 4: (800, 30, own_layers)}
+
+
 def test_settings_and_rules_from_files(spark, tmp_path):
     got = readers.Settings.from_json('{"silence_ms": 500, "layers": ["filler"], "other": 1}')
     assert got.silence_ms == 500 and got.layers == ("filler",) and got.fps == 30
@@ -174,8 +267,14 @@ def test_sinks_write_by_recording(spark, tmp_path):
     segs = review.segments(words, 500)
     sinks.write_json(segs, f"{tmp_path}/map")
     sinks.write_rendered(export.srt(export.cues(words, 500, 8)), f"{tmp_path}/srt")
-    rows = [json.loads(x) for p in Path(tmp_path).glob("map/stream_id=1/*.json") for x in p.read_text().splitlines()]
-    assert sorted(r["out_start"] for r in rows) == [0, 550]
+    files = list(Path(tmp_path).glob("map/stream_id=1/*.json"))
+    assert len(files) == 1 and [json.loads(x)["out_start"] for x in files[0].read_text().splitlines()] == [0, 550]
+    many = spark.range(0, 400, 1, 16).select((F.col("id") % 3).alias("stream_id"), (400 - F.col("id")).alias("idx"))
+    sinks.write_json(many, f"{tmp_path}/many")
+    for s in range(3):
+        (one,) = Path(tmp_path).glob(f"many/stream_id={s}/*.json")
+        said = [json.loads(x)["idx"] for x in one.read_text().splitlines()]
+        assert said == sorted(said) and len(said) > 100
     body = next(Path(tmp_path).glob("srt/stream_id=1/*.txt")).read_text()
     assert body.startswith("1\n00:00:00,000 --> 00:00:00,550\na b\n\n2\n00:00:00,550")
 
