@@ -2,13 +2,15 @@
 
 ``interleave`` parses HTML into one ordered sequence of structs per document: runs of text and
 references to media, each with its position and the caption that belongs to it. ``store_media``
-keeps payloads once each under the digest of their content, as 8-bit PCM samples in a WAV
-container. ``resolve`` joins the references of the sequences to what the store holds, by
-digest, and leaves positions and captions as they were.
-
-The join is on digests alone, never on payloads. A digest to which a third of all documents
-refer is one row of the store, and the many rows on the other side of a sort-merge join can be
-split by adaptive execution. A reference takes the sequence of its page along.
+writes payloads, as 8-bit PCM samples in a WAV container, to files in a shared folder. They
+stay where they were written: ``index_media`` reads the stored bytes back and says of each
+digest what is stored under it and in which row of which file. ``resolve`` joins the references
+of the sequences to that index, by digest, and leaves positions and captions as they were;
+``fetch`` brings the stored bytes themselves to those references that are to be read.
+
+So shuffled are digests, positions and descriptions, never pages or payloads, unless payloads
+are fetched. A digest to which a third of all documents refer is one row of the index, and the
+many rows on the other side of a sort-merge join can be split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -33,70 +35,101 @@ BLOCK = 64
 RATE = 8000
 MEDIA_TAGS = ("img", "audio", "video", "source", "embed")
 SKIPPED = ("script", "style", "template", "noscript")
+INLINE = ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup", "small", "u")
+#: Elements whose end closes what is still open in them.
+ENCLOSING = ("article", "section", "main", "body", "html")
 ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 ITEM_SQL = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 
 
 class _Sequence(HTMLParser):
-    """Text runs and media references in the order in which a page shows them."""
+    """Text runs and media references in the order in which a page shows them.
+
+    Figures nest. A caption belongs to all media of its figure, before and after it, and is
+    closed by the end of the figure, of the page or of any tag that holds the figure. A tag of
+    SKIPPED ends with the element around it at the latest; a template or noscript for which
+    the page has no end tag left is not skipped at all.
+    """
 
-    def __init__(self):
+    def __init__(self, ends: dict[str, int]):
         super().__init__(convert_charrefs=True)
+        #: End tags of SKIPPED that the page still has for start tags to come.
+        self.ends = ends
         self.items: list[list] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: list[int] = []
-        self.in_figure = self.skipping = 0
+        #: Of each open figure: places of its media, pieces of its caption (None before one), and whether that is open.
+        self.figures: list[list] = []
+        self.skipped: str | None = None
 
     def flush(self):
         if said := " ".join("".join(self.text).split()):
             self.items.append(["text", said, None, None])
         self.text = []
 
+    def close_figure(self):
+        self.flush()
+        media, caption, _ = self.figures.pop()
+        if said := " ".join("".join(caption or ()).split()):
+            for at in media:
+                self.items[at][3] = said
+
     def handle_starttag(self, tag, attrs):
+        if self.skipped and tag not in SKIPPED:
+            return
         named = dict(attrs)
         if tag in SKIPPED:
-            self.skipping += 1
+            self.ends[tag] -= 1
+            if self.ends[tag] >= 0 or tag in ("script", "style"):
+                self.skipped = tag
         elif tag == "figure":
             self.flush()
-            self.in_figure += 1
-            self.figure = []
-        elif tag == "figcaption":
+            self.figures.append([[], None, False])
+        elif tag == "figcaption" and self.figures:
             self.flush()
-            self.caption = []
+            self.figures[-1][1] = [*(self.figures[-1][1] or []), " "]
+            self.figures[-1][2] = True
         elif tag in MEDIA_TAGS and (ref := named.get("src")):
             self.flush()
-            if self.in_figure:
-                self.figure.append(len(self.items))
+            if self.figures:
+                self.figures[-1][0].append(len(self.items))
             self.items.append(["media", None, ref, named.get("alt") or None])
-        elif tag not in ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup", "small", "u"):
+        elif tag not in INLINE:
             self.flush()
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skipping = max(0, self.skipping - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for at in self.figure:
-                self.items[at][3] = said or self.items[at][3]
-            self.caption = None
-        elif tag == "figure":
-            self.in_figure = max(0, self.in_figure - 1)
-            self.figure = []
-        elif tag in ("p", "div", "li", "tr", "td", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "body", "title", "header", "footer"):
+        if self.skipped:
+            if tag == self.skipped or tag in ENCLOSING:
+                self.skipped = None
+            if tag in SKIPPED:
+                return
+        if tag == "figcaption" and self.figures:
+            self.figures[-1][2] = False
+        elif tag == "figure" and self.figures:
+            self.close_figure()
+        elif tag in ENCLOSING:
+            while self.figures:
+                self.close_figure()
+            self.flush()
+        elif tag not in INLINE:
             self.flush()
 
     def handle_data(self, data):
-        if not self.skipping:
-            (self.text if self.caption is None else self.caption).append(data)
+        if not self.skipped:
+            (self.figures[-1][1] if self.figures and self.figures[-1][2] else self.text).append(data)
+
+    def finish(self):
+        while self.figures:
+            self.close_figure()
+        self.flush()
 
 
 def parse_page(html: str) -> list[tuple[int, str, str | None, str | None, str | None]]:
     """(position, kind, text, ref, caption) of one page, positions from 0 without gaps."""
-    page = _Sequence()
+    folded = html.lower()
+    page = _Sequence({tag: folded.count(f"</{tag}") for tag in SKIPPED})
     page.feed(html)
     page.close()
-    page.flush()
+    page.finish()
     return [(i, *item) for i, item in enumerate(page.items)]
 
 
@@ -151,66 +184,108 @@ def features(samples: bytes) -> str:
     return f"rms={rms:.4f};crossings={crossings};entropy={abs(float(-(shares * np.log2(shares)).sum())):.4f};peak={int(values.max())}"
 
 
-STORED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORED = "digest binary, n_bytes long, media binary"
+DESCRIBED = "digest binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def media_of(df: DataFrame, text_col: str) -> DataFrame:
+    """(digest, n_bytes, media) of each text: SHA-256 of its bytes, their number, the WAV.
+
+    One row per input row. Null and empty texts are 64 zero bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in non_empty(batches):
+            raw = as_bytes(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array(map(len, raw), pa.int64()), pa.array([to_wav(payload_of(x)) for x in raw], pa.binary())], names=_names(STORED))
 
+    return map_arrow(df.select(text_col), run, STORED)
 
-def _described(raw: bytes, digest: str, media: bytes) -> tuple:
-    back = from_wav(media)
-    return (digest, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(back))
+
+def store_media(df: DataFrame, text_col: str, folder: str) -> DataFrame:
+    """Write the media of all texts to a folder that executors share, and read them back.
+
+    Returns (digest, n_bytes, media, file, row) from the files. A task writes what it has made,
+    so nothing is shuffled; a repeated text is stored by each row that holds it, and the index
+    chooses one. An empty table gives an empty store.
+    """
+    media_of(df, text_col).write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(STORED).parquet(folder).select(*_names(STORED), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def store_media(df: DataFrame, id_col: str, text_col: str, with_media: bool = True) -> DataFrame:
-    """(id_col, STORED columns, media binary): the stored form of each text and its description.
+def index_media(store: DataFrame) -> DataFrame:
+    """(DESCRIBED, file, row): one row for each digest, computed from the stored bytes.
 
-    The description is computed from the bytes that were stored, read back. ``with_media``
-    false leaves the bytes out of the result, for a check that needs the description alone.
-    Null and empty texts are 64 zero bytes.
+    Equal payloads have equal descriptions; of their places the first by file and row is
+    given. A stored form that is no WAV is an error.
     """
-    names = [id_col, *(c.split()[0] for c in STORED.split(", ")), *["media"] * with_media]
+    names = [*_names(DESCRIBED), "file", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
             rows = []
-            for raw in as_bytes(batch.column(1)):
-                media = to_wav(payload_of(raw))
-                rows.append(_described(raw, hashlib.sha256(raw).hexdigest(), media) + ((media,) if with_media else ()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows))], names=names)
+            for media in batch.column(2).to_pylist():
+                back = from_wav(media)
+                rows.append((len(back), hashlib.sha256(back).digest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).digest(), features(back)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in zip(*rows)), batch.column(3), batch.column(4)], names=names)
 
-    return map_arrow(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {STORED}" + ", media binary" * with_media)
+    described = map_arrow(store.select("digest", "n_bytes", "media", "file", "row"), run, f"{DESCRIBED}, file string, row long")
+    value = [c for c in names if c not in ("digest", "file", "row")]
+    at = F.min(F.struct("file", "row")).alias("at")
+    return described.groupBy("digest").agg(*(F.first(c).alias(c) for c in value), at).select("digest", *value, "at.file", "at.row")
 
 
-def references(sequences: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, position, caption, digest, items) of every media item whose reference is ``sha256:``.
+def references(sequences: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, digest, positions, captions): a row for each page and payload that it refers to.
 
-    ``items`` is the whole sequence of the page in which the reference stands.
+    References are ``sha256:`` and the digest in hex; others are left out, and so are pages
+    without any. positions and captions, of equal length, are in the order of the page.
     """
-    item = F.explode("items").alias("item")
-    return sequences.select(id_col, "items", item).where("item.kind = 'media' and item.ref like 'sha256:%'").select(id_col, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.substring("item.ref", 8, 64).alias("digest"), "items")
+    named = F.filter("items", lambda x: (x["kind"] == "media") & x["ref"].rlike("^sha256:[0-9a-fA-F]{64}$"))
+    refs = F.transform(named, lambda x: F.struct(F.unhex(F.substring(x["ref"], 8, 64)).alias("digest"), x["position"].alias("position"), x["caption"].alias("caption")))
+    each = sequences.select(*keep, refs.alias("_refs")).select(*keep, "_refs", F.explode(F.array_distinct(F.col("_refs.digest"))).alias("digest"))
+    mine = F.filter("_refs", lambda x: x["digest"] == F.col("digest"))
+    return each.select(*keep, "digest", F.transform(mine, lambda x: x["position"]).alias("positions"), F.transform(mine, lambda x: x["caption"]).alias("captions"))
 
 
-def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
-    """Each reference with the stored columns of its digest; references without payload go.
+def resolve(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """Each reference with the columns of its digest in the index; null ones where it lacks that.
 
-    The store may hold a digest often; one row of it is used (they are equal).
+    The index holds a digest once. It is read from a written table, so both sides of the join
+    are plain exchanges, which adaptive execution can split.
     """
-    value = [c for c in store.columns if c != "digest"]
-    once = store.groupBy("digest").agg(*(F.first(c).alias(c) for c in value))
-    return refs.join(durable(once), "digest")
+    return refs.join(durable(index), "digest", "left")
+
+
+def fetch(resolved: DataFrame, store: DataFrame) -> DataFrame:
+    """The resolved references with ``media``, the stored bytes of their row; null where unresolved.
+
+    Payloads are shuffled by file and row; take only the references whose bytes are wanted.
+    """
+    return resolved.join(store.select("file", "row", "media"), ["file", "row"], "left")
 
 
 def page_html(digest: str, text: str) -> str:
-    """A page of the whole text: its first line is the caption of the medium, the others are paragraphs."""
-    caption, *rest = [line for line in text.splitlines() if line.strip()] or [""]
+    """A page of the whole text around two references to its medium.
+
+    The first line that is not blank is a paragraph, then comes the medium with the second as
+    its caption, then the others, and at the end the medium again.
+    """
+    lead, caption, *rest = [*(line for line in text.splitlines() if line.strip()), "", ""]
     said = "".join(f"<p>{escape(line)}</p>" for line in rest)
-    return f'<article><figure><audio src="sha256:{digest}"></audio><figcaption>{escape(caption)}</figcaption></figure>{said}</article>'
+    return f'<article><p>{escape(lead)}</p><figure><audio src="sha256:{digest}"></audio><figcaption>{escape(caption)}</figcaption></figure>{said}<audio src="sha256:{digest}" alt="again"></audio></article>'
 
 
-def page_of(id_col: str, digest_col: str, text_col: str):
-    """Pages of (id_col, digest_col, text_col), see ``page_html``."""
+def pages_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, html): the page of each text; null and empty texts are a page of their medium alone."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            pages = [page_html(d, t) for d, t in zip(batch.column(1).to_pylist(), as_text(batch.column(2)))]
+            pages = [page_html(hashlib.sha256(x).hexdigest(), x.decode("utf-8", "replace")) for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string())], names=[id_col, "html"])
 
-    return build
+    return map_arrow(df.select(id_col, text_col), build, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, html string")

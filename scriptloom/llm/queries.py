@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import durable, read_table, scratch_folder
 from . import bpe, lattice, lm, media, minhash, mixing, pii, quality, secret_scan, toxicity
-from .common import crc_fold, map_arrow
+from .common import crc_fold
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +37,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    hashes = ("payload_sha256", "media_sha256")
-    # shuffled are digests as bytes, and captions as part of the sequence alone
-    stored = media.store_media(docs, "doc_id", "text", with_media=False).withColumns({c: F.unhex(c) for c in ("digest", *hashes)})
-    pages = map_arrow(docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest"), "text"), media.page_of("doc_id", "digest", "text"), "doc_id long, html string")
-    refs = media.references(media.interleave(pages, "doc_id", "html"), "doc_id").drop("caption").withColumn("digest", F.unhex("digest"))
-    found = media.resolve(refs, stored.drop("doc_id")).withColumns({c: F.lower(F.hex(c)) for c in hashes}).withColumn("caption", F.get("items", "position")["caption"])
-    return found.select("doc_id", "position", "caption", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "items")
+    with scratch_folder(spark, "media") as folder:
+        index = durable(media.index_media(media.store_media(docs, "text", folder)).drop("file", "row"))
+    sequences = media.interleave(media.pages_of(docs, "doc_id", "text"), "doc_id", "html")
+    # of the sequence and its captions only digests are shuffled
+    ordered = sequences.select("doc_id", "items", F.size("items").alias("n_items"), F.sha2(F.to_json("items").cast("binary"), 256).alias("items_sha256"))
+    refs = media.references(ordered, ["doc_id", "n_items", "items_sha256"]).withColumns({"items_sha256": F.unhex("items_sha256"), "positions": F.array_join("positions", ","), "captions_sha256": F.unhex(F.sha2(F.to_json("captions").cast("binary"), 256))}).drop("captions")
+    found = media.resolve(refs, index)
+    hashes = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256", "items_sha256", "captions_sha256")}
+    return found.withColumns(hashes).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "positions", "n_items", "items_sha256", "captions_sha256")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,36 +110,99 @@ def test_lattice_misses_few_pairs_at_the_threshold():
     assert lattice._met_before(lattice.TABLES, *sides[0], *sides[1]).mean() >= 0.998
 
 
-def test_media_payloads(spark, rows):
-    got = {r["doc_id"]: r for r in queries()["op6_media"](spark, "/root/testdata/sf0.001").collect()}
+def whole_lines(text):
+    return [" ".join(line.split()) for line in (text or "").splitlines() if line.strip()]
+
+
+def page_items(text):
+    """What a page of the text shows, from its lines."""
+    lines = whole_lines(text)
+    first = [("text", lines[0], None)] if lines else []
+    return [*first, ("media", None, lines[1] if len(lines) > 1 else None), *(("text", line, None) for line in lines[2:]), ("media", None, "again")]
+
+
+def described(text):
+    raw = (text or "").encode()
+    payload = raw + bytes(-len(raw) % 64) if raw else bytes(64)
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(media.to_wav(payload)).hexdigest()
+
+
+def described_row(r):
+    return r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]
+
+
+CONTRACT = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def test_media_payloads(spark, sf_dir, rows):
+    df = queries()["op6_media"](spark, sf_dir)
+    assert df.columns[: len(CONTRACT)] == CONTRACT
+    got = {r["doc_id"]: r for r in df.collect()}
     assert len(got) == len(rows)
     for i, t in rows:
-        raw = t.encode()
-        payload = raw + bytes(-len(raw) % 64) if raw else bytes(64)
-        r = got[i]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
-        assert r["position"] == 0
+        assert described_row(got[i]) == described(t)
+        items = page_items(t)
+        assert got[i]["n_items"] == len(items) and got[i]["positions"] == ",".join(str(k) for k, x in enumerate(items) if x[0] == "media")
+    assert sum(not r["positions"].startswith("0") for r in got.values()) > 0.9 * len(rows)
+
+
+def test_media_query_on_odd_rows(spark, edge_docs, no_docs, tmp_path):
+    for name, docs, count in (("edge", edge_docs, 11), ("none", no_docs, 0)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = queries()["op6_media"](spark, f"{tmp_path}/{name}").collect()
+        want = sorted(((r["doc_id"] or 0, *described(r["text"])) for r in docs.select("doc_id", "text").collect()), key=str)
+        assert len(got) == count and sorted(((r["doc_id"] or 0, *described_row(r)) for r in got), key=str) == want
+    assert {r["positions"] for r in queries()["op6_media"](spark, f"{tmp_path}/edge").where("doc_id in (1, 2, 3)").collect()} == {"0,1"}
+
+
+def test_stored_bytes_are_resolved_and_fetched(spark, docs, rows, tmp_path):
+    store = media.store_media(docs, "text", f"{tmp_path}/store")
+    index = media.index_media(store)
+    assert index.count() == len({t for _, t in rows}) < len(rows) == store.count()
+    refs = media.references(media.interleave(media.pages_of(docs, "doc_id", "text"), "doc_id", "html"), ["doc_id"])
+    lost = spark.createDataFrame([(-1, b"x" * 32, [3], ["c"])], "doc_id long, digest binary, positions array<int>, captions array<string>")
+    found = media.fetch(media.resolve(refs.unionByName(lost), index), store)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got[-1]["media"] is None and got[-1]["n_bytes"] is None and got[-1]["positions"] == [3] and got[-1]["captions"] == ["c"]
+    for i, t in rows:
+        back = media.from_wav(bytes(got[i]["media"]))
+        assert back == media.payload_of(t.encode()) and zlib.crc32(back[-64:]) == got[i]["tail_crc32"]
+        want = [(k, x[2]) for k, x in enumerate(page_items(t)) if x[0] == "media"]
+        assert list(zip(got[i]["positions"], got[i]["captions"])) == want
 
 
-def test_media_pages_hold_the_whole_text(spark, rows):
+def test_pages_hold_the_whole_text(spark, docs, rows):
     texts = dict(rows)
-    for r in queries()["op6_media"](spark, "/root/testdata/sf0.001").collect():
-        lines = [" ".join(line.split()) for line in texts[r["doc_id"]].splitlines() if line.strip()] or [None]
-        assert r["caption"] == lines[0]
-        assert [(x["position"], x["kind"], x["text"], x["caption"]) for x in r["items"]] == [(0, "media", None, lines[0]), *((i, "text", line, None) for i, line in enumerate(lines[1:], 1))]
-    assert media.parse_page(media.page_html("d", "a <b> & c\n\n x  y\r\nz")) == [(0, "media", None, "sha256:d", "a <b> & c"), (1, "text", "x y", None, None), (2, "text", "z", None, None)]
-
-
-def test_pages_keep_order_and_captions(spark, sf_dir):
-    page = "<p>One <b>two</b></p><figure><img src='a.png' alt='x'><figcaption>Cap &amp; tion</figcaption></figure><script>no</script><p>three<img src='b.png' alt='alt'>four"
-    assert media.parse_page(page) == [(0, "text", "One two", None, None), (1, "media", None, "a.png", "Cap & tion"), (2, "text", "three", None, None), (3, "media", None, "b.png", "alt"), (4, "text", "four", None, None)]
+    for r in media.interleave(media.pages_of(docs, "doc_id", "text"), "doc_id", "html").collect():
+        assert [(x["kind"], x["text"], x["caption"]) for x in r["items"]] == page_items(texts[r["doc_id"]])
+        assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
+
+
+@pytest.mark.parametrize(
+    "page, items",
+    [
+        ("<p>One <b>two</b></p><figure><img src='a.png' alt='x'><figcaption>Cap &amp; tion</figcaption></figure><script>no</script><p>three<img src='b.png' alt='alt'>four", [("text", "One two"), ("media", "a.png", "Cap & tion"), ("text", "three"), ("media", "b.png", "alt"), ("text", "four")]),
+        ("<figure><figcaption>cap</figcaption><img src=a><img src=b></figure>", [("media", "a", "cap"), ("media", "b", "cap")]),
+        ("<figure><img src=a><figcaption>cap</figure><p>rest</p>", [("media", "a", "cap"), ("text", "rest")]),
+        ("<figure><img src=a alt=z><figcaption>never closed", [("media", "a", "never closed")]),
+        ("<article><figure><img src=a><figcaption>cap</article><p>rest", [("media", "a", "cap"), ("text", "rest")]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>t", [("media", "a", "out"), ("media", "b", "in"), ("text", "t")]),
+        ("<p>a</p><noscript>x<p>b</p>", [("text", "a"), ("text", "x"), ("text", "b")]),
+        ("a<noscript>x<img src=q></noscript>b<template>y</template>c", [("text", "abc")]),
+        ("<figcaption>loose</figcaption>x", [("text", "loose"), ("text", "x")]),
+        ("<figure></figure></figure></p></article>", []),
+        ("", []),
+    ],
+)
+def test_pages_keep_order_and_captions(page, items):
+    want = [(i, kind, value if kind == "text" else None, value if kind == "media" else None, caption[0] if caption else None) for i, (kind, value, *caption) in enumerate(items)]
+    assert media.parse_page(page) == want
+
+
+def test_raw_pages_are_parsed(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     seqs = media.interleave(pages, "page_id", "html").collect()
     assert len(seqs) == pages.count() and all([x["position"] for x in r["items"]] == list(range(len(r["items"]))) for r in seqs)
-    refs = spark.createDataFrame([(1, 0, "c", "d1"), (2, 4, None, "d1"), (3, 0, None, "zz")], "doc_id long, position int, caption string, digest string")
-    store = spark.createDataFrame([("d1", 7), ("d1", 7)], "digest string, n_bytes long")
-    assert sorted((r["doc_id"], r["position"], r["n_bytes"]) for r in media.resolve(refs, store).collect()) == [(1, 0, 7), (2, 4, 7)]
 
 
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
@@ -164,7 +227,4 @@ def test_edge_cases(edge_docs, no_docs):
     mixed = mixing.mix(edge_docs, F.expr(DOMAIN_SQL), WEIGHTS, 60, 2)
     assert mixed.columns == ["doc_id", "domain", "lang", "source", "n_tokens", "epoch"] and mixed.count() > 0
     assert mixing.mix(no_docs, F.expr(DOMAIN_SQL), WEIGHTS, 60, 2).count() == 0
-    stored = media.store_media(edge_docs, "doc_id", "text")
-    assert {r["payload_bytes"] for r in stored.where("doc_id in (1, 2)").collect()} == {64}
     assert media.interleave(edge_docs, "doc_id", "text").count() == edge_docs.count()
-    assert media.store_media(no_docs, "doc_id", "text").count() == 0
