@@ -45,6 +45,7 @@ ANCHORED = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     "pem": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----"),
 }
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]++")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,7 +99,8 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; code points, end exclusive.
 
     Per kind the spans are those of a leftmost, non-overlapping search with failing matches
-    dropped: a match that does not validate still moves the search to its end.
+    dropped: a match that does not validate still moves the search to its end. No part of the
+    text is scanned by more than a fixed number of hits, so the time is linear.
     """
     spans = [("hex", *m.span()) for m in HEX_RUN.finditer(text)]
     folded = text.lower() if text.isascii() else text.encode().lower().decode()
@@ -108,10 +110,14 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     for kind, starts in hits.items():
         done, pattern = 0, ANCHORED[kind]
         for start in sorted(starts):
-            if start >= done and (match := pattern.match(text, start)):
+            if start < done:
+                continue
+            if match := pattern.match(text, start):
                 done = match.end()
                 if _validates(kind, match):
                     spans.append((kind, start, done))
+            elif kind == "jwt":  # a hit further on in the same run of letters would fail alike
+                done = JWT_RUN.match(text, start).end()
     return sorted(spans, key=lambda s: (s[1], ORDER[s[0]]))
 
 
