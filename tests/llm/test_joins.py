@@ -65,49 +65,113 @@ def test_components_of_paths_and_stars(spark, limit):
     assert got == {i: 100 for i in range(101, 161)} | {k: 500 for k in range(501, 560)} | {900: 2} and n == len(got)
 
 
-def test_near_vectors_equal_all_pairs(spark):
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def true_links(v, label, threshold):
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    close = (unit @ unit.T >= threshold) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(close, False)
+    forest = Forest(range(len(v)))
+    for a, b in zip(*np.nonzero(close)):
+        forest.join(int(a), int(b))
+    return close, forest
+
+
+@pytest.mark.parametrize("limit, most_bits", [(stars.BROADCAST_ROWS, lattice.MOST_BITS), (0, 1 << 16)])
+def test_near_vectors_equal_all_pairs(spark, limit, most_bits):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 64))
     v = np.concatenate([base, base[:20] + rng.normal(size=(20, 64)) * 0.05, base[:1] + rng.normal(size=(300, 64)) * 0.12, np.repeat(base[3:4], 6, axis=0), base[5:6] * 3])
     label = [int(x) for x in rng.integers(0, 2, len(v))]
     every = [(i, x.tolist(), lab) for i, (x, lab) in enumerate(zip(v, label))]
     odd = [(1000, None, 1), (1001, [0.0] * 64, 1), (1002, [float("nan")] * 64, 1), (1003, v[0].tolist(), None), (1004, [None] + [1.0] * 63, 0), (1005, [], 0), (1006, [1.0, 2.0], 0), (1007, [2.0, 4.0], 0), (1008, [float("inf")] + [1.0] * 63, 0)]
-    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame(every + odd, "vec_id long, embedding array<double>, label int")).collect()}
-    unit = v / np.linalg.norm(v, axis=1)[:, None]
-    close = (unit @ unit.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
-    np.fill_diagonal(close, False)
-    forest = Forest(range(len(v)))
-    for a, b in zip(*np.nonzero(close)):
-        forest.join(int(a), int(b))
+    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame(every + odd, VECTORS), limit=limit, most_bits=most_bits).collect()}
+    close, forest = true_links(v, label, 0.93)
     found, true = sum(got[i]["n_links"] for i in range(len(v))), int(close.sum())
     assert all(got[i]["n_links"] <= int(close[i].sum()) for i in range(len(v)))
-    assert found >= 0.97 * true
+    assert found >= 0.99 * true
     assert sum(got[i]["component_id"] != forest.top(i) for i in range(len(v))) <= 2
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (1000, 1001, 1002, 1003, 1004, 1005, 1008))
     assert got[1007]["component_id"] == 1006 and got[1006]["n_links"] == 1
 
 
-def test_lattice_decodes_to_the_nearest_point_and_recalls():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 8)) * 2
-    gap = x - lattice.nearest_e8(x)
-    assert all((g @ g) <= ((g - lattice.ROOTS) ** 2).sum(axis=1).min() + 1e-9 for g in gap)
-    u = lattice._unit(rng.normal(size=(1500, 64)))
-    w = rng.normal(size=u.shape)
-    w = lattice._unit(w - (w * u).sum(axis=1)[:, None] * u)
-    salt = np.zeros(len(u), np.uint64)
-    sides = [lattice.cells(y, salt, lattice.TABLES, lattice.VISITS, lattice.SCALE) for y in (u, 0.93 * u + (1 - 0.93**2) ** 0.5 * w)]
-    assert lattice._met_before(lattice.TABLES, *sides[0], *sides[1]).mean() >= 0.95
+@pytest.mark.parametrize("small, block", [(256, 1024), (64, 128), (4, 64)])
+def test_dense_cells_are_compared_in_blocks(spark, monkeypatch, small, block):
+    """A group of 900 different near copies of one label: one cell has them all, cut into one block or many."""
+    monkeypatch.setattr(lattice, "SMALL", small)
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1, 32)) + rng.normal(size=(900, 32)) * rng.uniform(0.02, 0.35, size=(900, 1))
+    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], VECTORS)).collect()}
+    close, forest = true_links(v, [1] * len(v), 0.93)
+    assert all(got[i]["n_links"] <= int(close[i].sum()) for i in range(len(v)))
+    assert sum(got[i]["n_links"] for i in range(len(v))) >= 0.999 * close.sum() > 100_000
+    assert sum(got[i]["component_id"] != forest.top(i) for i in range(len(v))) <= 2
 
 
-def test_lattice_misses_few_pairs_at_the_threshold():
+@pytest.mark.parametrize("dims, threshold", [(16, 0.9), (64, 0.8), (128, 0.97)])
+def test_other_thresholds_and_lengths(spark, dims, threshold):
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=(60, dims))
+    near = np.concatenate([base + rng.normal(size=base.shape) * f for f in (0.1, 0.25, 0.5, 0.75)])
+    v = np.concatenate([base, near])
+    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], VECTORS), threshold=threshold).collect()}
+    close, _ = true_links(v, [1] * len(v), threshold)
+    assert all(got[i]["n_links"] <= int(close[i].sum()) for i in range(len(v)))
+    assert sum(got[i]["n_links"] for i in range(len(v))) >= 0.99 * close.sum() > 50
+
+
+def test_odd_vector_tables(spark):
+    clash = "vec_id long, embedding array<float>, label int, id long, cell long, rep long, digest string, vector string, n int, home string, v long, u long"
+    rest = (1, 2, 3, "d", "v", 4, "h", 5, 6)
+    x, y = [1.0, 2.0, 3.0], [3.0, -2.0, 1.0]
+    rows = [(5, x, 1, *rest), (5, x, 1, *rest), (7, x, 1, *rest), (None, x, 1, *rest), (8, y, 1, *rest), (9, [0.0, 0.0, 1.0], 1, *rest), (10, [-0.0, 0.0, 1.0], 1, *rest)]
+    got = sorted((tuple(r) for r in lattice.near_vectors(spark.createDataFrame(rows, clash)).collect()), key=str)
+    assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (None, 0, None, True), (8, 0, 8, True), (9, 1, 9, True), (10, 1, 9, False)], key=str)
+    assert lattice.near_vectors(spark.createDataFrame([], clash)).count() == 0
+    nothing = spark.createDataFrame([(1, None, 1), (2, [], 1), (3, [1.0], None)], VECTORS)
+    assert sorted(map(tuple, lattice.near_vectors(nothing).collect())) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+    with pytest.raises(ValueError):
+        lattice.near_vectors(nothing, threshold=0.0)
+
+
+def recall(dims, threshold, count):
     rng = np.random.default_rng(7)
-    u = lattice._unit(rng.normal(size=(8000, 64)))
+    u = lattice._unit(rng.normal(size=(count, dims)))
     w = rng.normal(size=u.shape)
     w = lattice._unit(w - (w * u).sum(axis=1)[:, None] * u)
     salt = np.zeros(len(u), np.uint64)
-    sides = [lattice.cells(y, salt, lattice.TABLES, lattice.VISITS, lattice.SCALE) for y in (u, 0.93 * u + (1 - 0.93**2) ** 0.5 * w)]
-    assert lattice._met_before(lattice.TABLES, *sides[0], *sides[1]).mean() >= 0.998
+    sides = [lattice.cells(y, salt, lattice.TABLES, lattice.VISITS, lattice.scale_for(threshold)) for y in (u, threshold * u + (1 - threshold**2) ** 0.5 * w)]
+    return lattice._met_before(lattice.TABLES, *sides[0], *sides[1]).mean()
+
+
+def test_lattice_decodes_to_the_nearest_point():
+    x = np.random.default_rng(1).normal(size=(300, 8)) * 2
+    gap = x - lattice.nearest_e8(x)
+    assert all((g @ g) <= ((g - lattice.ROOTS) ** 2).sum(axis=1).min() + 1e-9 for g in gap)
+
+
+@pytest.mark.parametrize("dims", [8, 16, 64, 384])
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9, 0.93, 0.99])
+def test_lattice_misses_few_pairs_at_any_threshold(dims, threshold):
+    assert recall(dims, threshold, 2000) >= 0.995
+
+
+def test_lattice_misses_few_pairs_at_the_threshold():
+    assert recall(64, 0.93, 8000) >= 0.998
+
+
+def test_trees_span_what_links_join():
+    rng = np.random.default_rng(4)
+    trees, forest, count = lattice.Trees(300), Forest(range(300)), 0
+    for _ in range(10):
+        a, b = rng.integers(0, 300, 25), rng.integers(0, 300, 25)
+        trees.add(a, b)
+        for x, y in zip(a.tolist(), b.tolist()):
+            count += forest.top(x) != forest.top(y)
+            forest.join(x, y)
+    assert len(trees.links) == count and [int(x) for x in trees.label] == [forest.top(i) for i in range(300)]
 
 
 def whole_lines(text):
