@@ -6,26 +6,30 @@ repeated membership probes, one level after the other until one fails, and stand
 count of its range. Bigram and unigram counts so read are interpolated.
 
 Counting. Tokens are hashed to 64 bits. Workers count n-grams of about a million positions at
-a time and send them on by hash segment as packed arrays; one task for each segment adds them
+a time and send them on by hash segment as packed arrays; one group for each segment adds them
 up and builds the segment's bits of the filter. The number of segments grows with the bytes of
 the corpus, so a segment stays small at any size, and a frequent n-gram is one entry of each
-array. The filter is broadcast in parts of at most ``PART_BYTES``, which is all of it that the
-driver or a worker holds in memory at a time; a worker asks one part after the other about the
-same stretch of positions, since a segment is in one part and levels add up.
+array.
+
+Scoring goes by stretches of about ``POSITIONS`` positions, in which every n-gram is looked up
+once. A filter of at most ``PART_BYTES`` is broadcast and probed where the text is read. A
+larger one never leaves its segments: the distinct n-grams of a stretch go there, are probed,
+and their levels return. Both ways give the same levels.
 
 The base score needs exact counts of all tokens. Tokens with at least 1/``HEAVY`` of all
-occurrences, of which there cannot be more than ``HEAVY``, are broadcast. The others meet
-their counts by segment, as packed arrays, in the same pass.
+occurrences, of which there cannot be more than ``HEAVY``, are broadcast. The others are sent,
+once for each stretch that has them, to their segment and meet their counts there. So a token
+that no training text has, however often it occurs, is one entry of a stretch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +42,14 @@ END = b" "
 #: Bytes of text for each segment.
 SEGMENT_BYTES = 8 << 20
 MIN_SEGMENTS = 64
+#: Segments that a task of the scoring pass handles, one after the other.
+SEGMENTS_A_TASK = 16
 #: At most so many tokens are broadcast with exact counts.
 HEAVY = 1 << 21
-#: Largest part of the filter that is broadcast at once.
+#: Largest filter that is broadcast.
 PART_BYTES = 256 << 20
-BITS_PER_ENTRY = 6
-HASHES = 4
+BITS_PER_ENTRY = 8
+HASHES = 5
 #: Positions that a worker handles at once.
 POSITIONS = 400_000
 #: Weight of the bigram estimate.
@@ -90,15 +96,15 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
 
 
-def bit_places(keys: np.ndarray, level: int | np.ndarray, sizes: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Places, below ``sizes`` bits, of (key, level) for each hash function."""
-    seed = (keys ^ (np.uint64(0x51ED270B) * np.asarray(level).astype(np.uint64))) * MIX_A
+def _walk(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the places of (key, level)."""
+    seed = (keys ^ np.uint64(0x51ED270B * level & 0xFFFFFFFFFFFFFFFF)) * MIX_A
     seed ^= seed >> np.uint64(31)
-    step = (seed * MIX_B) | np.uint64(1)
-    size = np.asarray(sizes).astype(np.uint64)
-    for _ in range(HASHES):
-        seed = seed + step
-        yield ((seed >> np.uint64(32)) * size) >> np.uint64(32)
+    return seed, (seed * MIX_B) | np.uint64(1)
+
+
+def _place(seed: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+    return ((seed >> np.uint64(32)) * size) >> np.uint64(32)
 
 
 def filter_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -107,13 +113,33 @@ def filter_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
     size = max(8, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for place in bit_places(keys[levels >= level], level, size):
-            bits[place] = True
+        seed, step = _walk(keys[levels >= level], level)
+        for _ in range(HASHES):
+            seed = seed + step
+            bits[_place(seed, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def levels_in(bits: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each key, by repeated probes of the ``size`` bits that begin at byte ``start``."""
+    out = np.zeros(len(keys), np.int64)
+    active = np.flatnonzero(size > 0)
+    level = 1
+    while len(active):
+        left = active
+        seed, step = _walk(keys[left], level)
+        for _ in range(HASHES):
+            seed = seed + step
+            place = _place(seed, size[left].astype(np.uint64)).astype(np.int64)
+            held = (bits[start[left] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+            left, seed, step = left[held], seed[held], step[held]
+        out[left] = level
+        active, level = left, level + 1
+    return out
+
+
 class LevelFilter:
-    """Segments of the filter side by side; segments that are absent hold nothing."""
+    """The whole filter: segments side by side; segments that are absent hold nothing."""
 
     def __init__(self, segments: int, parts: dict[int, bytes]):
         self.segments = segments
@@ -123,22 +149,9 @@ class LevelFilter:
         self.size = sizes * 8
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram hash, by repeated probes."""
+        """The level of each n-gram hash."""
         segment = segment_of(hashes, self.segments)
-        keys, start, size = hashes & LOW, self.start[segment], self.size[segment]
-        out = np.zeros(len(hashes), np.int64)
-        active = np.flatnonzero(size > 0)
-        level = 1
-        while len(active):
-            left = active
-            for k in range(HASHES):
-                if not len(left):
-                    break
-                place = next(p for i, p in enumerate(bit_places(keys[left], level, size[left])) if i == k).astype(np.int64)
-                left = left[(self.bits[start[left] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1]
-            out[left] = level
-            active, level = left, level + 1
-        return out
+        return levels_in(self.bits, self.start[segment], self.size[segment], hashes & LOW)
 
 
 def text_hashes(text: bytes) -> np.ndarray:
@@ -248,35 +261,93 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, li
         yield pa.concat_arrays(ids), found
 
 
-class Asked:
-    """The n-grams of a stretch of positions and what the filter says of them."""
+class Stretch:
+    """Consecutive texts with their distinct words and pairs, each numbered in the order of its segment."""
+
+    def __init__(self, hashes: list[np.ndarray], segments: int):
+        self.lengths = np.array([len(h) for h in hashes])
+        self.starts = np.cumsum([0, *self.lengths[:-1]])
+        tokens = np.concatenate(hashes)
+        self.codes, self.words, self.word_edges = _numbered(tokens, segments)
+        before = histories(tokens, self.starts)
+        self.pair_codes, self.pairs, self.pair_edges = _numbered(mix(before, tokens), segments)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of values by position, by text."""
+        return np.add.reduceat(values, self.starts)
+
+
+def _numbered(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code by position, distinct keys by code, edges of the segments in these)."""
+    codes, distinct = pd.factorize(keys)
+    segment = segment_of(distinct, segments)
+    order = np.argsort(segment, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return rank[codes], distinct[order], np.searchsorted(segment[order], np.arange(segments + 1))
 
-    def __init__(self, tokens: np.ndarray, starts: np.ndarray):
-        before = histories(tokens, starts)
-        self.codes, words = pd.factorize(tokens)
-        self.codes_before, words_before = pd.factorize(before)
-        self.keys = (words, words_before, mix(before, tokens))
-        self.levels = [np.zeros(len(k), np.int64) for k in self.keys]
 
-    def ask(self, part: LevelFilter) -> None:
-        for known, keys in zip(self.levels, self.keys):
-            known += part.levels(keys)
+def log_probabilities(codes: np.ndarray, pair_codes: np.ndarray, starts: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
+    """log10 P(token | history) by position, from the levels of distinct words and pairs."""
+    count, of_pair = count_at(word_levels), count_at(pair_levels)[pair_codes]
+    unigram = ((count + 0.5) / (n_tokens + 0.5 * (n_words + 1)))[codes]
+    of_history = np.roll(count[codes], 1)
+    of_history[starts] = count[codes[-1]]  # the last token is an end, as is the history of a first token
+    bigram = np.minimum(of_pair, of_history) / np.maximum(of_history, 1)
+    return np.log10(np.where(of_history > 0, LAMBDA * bigram + (1 - LAMBDA) * unigram, unigram))
 
-    def scores(self, n_tokens: int, n_words: int) -> np.ndarray:
-        """log10 P(token | history) by position."""
-        count, of_history, of_pair = (count_at(x) for x in self.levels)
-        unigram = ((count + 0.5) / (n_tokens + 0.5 * (n_words + 1)))[self.codes]
-        of_history = of_history[self.codes_before]
-        bigram = np.minimum(of_pair, of_history) / np.maximum(of_history, 1)
-        return np.log10(np.where(of_history > 0, LAMBDA * bigram + (1 - LAMBDA) * unigram, unigram))
 
+#: place: of the stretch. Questions: segment, words, pairs. Texts: the others, with segment to spread them.
+STRETCH = "place long, segment int, words binary, pairs binary, texts binary, rare binary, codes binary, pair_codes binary"
 
-def _once(shared) -> LevelFilter:
-    """A broadcast part, which the worker forgets when it goes to the next."""
-    value = shared.value
-    if hasattr(shared, "_value"):
-        del shared._value
-    return value
+
+def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, known: tuple[np.ndarray, np.ndarray], denominator: float, whole: LevelFilter | None, n_tokens: int, n_words: int) -> pa.RecordBatch:
+    """Rows of one stretch: its texts with what is known so far, then its questions by segment.
+
+    With the whole filter at hand questions are the words without a broadcast count; without
+    it they are all words and pairs, and the codes by position go along to score the answers.
+    """
+    stretch = Stretch(hashes, segments)
+    c = looked_up(stretch.words, *known)
+    rare = c == 0
+    logs = np.where(rare, 0.0, np.log10((c + 0.5) / denominator))
+    base, heavy = stretch.sums(logs[stretch.codes]), stretch.sums((~rare)[stretch.codes].astype(np.int64))
+    if whole is not None:
+        score = stretch.sums(log_probabilities(stretch.codes, stretch.pair_codes, stretch.starts, whole.levels(stretch.words), whole.levels(stretch.pairs), n_tokens, n_words))
+    else:
+        score = np.zeros(len(ids))
+    texts = pa.RecordBatch.from_arrays([ids, pa.array(stretch.lengths, pa.int64()), pa.array(heavy), pa.array(base), pa.array(score)], names=["id", "n_tokens", "n_known", "base", "score"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, texts.schema) as writer:
+        writer.write_batch(texts)
+    # what the texts ask: (text, word) once, with the times it occurs
+    asked = np.flatnonzero(rare) if whole is not None else np.arange(len(stretch.words))
+    number = np.full(len(stretch.words), -1, np.int64)
+    number[asked] = np.arange(len(asked))
+    at = np.flatnonzero(rare[stretch.codes])
+    owner = np.repeat(np.arange(len(ids), dtype=np.int64), stretch.lengths)[at]
+    pairs, times = np.unique(owner * max(1, len(asked)) + number[stretch.codes[at]], return_counts=True)
+    rare_rows = np.stack([pairs // max(1, len(asked)), pairs % max(1, len(asked)), times]).astype(np.int32)
+    word_edges = np.searchsorted(asked, stretch.word_edges)
+    pair_edges = stretch.pair_edges if whole is None else np.zeros(segments + 1, np.int64)
+    some = np.flatnonzero((word_edges[1:] > word_edges[:-1]) | (pair_edges[1:] > pair_edges[:-1]))
+    words = stretch.words[asked]
+    empty = [None] * len(some)
+    away = whole is None
+    home = int(np.uint64(place) * MIX_A % np.uint64(segments)) if place else 0
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([place] * (1 + len(some)), pa.int64()),
+            pa.array([home, *some.tolist()], pa.int32()),
+            pa.array([None, *(words[word_edges[s] : word_edges[s + 1]].tobytes() for s in some)], pa.binary()),
+            pa.array([None, *(packed(stretch.pairs[pair_edges[s] : pair_edges[s + 1]]) for s in some)], pa.binary()),
+            pa.array([sink.getvalue().to_pybytes(), *empty], pa.binary()),
+            pa.array([rare_rows.tobytes(), *empty], pa.binary()),
+            pa.array([stretch.codes.tobytes() if away else b"", *empty], pa.binary()),
+            pa.array([stretch.pair_codes.tobytes() if away else b"", *empty], pa.binary()),
+        ],
+        names=[c.split()[0] for c in STRETCH.split(", ")],
+    )
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, part_bytes: int = PART_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -295,97 +366,64 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     total = counts.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.length("bits"))).first()
     n_tokens, n_words, n_bytes = (x or 0 for x in total)
     denominator = n_tokens + 0.5 * (n_words + 1)
-    known = spark.sparkContext.broadcast(heavy_words(counts, max(1, -(-n_tokens // heavy))))
-    n_parts = max(1, -(-n_bytes // part_bytes))
-    parts = []
-    for part in range(n_parts):
-        rows = counts.where(F.col("segment") % n_parts == part).select("segment", "bits").toLocalIterator()
-        parts.append(spark.sparkContext.broadcast(LevelFilter(segments, {r["segment"]: bytes(r["bits"]) for r in rows})))
+    away = n_bytes > part_bytes
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    known = spark.sparkContext.broadcast(none if away else heavy_words(counts, max(1, -(-n_tokens // heavy))))
+    whole = None if away else spark.sparkContext.broadcast(LevelFilter(segments, {r["segment"]: bytes(r["bits"]) for r in counts.select("segment", "bits").toLocalIterator()}))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, found = known.value
         place = TaskContext.get().partitionId() << 32
-        for some in _together(_stretches(batches), 1 if n_parts == 1 else 12):
-            asked = [Asked(np.concatenate(h), np.cumsum([0, *map(len, h[:-1])])) for _, h in some]
-            for part in parts:
-                lm = part.value if n_parts == 1 else _once(part)
-                for x in asked:
-                    x.ask(lm)
-            for (ids, hashes), x in zip(some, asked):
-                yield _stretch(place, ids, hashes, keys, found, segments, denominator, x.scores(n_tokens, n_words))
-                place += 1
-
-    return _finish(map_arrow(texts, run, STRETCH), counts, segments, denominator, n_tokens, texts.schema["id"].dataType.simpleString(), id_col)
-
-
-def _together(stretches: Iterator, count: int) -> Iterator[list]:
-    while some := list(islice(stretches, count)):
-        yield some
-
-
-STRETCH = "place long, segment int, hashes binary, at binary, texts binary"
-
-
-def _stretch(place, ids, hashes, keys, found, segments, denominator, scores) -> pa.RecordBatch:
-    """Rows of one stretch: its texts with what is known so far, then rare tokens by segment."""
-    lengths = np.array([len(h) for h in hashes])
-    starts = np.cumsum([0, *lengths[:-1]])
-    tokens = np.concatenate(hashes)
-    codes, words = pd.factorize(tokens)
-    c = looked_up(words, keys, found)
-    logs = np.where(c > 0, np.log10((c + 0.5) / denominator), 0.0)[codes]
-    base, heavy = np.add.reduceat(logs, starts), np.add.reduceat((c > 0)[codes].astype(np.int64), starts)
-    score = np.add.reduceat(scores, starts)
-    texts = pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int64()), pa.array(heavy), pa.array(base), pa.array(score)], names=["id", "n_tokens", "n_known", "base", "score"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, texts.schema) as writer:
-        writer.write_batch(texts)
-    rare = np.flatnonzero((c == 0)[codes])
-    owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)[rare]
-    segment = segment_of(tokens[rare], segments)
-    order = np.argsort(segment, kind="stable")
-    segment, rare, owner = segment[order], rare[order], owner[order]
-    edges = np.searchsorted(segment, np.arange(segments + 1))
-    some = np.flatnonzero(edges[1:] > edges[:-1])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([place] * (1 + len(some)), pa.int64()),
-            pa.array([place % segments, *some.tolist()], pa.int32()),
-            pa.array([b"", *(tokens[rare[edges[s] : edges[s + 1]]].tobytes() for s in some)], pa.binary()),
-            pa.array([b"", *(owner[edges[s] : edges[s + 1]].tobytes() for s in some)], pa.binary()),
-            pa.array([sink.getvalue().to_pybytes(), *[None] * len(some)], pa.binary()),
-        ],
-        names=["place", "segment", "hashes", "at", "texts"],
-    )
+        for ids, hashes in _stretches(batches):
+            yield _rows(place, ids, hashes, segments, known.value, denominator, None if whole is None else whole.value, n_tokens, n_words)
+            place += 1
+
+    return _answered(map_arrow(texts, run, STRETCH), counts, segments, denominator, n_tokens, n_words, away, texts.schema["id"].dataType.simpleString(), id_col)
 
 
-def _finish(rows: DataFrame, counts: DataFrame, segments: int, denominator: float, n_tokens: int, id_type: str, id_col: str) -> DataFrame:
-    """Rare tokens meet their counts by segment; the sums return to their stretch."""
+ANSWERED = "place long, segment int, counts binary, word_levels binary, pair_levels binary, texts binary, rare binary, codes binary, pair_codes binary"
+
+
+def _answered(rows: DataFrame, counts: DataFrame, segments: int, denominator: float, n_tokens: int, n_words: int, away: bool, id_type: str, id_col: str) -> DataFrame:
+    """Questions meet counts and filter by segment; the answers return to their stretch.
+
+    Tasks are as many as segments allow, so what one of them reads does not grow with the corpus.
+    """
+    through = ("texts", "rare", "codes", "pair_codes")
 
     def meet(left, right):
-        words = np.frombuffer(right["words"][0].as_py(), np.uint64) if right.num_rows else np.empty(0, np.uint64)
-        n = np.frombuffer(right["word_counts"][0].as_py(), np.int64) if right.num_rows else np.empty(0, np.int64)
-        sums = []
-        for hashes, at, texts in zip(left["hashes"].to_pylist(), left["at"].to_pylist(), left["texts"].to_pylist()):
-            if texts is not None:
-                sums.append((b"", b"", b""))
+        some = right.num_rows > 0
+        words = np.frombuffer(right["words"][0].as_py(), np.uint64) if some else np.empty(0, np.uint64)
+        n = np.frombuffer(right["word_counts"][0].as_py(), np.int64) if some else np.empty(0, np.int64)
+        bits = np.frombuffer(right["bits"][0].as_py(), np.uint8) if some and away else np.empty(0, np.uint8)
+        levels = lambda keys: levels_in(bits, np.zeros(len(keys), np.int64), np.full(len(keys), 8 * len(bits)), keys).astype(np.uint8).tobytes()
+        answers = []
+        for asked, pairs in zip(left["words"].to_pylist(), left["pairs"].to_pylist()):
+            if asked is None:
+                answers.append((None, None, None))
                 continue
-            c = looked_up(np.frombuffer(hashes, np.uint64), words, n)
-            places, codes = np.unique(np.frombuffer(at, np.int32), return_inverse=True)
-            logs = np.bincount(codes, np.log10((c + 0.5) / denominator))
-            sums.append((places.tobytes(), logs.tobytes(), np.bincount(codes, c > 0).astype(np.int32).tobytes()))
-        at, logs, some = zip(*sums) if sums else ((), (), ())
-        return pa.table({"place": left["place"], "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary()), "known": pa.array(some, pa.binary()), "texts": left["texts"]})
+            keys = np.frombuffer(asked, np.uint64)
+            answers.append((looked_up(keys, words, n).tobytes(), levels(keys & LOW) if away else b"", levels(unpacked(pairs)) if away else b""))
+        columns = list(zip(*answers)) or [()] * 3
+        return pa.table({"place": left["place"], "segment": left["segment"]} | {c: pa.array(x, pa.binary()) for c, x in zip(("counts", "word_levels", "pair_levels"), columns)} | {c: left[c] for c in through})
 
     def gather(table):
-        texts = next(pa.ipc.open_stream(t).read_next_batch() for t in table["texts"].to_pylist() if t is not None)
-        base, known = (texts.column(c).to_numpy().copy() for c in ("base", "n_known"))
-        for at, logs, some in zip(*(table[c].to_pylist() for c in ("at", "logs", "known"))):
-            places = np.frombuffer(at, np.int32)
-            base[places] += np.frombuffer(logs, np.float64)
-            known[places] += np.frombuffer(some, np.int32)
-        return pa.table({id_col: texts.column("id"), "n_tokens": texts.column("n_tokens"), "n_known": pa.array(known), "train_tokens": pa.array([n_tokens] * len(base), pa.int64()), "base_score": pa.array(base), "score": texts.column("score")})
-
-    met = rows.groupBy("segment").cogroup(counts.select("segment", "words", "word_counts").groupBy("segment")).applyInArrow(meet, "place long, at binary, logs binary, known binary, texts binary")
-    return met.groupBy("place").applyInArrow(gather, f"`{id_col}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        table = table.take(pa.compute.sort_indices(table["segment"]))
+        said = table.filter(pa.compute.is_null(table["texts"]))
+        own = table.filter(pa.compute.is_valid(table["texts"])).to_pylist()[0]
+        c, word_levels, pair_levels = (np.frombuffer(b"".join(said[k].to_pylist()), kind) for k, kind in (("counts", np.int64), ("word_levels", np.uint8), ("pair_levels", np.uint8)))
+        texts = pa.ipc.open_stream(own["texts"]).read_next_batch()
+        base, known, score = (texts.column(k).to_numpy().copy() for k in ("base", "n_known", "score"))
+        owner, word, times = np.frombuffer(own["rare"], np.int32).reshape(3, -1)
+        np.add.at(base, owner, times * np.log10((c[word] + 0.5) / denominator))
+        np.add.at(known, owner, times * (c[word] > 0))
+        if away:
+            starts = np.cumsum([0, *texts.column("n_tokens").to_pylist()[:-1]])
+            codes, pair_codes = (np.frombuffer(own[k], np.int32) for k in ("codes", "pair_codes"))
+            score = np.add.reduceat(log_probabilities(codes, pair_codes, starts, word_levels.astype(np.int64), pair_levels.astype(np.int64), n_tokens, n_words), starts)
+        return pa.table({id_col: texts.column("id"), "n_tokens": texts.column("n_tokens"), "n_known": pa.array(known), "train_tokens": pa.array([n_tokens] * len(base), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+
+    tasks = max(MIN_SEGMENTS, segments // SEGMENTS_A_TASK)
+    held = counts.select("segment", "words", "word_counts", *["bits"] * away)
+    met = rows.repartition(tasks, "segment").groupBy("segment").cogroup(held.repartition(tasks, "segment").groupBy("segment")).applyInArrow(meet, ANSWERED)
+    return met.repartition(tasks, "place").groupBy("place").applyInArrow(gather, f"`{id_col}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
