@@ -334,7 +334,7 @@ def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, kn
     words = stretch.words[asked]
     empty = [None] * len(some)
     away = whole is None
-    home = int(np.uint64(place) * MIX_A % np.uint64(segments)) if place else 0
+    home = ((place * int(MIX_A) & (1 << 64) - 1) >> 40) % segments
     return pa.RecordBatch.from_arrays(
         [
             pa.array([place] * (1 + len(some)), pa.int64()),
