@@ -41,6 +41,24 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def first_by_hash(ids: DataFrame, count: int, most: int) -> DataFrame:
+    """The ``most`` distinct values of ``_id``, of ``count`` rows, that come first by their hash.
+
+    A hash below a cutoff, which lets through a little more than ``most`` of ``count`` rows, is
+    asked for before rows are ordered, so the one task that orders them reads little more than
+    it keeps, whatever the table. Which values come first does not depend on the cutoff; where
+    repeated values leave too few below it, it is raised.
+    """
+    hashed = ids.select("*", F.xxhash64(F.col("_id").cast("string")).alias("_hash"))
+    share = 1.0 if count <= most else (most + 8 * most**0.5 + 64) / count
+    while True:
+        below = hashed if share >= 1 else hashed.where(F.col("_hash") < int((share - 0.5) * 2.0**64))
+        below = below.distinct()
+        if share >= 1 or below.count() >= most:
+            return below.orderBy("_hash", "_id").limit(most).drop("_hash")
+        share *= 4
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

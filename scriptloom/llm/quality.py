@@ -8,8 +8,10 @@ to the positive rows above the threshold. A model of one hidden layer then minim
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with the logistic loss, stepping back from the second term where it is negative.
 
-The fit uses at most ``max_positive`` and ``max_unlabelled`` rows, chosen by the hash of their
-id; everything is scored.
+The gradient steps use at most ``max_positive`` positives and ``max_unlabelled`` web texts,
+chosen by the hash of their id. The class prior is a statistic of the corpus: the plain score of
+every text of the fold goes into a histogram, and the prior is read off that. Everything is
+scored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, non_empty
+from .common import as_bytes, first_by_hash, map_arrow, non_empty
 
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 12_000
@@ -78,9 +80,11 @@ class QualityModel:
     layers: tuple[np.ndarray, ...]
     prior: float
 
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        return forward(self.layers, np.clip((x - self.mean) / self.scale, -6, 6))[1]
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = forward(self.layers, np.clip((x - self.mean) / self.scale, -6, 6))[1]
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.outputs(x), -60, 60)))
 
 
 def forward(layers, x):
@@ -101,6 +105,19 @@ def _gradient(layers, x, dz, decay):
     return [x.T @ dh + decay * w, dh.sum(axis=0), hidden.T @ dz + decay * v, np.array([dz.sum()])]
 
 
+def risk_slopes(zp: np.ndarray, zu: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the risk by the outputs for positive and for unlabelled rows; no prior: p against u.
+
+    The losses are ln(1 + e^-z) for the positive class and ln(1 + e^z) for the negative one.
+    Where the estimated negative risk is below zero, the step goes up that risk alone.
+    """
+    if prior is None:
+        return (_sigmoid(zp) - 1) / len(zp), _sigmoid(zu) / len(zu)
+    if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+        return prior * ((_sigmoid(zp) - 1) - _sigmoid(zp)) / len(zp), _sigmoid(zu) / len(zu)
+    return prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
+
+
 def minimise(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 1500, width: int = 24, batch: int = 512, rate: float = 4e-3, decay: float = 1e-4, seed: int = 5):
     """Layers that minimise the non-negative risk; without a prior, plain p against u."""
     rng = np.random.default_rng(seed)
@@ -109,16 +126,7 @@ def minimise(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 150
     for step in range(1, steps + 1):
         xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
         zp, zu = forward(layers, xp)[1], forward(layers, xu)[1]
-        if prior is None:
-            dp, du = (_sigmoid(zp) - 1) / batch, _sigmoid(zu) / batch
-        else:
-            # loss(z, +) = ln(1 + e^-z), loss(z, -) = ln(1 + e^z)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                dp = prior * ((_sigmoid(zp) - 1) - _sigmoid(zp)) / batch
-                du = _sigmoid(zu) / batch
-            else:
-                dp, du = prior * _sigmoid(zp) / batch, -_sigmoid(zu) / batch
+        dp, du = risk_slopes(zp, zu, prior)
         slopes = [a + b for a, b in zip(_gradient(layers, xp, dp, decay), _gradient(layers, xu, du, decay))]
         pace = rate * min(1.0, 3 * (1 - (step - 1) / steps))
         for i, g in enumerate(slopes):
@@ -128,20 +136,41 @@ def minimise(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 150
     return tuple(layers)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
-    """Best-bin estimate of the share of positives in u, from scores of rows kept apart."""
-    grid = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, 200))
+#: Thresholds at which the scores of the unlabelled are counted.
+GRID = 200
+
+
+def prior_grid(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Thresholds for best-bin estimation, from scores of samples."""
+    return np.quantile(np.concatenate([p, u]), np.linspace(0, 1, GRID))
+
+
+def binned(scores: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """How many scores reach as many of the thresholds as the place says, from none to all."""
+    return np.bincount(np.searchsorted(grid, scores, side="right"), minlength=len(grid) + 1)
+
+
+def estimate_prior(p: np.ndarray, bins: np.ndarray, grid: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Best-bin estimate of the share of positives among the unlabelled.
+
+    p: scores of positives that the score was not fitted on; bins: the unlabelled, see ``binned``.
+    """
+    n = bins.sum()
     above_p = np.array([(p >= c).mean() for c in grid])
-    above_u = np.array([(u >= c).mean() for c in grid])
-    slack = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
+    above_u = np.cumsum(bins[::-1])[::-1][1:] / n
+    slack = np.sqrt(np.log(4 / delta) / 2 / n) + np.sqrt(np.log(4 / delta) / 2 / len(p))
     ok = above_p >= gamma
     bound = (above_u[ok] + (1 + gamma) * slack) / above_p[ok]
     at = np.flatnonzero(ok)[bound.argmin()]
     return float(np.clip(above_u[at] / above_p[at], 0.05, 0.95))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
-    """No positives or nothing unlabelled: every text scores one half."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, count_bins=None) -> QualityModel:
+    """No positives or nothing unlabelled: every text scores one half.
+
+    count_bins(plain model, grid) bins the scores of all unlabelled texts; without it those of
+    the given rows that the plain model was not fitted on stand for them.
+    """
     if not len(positive) or not len(unlabelled):
         zero = (np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.zeros(1))
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), zero, 0.5)
@@ -150,7 +179,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     plain = minimise(p[::2], u[::2], None, steps=400)
     rest_p, rest_u = (p[1::2], u[1::2]) if min(len(p), len(u)) > 1 else (p, u)
-    prior = estimate_prior(forward(plain, rest_p)[1], forward(plain, rest_u)[1])
+    score_p, score_u = forward(plain, rest_p)[1], forward(plain, rest_u)[1]
+    grid = prior_grid(score_p, score_u)
+    bins = binned(score_u, grid) if count_bins is None else count_bins(QualityModel(mean, scale, plain, 0.5), grid)
+    prior = estimate_prior(score_p, bins, grid)
     return QualityModel(mean, scale, minimise(p, u, prior), prior)
 
 
@@ -158,13 +190,14 @@ def train(docs: DataFrame, labels: DataFrame, fold, label_col: str = "quality",
     """Fit on positives of the labels and unlabelled texts, both within ``fold(id column)``.
 
     The chosen ids (a bounded number) are broadcast to the texts; no text is shuffled. An id
-    that is labelled both ways is no positive.
+    that is labelled both ways is no positive; null ids and labels teach nothing. Null and
+    empty texts have features of their own; rows that repeat an id count as often as they come.
     """
-    fold_of = fold if callable(fold) else (lambda _: F.lit(True))
-    order = F.xxhash64(F.col("_id").cast("string"))
     once = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"))
-    positive = once.where((F.col("y") == 1) & fold_of(F.col("_id"))).orderBy(order, "_id").limit(max_positive).select("_id", F.lit(1).alias("positive"))
-    web = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & fold_of(F.col("_id"))).orderBy(order, "_id").limit(max_unlabelled).distinct().select("_id", F.lit(0).alias("positive"))
+    good = once.where((F.col("y") == 1) & fold(F.col("_id"))).select("_id")
+    positive = first_by_hash(good, good.count(), max_positive).select("_id", F.lit(1).alias("positive"))
+    every = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("_id").isNotNull() & fold(F.col("_id")))
+    web = first_by_hash(every.select("_id"), every.count(), max_unlabelled).select("_id", F.lit(0).alias("positive"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(positive.unionByName(web)), "_id").select("text", "positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +213,22 @@ def train(docs: DataFrame, labels: DataFrame, fold, label_col: str = "quality",
     rng = np.random.default_rng(3)
     shuffled = rng.permutation(len(x))
     x, y = x[shuffled], y[shuffled]
-    return fit(x[y == 1], x[y == 0])
+
+
+    def count_bins(model: QualityModel, grid: np.ndarray) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(len(grid) + 1, np.int64)
+            for batch in non_empty(batches):
+                seen += binned(model.outputs(np.stack([features(t) for t in as_bytes(batch.column(0))])), grid)
+            some = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["bin", "n"])
+
+        out = np.zeros(len(grid) + 1)
+        for r in map_arrow(every.select("text"), count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            out[r["bin"]] = r["n"]
+        return out
+
+    return fit(x[y == 1], x[y == 0], count_bins)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

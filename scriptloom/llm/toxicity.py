@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, non_empty
+from .common import as_bytes, first_by_hash, map_arrow, non_empty
 
 LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bound of the labelled documents of each class on which the model is fitted.
@@ -138,12 +138,17 @@ class ToxicModel:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, a * self.evidence(text) + b))))
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, mass: float = 200.0) -> dict[bytes, float]:
+def least_docs(n_toxic: int) -> int:
+    """Toxic documents that a token with a weight is in: ``MIN_DOCS``, fewer where few are labelled."""
+    return max(2, min(MIN_DOCS, n_toxic // 25))
+
+
+def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int = MIN_DOCS, mass: float = 200.0) -> dict[bytes, float]:
     """Token scores under the Dirichlet prior, from document frequencies of both classes."""
     out = {}
     total = n_toxic + n_clean
     for word, y in toxic.items():
-        if y < MIN_DOCS:
+        if y < least:
             continue
         x = clean.get(word, 0)
         prior = mass * (x + y) / total
@@ -185,20 +190,31 @@ def labelled(labels: DataFrame, label_col: str, fold: Column, id_col: str = "doc
     return labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & fold).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_most")).where("y = _most").select(id_col, "y")
 
 
+def class_counts(labels: DataFrame, label_col: str, fold: Column, id_col: str = "doc_id") -> dict[int, int]:
+    """Labelled documents of the fold by class."""
+    return {int(r["y"]): r["count"] for r in labelled(labels, label_col, fold, id_col).groupBy("y").count().collect()}
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, fold: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, y) of at most ``max_rows`` labelled documents of each class in the fold.
 
     Ids are taken in the order of their hash, so the choice depends on nothing else. The chosen
     ids, at most twice ``max_rows``, are broadcast, so the texts are not shuffled.
     """
-    once = labelled(labels, label_col, fold, id_col)
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    picked = [once.where(F.col("y") == c).select(F.col(id_col).alias("_id"), "y").orderBy(order, "_id").limit(max_rows) for c in (0, 1)]
+    once = labelled(labels, label_col, fold, id_col).select(F.col(id_col).alias("_id"), "y")
+    count = class_counts(labels, label_col, fold, id_col)
+    picked = [first_by_hash(once.where(F.col("y") == c), count.get(c, 0), max_rows) for c in (0, 1)]
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
-    """Fit on the labelled rows of the fold; without rows of both classes nothing scores."""
+    """Fit on the labelled rows of the fold; without rows of both classes nothing scores.
+
+    Null and empty texts count as documents without words. Labelled ids that no document has,
+    and null ids, teach nothing; rows that repeat an id count as often as they come.
+    """
+    in_labels = class_counts(labels, label_col, fold, id_col)
+    least = least_docs(in_labels.get(1, 0))
     rows = training_rows(docs, labels, label_col, fold, max_rows, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +236,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
         yield from out()
 
     counts = map_arrow(rows, count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a weight needs MIN_DOCS toxic documents and a raw odds ratio above 1, which few tokens have
-    kept = counts.where((F.col("toxic") >= MIN_DOCS) | (F.length("word") == 0)).collect()
+    # a weight needs some toxic documents and a raw odds ratio above 1, which few tokens have
+    kept = counts.where((F.col("toxic") >= least) | (F.length("word") == 0)).collect()
     toxic = Counter({bytes(r["word"]): r["toxic"] for r in kept})
     clean = Counter({bytes(r["word"]): r["clean"] for r in kept})
     n_toxic, n_clean = toxic.pop(b"", 0), clean.pop(b"", 0)
     if not n_toxic or not n_clean:
         return ToxicModel({}, 1.0, 1.0, (0.0, -4.0))
-    draft = ToxicModel(log_odds(toxic, clean, n_toxic, n_clean), 1.0, 1.0, (1.0, 0.0))
+    draft = ToxicModel(log_odds(toxic, clean, n_toxic, n_clean, least), 1.0, 1.0, (1.0, 0.0))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
@@ -245,7 +261,6 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
         s = sorted((model.surprise(float(x), r["n"]) for x in r["scores"].split("|") if x), reverse=True)
         return math.log1p(s[0] + sum(max(0.0, x - 3.0) for x in s[1:])) if s else 0.0
 
-    in_labels = {int(r["y"]): r["count"] for r in labelled(labels, label_col, fold, id_col).groupBy("y").count().collect()}
     weight = np.array([max(1.0, in_labels[c] / max_rows) for c in (0, 1)])[y.astype(int)]
     return ToxicModel(draft.weights, rate, size, fit_logistic(np.array([evidence(r) for r in seen]), y, weight))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.llm import lm, quality, toxicity
-from scriptloom.llm.common import crc_fold
+from scriptloom.llm.common import crc_fold, first_by_hash
 from scriptloom.llm.queries import queries
 
 BIG = "/root/testdata/sf0.1"
@@ -34,6 +34,97 @@ def test_segments_equal_definition():
         assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
 
 
+def test_segments_themselves_equal_definition():
+    """Without ties the segments, not only their scores, are those of the definition."""
+    rng = random.Random(14)
+    for _ in range(400):
+        scores = [rng.uniform(-5, 4) for _ in range(rng.randint(0, 16))]
+        got, want = toxicity.maximal_segments(scores), brute_segments(scores)
+        assert [x[:2] for x in got] == [x[:2] for x in want], scores
+        assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
+
+
+def test_log_odds_equal_their_formula():
+    toxic, clean = collections.Counter({b"vile": 40, b"tree": 50, b"rare": 7}), collections.Counter({b"vile": 2, b"tree": 400})
+    got = toxicity.log_odds(toxic, clean, 100, 900, least=8)
+    share = 200 * 42 / 1000  # the prior mass by the background frequency
+    odds = math.log((40 + share) / (100 + 200 - 40 - share + 1)) - math.log((2 + share) / (900 + 200 - 2 - share + 1))
+    assert got.keys() == {b"vile"} and abs(got[b"vile"] - (odds - 2.58 * math.sqrt(1 / (40 + share) + 1 / (2 + share)))) < 1e-12
+    assert b"rare" in toxicity.log_odds(toxic, clean, 100, 900, least=2)
+
+
+def test_law_and_calibration_are_the_most_likely(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    best = np.where(rng.random(40_000) < 0.1, rng.exponential(1 / 1.7, 40_000), 0.0)
+    rate, size = toxicity.fit_law(best, np.full(40_000, 50.0))
+    assert abs(rate - 1.7) < 0.1 and abs(size - 0.1 / 50) < 2e-4
+    model = toxicity.ToxicModel({}, rate, size, (1.0, 0.0))
+    over = [float((best > s).mean()) for s in (0.5, 1.0, 2.0)]
+    assert all(abs(math.exp(-model.surprise(s, 50)) - o) < 0.01 for s, o in zip((0.5, 1.0, 2.0), over))
+    x = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(1.5 * x - 0.5)))).astype(float)
+    weight = np.where(y == 1, 1.0, 3.0)
+    a, b = toxicity.fit_logistic(x, y, weight)
+    v = weight / weight.mean()
+    loss = lambda a, b: float((v * np.logaddexp(0, -(2 * y - 1) * (a * x + b))).sum() + 0.025 * (a * a + b * b))
+    assert all(loss(a, b) <= loss(a + d, b + e) for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
+
+
+def test_risk_slopes_are_those_of_the_risk():
+    """Numerical slopes of the non-negative risk; where its second term is negative, of its rise."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    soft = lambda z: np.logaddexp(0, z).mean()
+    signs = set()
+    for _ in range(30):
+        zp, zu, prior = rng.normal(rng.uniform(-2, 4), 1, 7), rng.normal(rng.uniform(-3, 2), 1, 9), float(rng.uniform(0.2, 0.9))
+        negative = lambda p, u: soft(u) - prior * soft(p)
+        signs.add(negative(zp, zu) >= 0)
+        value = (lambda p, u: prior * soft(-p) + negative(p, u)) if negative(zp, zu) >= 0 else (lambda p, u: -negative(p, u))
+        dp, du = quality.risk_slopes(zp, zu, prior)
+        for z, d, f in ((zp, dp, lambda x: value(x, zu)), (zu, du, lambda x: value(zp, x))):
+            for i in range(len(z)):
+                step = np.eye(len(z))[i] * 1e-5
+                assert abs((f(z + step) - f(z - step)) / 2e-5 - d[i]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_layer_slopes_are_those_of_the_outputs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, dz = rng.normal(size=(6, 4)), rng.normal(size=6)
+    layers = [rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+    value = lambda ls: float(dz @ quality.forward(ls, x)[1])
+    for k, slope in enumerate(quality._gradient(layers, x, dz, 0.0)):
+        for at in np.ndindex(layers[k].shape):
+            up, down = ([a.copy() for a in layers] for _ in range(2))
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert abs((value(up) - value(down)) / 2e-6 - slope[at]) < 1e-6
+
+
+def test_prior_bins_cover_every_text(spark, docs):
+    """The histogram that the prior is read off holds each text of the fold, and a bounded sample gives about the same prior."""
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    big = spark.read.parquet(f"{BIG}/documents.parquet")
+    priors = [quality.train(big, labels, lambda c: crc_fold(c, 4) != 2, max_unlabelled=n).prior for n in (1000, 6000)]
+    share = big.join(labels, "doc_id").agg(F.avg("quality")).first()[0]
+    assert abs(priors[0] - priors[1]) < 0.1 and all(abs(p - share) < 0.15 for p in priors)
+
+
+def test_first_by_hash_is_what_ordering_all_gives(spark):
+    ids = spark.range(5000).select((F.col("id") % 1700).alias("_id"))
+    order = spark.range(1700).select(F.col("id").alias("_id")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(300)
+    for count in (5000, 100_000_000):
+        assert {r[0] for r in first_by_hash(ids, count, 300).collect()} == {r[0] for r in order.collect()}
+    same = spark.range(5000).select(F.lit(4).alias("_id"))
+    assert first_by_hash(same, 5000, 300).count() == 1 and first_by_hash(same.limit(0), 0, 300).count() == 0
+
+
 def held_out(spark, name, label):
     scored = queries()[name](spark, BIG).join(spark.read.parquet(f"{BIG}/labels.parquet"), "doc_id").where("held_out")
     rows = [(r["score"], r["predicted"], r[label]) for r in scored.select("score", "predicted", label).collect()]
@@ -59,7 +150,11 @@ def test_prior_estimate_is_near_the_share():
 
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, 20_000), rng.normal(-2, 1, 4_000)
-    assert abs(quality.estimate_prior(good[:8000], np.concatenate([good[8000:], bad])) - 0.75) < 0.05
+    web = np.concatenate([good[8000:], bad])
+    grid = quality.prior_grid(good[:8000], web)
+    bins = quality.binned(web, grid)
+    assert bins.sum() == len(web) and [int(bins[k + 1 :].sum()) for k in (0, 50, 199)] == [int((web >= grid[k]).sum()) for k in (0, 50, 199)]
+    assert abs(quality.estimate_prior(good[:8000], bins, grid) - 0.75) < 0.05
 
 
 @pytest.mark.parametrize("heavy, part_bytes", [(lm.HEAVY, lm.PART_BYTES), (500, lm.PART_BYTES), (lm.HEAVY, 0)])
