@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.driver.memory", conf.pop("driver_memory", "6g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in conf.items():
@@ -49,6 +50,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that Spark can reach, with all it holds; one that is not there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A folder of its own in the checkpoint folder, deleted at the end with all it holds."""
@@ -56,11 +63,25 @@ def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, folder)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
+    """Cut the lineage with a reliable checkpoint, which survives the loss of executors.
+
+    Its files are deleted once nothing refers to the table any more if the session was started
+    with ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` does.
+    """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def durable_in_loop(df: DataFrame) -> DataFrame:
+    """``durable`` for tables that a loop makes anew from the last: without Spark's estimate of their size.
+
+    A checkpoint hands its plan's estimate on, and joins multiply estimates. After some rounds
+    the numbers are so long that planning takes longer than all else, and soon does not end.
+    """
+    spark = df.sparkSession
+    kept = durable(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
