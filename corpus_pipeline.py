@@ -4,10 +4,15 @@ quality     keeps the documents that the positive-unlabelled classifier scores a
 near_dups   keeps one document, the smallest id, of each group of near copies
 pii         masks personal data in the text and corrects n_chars; every document stays
 mixing      takes documents by source budgets: the target weights over one epoch
-bpe         encodes the text; (doc_id, lang, source, n_tokens, ids)
+bpe         encodes the text; (doc_id, n_tokens, ids)
 
 All but the last return the columns of documents. Null and empty texts pass through the
-stages as their operators define. Each stage reads what its predecessor wrote.
+stages as their operators define: nulls and empty texts are scored by the classifier like
+others, link with nothing, hold no personal data and take no budget; a null id stays null and
+is no one's copy. Rows that repeat an id stay or go together, but for the mixture, which may
+end its budget between them. Columns that clash with those an operator adds are not touched,
+since stages return the columns of documents alone. Each stage reads what its predecessor
+wrote; when the next one has been written, that is deleted.
 """
 
 from __future__ import annotations
@@ -18,36 +23,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm import bpe, minhash, mixing, pii, quality
-from scriptloom.llm.components import joined
+from scriptloom.llm.components import without
 from scriptloom.llm.queries import DOMAIN_SQL, WEIGHTS
-from scriptloom.session import checkpoint_folder, durable, read_table
+from scriptloom.session import checkpoint_folder, delete_folder, durable, read_table
 
 #: Hundredths of all tokens that the mixture may hold.
 MIX_PERCENT = 90
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that score 0.7 or more; without positive labels every row scores 0.5 and goes."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), lambda c: F.lit(True))
     return quality.keep_good(docs, model, threshold=0.7)
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat the id of a kept document are kept with it."""
+    """Rows that repeat the id of a kept document are kept with it, and so are null ids."""
     found = minhash.near_duplicates(docs, width=5, percent=80, bands=25, rows=5)
     gone = durable(found.where(~F.col("kept")).select("doc_id").distinct())
-    return joined(docs, gone, "doc_id", gone.count(), "left_anti").select(docs.columns)
+    return without(docs, "doc_id", gone, gone.count())
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data masked; null texts stay null."""
     return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each text taken; null languages and sources become ''."""
     taken = mixing.mix(docs, F.expr(DOMAIN_SQL), WEIGHTS, percent=MIX_PERCENT, max_epochs=1, seed=17, payload=["text", "n_chars"])
     return taken.select(docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every row; null and empty texts have none."""
     return bpe.encode_column(docs)
 
 
@@ -60,8 +69,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again by the next."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, durable_in_loop
 
 #: Tables of up to this many rows, counted first, are broadcast; larger ones are joined by shuffle.
+#: Such tables hold at most five numbers a row, so this is a bound of about 4 MB.
 BROADCAST_ROWS = 100_000
+#: Bits of a map of ids for each of them, and its most bits.
+ID_BITS, MOST_ID_BITS = 16, 1 << 30
 
 
 def joined(left: DataFrame, right: DataFrame, on: str, rows: int, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -20,6 +23,36 @@ def joined(left: DataFrame, right: DataFrame, on: str, rows: int, how: str = "in
     return left.join(F.broadcast(right) if rows <= limit else durable(right), on, how)
 
 
+def maybe_in(df: DataFrame, id_col: str, ids: DataFrame, count: int, outside: bool = False) -> DataFrame:
+    """The rows whose id may be among ``count`` ids, or with ``outside`` those for which it cannot be.
+
+    ids has the column ``id_col``. A bitmap of hashed ids, of 16 bits for each of them and at
+    most 128 MB, is broadcast in pieces and looked up by a join on the piece, so no row of ``df``
+    is shuffled and none is decided wrongly that an exact join does not see again. Null ids are
+    in no table of ids.
+    """
+    bits = min(MOST_ID_BITS, max(1 << 15, 1 << (ID_BITS * max(1, count) - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    parts = ids.where(F.col(id_col).isNotNull()).select(place(id_col).alias("p")).groupBy(F.expr("p div 32768").alias("_part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("_bits"))
+    asked = df.withColumn("_p", place(id_col)).withColumn("_part", F.expr("_p div 32768"))
+    there = asked.join(F.broadcast(durable(parts)), "_part", "left")
+    byte = "cast(conv(hex(substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"{id_col} is not null and _bits is not null and (shiftright({byte}, cast(_p % 8 as int)) & 1) = 1")
+    return there.where(~F.coalesce(hit, F.lit(False)) if outside else hit).select(df.columns)
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame, count: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``count`` ids; rows with a null id stay.
+
+    Few ids are broadcast. Of many a bitmap is, and only rows that it cannot decide are
+    shuffled to the ids; the others pass.
+    """
+    if count <= limit:
+        return df.join(F.broadcast(ids), id_col, "left_anti").select(df.columns)
+    unsure = maybe_in(df, id_col, ids, count).join(durable(ids), id_col, "left_anti").select(df.columns)
+    return maybe_in(df, id_col, ids, count, outside=True).unionByName(unsure)
+
+
 def _large_star(edges: DataFrame, rows: int, limit: int) -> DataFrame:
     """(u, v) both ways; each neighbour above u goes to the smallest of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -43,11 +76,11 @@ def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame
     listed. Every half-step is shuffled with partial aggregation, and each round is written to
     the checkpoint folder, so a lost executor costs one round at most.
     """
-    now = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = durable_in_loop(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
     was, is_now = None, mark(now)
     while was != is_now and is_now[0]:
         rows = is_now[0]
-        now = durable(_small_star(_large_star(now, rows, limit), rows, limit))
+        now = durable_in_loop(_small_star(_large_star(now, rows, limit), rows, limit))
         was, is_now = is_now, mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")), is_now[0]

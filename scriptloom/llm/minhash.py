@@ -6,11 +6,17 @@ set; bands of minima are bucket keys. Buckets with the same members count once.
 buckets connect form a group, or, where comparing all of a group would be more work than
 comparing the members of each of its buckets, each bucket is a group of its own.
 
-A group is compared in blocks of bounded size. Signatures rule out what cannot be linked; the
-full sets of the rest are intersected exactly, as a product of sparse columns taken in slices,
-and a block returns a spanning forest of its links. So a group of thousands of near copies
-gives as many rows as it has members in each block and never its pairs, while no link that
-could join two components is lost. The forests join components by large-star and small-star.
+A group is cut into chunks and compared in two rounds, always on full sets, as a product of
+sparse columns taken in slices. First every chunk is compared with itself and with the first
+chunk, which in a group of near copies joins nearly all. Then only classes that are still in
+different components are looked at: their signatures rule out most pairs, and the full sets of
+the rest are compared. So a class is sent twice in the first round, whatever the size of its
+group, a block returns a spanning forest of its links and never pairs, and no link that could
+join two components is lost, but for those that signatures rule out wrongly: a pair at the
+threshold is that with a probability of about 3 in a million (4.5 standard deviations), in the
+second round alone. Which pairs beyond those of a common bucket are compared depends on the
+group: more than banding promises, never fewer. The forests join components by large-star and
+small-star.
 
 Full sets are made again from the text, for members of groups alone.
 """
@@ -27,14 +33,14 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .common import MIX_A, MIX_B, MIX_C, as_bytes, ascii_words, hash_tokens, map_arrow, non_empty, ship_package
-from .components import BROADCAST_ROWS, components, joined
+from .components import BROADCAST_ROWS, components, joined, maybe_in
 
 #: A group is cut into chunks of about this many classes; two chunks are a block.
 BLOCK = 128
 #: Columns of the membership matrix that are multiplied at once.
 SLICE = 4096
-#: Bits of the filter by which documents outside all pairs are skipped, where ids are too many to broadcast.
-FILTER_BITS = 1 << 27
+#: Chunks in which signatures are compared.
+SIG_BLOCK = 1024
 SEED = 20_240_229
 
 
@@ -149,38 +155,99 @@ def forest(ids: np.ndarray, links: list[tuple[int, int]]) -> list[tuple[int, int
     return kept
 
 
-def linked(members: DataFrame, percent: int, least: float) -> DataFrame:
-    """(u, v), u > v: for each block a spanning forest of its links.
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, one of left and one of right, whose sets share enough."""
+    a, b = [sets[x] for x in left], [sets[x] for x in right]
+    same = intersections(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - same
+    x, y = np.nonzero((100 * same >= percent * union) & (left[:, None] != right[None, :]))
+    return left[x], right[y]
 
-    members: (group, n, rep, sig, found), n being the size of the group.
+
+EDGES = "u long, v long"
+
+
+def _edges(rep: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    kept = forest(rep, list(zip(x.tolist(), y.tolist())))
+    return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
+
+
+def _chunked(members: DataFrame, block: int) -> DataFrame:
+    """Adds the number of chunks of the group and the one that the class is in."""
+    chunks = members.withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
+    return chunks.withColumn("mine", F.pmod(F.xxhash64("rep", "group"), F.col("chunks")).cast("int"))
+
+
+def linked_to_first(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u > v: spanning forests of the links in each chunk and of it to the first chunk.
+
+    members: (rep, group, n, found). Classes of the first chunk go to every block of the group,
+    the others to one.
     """
-    mine = F.pmod(F.xxhash64("rep", "group"), F.col("chunks")).cast("int")
-    cut = members.withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", mine)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = cut.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "sig", "found")
+    cut = _chunked(members, BLOCK)
+    blocks = cut.withColumn("block", F.explode(F.when(F.col("mine") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("mine"))))
 
     def run(keys, table):
-        _, i, j = (k.as_py() for k in keys)
         rep, side = table["rep"].to_numpy(), table["mine"].to_numpy()
+        own = np.flatnonzero(side == keys[1].as_py())
+        return _edges(rep, *_links([np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()], own, np.arange(len(rep)), percent)) if len(own) else _edges(rep, own, own)
+
+    ship_package(members.sparkSession)
+    return blocks.select("group", "block", "mine", "rep", "found").groupBy("group", "block").applyInArrow(run, EDGES)
+
+
+def likely_across(members: DataFrame, least: float) -> DataFrame:
+    """(group, i, j, rep): the classes of each block that may be linked to one of another component there.
+
+    members: (rep, group, n, sig, comp). Signatures are compared, in blocks of two chunks, and
+    a class is named if it agrees in the share ``least`` with a class of another component.
+    """
+    cut = _chunked(members, SIG_BLOCK).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = cut.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "comp", "sig")
+
+    def run(keys, table):
+        group, i, j = (k.as_py() for k in keys)
+        rep, comp, side = (table[c].to_numpy() for c in ("rep", "comp", "mine"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(rep), -1)
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        likely = np.zeros((len(left), len(right)), bool)
-        for start in range(0, len(left), 32):
-            likely[start : start + 32] = (sig[left[start : start + 32], None, :] == sig[None, right, :]).mean(axis=2) >= least
-        likely &= rep[left][:, None] != rep[right][None, :]
-        left, right = left[likely.any(axis=1)], right[likely.any(axis=0)]
-        kept = []
-        if len(left):
-            sets = [np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()]
-            a, b = [sets[x] for x in left], [sets[x] for x in right]
-            same = intersections(a, b)
-            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - same
-            x, y = np.nonzero((100 * same >= percent * union) & (rep[left][:, None] != rep[right][None, :]))
-            kept = forest(rep, list(zip(left[x].tolist(), right[y].tolist())))
-        return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
+        named = np.zeros(len(rep), bool)
+        for some in (left[k : k + 32] for k in range(0, len(left), 32)):
+            hit = ((sig[some, None, :] == sig[None, right, :]).mean(axis=2) >= least) & (comp[some][:, None] != comp[right][None, :])
+            named[some] |= hit.any(axis=1)
+            named[right] |= hit.any(axis=0)
+        n = int(named.sum())
+        return pa.table({"group": pa.array([group] * n, pa.int64()), "i": pa.array([i] * n, pa.int32()), "j": pa.array([j] * n, pa.int32()), "rep": pa.array(rep[named])})
 
     ship_package(members.sparkSession)
-    return blocks.groupBy("group", "i", "j").applyInArrow(run, "u long, v long")
+    return blocks.groupBy("group", "i", "j").applyInArrow(run, "group long, i int, j int, rep long")
+
+
+def linked_across(named: DataFrame, percent: int) -> DataFrame:
+    """(u, v): spanning forests of the links between components, by block.
+
+    named: (group, i, j, rep, comp, found) of ``likely_across``. Classes of a block that are
+    of one component are not compared.
+    """
+
+    def run(table):
+        rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()]
+        order = np.argsort(comp, kind="stable")
+        x, y = [], []
+        for start in range(0, len(order), BLOCK):
+            for other in range(start, len(order), BLOCK):
+                left, right = order[start : start + BLOCK], order[other : other + BLOCK]
+                if comp[left[0]] == comp[right[-1]]:  # in the order of components, all between are of one
+                    continue
+                a, b = _links(sets, left, right, percent)
+                across = comp[a] != comp[b]
+                x.append(a[across])
+                y.append(b[across])
+        none = [np.empty(0, np.int64)]
+        return _edges(rep, np.concatenate(x or none), np.concatenate(y or none))
+
+    ship_package(named.sparkSession)
+    return named.groupBy("group", "i", "j").applyInArrow(run, EDGES)
 
 
 def grouped(placed: DataFrame, limit: int) -> DataFrame:
@@ -207,40 +274,50 @@ def grouped(placed: DataFrame, limit: int) -> DataFrame:
     return whole.unionByName(planned.where("n_star is null").select("rep", F.col("key").alias("group"), F.col("c").alias("n")))
 
 
-def _filtered(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
-    """(text, id, place) and a broadcast bitmap of the places of the ids."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    parts = ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return docs.select("text", "id", place.alias("place")), docs.sparkSession.sparkContext.broadcast(bits)
-
-
 def with_sets(docs: DataFrame, members: DataFrame, count: int, width: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The members (rep, group, n, sig) with ``found``, the sorted shingle hashes of their text.
+    """``members``, which have ``rep`` and ``count`` rows, with ``found``: the sorted shingle hashes of their text.
 
-    docs: (id, text). Texts are never shuffled: few members are broadcast, and of many a
-    bitmap of fixed size, whose false positives only cost work.
+    docs: (id, text). Texts are never shuffled: few members are broadcast to them; of many a
+    bitmap picks the texts, whose sets then meet their members by shuffle.
     """
     if count <= limit:
-        rows, bits = docs.join(F.broadcast(members.withColumnRenamed("rep", "id")), "id").select("text", "id", "group", "n", "sig"), None
+        rows = docs.join(F.broadcast(members.withColumnRenamed("rep", "id")), "id").select("text", "id", *(c for c in members.columns if c != "rep"))
     else:
-        rows, bits = _filtered(docs, members.select(F.col("rep").alias("id")).distinct())
-    names = rows.columns[1:] if bits is None else ["id"]
+        rows = maybe_in(docs, "id", members.select(F.col("rep").alias("id")), count).select("text", "id")
+    names = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            if bits is not None:
-                place = batch.column(2).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array((bits.value[place // 8] >> (place % 8)) & 1 == 1))
             found = [shingles(t, width).tobytes() for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + len(names)], pa.array(found, pa.binary())], names=[*names, "found"])
-
-    if bits is None:
-        return map_arrow(rows, run, "id long, group long, n long, sig binary, found binary").withColumnRenamed("id", "rep")
-    made = map_arrow(rows, run, "id long, found binary").withColumnRenamed("id", "rep")
-    return durable(members).join(made, "rep")
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], names=[*names, "found"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:])
+    made = map_arrow(rows, run, f"{schema}, found binary").withColumnRenamed("id", "rep")
+    return made if count <= limit else durable(members).join(made, "rep")
+
+
+def _edges_of(texts: DataFrame, classes: DataFrame, members: DataFrame, n_members: int, width: int, percent: int, least: float, limit: int) -> DataFrame:
+    """Links that join all components of the members (rep, group, n): both rounds."""
+    edges = durable(linked_to_first(with_sets(texts, members, n_members, width, limit), percent))
+    large = members.where(F.col("n") > BLOCK)
+    if not (n_large := large.count()):
+        return edges
+    found, n_found = components(edges, limit)
+    placed = joined(large, found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit).select("rep", "group", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = durable(placed)
+    apart = durable(placed.groupBy("group").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("group"))
+    left = durable(joined(placed, apart, "group", apart.count(), limit=limit))
+    if not (n_left := left.count()):
+        return edges
+    signed = joined(classes.select("rep", "sig"), left, "rep", n_left, limit=limit).select("rep", "group", "n", "sig", "comp")
+    named = durable(likely_across(signed, least))
+    if not (n_named := named.count()):
+        return edges
+    asked = durable(named.select("rep").distinct())
+    sets = with_sets(texts, asked, asked.count(), width, limit)
+    comps = left.select("rep", "comp").distinct()
+    full = named.join(durable(joined(sets, comps, "rep", n_left, limit=limit)), "rep")
+    return edges.unionByName(linked_across(full, percent))
 
 
 def near_duplicates(
@@ -267,8 +344,7 @@ def near_duplicates(
     if n_members:
         share = percent / 100
         least = max(0.0, share - 4.5 * (share * (1 - share) / (bands * rows)) ** 0.5)
-        signed_members = durable(joined(classes.select("rep", "sig"), members, "rep", n_members, limit=limit).select("rep", "group", "n", "sig"))
-        found, n_found = components(linked(with_sets(texts, signed_members, n_members, width, limit), percent, least), limit)
+        found, n_found = components(_edges_of(texts, classes, members, n_members, width, percent, least, limit), limit)
     of_class = classes.select("digest", "rep")
     if n_found:
         of_class = joined(of_class, found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit)

@@ -7,6 +7,9 @@ all siblings together cannot use was kept by the parent's siblings, because a no
 more than its subtree can use. A leaf's budget becomes whole epochs and then a prefix, in the
 seeded order of one further epoch, of as many texts as fit.
 
+A text is read once for its number of words; what is decided about it rests on a written table
+of ids, leaves and numbers. Texts are read again only where they are part of the result.
+
 Prefixes need no sorted leaf: texts are dealt by the leading bits of their key into about
 sqrt(texts) ranges, the ranges' sums show in which one the budget ends, and only that range is
 ordered. So a leaf that holds a third of all rows costs a pre-aggregated sum and a window over
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Leaves up to this number are broadcast to the texts; beyond it they are joined by shuffle.
+#: Leaves up to this number, of about 100 bytes each, are broadcast to the texts; beyond it they are joined by shuffle.
 BROADCAST_LEAVES = 50_000
 LEVELS = ("domain", "lang", "source")
 
@@ -85,6 +88,7 @@ def mix(
     lang_col: str = "lang",
     source_col: str = "source",
     payload: list[str] | None = None,
+    limit: int = BROADCAST_LEAVES,
 ) -> DataFrame:
     """(id_col, domain, lang, source, n_tokens, epoch, *payload), a row for each epoch that takes a text.
 
@@ -94,17 +98,17 @@ def mix(
     id; repeated rows tie and are told apart in the order found, so any of the equal rows may
     be taken. Null ids form one key like any other. A leaf without tokens keeps its rows once
     if its budget is not used up by others. An empty table gives no rows. Columns not named
-    are ignored.
+    are ignored. More than ``limit`` leaves meet their texts by shuffle, with the same result.
     """
     extra = payload or []
-    texts = df.select(
+    own = (
         F.col(id_col).alias("_id"),
         F.coalesce(domain, F.lit("")).alias("domain"),
         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        *(F.col(c).alias(f"_p{i}") for i, c in enumerate(extra)),
     )
+    texts = durable(df.select(*own))
     leaves = texts.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").cast("double").alias("tokens"))
     budgets = (
         leaf_budgets(durable(leaves), weights, percent, max_epochs)
@@ -114,7 +118,7 @@ def mix(
         .select(*LEVELS, "whole", "rest", "ranges")
     )
     budgets = durable(budgets)
-    few = budgets.count() <= BROADCAST_LEAVES
+    few = budgets.count() <= limit
     held = F.broadcast if few else (lambda x: x)
 
     def keyed(rows: DataFrame) -> DataFrame:
@@ -132,7 +136,8 @@ def mix(
         .select(*LEVELS, F.col("end._range").alias("end_range"), F.col("end.ahead").alias("end_ahead"))
     )
     plan = durable(budgets.join(ends, [*LEVELS], "left"))
-    rows = keyed(texts.join(held(plan), [*LEVELS]))
+    whole = df.select(*own, *(F.col(c).alias(f"_p{i}") for i, c in enumerate(extra))) if extra else texts
+    rows = keyed(whole.join(held(plan), [*LEVELS]))
     inside = F.col("_range") == F.col("end_range")
     running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0))
     in_range = rows.where((F.col("rest") > 0) & inside).withColumn("_taken", F.col("end_ahead") + running <= F.col("rest"))

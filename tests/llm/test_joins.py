@@ -56,6 +56,51 @@ def test_near_duplicates_equal_all_pairs(spark, docs, rows, limit):
     assert len({forest.top(10_000 + k) for k in range(160)}) < 160
 
 
+def all_pairs(texts, width, percent):
+    sets = word_sets(texts, width)
+    forest, ids = Forest(sets), sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
+                forest.join(a, b)
+    return forest
+
+
+@pytest.mark.parametrize("limit", [stars.BROADCAST_ROWS, 0])
+def test_groups_of_many_chunks(spark, monkeypatch, limit):
+    """Chains of texts that drift: all are in one group, most links are not to its first chunk."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SIG_BLOCK", 16)
+    across = []
+    named = minhash.linked_across
+    monkeypatch.setattr(minhash, "linked_across", lambda *a: across.append(1) or named(*a))
+    rng = random.Random(2)
+    words, texts = [f"v{i}" for i in range(120)], []
+    for k in range(150):
+        texts.append((k, " ".join(words)))
+        for _ in range(rng.choice([1, 1, 2, 3, 9])):
+            words[rng.randrange(len(words))] = f"n{k}x{rng.randrange(10**6)}"
+    forest = all_pairs(texts, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85, 21, 6, limit=limit).collect()}
+    assert got == {i: forest.top(i) for i, _ in texts} and 10 < len(set(got.values())) < 120
+    assert across
+
+
+def test_rows_by_a_bitmap_of_ids(spark, monkeypatch):
+    df = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("k"), (F.col("id") * 3).alias("x"))
+    ids = spark.range(0, 20_000, 3).select(F.col("id").alias("k"))
+    want = {r["x"] for r in df.collect() if r["k"] is None or r["k"] % 3}
+    for limit in (stars.BROADCAST_ROWS, 0):
+        rest = stars.without(df, "k", ids, 6667, limit=limit)
+        assert rest.columns == df.columns and sorted(r["x"] for r in rest.collect()) == sorted(want)
+    maybe = {r["k"] for r in stars.maybe_in(df, "k", ids, 6667).collect()}
+    assert maybe >= {k for k in range(0, 20_000, 3) if k % 100 != 7} and len(maybe) < 8000 and None not in maybe
+    monkeypatch.setattr(stars, "MOST_ID_BITS", 1 << 10)  # a full map costs rows, never decides wrongly
+    assert sorted(r["x"] for r in stars.without(df, "k", ids, 6667, limit=0).collect()) == sorted(want)
+    assert stars.without(df, "k", ids.limit(0), 0, limit=-1).count() == 20_000
+
+
 @pytest.mark.parametrize("limit", [stars.BROADCAST_ROWS, 0])
 def test_components_of_paths_and_stars(spark, limit):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(7, 7), (3, None), (900, 2), (2, 900)]
@@ -280,6 +325,43 @@ def test_mixture_budgets(spark):
     assert got == {"s1": 100.0, "s2": 400.0, "s3": 500.0, "s4": 1000.0}  # s1's shortage goes to its sibling s2
 
 
+MIX_COLUMNS = "doc_id long, text string, lang string, source string, n_tokens long, epoch int, whole int, got double"
+
+
+def mixture_rows():
+    rng = random.Random(11)
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice([0, 1, 5, 40]))), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src7", "x", None]), 1, 2, 3, 4.0) for i in range(600)]
+    return rows + rows[:40] + [(None, "a b", "en", "src0", 1, 2, 3, 4.0)] * 3 + [(700, None, "en", "src0", 1, 2, 3, 4.0)]
+
+
+@pytest.mark.parametrize("percent, epochs", [(35, 1), (120, 3), (1000, 2)])
+def test_mixture_is_the_same_by_broadcast_and_by_shuffle(spark, percent, epochs):
+    """Repeated rows tie; which of them is taken does not change what the mixture holds."""
+    df = spark.createDataFrame(mixture_rows(), MIX_COLUMNS)
+    ways = [mixing.mix(df, F.expr(DOMAIN_SQL), WEIGHTS, percent, epochs, limit=n, payload=p).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch") for n, p in ((mixing.BROADCAST_LEAVES, None), (0, None), (0, ["text"]))]
+    rows = [sorted(map(str, w.collect())) for w in ways]
+    assert rows[0] == rows[1] == rows[2] and rows[0]
+    taken = ways[0].agg(F.sum("n_tokens")).first()[0]
+    whole = sum(len((r[1] or "").split()) for r in mixture_rows())
+    assert taken <= whole * percent // 100 and taken <= whole * epochs
+
+
+def test_mixture_takes_prefixes_of_the_seeded_order(spark):
+    """Within a leaf no text is left out whose key comes before one that the last epoch takes."""
+    df = spark.createDataFrame(mixture_rows()[:600], MIX_COLUMNS)
+    got = mixing.mix(df, F.expr(DOMAIN_SQL), WEIGHTS, 35, 1, seed=17).collect()
+    taken = {r["doc_id"] for r in got}
+    domain = lambda s: "web" if s == "src0" else "books" if s == "src1" else "forums" if s == "src7" else "reference"
+    leaves = collections.defaultdict(list)
+    for i, text, lang, source, *_ in mixture_rows()[:600]:
+        leaves[domain(source), lang or "", source or ""].append((hashlib.md5(f"17:0:{i}".encode()).hexdigest(), i, len(text.split())))
+    for rows in leaves.values():
+        rows.sort()
+        marks = [i in taken for _, i, _ in rows]
+        last = max((k for k, m in enumerate(marks) if m), default=-1)
+        assert all(marks[: last + 1])
+
+
 def test_edge_cases(edge_docs, no_docs):
     near = minhash.near_duplicates(edge_docs).collect()
     assert len(near) == edge_docs.count()
