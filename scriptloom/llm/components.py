@@ -10,6 +10,8 @@ from ..session import durable, durable_in_loop
 #: Tables of up to this many rows, counted first, are broadcast; larger ones are joined by shuffle.
 #: Such tables hold at most five numbers a row, so this is a bound of about 4 MB.
 BROADCAST_ROWS = 100_000
+#: Edges that a task of a round handles: few edges are few tasks and files, whatever the session's partitions.
+ROWS_A_TASK = 100_000
 #: Bits of a map of ids for each of them, and its most bits.
 ID_BITS, MOST_ID_BITS = 16, 1 << 30
 
@@ -81,6 +83,7 @@ def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame
     was, is_now = None, mark(now)
     while was != is_now and is_now[0]:
         rows = is_now[0]
-        now = durable_in_loop(_small_star(_large_star(now, rows, limit), rows, limit))
+        held = now.coalesce(-(-rows // ROWS_A_TASK))
+        now = durable_in_loop(_small_star(_large_star(held, rows, limit), rows, limit).coalesce(-(-rows // ROWS_A_TASK)))
         was, is_now = is_now, mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")), is_now[0]
