@@ -13,15 +13,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def to_traditional(text: Column, table: tuple[str, str]) -> Column:
-    """Simplified characters, the first string of ``table``, become those of the second.
-
-    One to one: a character with several traditional forms gets the table's one, whatever
-    phrase it stands in. Others stay as they are; null stays null.
-    """
-    return F.translate(text, *table)
-
-
 def bare(word: Column) -> Column:
     """Lower case without punctuation at either end."""
     return F.regexp_replace(F.lower(word), "^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")

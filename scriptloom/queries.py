@@ -6,17 +6,11 @@ the other inputs from tables that have the right shape. All queries run over who
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Callable
-from functools import lru_cache
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text as fn
-from .functions.hanzi import traditional_table
 from .operators import detect, export, feedback, review
 from .plans.edit import decide, edit
 from .session import read_table
@@ -115,14 +109,6 @@ def q_settings(spark, sf_dir):
     return rows.select("event_id", "silence_ms", "cue_words", "event_score", F.array_join("layers", ",").alias("layers"))
 
 
-def q_traditional(spark, sf_dir):
-    """Forty ideographs for each document, by rule from its id, so that all of the basic block occur."""
-    code = lambda k: F.hex(F.lit(19968) + F.pmod(F.col("doc_id") * 40 + k, F.lit(20992)))
-    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), code), "")
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.decode(F.unhex(letters), "UTF-16BE").alias("text"))
-    return rows.select("doc_id", fn.to_traditional(F.col("text"), traditional_table(spark)).alias("text"))
-
-
 def q_silence(spark, sf_dir):
     return detect.silences(_words(spark, sf_dir), GAP_MS)
 
@@ -303,28 +289,6 @@ def _alike(a: str, b: str, least: float) -> str:
     return f"CASE WHEN {a} = {b} THEN true WHEN len(letters) > 127 THEN error('more letters in a pair than bytes that stand for one') ELSE 1 - CAST(levenshtein({one[0]}, {one[1]}) AS DOUBLE) / greatest(length({a}), length({b})) >= {least} END"
 
 
-@lru_cache(1)
-def _traditional_pairs() -> tuple[str, str]:
-    """The table of ``functions.hanzi`` again, read from the rules in ICU's file instead of by running them."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/icu4j-*.jar"))
-    with zipfile.ZipFile(jar) as content:
-        text = content.read("com/ibm/icu/impl/data/icudata/translit/root.res").decode("utf-16-be", "replace")
-    at = text.index("单于↔單于;")
-    pairs: dict[str, str] = {}
-    for rule in text[text.rindex("\0", 0, at) : text.index("\0", at)].split(";"):
-        for arrow in "↔→":
-            left, found, right = rule.strip().partition(arrow)
-            if found and len(left) == len(right) == 1:
-                pairs.setdefault(left, right)
-    pairs = {a: b for a, b in pairs.items() if a != b}
-    return "".join(pairs), "".join(pairs.values())
-
-
-def _traditional_sql() -> str:
-    a, b = _traditional_pairs()
-    return f"SELECT doc_id, translate(array_to_string(list_transform(range(40), lambda k: chr(CAST(19968 + (doc_id * 40 + k) % 20992 AS INTEGER))), ''), '{a}', '{b}') AS text FROM documents"
-
-
 _EDL = f"edl AS (SELECT stream_id, seg + 1 AS event, {_timecode('f_in')} AS src_in, {_timecode('f_out')} AS src_out, {_timecode('rec')} AS rec_in, {_timecode('rec + f_out - f_in')} AS rec_out FROM recs)"
 _FEEDBACK = ", fb AS (SELECT stream_id, idx, text, reasons, CASE WHEN proposed AND keep THEN 'restored' WHEN NOT proposed AND NOT keep THEN 'added' ELSE 'agreed' END AS class FROM decided)"
 _BENCH = r"man AS (SELECT item_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM benchmark))"
@@ -401,7 +365,6 @@ _QUERIES = {
     "c02_manuscript": q_manuscript,
     "c03_habits": q_habits,
     "c04_settings": q_settings,
-    "c08_traditional": q_traditional,
     "c09_silence": q_silence,
     "c09_event_gaps": q_event_gaps,
     "c10_retakes": q_retakes,
@@ -441,4 +404,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | {"c08_traditional": _traditional_sql()}
+    return dict(_SQL)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from scriptloom import queries as own
 from scriptloom.functions import text as fn
-from scriptloom.functions.hanzi import traditional_table
 from scriptloom.operators import detect, export, feedback, review
 from scriptloom.plans.edit import edit
 from scriptloom.sources import readers, sinks
@@ -37,14 +36,6 @@ def test_chinese_words(spark):
     lexicon = spark.createDataFrame([("嗯",)], "token string")
     assert ids(detect.fillers(words, lexicon)) == [(1, 1)]
     assert ids(detect.stumbles(words)) == [(1, 2)]
-    table = traditional_table(spark)
-    assert [r["t"] for r in words.orderBy("idx").select(fn.to_traditional(F.col("text"), table).alias("t")).collect()][:3] == ["這個", "嗯", "我們"]
-    odd = spark.createDataFrame([(None,), ("",), ("习汉东 abc 學 𬨎",)], "t string").select(fn.to_traditional(F.col("t"), table).alias("t")).collect()
-    assert [r["t"] for r in odd] == [None, "", "習漢東 abc 學 " + dict(zip(*table))["𬨎"]]
-
-
-def test_traditional_table_is_that_of_the_rules(spark):
-    assert dict(zip(*traditional_table(spark))) == dict(zip(*own._traditional_pairs())) and len(traditional_table(spark)[0]) > 2500
 
 
 def test_silence_is_over_the_threshold(spark):

@@ -1,6 +1,9 @@
 """Every query of the library that has SQL gives the rows of that SQL in DuckDB."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -38,3 +41,17 @@ def compare(spark, sf_dir, query, sql):
 @pytest.mark.parametrize("name", sorted(own.queries()))
 def test_query_equals_sql(spark, sf_dir, name):
     assert compare(spark, sf_dir, own.queries()[name], own.oracle_sql()[name]) > 0
+
+
+def test_sql_is_text_alone(tmp_path):
+    """queries() and oracle_sql() work where PySpark has no jars beside it, open no file and start no JVM."""
+    code = f"""
+import builtins, subprocess, pyspark, __spark_entry__ as e
+pyspark.__file__ = {str(tmp_path / "pyspark" / "__init__.py")!r}
+def refuse(*a, **b): raise AssertionError(a)
+builtins.open = subprocess.Popen = refuse
+names, sql = e.queries(), e.oracle_sql()
+assert set(sql) <= set(names) and all(isinstance(x, str) and x.strip() for x in sql.values())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
