@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with production parameters."""
+"""The operators as queries over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, read_table, scratch_folder
-from . import bpe, lattice, lm, media, minhash, mixing, pii, quality, secret_scan, toxicity
+from . import bpe, lattice, lm, media, minhash, mixing, pii, quality, secret_scan, suffixes, toxicity
 from .common import crc_fold
 
 
@@ -73,6 +73,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), F.expr(DOMAIN_SQL), WEIGHTS, percent=120, max_epochs=3, seed=17)
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(read_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -85,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_mixing": op10_mixing,
+        "op12_suffixes": op12_suffixes,
     }
