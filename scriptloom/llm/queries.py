@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable, read_table, scratch_folder
-from . import bpe, lattice, lm, media, minhash, mixing, pii, quality, secret_scan, suffixes, toxicity
+from . import bpe, dialogue, lattice, lexical, lm, media, minhash, mixing, pii, quality, secret_scan, suffixes, toxicity
 from .common import crc_fold
 
 
@@ -73,11 +73,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), F.expr(DOMAIN_SQL), WEIGHTS, percent=120, max_epochs=3, seed=17)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
 def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(read_table(spark, sf_dir, "documents"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.audit_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -90,5 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_mixing": op10_mixing,
+        "op11_lexical": op11_lexical,
         "op12_suffixes": op12_suffixes,
+        "op13_dialogue": op13_dialogue,
     }
