@@ -122,6 +122,7 @@ class Part:
     """Some rows of a conversation in order: counts, first and last letters and turns, tables of paths."""
 
     entries: tuple[int, ...] = (0,)
+    rows_a_table: int = ROWS_A_TABLE
     n: int = 0
     blank: int = 0
     duplicate: int = 0
@@ -150,7 +151,7 @@ class Part:
             self.low, self.high, self.turns = turn if self.low is None else self.low, turn, self.turns + 1
         self.n += 1
         self.rows.append(Row(initial, fault in ("blank", "duplicate"), fault == "truncated"))
-        if len(self.rows) == ROWS_A_TABLE:
+        if len(self.rows) == self.rows_a_table:
             self._close()
 
     def _close(self) -> None:
@@ -232,53 +233,57 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summarise(rows_a_table: int, held_chars: int):
     """Ordered rows of one range to a row for each conversation in it.
 
     The first and the last may go on in other ranges: they have the tables from every state and
     no digest, and so has one whose texts are too long to hold.
     """
-    out: list[dict] = []
-    part, ck, held, size, before, opening, number = Part((0, 1, 2, 3)), None, [], 0, None, True, 0
-
-    def close(ending: bool) -> None:
-        table = part.table()
-        row = {"ck": ck, "part": number} | {c: getattr(part, c) for c in _COUNTS}
-        if opening or ending or held is None:
-            entries = [(e, to) for e in range(4) for to in range(4)]
-            cells = [table.get(e, {}).get(to, (-1, "")) for e, to in entries]
-            row |= {"costs": [c for c, _ in cells], "labels": [x for _, x in cells]}
-        else:
-            cost, audit = best_of(table)
-            digest, repaired = _Digest(), Repaired(audit)
-            for role, text in held:
-                digest.add(repaired.take(role, text))
-            digest.add(repaired.inserted())
-            row |= {"cost": cost, "audit": audit, "sha": digest.hash.hexdigest()}
-        out.append(row)
 
-    for r in _rows_of(batches):
-        if r["ck"] != ck:
-            if ck is not None:
-                close(False)
-                opening = False
-                part, held, size, before = Part(), [], 0, None
-                if len(out) >= 1000:
-                    yield _batch(out, _FOUND)
-                    out.clear()
-            ck, number = r["ck"], r["part"]
-        now = r["turn"], r["role"], r["text"]
-        part.add(*now, r["later"] or now == before)
-        before = now
-        if held is not None:
-            held.append(now[1:])
-            size += len(now[2])
-            if size > HELD_CHARS or opening:
-                held = None
-    if ck is not None:
-        close(True)
-    if out:
-        yield _batch(out, _FOUND)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        part, ck, held, size, before, opening, number = Part((0, 1, 2, 3), rows_a_table), None, [], 0, None, True, 0
+
+        def close(ending: bool) -> None:
+            table = part.table()
+            row = {"ck": ck, "part": number} | {c: getattr(part, c) for c in _COUNTS}
+            if opening or ending or held is None:
+                entries = [(e, to) for e in range(4) for to in range(4)]
+                cells = [table.get(e, {}).get(to, (-1, "")) for e, to in entries]
+                row |= {"costs": [c for c, _ in cells], "labels": [x for _, x in cells]}
+            else:
+                cost, audit = best_of(table)
+                digest, repaired = _Digest(), Repaired(audit)
+                for role, text in held:
+                    digest.add(repaired.take(role, text))
+                digest.add(repaired.inserted())
+                row |= {"cost": cost, "audit": audit, "sha": digest.hash.hexdigest()}
+            out.append(row)
+
+        for r in _rows_of(batches):
+            if r["ck"] != ck:
+                if ck is not None:
+                    close(False)
+                    opening = False
+                    part, held, size, before = Part((0,), rows_a_table), [], 0, None
+                    if len(out) >= 1000:
+                        yield _batch(out, _FOUND)
+                        out.clear()
+                ck, number = r["ck"], r["part"]
+            now = r["turn"], r["role"], r["text"]
+            part.add(*now, r["later"] or now == before)
+            before = now
+            if held is not None:
+                held.append(now[1:])
+                size += len(now[2])
+                if size > held_chars or opening:
+                    held = None
+        if ck is not None:
+            close(True)
+        if out:
+            yield _batch(out, _FOUND)
+
+    return run
 
 
 def _joined_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +367,7 @@ def repaired_turns(rows: DataFrame, audits: DataFrame, conv_col: str = "conv_id"
     return found.select(F.expr(f"try_cast(ck AS {type_of})").alias(conv_col), *found.columns[1:])
 
 
-def audit(rows: DataFrame, conv_col: str = "conv_id", limit: int = BROADCAST_ROWS) -> DataFrame:
+def audit(rows: DataFrame, conv_col: str = "conv_id", limit: int = BROADCAST_ROWS, rows_a_table: int = ROWS_A_TABLE, held_chars: int = HELD_CHARS) -> DataFrame:
     """(conversation, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256), one row for each.
 
     rows: conversation, turn, role, text. The first fault of a row counts: blank; duplicate, its
@@ -381,7 +386,7 @@ def audit(rows: DataFrame, conv_col: str = "conv_id", limit: int = BROADCAST_ROW
     later = F.coalesce(~null & (F.col("nulls") | (F.col("turn") > F.col("low"))), F.lit(False))
     order = ("ck", "turn", "role", "text")
     dealt = marked.select(*order, later.alias("later")).repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = durable(map_arrow(dealt.withColumn("part", F.spark_partition_id()), _summarise, _FOUND))
+    parts = durable(map_arrow(dealt.withColumn("part", F.spark_partition_id()), _summarise(rows_a_table, held_chars), _FOUND))
     open_parts = parts.where("costs is not null").repartition("ck").sortWithinPartitions("ck", "part")
     several = durable(map_arrow(open_parts, _joined_parts, _FOUND))
     streamed = joined(keyed.select("ck", "turn", "role", "text"), several.select("ck"), "ck", several.count(), "left_semi", limit=limit)

@@ -116,29 +116,30 @@ class MaxTrees:
     """The trees of one row of the index.
 
     On each level a term has, for the ranges in which it occurs, the greatest impact there; keys
-    number term and range together, so the children of a range are a slice for each term.
+    number term and range together, so the children of a range are a slice for each term. There
+    must be a posting.
     """
 
-    def __init__(self, ids: list, terms: np.ndarray, holding: np.ndarray, places: np.ndarray, values: np.ndarray):
-        self.ids, self.terms = ids, terms
+    def __init__(self, ids: list, terms: np.ndarray, holding: np.ndarray, places: np.ndarray, values: np.ndarray, fanout: int = FANOUT):
+        self.ids, self.terms, self.fanout = ids, terms, fanout
         self.levels, self.widths = [], []
         key, width = np.repeat(np.arange(len(terms)), holding), len(ids)
         place = places.astype(np.int64)
         while True:
             full = key * width + place
             first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
-            values = np.maximum.reduceat(values, first) if len(first) else values
+            values = np.maximum.reduceat(values, first)
             self.levels.append((full[first], values))
             self.widths.append(width)
             if width == 1:
                 break
-            key, place, width = key[first], place[first] // FANOUT, -(-width // FANOUT)
+            key, place, width = key[first], place[first] // fanout, -(-width // fanout)
 
     def bounds(self, level: int, parent: int, terms: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray]:
         """The first child of range ``parent`` of the level above, and the summed bounds of its children."""
         keys, values = self.levels[level]
         width = self.widths[level]
-        lo, hi = (0, 1) if parent < 0 else (parent * FANOUT, min(width, parent * FANOUT + FANOUT))
+        lo, hi = (0, 1) if parent < 0 else (parent * self.fanout, min(width, (parent + 1) * self.fanout))
         begin = np.searchsorted(keys, terms * width + lo)
         sizes = np.searchsorted(keys, terms * width + hi) - begin
         at = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
@@ -150,7 +151,7 @@ class MaxTrees:
         """Put documents of this row that are among the ``k`` best so far into the query's list."""
         held = np.searchsorted(self.terms, query.terms)
         held[held == len(self.terms)] = 0
-        there = self.terms[held] == query.terms if len(self.terms) else np.zeros(len(held), bool)
+        there = self.terms[held] == query.terms
         terms, times, best = held[there], query.times[there], query.best
         if not len(terms):
             return
@@ -176,7 +177,7 @@ class MaxTrees:
                 del best[k:]
                 continue
             first, bounds = self.bounds(level - 1, at, terms, times)
-            span = FANOUT ** (level - 1)
+            span = self.fanout ** (level - 1)
             for i, bound in enumerate(bounds.tolist(), first):
                 if not hopeless(-bound, i * span):
                     heapq.heappush(heap, (-bound, i * span, level - 1, i))
@@ -191,6 +192,8 @@ def _search(queries: list[Query], weights: np.ndarray, docs: int, tokens: int, k
                 values = lambda name: row[name].values.to_numpy(zero_copy_only=False)[row[name].offsets[0].as_py() : row[name].offsets[1].as_py()]  # noqa: B023, E731
                 raw = lambda name, kind: np.frombuffer(row[name][0].as_py(), kind)  # noqa: B023, E731
                 terms, holding, places = values("terms"), values("holding"), raw("places", np.uint16)
+                if not len(terms):
+                    continue
                 value = impacts(np.repeat(weights[terms], holding), raw("tfs", np.uint32).astype(np.int64), raw("lengths", np.int64)[places], docs, tokens)
                 trees = MaxTrees(row["ids"][0].as_py(), terms, holding, places, value)
                 for query in asked:

@@ -76,12 +76,12 @@ def least_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return hashes, (np.minimum(tails[:n], heads[span - 1 : span - 1 + n]) & _BELOW).astype(np.int64)
 
 
-def _stretches(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+def _stretches(texts: list[bytes], length: int, stretch: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """(text, start, bytes) in lists that fill a buffer; every window lies in one stretch."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        for start in range(0, len(text) - length + 1, STRETCH):
-            part = text[start : start + STRETCH + length - 1]
+        for start in range(0, len(text) - length + 1, stretch):
+            part = text[start : start + stretch + length - 1]
             if size + len(part) > 1 << PLACE_BITS:
                 yield held
                 held, size = [], 0
@@ -91,13 +91,13 @@ def _stretches(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def pieces_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces_of(texts: list[bytes], length: int, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, piece, place) of the pieces: key is the least hash, piece a hash of the bytes.
 
     place is 256 times the first window, plus the windows less one; a piece has 256 at most.
     """
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
-    for held in _stretches(texts, length):
+    for held in _stretches(texts, length, stretch):
         body = b"".join(part for _, _, part in held)
         hashes, least = least_hashes(np.frombuffer(body, np.uint8), length)
         sizes = np.array([len(part) for _, _, part in held])
