@@ -13,7 +13,9 @@ of ids, leaves and numbers. Texts are read again only where they are part of the
 Prefixes need no sorted leaf: texts are dealt by the leading bits of their key into about
 sqrt(texts) ranges, the ranges' sums show in which one the budget ends, and only that range is
 ordered. So a leaf that holds a third of all rows costs a pre-aggregated sum and a window over
-about sqrt(texts) rows.
+about sqrt(texts) rows. Rows of one id and length are one row of that window, with their number,
+so an id that repeats without end is no long window either; where the budget ends between such
+rows, their parts are counted and one part at most is numbered row by row.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Leaves up to this number, of about 100 bytes each, are broadcast to the texts; beyond it they are joined by shuffle.
-BROADCAST_LEAVES = 50_000
+#: Leaves up to this number and these bytes of names are broadcast to the texts; beyond it they are joined by shuffle.
+BROADCAST_LEAVES, BROADCAST_NAMES = 50_000, 8_000_000
 LEVELS = ("domain", "lang", "source")
 
 
@@ -76,6 +78,34 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], percent:
     return leaves.drop("cap").join(given.withColumnRenamed("budget", "got"), [*LEVELS])
 
 
+def edge_rows(edge: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of the ranges in which budgets end, with _taken.
+
+    numbers: the same rows without their payload. Rows of one leaf, key, id and length are
+    counted, and the window runs over these counts. Of each leaf the budget ends among the equal
+    rows of one id at most.
+    """
+    same = [*LEVELS, "_key", "_id", "n_tokens"]
+    order = Window.partitionBy(*LEVELS).orderBy("_key", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    equal = numbers.groupBy(*same).agg(F.count(F.lit(1)).alias("_rows"), F.min("rest").alias("rest"), F.min("end_ahead").alias("end_ahead"))
+    room = F.col("rest") - F.col("end_ahead") - F.coalesce(F.sum(F.col("_rows") * F.col("n_tokens")).over(order), F.lit(0))
+    fit = F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0), F.least("_rows", F.expr("_room div n_tokens")))).otherwise(F.when(F.col("_room") >= 0, F.col("_rows")).otherwise(0))
+    decided = durable(equal.withColumn("_room", room).withColumn("_fit", fit).select(*same, "_rows", "_fit"))
+    met = [edge[c].eqNullSafe(decided[c]) for c in same]
+    rows = edge.join(decided, met).select(*(edge[c] for c in edge.columns), "_rows", "_fit")
+    clear = rows.where("_fit = 0 or _fit = _rows").withColumn("_taken", F.col("_fit") > 0)
+    if not decided.where("_fit > 0 and _fit < _rows").limit(1).count():
+        return clear.drop("_rows", "_fit")
+    split = durable(rows.where("_fit > 0 and _fit < _rows").withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)))
+    ahead = Window.partitionBy(*LEVELS).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = durable(split.groupBy(*LEVELS, "_part").agg(F.count(F.lit(1)).alias("_held")).withColumn("_ahead", F.coalesce(F.sum("_held").over(ahead), F.lit(0))))
+    placed = split.join(parts, [*LEVELS, "_part"])
+    whole = placed.where("_ahead >= _fit or _ahead + _held <= _fit").withColumn("_taken", F.col("_ahead") < F.col("_fit"))
+    number = F.row_number().over(Window.partitionBy(*LEVELS).orderBy("_row"))
+    one = placed.where("_ahead < _fit and _ahead + _held > _fit").withColumn("_taken", F.col("_ahead") + number <= F.col("_fit"))
+    return clear.unionByName(whole.unionByName(one).select(clear.columns)).drop("_rows", "_fit")
+
+
 def mix(
     df: DataFrame,
     domain: Column,
@@ -95,8 +125,8 @@ def mix(
     Tokens are words between white space. Null domains, languages and sources are the name '';
     null and empty texts have no tokens and belong to every prefix before which budget is left
     over. A prefix never passes its budget. Order in an epoch is md5(seed:epoch:id), then the
-    id; repeated rows tie and are told apart in the order found, so any of the equal rows may
-    be taken. Null ids form one key like any other. A leaf without tokens keeps its rows once
+    id, then the number of tokens; rows that tie in all are told apart in the order found, so
+    any of them may be taken. Null ids form one key like any other. A leaf without tokens keeps its rows once
     if its budget is not used up by others. An empty table gives no rows. Columns not named
     are ignored. More than ``limit`` leaves meet their texts by shuffle, with the same result.
     """
@@ -118,7 +148,8 @@ def mix(
         .select(*LEVELS, "whole", "rest", "ranges")
     )
     budgets = durable(budgets)
-    few = budgets.count() <= limit
+    number, names = budgets.agg(F.count(F.lit(1)), F.sum(sum((F.octet_length(c) for c in LEVELS), F.lit(0)))).first()
+    few = number <= limit and (names or 0) <= BROADCAST_NAMES
     held = F.broadcast if few else (lambda x: x)
 
     def keyed(rows: DataFrame) -> DataFrame:
@@ -139,8 +170,8 @@ def mix(
     whole = df.select(*own, *(F.col(c).alias(f"_p{i}") for i, c in enumerate(extra))) if extra else texts
     rows = keyed(whole.join(held(plan), [*LEVELS]))
     inside = F.col("_range") == F.col("end_range")
-    running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0))
-    in_range = rows.where((F.col("rest") > 0) & inside).withColumn("_taken", F.col("end_ahead") + running <= F.col("rest"))
+    edge = rows.where((F.col("rest") > 0) & inside)
+    in_range = edge_rows(edge, keyed(texts.join(held(plan), [*LEVELS])).where((F.col("rest") > 0) & inside))
     others = rows.where((F.col("rest") <= 0) | F.col("end_range").isNull() | ~inside).withColumn("_taken", (F.col("rest") > 0) & (F.col("end_range").isNull() | (F.col("_range") < F.col("end_range"))))
     copies = F.col("whole") + F.col("_taken").cast("int")
     return (

@@ -8,10 +8,13 @@ to the positive rows above the threshold. A model of one hidden layer then minim
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with the logistic loss, stepping back from the second term where it is negative.
 
-The gradient steps use at most ``max_positive`` positives and ``max_unlabelled`` web texts,
-chosen by the hash of their id. The class prior is a statistic of the corpus: the plain score of
-every text of the fold goes into a histogram, and the prior is read off that. Everything is
-scored.
+Texts become statistics once; all that follows reads the table of these. At most ``max_positive``
+positives, chosen by the hash of their id, go to every task. The unlabelled are not sampled: they
+are dealt into shards of about ``SHARD_ROWS``, every shard takes the same layers over all its rows
+by gradient steps, and the layers of the shards are averaged by their rows; ``ROUNDS`` times.
+Standard scores and the class prior are statistics of the corpus: sums over all texts of the fold,
+and a histogram of the plain score of each. Sums are of whole numbers, so they do not depend on
+the order in which tasks end. Everything is scored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .common import as_bytes, first_by_hash, map_arrow, non_empty
 
+#: Bound of the labelled documents on which the model is fitted.
 MAX_POSITIVE = 8_000
-MAX_UNLABELLED = 12_000
+#: Unlabelled rows of a shard, and the most shards; beyond that shards grow, and their steps with them.
+SHARD_ROWS, MOST_SHARDS = 16_384, 20_000
+#: Rounds of averaging for the plain score and for the model; least steps of a shard in a round; rows of a step.
+PLAIN_ROUNDS, ROUNDS, STEPS, BATCH = 2, 6, 200, 256
+#: Parts of one in which sums over shards are counted.
+FINE = float(1 << 30)
 PUNCTUATION = np.frombuffer(string.punctuation.encode(), np.uint8)
 N_FEATURES = len(PUNCTUATION) + 17
 
@@ -118,31 +128,42 @@ def risk_slopes(zp: np.ndarray, zu: np.ndarray, prior: float | None) -> tuple[np
     return prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 1500, width: int = 24, batch: int = 512, rate: float = 4e-3, decay: float = 1e-4, seed: int = 5):
-    """Layers that minimise the non-negative risk; without a prior, plain p against u."""
+def first_layers(n: int, width: int = 24, seed: int = 5) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    layers = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], width)), np.zeros(width), rng.normal(0, 1 / np.sqrt(width), width), np.zeros(1)]
+    return [rng.normal(0, 1 / np.sqrt(n), (n, width)), np.zeros(width), rng.normal(0, 1 / np.sqrt(width), width), np.zeros(1)]
+
+
+def descend(layers: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None, begun: float, ended: float, seed: int, rate: float = 4e-3, decay: float = 1e-4) -> list[np.ndarray]:
+    """Layers after steps that lower the non-negative risk; without a prior, of plain p against u.
+
+    Steps go through u in turn, in a shuffled order, ``STEPS`` at least and every row once at
+    least. begun, ended: the part of the whole descent that this is, by which the pace falls.
+    """
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(u))
+    steps = max(STEPS, -(-len(u) // BATCH))
     first, second = [np.zeros_like(a) for a in layers], [np.zeros_like(a) for a in layers]
     for step in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
+        taken = np.arange((step - 1) * BATCH, step * BATCH) % len(u)
+        xp, xu = p[rng.integers(0, len(p), BATCH)], u[order[taken]]
         zp, zu = forward(layers, xp)[1], forward(layers, xu)[1]
         dp, du = risk_slopes(zp, zu, prior)
         slopes = [a + b for a, b in zip(_gradient(layers, xp, dp, decay), _gradient(layers, xu, du, decay))]
-        pace = rate * min(1.0, 3 * (1 - (step - 1) / steps))
+        pace = rate * min(1.0, 3 * (1 - begun - (ended - begun) * (step - 1) / steps))
         for i, g in enumerate(slopes):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             layers[i] = layers[i] - pace * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return tuple(layers)
+    return layers
 
 
 #: Thresholds at which the scores of the unlabelled are counted.
 GRID = 200
 
 
-def prior_grid(p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Thresholds for best-bin estimation, from scores of samples."""
-    return np.quantile(np.concatenate([p, u]), np.linspace(0, 1, GRID))
+def prior_grid(p: np.ndarray) -> np.ndarray:
+    """Thresholds for best-bin estimation, from the scores of positives."""
+    return np.quantile(p, np.linspace(0, 1, GRID))
 
 
 def binned(scores: np.ndarray, grid: np.ndarray) -> np.ndarray:
@@ -165,85 +186,130 @@ def estimate_prior(p: np.ndarray, bins: np.ndarray, grid: np.ndarray, delta: flo
     return float(np.clip(above_u[at] / above_p[at], 0.05, 0.95))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, count_bins=None) -> QualityModel:
-    """No positives or nothing unlabelled: every text scores one half.
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(float)
 
-    count_bins(plain model, grid) bins the scores of all unlabelled texts; without it those of
-    the given rows that the plain model was not fitted on stand for them.
-    """
-    if not len(positive) or not len(unlabelled):
-        zero = (np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.zeros(1))
-        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), zero, 0.5)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    plain = minimise(p[::2], u[::2], None, steps=400)
-    rest_p, rest_u = (p[1::2], u[1::2]) if min(len(p), len(u)) > 1 else (p, u)
-    score_p, score_u = forward(plain, rest_p)[1], forward(plain, rest_u)[1]
-    grid = prior_grid(score_p, score_u)
-    bins = binned(score_u, grid) if count_bins is None else count_bins(QualityModel(mean, scale, plain, 0.5), grid)
-    prior = estimate_prior(score_p, bins, grid)
-    return QualityModel(mean, scale, minimise(p, u, prior), prior)
-
-
-def train(docs: DataFrame, labels: DataFrame, fold, label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit on positives of the labels and unlabelled texts, both within ``fold(id column)``.
 
-    The chosen ids (a bounded number) are broadcast to the texts; no text is shuffled. An id
-    that is labelled both ways is no positive; null ids and labels teach nothing. Null and
-    empty texts have features of their own; rows that repeat an id count as often as they come.
-    """
-    once = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"))
-    good = once.where((F.col("y") == 1) & fold(F.col("_id"))).select("_id")
-    positive = first_by_hash(good, good.count(), max_positive).select("_id", F.lit(1).alias("positive"))
-    every = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("_id").isNotNull() & fold(F.col("_id")))
-    web = first_by_hash(every.select("_id"), every.count(), max_unlabelled).select("_id", F.lit(0).alias("positive"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(positive.unionByName(web)), "_id").select("text", "positive")
+def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, x) of every row, x the statistics of its text; written to the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            vectors = [features(t).tolist() for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(vectors, pa.list_(pa.float64()))], names=["positive", "x"])
-
-    table = map_arrow(texts, run, "positive int, x array<double>").toArrow()
-    x = np.array(table["x"].to_pylist(), float).reshape(-1, N_FEATURES)
-    y = np.array(table["positive"].to_pylist(), int)
-    order_of = np.lexsort(x.T[::-1])  # the same fit, whatever order the rows come in
-    x, y = x[order_of], y[order_of]
-    rng = np.random.default_rng(3)
-    shuffled = rng.permutation(len(x))
-    x, y = x[shuffled], y[shuffled]
-
-
-    def count_bins(model: QualityModel, grid: np.ndarray) -> np.ndarray:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(len(grid) + 1, np.int64)
-            for batch in non_empty(batches):
-                seen += binned(model.outputs(np.stack([features(t) for t in as_bytes(batch.column(0))])), grid)
-            some = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["bin", "n"])
-
-        out = np.zeros(len(grid) + 1)
-        for r in map_arrow(every.select("text"), count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-            out[r["bin"]] = r["n"]
-        return out
+            x = np.stack([features(t) for t in as_bytes(batch.column(1))]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "x"])
+
+    return durable(map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<float>"))
+
+
+def _summed(parts: DataFrame) -> dict[int, int]:
+    """(place, value) as exact whole sums; there are as many places as a model has numbers."""
+    return {r["place"]: int(r["value"]) for r in parts.groupBy("place").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()}
+
+
+def _places(values: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"place": pa.array(np.arange(len(values)), pa.int64()), "value": pa.array([str(int(v)) for v in values])})
 
-    return fit(x[y == 1], x[y == 0], count_bins)
 
+def moments(shards: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic over all rows."""
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(id_col, score, predicted), one row per input row, in one pass without a shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0] * (2 * N_FEATURES + 1)
+        for batch in non_empty(batches):
+            x = np.round(_vectors(batch["x"]) * 65536)
+            for i, v in enumerate([*x.sum(axis=0), *(x * x).sum(axis=0), len(x)]):
+                sums[i] += int(v)
+        yield _places(np.array(sums, object))
+
+    got = _summed(map_arrow(shards.select("x"), run, "place long, value string"))
+    n = max(got.get(2 * N_FEATURES, 0), 1)
+    mean = np.array([got.get(i, 0) for i in range(N_FEATURES)]) / n / 65536
+    square = np.array([got.get(N_FEATURES + i, 0) for i in range(N_FEATURES)], float) / n / 65536**2
+    return mean, np.sqrt(np.maximum(square - mean**2, 0)) + 1e-6
+
+
+def minimise(p: np.ndarray, shards: DataFrame, mean: np.ndarray, scale: np.ndarray, prior: float | None, rounds: int) -> tuple[np.ndarray, ...]:
+    """Layers that minimise the risk over the positives ``p``, in standard scores, and all rows of the shards."""
+    layers = first_layers(p.shape[1])
+    shapes = [a.shape for a in layers]
+    cuts = np.cumsum([a.size for a in layers])
+    for turn in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], begin=layers, turn=turn) -> Iterator[pa.RecordBatch]:
+            held = [_vectors(b["x"]).astype(np.float32) for b in non_empty(batches)]
+            if held:
+                u = np.clip((np.concatenate(held) - mean) / scale, -6, 6)
+                mine = descend([a.copy() for a in begin], p, u, prior, turn / rounds, (turn + 1) / rounds, turn)
+                flat = np.concatenate([a.ravel() for a in mine])
+                yield _places(np.array([*(int(v) * len(u) for v in np.round(flat * FINE)), len(u)], object))
+
+        got = _summed(map_arrow(shards.select("x"), run, "place long, value string"))
+        n = got[int(cuts[-1])]
+        flat = np.array([got[i] / n for i in range(cuts[-1])]) / FINE
+        layers = [part.reshape(shape) for part, shape in zip(np.split(flat, cuts[:-1]), shapes)]
+    return tuple(layers)
+
+
+def count_bins(shards: DataFrame, model: QualityModel, grid: np.ndarray) -> np.ndarray:
+    """``binned`` for the outputs of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(grid) + 1, np.int64)
+        for batch in non_empty(batches):
+            seen += binned(model.outputs(_vectors(batch["x"])), grid)
+        yield _places(seen)
+
+    got = _summed(map_arrow(shards.select("x"), run, "place long, value string"))
+    return np.array([got.get(i, 0) for i in range(len(grid) + 1)], float)
+
+
+def train(table: DataFrame, labels: DataFrame, fold, label_col: str = "quality", max_positive: int = MAX_POSITIVE, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id") -> QualityModel:
+    """Fit on positives of the labels and unlabelled texts, both within ``fold(id column)``.
+
+    table: ``featurise`` of the documents. The chosen ids (a bounded number) are broadcast. An id
+    that is labelled both ways is no positive; null ids and labels teach nothing, and of a
+    positive id that repeats one text does. Every row with an id is unlabelled text, as often as
+    it comes. Without positives or unlabelled rows every text scores one half.
+    """
+    once = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"))
+    good = once.where((F.col("y") == 1) & fold(F.col("_id"))).select("_id")
+    chosen = first_by_hash(good, good.count(), max_positive).select("_id")
+    every = table.select(F.col(id_col).alias("_id"), "x").where(F.col("_id").isNotNull() & fold(F.col("_id")))
+    some = table.select(F.col(id_col).alias("_id"), "x").join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("x").alias("x")).toArrow()
+    positive = np.array(some["x"].to_pylist(), float).reshape(-1, N_FEATURES)
+    positive = positive[np.lexsort(positive.T[::-1])]  # the same fit, whatever order the rows come in
+    n = every.count()
+    if not len(positive) or not n:
+        zero = (np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.zeros(1))
+        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), zero, 0.5)
+    count = min(MOST_SHARDS, -(-n // shard_rows))
+    # dealt in turn, so that rows of one id lie apart, and in an order of their own in a shard
+    dealt = every.withColumn("_at", F.monotonically_increasing_id()).repartition(count)
+    shards = durable(dealt.sortWithinPartitions("_id", "_at").select("x"))
+    mean, scale = moments(shards)
+    p = np.clip((positive[np.random.default_rng(3).permutation(len(positive))] - mean) / scale, -6, 6)
+    seen, apart = (p[::2], p[1::2]) if len(p) > 1 else (p, p)
+    plain = QualityModel(mean, scale, minimise(seen, shards, mean, scale, None, PLAIN_ROUNDS), 0.5)
+    scores = forward(plain.layers, apart)[1]
+    grid = prior_grid(scores)
+    prior = estimate_prior(scores, count_bins(shards, plain, grid), grid)
+    return QualityModel(mean, scale, minimise(p, shards, mean, scale, prior, ROUNDS), prior)
+
+
+def score_quality(table: DataFrame, model: QualityModel, id_col: str = "doc_id", threshold: float = 0.7) -> DataFrame:
+    """(id_col, score, predicted), one row per row of ``featurise``, without a shuffle.
 
     Null and empty texts are scored from their own feature. Null ids stay null, repeated rows
-    are repeated, an empty table gives no rows, other columns are ignored.
+    are repeated, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            p = model.probabilities(np.stack([features(t) for t in as_bytes(batch.column(1))]))
+            p = model.probabilities(_vectors(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return map_arrow(table.select(id_col, "x"), run, f"`{id_col}` {table.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -252,7 +318,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            p = model.probabilities(np.stack([features(t) for t in as_bytes(batch.column(at))]))
+            p = model.probabilities(np.stack([features(t) for t in as_bytes(batch.column(at))]).astype(np.float32).astype(float))
             yield batch.filter(pa.array(p >= threshold))
 
     return map_arrow(docs, run, docs.schema)

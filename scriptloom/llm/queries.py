@@ -55,9 +55,9 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    model = quality.train(docs, read_table(spark, sf_dir, "labels"), lambda c: crc_fold(c, 4) != 2)
-    return quality.score_quality(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    table = quality.featurise(read_table(spark, sf_dir, "documents"))
+    model = quality.train(table, read_table(spark, sf_dir, "labels"), lambda c: crc_fold(c, 4) != 2)
+    return quality.score_quality(table, model).select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ from .common import as_bytes, first_by_hash, map_arrow, non_empty
 LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bound of the labelled documents of each class on which the model is fitted.
 MAX_ROWS = 12_000
-#: Documents with the token that it takes for a weight of its own, in the toxic class.
-MIN_DOCS = 8
+#: Documents with the token that it takes for a weight of its own, in the toxic class, however many are labelled.
+MIN_DOCS = 3
 DRIFT = -0.05
 
 
@@ -125,22 +125,16 @@ class ToxicModel:
         expected = self.size * max(n_words, 1) * math.exp(-min(self.rate * score, 700))
         return -math.log(max(-math.expm1(-expected), 1e-300))
 
-    def evidence(self, text: bytes) -> float:
-        """ln(1 + surprise) of the best segment plus the excess of the other significant ones."""
-        found, n = self.passages(text)
+    def evidence(self, found: list[tuple[int, int, float]], n_words: int) -> float:
+        """ln(1 + surprise) of the best of the passages found, plus the excess of the other significant ones."""
         if not found:
             return 0.0
-        surprises = sorted((self.surprise(s, n) for _, _, s in found), reverse=True)
+        surprises = sorted((self.surprise(s, n_words) for _, _, s in found), reverse=True)
         return math.log1p(surprises[0] + sum(max(0.0, x - 3.0) for x in surprises[1:]))
 
-    def probability(self, text: bytes) -> float:
+    def probability(self, found: list[tuple[int, int, float]], n_words: int) -> float:
         a, b = self.logistic
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, a * self.evidence(text) + b))))
-
-
-def least_docs(n_toxic: int) -> int:
-    """Toxic documents that a token with a weight is in: ``MIN_DOCS``, fewer where few are labelled."""
-    return max(2, min(MIN_DOCS, n_toxic // 25))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, a * self.evidence(found, n_words) + b))))
 
 
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int = MIN_DOCS, mass: float = 200.0) -> dict[bytes, float]:
@@ -214,7 +208,6 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
     and null ids, teach nothing; rows that repeat an id count as often as they come.
     """
     in_labels = class_counts(labels, label_col, fold, id_col)
-    least = least_docs(in_labels.get(1, 0))
     rows = training_rows(docs, labels, label_col, fold, max_rows, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +230,13 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
 
     counts = map_arrow(rows, count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # a weight needs some toxic documents and a raw odds ratio above 1, which few tokens have
-    kept = counts.where((F.col("toxic") >= least) | (F.length("word") == 0)).collect()
+    kept = counts.where((F.col("toxic") >= MIN_DOCS) | (F.length("word") == 0)).collect()
     toxic = Counter({bytes(r["word"]): r["toxic"] for r in kept})
     clean = Counter({bytes(r["word"]): r["clean"] for r in kept})
     n_toxic, n_clean = toxic.pop(b"", 0), clean.pop(b"", 0)
     if not n_toxic or not n_clean:
         return ToxicModel({}, 1.0, 1.0, (0.0, -4.0))
-    draft = ToxicModel(log_odds(toxic, clean, n_toxic, n_clean, least), 1.0, 1.0, (1.0, 0.0))
+    draft = ToxicModel(log_odds(toxic, clean, n_toxic, n_clean), 1.0, 1.0, (1.0, 0.0))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
@@ -257,12 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
     rate, size = fit_law(tops[y == 0], lengths[y == 0])
     model = ToxicModel(draft.weights, rate, size, (1.0, 0.0))
 
-    def evidence(r) -> float:
-        s = sorted((model.surprise(float(x), r["n"]) for x in r["scores"].split("|") if x), reverse=True)
-        return math.log1p(s[0] + sum(max(0.0, x - 3.0) for x in s[1:])) if s else 0.0
-
+    got = np.array([model.evidence([(0, 0, float(x)) for x in r["scores"].split("|") if x], r["n"]) for r in seen])
     weight = np.array([max(1.0, in_labels[c] / max_rows) for c in (0, 1)])[y.astype(int)]
-    return ToxicModel(draft.weights, rate, size, fit_logistic(np.array([evidence(r) for r in seen]), y, weight))
+    return ToxicModel(draft.weights, rate, size, fit_logistic(got, y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -283,7 +273,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
             scores, spans = [], []
             for text in as_bytes(batch.column(1)):
                 found, n = m.passages(text)
-                scores.append(m.probability(text) if found else 1 / (1 + math.exp(-max(-60.0, m.logistic[1]))))
+                scores.append(m.probability(found, n))
                 spans.append([{"start": a, "end": b, "score": s} for a, b, s in found if m.surprise(s, n) >= floor])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(spans, pa.list_(span))], names=[id_col, "score", "predicted", "passages"])
 

@@ -362,6 +362,16 @@ def test_mixture_takes_prefixes_of_the_seeded_order(spark):
         assert all(marks[: last + 1])
 
 
+def test_one_id_on_many_rows_is_cut_where_the_budget_ends(spark):
+    """100,000 rows of one id and length, a third of which the budget holds; one row a part is numbered at most."""
+    same = spark.range(0, 100_000, 1, 7).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.col("id").alias("url"))
+    for payload in (None, ["url"]):
+        got = mixing.mix(same, F.expr(DOMAIN_SQL), WEIGHTS, 34, 1, payload=payload)
+        assert got.count() == 34_000 and (payload is None or got.select("url").distinct().count() == 34_000)
+    null = same.withColumn("doc_id", F.lit(None).cast("long"))
+    assert mixing.mix(null, F.expr(DOMAIN_SQL), WEIGHTS, 150, 2).count() == 150_000
+
+
 def test_edge_cases(edge_docs, no_docs):
     near = minhash.near_duplicates(edge_docs).collect()
     assert len(near) == edge_docs.count()

@@ -108,10 +108,11 @@ def test_layer_slopes_are_those_of_the_outputs():
 
 
 def test_prior_bins_cover_every_text(spark, docs):
-    """The histogram that the prior is read off holds each text of the fold, and a bounded sample gives about the same prior."""
+    """The histogram that the prior is read off holds each text of the fold, and few large or many small shards give about the same prior."""
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
     big = spark.read.parquet(f"{BIG}/documents.parquet")
-    priors = [quality.train(big, labels, lambda c: crc_fold(c, 4) != 2, max_unlabelled=n).prior for n in (1000, 6000)]
+    table = quality.featurise(big)
+    priors = [quality.train(table, labels, lambda c: crc_fold(c, 4) != 2, shard_rows=n).prior for n in (2000, 16_384)]
     share = big.join(labels, "doc_id").agg(F.avg("quality")).first()[0]
     assert abs(priors[0] - priors[1]) < 0.1 and all(abs(p - share) < 0.15 for p in priors)
 
@@ -151,7 +152,7 @@ def test_prior_estimate_is_near_the_share():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, 20_000), rng.normal(-2, 1, 4_000)
     web = np.concatenate([good[8000:], bad])
-    grid = quality.prior_grid(good[:8000], web)
+    grid = quality.prior_grid(good[:8000])
     bins = quality.binned(web, grid)
     assert bins.sum() == len(web) and [int(bins[k + 1 :].sum()) for k in (0, 50, 199)] == [int((web >= grid[k]).sum()) for k in (0, 50, 199)]
     assert abs(quality.estimate_prior(good[:8000], bins, grid) - 0.75) < 0.05
@@ -226,9 +227,15 @@ def test_edge_cases(spark, edge_docs, no_docs):
     model = toxicity.ToxicModel({b"idiot": 4.0}, 1.0, 0.01, (1.0, -4.0))
     assert toxicity.score_toxicity(edge_docs, model).count() == edge_docs.count()
     labels = spark.createDataFrame([(4, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert all(0 <= r["score"] <= 1 for r in quality.score_quality(edge_docs, quality.train(edge_docs, labels, lambda c: F.lit(True))).collect())
+    table = quality.featurise(edge_docs)
+    scored = quality.score_quality(table, quality.train(table, labels, lambda c: F.lit(True))).collect()
+    by = {k: {r["score"] for r in scored if r["doc_id"] == k} for k in range(1, 10)}
+    assert len(scored) == edge_docs.count() and sum(r["doc_id"] is None for r in scored) == 1
+    assert by[1] == by[2] == by[3] and len(by[5]) == 1 and by[5] == by[6] and len(by[1]) == 1 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in scored)
+    half = quality.score_quality(table, quality.train(table, labels.limit(0), lambda c: F.lit(True))).collect()
+    assert {r["score"] for r in half} == {0.5} and {r["predicted"] for r in half} == {0}
     assert toxicity.train(edge_docs, labels, F.lit(True)).weights == {}
-    assert quality.train(no_docs, labels.limit(0), lambda c: F.lit(True)).prior == 0.5
+    assert quality.train(quality.featurise(no_docs), labels, lambda c: F.lit(True)).prior == 0.5
     scored = lm.score_texts(edge_docs, F.lit(True)).collect()
     assert len(scored) == edge_docs.count()
     assert all(r["n_tokens"] == 1 for r in scored if r["doc_id"] in (1, 2, 3))
@@ -247,5 +254,5 @@ def test_toxicity_base_rate_does_not_depend_on_the_bound(spark):
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     whole, bounded = (toxicity.train(docs, docs.select("doc_id", "toxic"), F.lit(True), max_rows=n) for n in (2000, 100))
-    odds = [m.logistic[0] * m.evidence(b"tree river vile stone") + m.logistic[1] for m in (whole, bounded)]
+    odds = [m.logistic[0] * m.evidence(*m.passages(b"tree river vile stone")) + m.logistic[1] for m in (whole, bounded)]
     assert abs(odds[0] - odds[1]) < 0.8  # without weights the bound adds ln(10)
