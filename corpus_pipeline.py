@@ -9,10 +9,11 @@ bpe         encodes the text; (doc_id, n_tokens, ids)
 All but the last return the columns of documents. Null and empty texts pass through the
 stages as their operators define: nulls and empty texts are scored by the classifier like
 others, link with nothing, hold no personal data and take no budget; a null id stays null and
-is no one's copy. Rows that repeat an id stay or go together, but for the mixture, which may
-end its budget between them. Columns that clash with those an operator adds are not touched,
-since stages return the columns of documents alone. Each stage reads what its predecessor
-wrote; when the next one has been written, that is deleted.
+is no one's copy. Rows that repeat an id stay or go together, but for quality, which judges each
+text, and the mixture, which may end its budget between them. The first four stages hand on every
+column of their input under its name, with its values, also those that an operator adds for its
+own work; masking changes text and n_chars alone. Each stage reads what its predecessor wrote;
+when the next one has been written, that is deleted.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ MIX_PERCENT = 90
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that score 0.7 or more; without positive labels every row scores 0.5 and goes."""
-    model = quality.train(docs, read_table(spark, sf_dir, "labels"), lambda c: F.lit(True))
+    model = quality.train(quality.featurise(docs), read_table(spark, sf_dir, "labels"), lambda c: F.lit(True))
     return quality.keep_good(docs, model, threshold=0.7)
 
 
@@ -50,9 +51,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each text taken; null languages and sources become ''."""
-    taken = mixing.mix(docs, F.expr(DOMAIN_SQL), WEIGHTS, percent=MIX_PERCENT, max_epochs=1, seed=17, payload=["text", "n_chars"])
-    return taken.select(docs.columns)
+    """A row for each text taken, with all its columns as they were."""
+    held = {c: f"held_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select("doc_id", "text", "lang", "source", *(F.col(c).alias(name) for c, name in held.items()))
+    taken = mixing.mix(own, F.expr(DOMAIN_SQL), WEIGHTS, percent=MIX_PERCENT, max_epochs=1, seed=17, payload=list(held.values()))
+    return taken.select(*(F.col(name).alias(c) for c, name in held.items()))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
