@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import detect, export, feedback, review
+from .operators import align, detect, export, feedback, review
 from .plans.edit import decide, edit
 from .session import read_table
 from .sources.readers import Settings, habits, manuscript, settings_rows
@@ -172,6 +172,31 @@ def q_misheard_pairs(spark, sf_dir):
     return review.misheard_in_context(words, _manuscripts(words))
 
 
+def _edited_manuscripts(words):
+    """The manuscripts once more, with words that were said otherwise and words that were not said."""
+    base = words.where("stream_id % 7 <> 3")
+    kept = base.where("idx % 13 <> 5").select("stream_id", (F.col("idx") * 2).alias("idx"), F.when(F.col("idx") % 29 == 11, F.lit("other")).otherwise(F.col("text")).alias("text"))
+    return kept.unionByName(base.where("idx % 37 = 20").select("stream_id", (F.col("idx") * 2 + 1).alias("idx"), F.lit("unsaid").alias("text")))
+
+
+def q_alignment(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return align.align(words, _edited_manuscripts(words))
+
+
+def q_suspects(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return align.suspects(words, _edited_manuscripts(words))
+
+
+def q_reconcile(spark, sf_dir):
+    """Expected words against a hearing that loses, changes and adds some."""
+    expected = export.numbered(_kept(spark, sf_dir))
+    heard = expected.where("not (stream_id % 4 = 1 and n % 50 = 49)").select("stream_id", (F.col("n") * 2).alias("n"), F.when((F.col("stream_id") + F.col("n")) % 60 == 0, F.lit("?")).otherwise(F.col("text")).alias("text"))
+    added = expected.where("stream_id % 3 = 0 and n % 70 = 30").select("stream_id", (F.col("n") * 2 + 1).alias("n"), F.lit("uh").alias("text"))
+    return align.reconcile(expected, heard.unionByName(added))
+
+
 def q_time_map(spark, sf_dir):
     words = _words(spark, sf_dir)
     points = words.select("stream_id", F.col("start_ms").alias("src_ms"))
@@ -293,6 +318,39 @@ _EDL = f"edl AS (SELECT stream_id, seg + 1 AS event, {_timecode('f_in')} AS src_
 _FEEDBACK = ", fb AS (SELECT stream_id, idx, text, reasons, CASE WHEN proposed AND keep THEN 'restored' WHEN NOT proposed AND NOT keep THEN 'added' ELSE 'agreed' END AS class FROM decided)"
 _BENCH = r"man AS (SELECT item_id AS stream_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM benchmark))"
 _MAN = "man AS (SELECT stream_id, idx, bare FROM words WHERE stream_id % 7 <> 3 AND idx % 13 <> 5)"
+
+
+def _aligned(heard: str, meant: str) -> str:
+    """CTEs that align two tables (stream_id, idx, w): single runs of three words, their longest chain, edit distance between, a path from the end."""
+
+    def single(side: str, pos: str) -> str:
+        return f"SELECT stream_id, g, min(pos) AS {pos} FROM (SELECT stream_id, pos, [w, lead(w, 1) OVER p, lead(w, 2) OVER p] AS g, lead(w, 2) OVER p AS l FROM {side} WINDOW p AS (PARTITION BY stream_id ORDER BY pos)) WHERE l IS NOT NULL GROUP BY stream_id, g HAVING count(*) = 1"
+
+    def stretches(side: str, pos: str, w: str, i: str) -> str:
+        return f"SELECT stream_id, stretch, list(w ORDER BY pos) AS {w}, list(idx ORDER BY pos) AS {i} FROM (SELECT x.*, c.{pos} IS NOT NULL AS anchor, count(c.{pos}) OVER (PARTITION BY x.stream_id ORDER BY x.pos) AS stretch FROM {side} x LEFT JOIN chosen c ON c.stream_id = x.stream_id AND c.{pos} = x.pos) WHERE NOT anchor GROUP BY stream_id, stretch"
+
+    return f"""
+hs AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS pos FROM {heard}),
+ms AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS pos FROM {meant}),
+met AS (SELECT stream_id, pos, m_pos FROM ({single("hs", "pos")}) JOIN ({single("ms", "m_pos")}) USING (stream_id, g)),
+runs AS (SELECT stream_id, list(pos ORDER BY pos) AS ps, list(m_pos ORDER BY pos) AS qs FROM met GROUP BY stream_id),
+lengths AS (SELECT *, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(qs, lambda q: [q])), lambda acc, x: list_append(acc, 1 + coalesce(list_max(list_transform(list_filter(range(1, len(acc) + 1), lambda k: qs[k] < x[1]), lambda k: acc[k])), 0))) AS ls FROM runs),
+chains AS (SELECT stream_id, list_reduce(list_prepend([list_max(ls), 9223372036854775807], list_reverse(list_transform(range(1, len(ls) + 1), lambda k: [ls[k], qs[k], ps[k]]))),
+  lambda acc, x: CASE WHEN x[1] = acc[1] AND x[2] < acc[2] THEN list_concat([acc[1] - 1, x[2]], list_append(acc[3:], x[3])) ELSE acc END)[3:] AS c FROM lengths),
+chosen AS MATERIALIZED (SELECT stream_id, pos, m_pos FROM (SELECT stream_id, unnest(c) AS pos FROM chains) JOIN met USING (stream_id, pos)),
+st AS MATERIALIZED (SELECT stream_id, stretch, coalesce(a, []) AS a, coalesce(ai, []) AS ai, coalesce(b, []) AS b, coalesce(bi, []) AS bi FROM ({stretches("hs", "pos", "a", "ai")}) FULL JOIN ({stretches("ms", "m_pos", "b", "bi")}) USING (stream_id, stretch)),
+dp AS (SELECT stream_id, stretch, CAST(0 AS BIGINT) AS i, range(0, len(b) + 1) AS r FROM st UNION ALL
+  SELECT stream_id, stretch, i + 1, list_reduce(list_prepend([i + 1], list_transform(range(1, len(b) + 1), lambda j: [least(r[j + 1] + 1, r[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END)])), lambda acc, x: list_append(acc, least(acc[len(acc)] + 1, x[1]))) FROM dp JOIN st USING (stream_id, stretch) WHERE i < len(a)),
+way AS (SELECT stream_id, stretch, CAST(len(a) AS BIGINT) AS i, CAST(len(b) AS BIGINT) AS j, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS mj FROM st UNION ALL
+  SELECT stream_id, stretch, i - CAST(step < 2 AS BIGINT), j - CAST(step <> 1 AS BIGINT), CASE WHEN step < 2 THEN i END, CASE WHEN step <> 1 THEN j END FROM
+  (SELECT y.*, CASE WHEN y.i > 0 AND y.j > 0 AND d.r[y.j + 1] = u.r[y.j] + CASE WHEN s.a[y.i] = s.b[y.j] THEN 0 ELSE 1 END THEN 0 WHEN y.i > 0 AND d.r[y.j + 1] = u.r[y.j + 1] + 1 THEN 1 ELSE 2 END AS step
+   FROM way y JOIN st s USING (stream_id, stretch) JOIN dp d ON d.stream_id = y.stream_id AND d.stretch = y.stretch AND d.i = y.i LEFT JOIN dp u ON u.stream_id = y.stream_id AND u.stretch = y.stretch AND u.i = y.i - 1 WHERE y.i > 0 OR y.j > 0)),
+aligned AS (SELECT stream_id, ai[hi] AS idx, bi[mj] AS m_idx, CASE WHEN hi IS NULL THEN 'deleted' WHEN mj IS NULL THEN 'inserted' WHEN a[hi] = b[mj] THEN 'same' ELSE 'replaced' END AS op FROM way JOIN st USING (stream_id, stretch) WHERE hi IS NOT NULL OR mj IS NOT NULL
+  UNION ALL SELECT c.stream_id, h.idx, m.idx, 'same' FROM chosen c JOIN hs h ON h.stream_id = c.stream_id AND h.pos = c.pos JOIN ms m ON m.stream_id = c.stream_id AND m.pos = c.m_pos)"""
+
+
+_EDITED = "eman AS (SELECT stream_id, idx * 2 AS idx, CASE WHEN idx % 29 = 11 THEN 'other' ELSE text END AS text, CASE WHEN idx % 29 = 11 THEN 'other' ELSE bare END AS w FROM words WHERE stream_id % 7 <> 3 AND idx % 13 <> 5 UNION ALL SELECT stream_id, idx * 2 + 1, 'unsaid', 'unsaid' FROM words WHERE stream_id % 7 <> 3 AND idx % 37 = 20), heard AS (SELECT stream_id, idx, bare AS w FROM words), mine AS (SELECT * FROM heard WHERE stream_id IN (SELECT stream_id FROM eman))"
+_HEARD = "e AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS idx, text AS w FROM kept), o AS (SELECT stream_id, idx * 2 AS idx, CASE WHEN (stream_id + idx) % 60 = 0 THEN '?' ELSE w END AS w FROM e WHERE NOT (stream_id % 4 = 1 AND idx % 50 = 49) UNION ALL SELECT stream_id, idx * 2 + 1, 'uh' FROM e WHERE stream_id % 3 = 0 AND idx % 70 = 30)"
 _EVERY = (
     _LAYERS
     + """,
@@ -341,6 +399,9 @@ _SQL = {
     "c20_overrides": f"{_L} SELECT stream_id, idx, proposed, keep FROM decided",
     "c21_misheard": f"{_W}, {_MAN} SELECT stream_id, idx, text FROM words w WHERE bare <> '' AND stream_id IN (SELECT stream_id FROM man) AND NOT EXISTS (SELECT 1 FROM man m WHERE m.stream_id = w.stream_id AND m.bare = w.bare)",
     "c21_misheard_pairs": f"{_W}, {_MAN}, mb AS (SELECT stream_id, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM man), k AS (SELECT DISTINCT stream_id, a, b FROM mb WHERE b IS NOT NULL), p AS (SELECT stream_id, idx, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM words), h AS (SELECT stream_id, idx FROM p JOIN k USING (stream_id, a, b) UNION SELECT stream_id, idx + 1 FROM p JOIN k USING (stream_id, a, b)) SELECT stream_id, idx, text FROM words w WHERE stream_id IN (SELECT stream_id FROM man) AND NOT EXISTS (SELECT 1 FROM h WHERE h.stream_id = w.stream_id AND h.idx = w.idx)",
+    "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
+    "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
+    "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
     "c36_every_layer": f"WITH {_EVERY} SELECT stream_id, idx, coalesce(array_to_string(layers, '+'), '') AS layers, array_to_string(layers, '+') AS reasons, coalesce(len(layers), 0) AS n_layers, coalesce(CASE WHEN idx % 17 = 0 THEN idx % 2 = 0 END, layers IS NULL) AS keep FROM words LEFT JOIN found USING (stream_id, idx)",
     "c22_segments": f"{_L} SELECT stream_id, seg, src_start, src_end, n_words FROM segs",
     "c23_time_map": f"{_L} SELECT w.stream_id, w.start_ms AS src_ms, s.seg, s.out_start + w.start_ms - s.src_start AS out_ms FROM words w LEFT JOIN segs s ON w.stream_id = s.stream_id AND w.start_ms >= s.src_start AND w.start_ms < s.src_end",
@@ -379,6 +440,9 @@ _QUERIES = {
     "c20_overrides": q_overrides,
     "c21_misheard": q_misheard,
     "c21_misheard_pairs": q_misheard_pairs,
+    "c21_alignment": q_alignment,
+    "c21_suspects": q_suspects,
+    "c32_reconcile": q_reconcile,
     "c36_every_layer": q_every_layer,
     "c22_segments": lambda spark, sf_dir: _segments(spark, sf_dir).drop("out_start"),
     "c23_time_map": q_time_map,

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers unless their PYTHONPATH has it already."""
+    root = Path(__file__).resolve().parents[1]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_scriptloom_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "scriptloom"), "zip", root, "scriptloom")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._scriptloom_shipped = True
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables, which all executors share.
 
