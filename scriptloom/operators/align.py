@@ -115,7 +115,7 @@ def longest_chain(places: np.ndarray) -> np.ndarray:
     return np.array(chosen[::-1], np.int64)
 
 
-def _numbered(words: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
+def numbered(words: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
     """(stream_id, idx, w, pos): compared forms of the words, counted from 0 in each recording."""
     known = words.where("stream_id is not null and idx is not null").select("stream_id", F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text"))
     pos = F.row_number().over(Window.partitionBy("stream_id").orderBy("idx", "text")) - 1
@@ -154,7 +154,7 @@ def _stretches(side: DataFrame, chosen: DataFrame, at: str, name: str) -> DataFr
 def align(heard: DataFrame, meant: DataFrame, gram: int = 3, form: Callable[[Column], Column] = bare) -> DataFrame:
     """(stream_id, idx, m_idx, op) from two tables (stream_id, idx, text). ``form`` gives what is compared of a word."""
     spark = heard.sparkSession
-    a, b = _numbered(heard, form), _numbered(meant, form)
+    a, b = numbered(heard, form), numbered(meant, form)
     chosen = anchors(a, b, gram)
     both = _stretches(a, chosen, "pos", "heard").join(_stretches(b, chosen, "m_pos", "meant"), ["stream_id", "stretch"], "full")
     kind = a.schema["stream_id"].dataType.simpleString()

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, export, review
+from ..operators import detect, export, review, takes
 from ..sources.readers import Settings
 
 
@@ -40,6 +40,8 @@ def decide(
 
     Lexicons and stumbles are read off the words in one pass; only layers that rest on other
     tables are joined, all in one join. Proposals for words that are not there propose nothing.
+    Null recordings and indexes are proposed by no joined layer and so kept unless they are
+    fillers or stumbles; repeated words are decided each. Empty words give an empty plan.
     """
     on, other = settings.layers, []
     if "retake" in on or ("repeat" in on and vectors is not None):
@@ -48,6 +50,10 @@ def decide(
             other.append(detect.retake_words(words, sentences, detect.retakes(sentences, settings.retake_likeness, settings.retake_ahead)))
         if "repeat" in on and vectors is not None:
             other.append(detect.retake_words(words, sentences, detect.repeats(vectors, settings.repeat_cosine), "repeat"))
+    if "retake" in on and settings.take_words:
+        other.append(takes.aborted_words(words, settings.take_words))
+    if "stumble" in on and settings.stumble_words > 1:
+        other.append(takes.phrase_stumbles(words, settings.stumble_words))
     if "event" in on and events is not None:
         other.append(detect.non_speech(words, events, settings.event_score))
     if "unvoiced" in on and voiced is not None:

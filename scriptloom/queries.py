@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, detect, export, feedback, review
+from .operators import align, detect, export, feedback, review, takes
 from .plans.edit import decide, edit
 from .session import read_table
 from .sources.readers import Settings, habits, manuscript, settings_rows
@@ -189,6 +189,32 @@ def q_suspects(spark, sf_dir):
     return align.suspects(words, _edited_manuscripts(words))
 
 
+def _stuttered(words):
+    """The words with some phrases of two said twice and some words begun before they are said."""
+    at = lambda moved: (F.col("idx") * 10 + moved).alias("idx")
+    phrases = words.where("idx % 53 in (9, 10)").select("stream_id", at(F.when(F.col("idx") % 53 == 9, -4).otherwise(-13)), "text")
+    begun = words.where("idx % 41 = 7 and char_length(text) > 3").select("stream_id", at(F.lit(-2)), F.concat(F.substring("text", 1, 2), F.lit("-")).alias("text"))
+    return words.select("stream_id", at(F.lit(0)), "text").unionByName(phrases).unionByName(begun)
+
+
+def q_tandems(spark, sf_dir):
+    return takes.tandems(_stuttered(_words(spark, sf_dir)), 4)
+
+
+def q_cut_offs(spark, sf_dir):
+    return takes.cut_offs(_stuttered(_words(spark, sf_dir)))
+
+
+def _broken_off(words):
+    """The words with every 90th to 95th said once more, ten words later, as a speaker who begins anew."""
+    later = words.where("idx % 90 between 60 and 65").select("stream_id", ((F.col("idx") - F.col("idx") % 90 + 70) * 10 + F.col("idx") % 90 - 59).alias("idx"), "text", (F.col("start_ms") + 4000).alias("start_ms"), (F.col("end_ms") + 4000).alias("end_ms"))
+    return words.select("stream_id", (F.col("idx") * 10).alias("idx"), "text", "start_ms", "end_ms").unionByName(later)
+
+
+def q_aborted(spark, sf_dir):
+    return takes.aborted_takes(_broken_off(_words(spark, sf_dir)), 3, 20_000)
+
+
 def q_reconcile(spark, sf_dir):
     """Expected words against a hearing that loses, changes and adds some."""
     expected = export.numbered(_kept(spark, sf_dir))
@@ -351,6 +377,24 @@ aligned AS (SELECT stream_id, ai[hi] AS idx, bi[mj] AS m_idx, CASE WHEN hi IS NU
 
 _EDITED = "eman AS (SELECT stream_id, idx * 2 AS idx, CASE WHEN idx % 29 = 11 THEN 'other' ELSE text END AS text, CASE WHEN idx % 29 = 11 THEN 'other' ELSE bare END AS w FROM words WHERE stream_id % 7 <> 3 AND idx % 13 <> 5 UNION ALL SELECT stream_id, idx * 2 + 1, 'unsaid', 'unsaid' FROM words WHERE stream_id % 7 <> 3 AND idx % 37 = 20), heard AS (SELECT stream_id, idx, bare AS w FROM words), mine AS (SELECT * FROM heard WHERE stream_id IN (SELECT stream_id FROM eman))"
 _HEARD = "e AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS idx, text AS w FROM kept), o AS (SELECT stream_id, idx * 2 AS idx, CASE WHEN (stream_id + idx) % 60 = 0 THEN '?' ELSE w END AS w FROM e WHERE NOT (stream_id % 4 = 1 AND idx % 50 = 49) UNION ALL SELECT stream_id, idx * 2 + 1, 'uh' FROM e WHERE stream_id % 3 = 0 AND idx % 70 = 30)"
+_STUTTERED = """said AS (SELECT stream_id, idx * 10 AS idx, text FROM words UNION ALL SELECT stream_id, idx * 10 + CASE WHEN idx % 53 = 9 THEN -4 ELSE -13 END, text FROM words WHERE idx % 53 IN (9, 10)
+  UNION ALL SELECT stream_id, idx * 10 - 2, substr(text, 1, 2) || '-' FROM words WHERE idx % 41 = 7 AND length(text) > 3),
+side AS (SELECT stream_id, idx, lower(text) AS low, regexp_replace(lower(text), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g') AS w, row_number() OVER (PARTITION BY stream_id ORDER BY idx, text) - 1 AS pos FROM said)"""
+_TANDEMS = f"""WITH {_WORDS}, {_STUTTERED},
+hits AS (SELECT a.stream_id, a.pos, p.period FROM side a, range(1, 5) p(period), side b WHERE b.stream_id = a.stream_id AND b.pos = a.pos + p.period AND a.w = b.w AND a.w <> ''),
+runs AS (SELECT stream_id, period, min(pos) AS s, min(pos) + count(*) + period AS e FROM (SELECT *, pos - row_number() OVER (PARTITION BY stream_id, period ORDER BY pos) AS island FROM hits) GROUP BY stream_id, period, island HAVING count(*) >= period)
+SELECT r.stream_id, f.idx AS first_idx, l.idx AS last_idx, r.period, (r.e - r.s) // r.period AS times FROM runs r JOIN side f ON f.stream_id = r.stream_id AND f.pos = r.s JOIN side l ON l.stream_id = r.stream_id AND l.pos = r.e - 1
+WHERE NOT EXISTS (SELECT 1 FROM runs q WHERE q.stream_id = r.stream_id AND q.period < r.period AND q.s <= r.s AND q.e >= r.e)"""
+_ABORTED = f"""WITH {_WORDS},
+said AS (SELECT stream_id, idx * 10 AS idx, text, start_ms, end_ms FROM words UNION ALL SELECT stream_id, (idx - idx % 90 + 70) * 10 + idx % 90 - 59, text, start_ms + 4000, end_ms + 4000 FROM words WHERE idx % 90 BETWEEN 60 AND 65),
+side AS (SELECT stream_id, idx, start_ms, end_ms, regexp_replace(lower(text), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g') AS w, row_number() OVER (PARTITION BY stream_id ORDER BY idx, text) - 1 AS pos FROM said),
+threes AS (SELECT stream_id, pos, start_ms, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(end_ms, 2) OVER o AS end_ms FROM side WINDOW o AS (PARTITION BY stream_id ORDER BY pos)),
+seeds AS (SELECT stream_id, pos, lead(pos) OVER o - pos AS d, lead(start_ms) OVER o - end_ms AS wait FROM threes WHERE a <> '' AND b <> '' AND c <> '' WINDOW o AS (PARTITION BY stream_id, a, b, c ORDER BY pos)),
+spans AS (SELECT stream_id, d, min(pos) AS s, max(pos) + 3 AS e FROM (SELECT *, pos - row_number() OVER (PARTITION BY stream_id, d ORDER BY pos) AS island FROM seeds WHERE d >= 3 AND wait <= 20000) GROUP BY stream_id, d, island),
+chained AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY s, d) AS chain FROM (SELECT *, CASE WHEN s - lag(e) OVER o > 3 OR abs(d - lag(d) OVER o) > 2 OR lag(e) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM spans WINDOW o AS (PARTITION BY stream_id ORDER BY s, d))),
+found AS (SELECT stream_id, min(s) AS s, max(e) AS e, min(s) + arg_min(d, (s, d)) AS again FROM chained GROUP BY stream_id, chain),
+cut AS (SELECT stream_id, s, CASE WHEN again - least(e, again) <= 6 THEN again ELSE least(e, again) END AS e, again FROM found)
+SELECT c.stream_id, f.idx AS first_idx, l.idx AS last_idx, n.idx AS again_idx FROM cut c JOIN side f ON f.stream_id = c.stream_id AND f.pos = c.s JOIN side l ON l.stream_id = c.stream_id AND l.pos = c.e - 1 JOIN side n ON n.stream_id = c.stream_id AND n.pos = c.again"""
 _EVERY = (
     _LAYERS
     + """,
@@ -399,6 +443,9 @@ _SQL = {
     "c20_overrides": f"{_L} SELECT stream_id, idx, proposed, keep FROM decided",
     "c21_misheard": f"{_W}, {_MAN} SELECT stream_id, idx, text FROM words w WHERE bare <> '' AND stream_id IN (SELECT stream_id FROM man) AND NOT EXISTS (SELECT 1 FROM man m WHERE m.stream_id = w.stream_id AND m.bare = w.bare)",
     "c21_misheard_pairs": f"{_W}, {_MAN}, mb AS (SELECT stream_id, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM man), k AS (SELECT DISTINCT stream_id, a, b FROM mb WHERE b IS NOT NULL), p AS (SELECT stream_id, idx, bare AS a, lead(bare) OVER (PARTITION BY stream_id ORDER BY idx) AS b FROM words), h AS (SELECT stream_id, idx FROM p JOIN k USING (stream_id, a, b) UNION SELECT stream_id, idx + 1 FROM p JOIN k USING (stream_id, a, b)) SELECT stream_id, idx, text FROM words w WHERE stream_id IN (SELECT stream_id FROM man) AND NOT EXISTS (SELECT 1 FROM h WHERE h.stream_id = w.stream_id AND h.idx = w.idx)",
+    "c10_aborted": _ABORTED,
+    "c12_tandems": _TANDEMS,
+    "c12_cut_offs": f"WITH {_WORDS}, {_STUTTERED} SELECT stream_id, idx, b AS \"by\" FROM (SELECT *, rtrim(low, '-') AS stem, lead(w) OVER o AS n, lead(idx) OVER o AS b FROM side WINDOW o AS (PARTITION BY stream_id ORDER BY pos)) WHERE low LIKE '%-' AND stem <> '' AND starts_with(n, stem) AND length(n) > length(stem)",
     "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
     "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
     "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
@@ -440,6 +487,9 @@ _QUERIES = {
     "c20_overrides": q_overrides,
     "c21_misheard": q_misheard,
     "c21_misheard_pairs": q_misheard_pairs,
+    "c10_aborted": q_aborted,
+    "c12_tandems": q_tandems,
+    "c12_cut_offs": q_cut_offs,
     "c21_alignment": q_alignment,
     "c21_suspects": q_suspects,
     "c32_reconcile": q_reconcile,

@@ -20,11 +20,18 @@ SCHEMAS = {"words": WORDS, "decisions": DECISIONS, "intervals": INTERVALS, "feed
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds and layer switches of an edit plan."""
+    """Thresholds and layer switches of an edit plan.
+
+    stumble_words: the longest phrase of which a repetition is a stumble; with 1 only single
+    words, and words cut off are kept. take_words: the equal words that make a broken-off take
+    part of the layer retake; 0 for whole sentences only.
+    """
 
     silence_ms: int = 800
     retake_likeness: float = 0.7
     retake_ahead: int = 2
+    take_words: int = 0
+    stumble_words: int = 1
     repeat_cosine: float = 0.9
     event_score: float = 0.5
     cue_words: int = 8
