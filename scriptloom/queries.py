@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, detect, export, feedback, review, takes
+from .operators import align, detect, export, feedback, intervals, review, takes
 from .plans.edit import decide, edit
 from .session import read_table
 from .sources.readers import Settings, habits, manuscript, settings_rows
@@ -20,6 +20,7 @@ HABITS_MD = ["# Filler", "Words to drop.", "- the", "- und", "- et", "# Protecte
 SETTINGS_JSON = '{"silence_ms": 800, "layers": ["filler", "stumble", "event"], "unknown": 1}'
 LAYERS = ("filler", "stumble", "event")
 GAP_MS, CUE_WORDS, FPS = 800, 8, 30
+FRAME_HIGH, FRAME_LOW, HOUR_MS = 60.0, 20.0, 3_600_000
 EVERY_LAYER = Settings(silence_ms=GAP_MS, retake_likeness=0.35, repeat_cosine=0.2)
 
 
@@ -215,6 +216,42 @@ def q_aborted(spark, sf_dir):
     return takes.aborted_takes(_broken_off(_words(spark, sf_dir)), 3, 20_000)
 
 
+def _partly_voiced(words):
+    """Voice activity that begins late in some words and leaves some out."""
+    return words.where("idx % 40 < 38").select("stream_id", (F.col("start_ms") + (F.col("idx") % 5) * 60).alias("start_ms"), (F.col("end_ms") + 5).alias("end_ms"))
+
+
+def _extents(words):
+    return words.groupBy("stream_id").agg(F.lit(0).cast("long").alias("start_ms"), (F.max("end_ms") + 500).alias("end_ms"))
+
+
+def q_quiet(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return intervals.silence_between(_extents(words), _partly_voiced(words), 300)
+
+
+def q_frames(spark, sf_dir):
+    """The events of a user as the frames of a signal, an hour each."""
+    frames = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), F.col("value").alias("energy"))
+    return intervals.voice_from_frames(frames, FRAME_HIGH, FRAME_LOW, 2 * HOUR_MS, 24 * HOUR_MS, HOUR_MS)
+
+
+def q_mostly_unvoiced(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return intervals.mostly_outside(words, _partly_voiced(words), 0.7)
+
+
+def q_output_quiet(spark, sf_dir):
+    words = export.output_words(_kept(spark, sf_dir), GAP_MS)
+    return intervals.silence_between(_extents(words), words, 200)
+
+
+def q_cover(spark, sf_dir):
+    """How many detections, of events and of voice, cover each moment."""
+    words = _words(spark, sf_dir)
+    return intervals.cover(_intervals(words).select("stream_id", "start_ms", "end_ms").unionByName(_partly_voiced(words)))
+
+
 def q_reconcile(spark, sf_dir):
     """Expected words against a hearing that loses, changes and adds some."""
     expected = export.numbered(_kept(spark, sf_dir))
@@ -395,6 +432,36 @@ chained AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY s, d) AS
 found AS (SELECT stream_id, min(s) AS s, max(e) AS e, min(s) + arg_min(d, (s, d)) AS again FROM chained GROUP BY stream_id, chain),
 cut AS (SELECT stream_id, s, CASE WHEN again - least(e, again) <= 6 THEN again ELSE least(e, again) END AS e, again FROM found)
 SELECT c.stream_id, f.idx AS first_idx, l.idx AS last_idx, n.idx AS again_idx FROM cut c JOIN side f ON f.stream_id = c.stream_id AND f.pos = c.s JOIN side l ON l.stream_id = c.stream_id AND l.pos = c.e - 1 JOIN side n ON n.stream_id = c.stream_id AND n.pos = c.again"""
+_PARTLY = "part AS (SELECT stream_id, start_ms + idx % 5 * 60 AS s, end_ms + 5 AS e FROM words WHERE idx % 40 < 38 AND start_ms + idx % 5 * 60 < end_ms + 5)"
+
+
+def _quiet(extents: str, spans: str, least: int) -> str:
+    """What the spans leave of the extents: from the furthest end so far to the next start."""
+    return f"""ext AS ({extents}), inner_spans AS (SELECT p.stream_id, greatest(p.s, x.s) AS s, least(p.e, x.e) AS e FROM {spans} p JOIN ext x USING (stream_id) WHERE p.s < x.e AND x.s < p.e UNION ALL SELECT stream_id, e, e FROM ext UNION ALL SELECT stream_id, s, s FROM ext),
+holes AS (SELECT stream_id, max(e) OVER (PARTITION BY stream_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start_ms, s AS end_ms FROM inner_spans)
+SELECT stream_id, start_ms, end_ms, end_ms - start_ms AS gap_ms FROM holes WHERE end_ms - start_ms >= {least}"""
+
+
+def _extent(table: str) -> str:
+    return f"SELECT stream_id, CAST(0 AS BIGINT) AS s, max(end_ms) + 500 AS e FROM {table} GROUP BY 1"
+
+
+_FRAMES = f"""WITH f AS (SELECT user_id AS stream_id, epoch_us(ts) // 1000 AS t, max(value) AS v FROM events GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN v >= {FRAME_HIGH} THEN 1 WHEN v < {FRAME_LOW} OR coalesce(t - lag(t) OVER o > {25 * HOUR_MS}, true) THEN 0 END AS turn FROM f WINDOW o AS (PARTITION BY stream_id ORDER BY t)),
+states AS (SELECT *, last_value(turn IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY t) AS on_now FROM steps),
+runs AS (SELECT *, sum(CASE WHEN t - before <= {25 * HOUR_MS} THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY t) AS run FROM (SELECT *, lag(t) OVER (PARTITION BY stream_id ORDER BY t) AS before FROM states WHERE on_now = 1))
+SELECT stream_id, min(t) AS start_ms, max(t) + {HOUR_MS} AS end_ms FROM runs GROUP BY stream_id, run HAVING max(t) + {HOUR_MS} - min(t) >= {2 * HOUR_MS}"""
+_MOSTLY = f"""WITH {_WORDS}, {_PARTLY},
+blocks AS (SELECT *, sum(CASE WHEN s <= furthest THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT *, max(e) OVER (PARTITION BY stream_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM part)),
+voice AS (SELECT stream_id, min(s) AS s, max(e) AS e FROM blocks GROUP BY stream_id, b),
+heard AS (SELECT w.stream_id, w.idx, w.end_ms - w.start_ms AS took, sum(CASE WHEN v.s IS NULL THEN 0 ELSE least(v.e, w.end_ms) - greatest(v.s, w.start_ms) END) AS ms FROM words w LEFT JOIN voice v ON v.stream_id = w.stream_id AND v.s < w.end_ms AND w.start_ms < v.e GROUP BY w.stream_id, w.idx, took)
+SELECT stream_id, idx, 'unvoiced' AS layer, 'unvoiced' AS reason FROM heard WHERE ms <= CAST(0.7 AS DOUBLE) * took"""
+_COVER = f"""WITH {_WORDS}, {_PARTLY}, every AS (SELECT * FROM part UNION ALL SELECT stream_id, start_ms + 10, end_ms + 200 FROM words WHERE idx % 25 = 7),
+cuts AS (SELECT stream_id, s AS t FROM every UNION SELECT stream_id, e FROM every),
+cells AS (SELECT stream_id, t AS s, lead(t) OVER (PARTITION BY stream_id ORDER BY t) AS e FROM cuts),
+counted AS (SELECT c.stream_id, c.s, c.e, count(*) AS n FROM cells c JOIN every v ON v.stream_id = c.stream_id AND v.s <= c.s AND c.e <= v.e GROUP BY ALL),
+runs AS (SELECT *, sum(f) OVER (PARTITION BY stream_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN lag(e) OVER o = s AND lag(n) OVER o = n THEN 0 ELSE 1 END AS f FROM counted WINDOW o AS (PARTITION BY stream_id ORDER BY s)))
+SELECT stream_id, min(s) AS start_ms, max(e) AS end_ms, n FROM runs GROUP BY stream_id, run, n"""
 _EVERY = (
     _LAYERS
     + """,
@@ -446,6 +513,11 @@ _SQL = {
     "c10_aborted": _ABORTED,
     "c12_tandems": _TANDEMS,
     "c12_cut_offs": f"WITH {_WORDS}, {_STUTTERED} SELECT stream_id, idx, b AS \"by\" FROM (SELECT *, rtrim(low, '-') AS stem, lead(w) OVER o AS n, lead(idx) OVER o AS b FROM side WINDOW o AS (PARTITION BY stream_id ORDER BY pos)) WHERE low LIKE '%-' AND stem <> '' AND starts_with(n, stem) AND length(n) > length(stem)",
+    "c09_quiet": f"WITH {_WORDS}, {_PARTLY}, {_quiet(_extent('words'), 'part', 300)}",
+    "c14_frames": _FRAMES,
+    "c15_mostly_unvoiced": _MOSTLY,
+    "c15_cover": _COVER,
+    "c31_quiet": f"{_L}, ow AS (SELECT stream_id, start_ms AS s, end_ms AS e FROM outw), {_quiet(_extent('outw'), 'ow', 200)}",
     "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
     "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
     "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
@@ -490,6 +562,11 @@ _QUERIES = {
     "c10_aborted": q_aborted,
     "c12_tandems": q_tandems,
     "c12_cut_offs": q_cut_offs,
+    "c09_quiet": q_quiet,
+    "c14_frames": q_frames,
+    "c15_mostly_unvoiced": q_mostly_unvoiced,
+    "c15_cover": q_cover,
+    "c31_quiet": q_output_quiet,
     "c21_alignment": q_alignment,
     "c21_suspects": q_suspects,
     "c32_reconcile": q_reconcile,
