@@ -14,10 +14,13 @@ array.
 Scoring goes by stretches of about ``POSITIONS`` positions, in which every n-gram is looked up
 once. A filter of at most ``PART_BYTES`` is broadcast and probed where the text is read. A
 larger one never leaves its segments: the distinct n-grams of a stretch go there, are probed,
-and their levels return. Both ways give the same levels.
+and their levels return. The commonest words and pairs, which every stretch would ask for and
+which would meet in one segment, are broadcast with their levels instead. Both ways give the same
+levels.
 
 The base score needs exact counts of all tokens. Tokens with at least 1/``HEAVY`` of all
-occurrences, of which there cannot be more than ``HEAVY``, are broadcast. The others are sent,
+occurrences, of which there cannot be more than ``HEAVY``, are broadcast, and so are pairs that
+occur once or more in each 1/``HEAVY`` of the bytes of text, of which there are as few. The others are sent,
 once for each stretch that has them, to their segment and meet their counts there. So a token
 that no training text has, however often it occurs, is one entry of a stretch.
 """
@@ -44,6 +47,8 @@ SEGMENT_BYTES = 8 << 20
 MIN_SEGMENTS = 64
 #: Segments that a task of the scoring pass handles, one after the other.
 SEGMENTS_A_TASK = 16
+#: Most tasks of a shuffle by segment; beyond it a task takes several segments, one after the other.
+MOST_TASKS = 20_000
 #: At most so many tokens are broadcast with exact counts.
 HEAVY = 1 << 21
 #: Largest filter that is broadcast.
@@ -138,6 +143,11 @@ def levels_in(bits: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.nd
     return out
 
 
+def levels_of(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The levels of keys in the bits of one segment, as bytes."""
+    return levels_in(bits, np.zeros(len(keys), np.int64), np.full(len(keys), 8 * len(bits)), keys).astype(np.uint8)
+
+
 class LevelFilter:
     """The whole filter: segments side by side; segments that are absent hold nothing."""
 
@@ -168,8 +178,12 @@ def histories(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return before
 
 
-def count_ngrams(training: DataFrame, segments: int) -> DataFrame:
-    """(segment, words, word_counts, n_tokens, n_words, bits) by segment, from texts."""
+def count_ngrams(training: DataFrame, segments: int, heavy_pair: int) -> DataFrame:
+    """(segment, words, word_counts, n_tokens, n_words, bits, pairs, pair_levels) by segment, from texts.
+
+    pairs: those that occur at least ``heavy_pair`` times, with their levels in the filter. Null and
+    empty texts are an end each; repeated texts count as often as they come. No rows give none.
+    """
 
     def out(tokens: list[np.ndarray], pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for kind, found in enumerate((tokens, pairs)):
@@ -211,27 +225,38 @@ def count_ngrams(training: DataFrame, segments: int) -> DataFrame:
             found.append(added_up(np.concatenate([single, other]), np.concatenate([np.ones(len(single), np.int64), np.frombuffer(counts, np.int32).astype(np.int64)])))
         (words, n), (pairs, m) = found
         bits = filter_of(np.concatenate([words & LOW, pairs]), np.concatenate([n, m]))
-        return pa.table({"segment": table["segment"].slice(0, 1).combine_chunks(), "words": pa.array([words.tobytes()], pa.binary()), "word_counts": pa.array([n.tobytes()], pa.binary()), "n_tokens": pa.array([int(n.sum())], pa.int64()), "n_words": pa.array([len(n)], pa.int64()), "bits": pa.array([bits], pa.binary())})
+        heavy = pairs[m >= heavy_pair]
+        levels = levels_of(np.frombuffer(bits, np.uint8), heavy)
+        return pa.table({"segment": table["segment"].slice(0, 1).combine_chunks(), "words": pa.array([words.tobytes()], pa.binary()), "word_counts": pa.array([n.tobytes()], pa.binary()), "n_tokens": pa.array([int(n.sum())], pa.int64()), "n_words": pa.array([len(n)], pa.int64()), "bits": pa.array([bits], pa.binary()), "pairs": pa.array([packed(heavy)], pa.binary()), "pair_levels": pa.array([levels.tobytes()], pa.binary())})
 
     counted = map_arrow(training, run, "segment int, kind int, ones binary, many binary, counts binary")
-    return counted.repartition(segments, "segment").groupBy("segment").applyInArrow(add, "segment int, words binary, word_counts binary, n_tokens long, n_words long, bits binary")
+    return counted.repartition(min(segments, MOST_TASKS), "segment").groupBy("segment").applyInArrow(add, "segment int, words binary, word_counts binary, n_tokens long, n_words long, bits binary, pairs binary, pair_levels binary")
 
 
-def heavy_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and counts, of the tokens that occur at least so often."""
+def heavy_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, counts and levels of the tokens that occur at least so often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            for words, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for words, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
                 k, c = np.frombuffer(words, np.uint64), np.frombuffer(n, np.int64)
                 keep = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([k[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["k", "c"])
+                found = k[keep].tobytes(), c[keep].tobytes(), levels_of(np.frombuffer(bits, np.uint8), k[keep] & LOW).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in found], names=["k", "c", "l"])
+
+    rows = map_arrow(counts.select("words", "word_counts", "bits"), run, "k binary, c binary, l binary").collect()
+    keys, found, levels = (np.frombuffer(b"".join(r[name] for r in rows), kind) for name, kind in (("k", np.uint64), ("c", np.int64), ("l", np.uint8)))
+    order = np.argsort(keys)
+    return keys[order], found[order], levels[order]
+
 
-    rows = map_arrow(counts.select("words", "word_counts"), run, "k binary, c binary").collect()
-    keys = np.frombuffer(b"".join(r["k"] for r in rows), np.uint64)
-    found = np.frombuffer(b"".join(r["c"] for r in rows), np.int64)
+def heavy_pairs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, of segment and low bits, and levels of the pairs that ``count_ngrams`` names."""
+    rows = counts.select("segment", "pairs", "pair_levels").where(F.length("pairs") > 0).collect()
+    keys = np.concatenate([unpacked(r["pairs"]) | np.uint64(r["segment"] << 40) for r in rows] or [np.empty(0, np.uint64)])
+    levels = np.frombuffer(b"".join(r["pair_levels"] for r in rows), np.uint8)
     order = np.argsort(keys)
-    return keys[order], found[order]
+    return keys[order], levels[order]
 
 
 def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -298,14 +323,17 @@ def log_probabilities(codes: np.ndarray, pair_codes: np.ndarray, starts: np.ndar
 
 
 #: place: of the stretch. Questions: segment, words, pairs. Texts: the others, with segment to spread them.
-STRETCH = "place long, segment int, words binary, pairs binary, texts binary, rare binary, codes binary, pair_codes binary"
+STRETCH = "place long, segment int, words binary, pairs binary, texts binary, rare binary, codes binary, pair_codes binary, word_known binary, pair_known binary"
+#: For a level that is asked.
+ASKED = 255
 
 
-def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, known: tuple[np.ndarray, np.ndarray], denominator: float, whole: LevelFilter | None, n_tokens: int, n_words: int) -> pa.RecordBatch:
+def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, known: tuple[np.ndarray, np.ndarray], denominator: float, whole: LevelFilter | None, n_tokens: int, n_words: int, levels: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
     """Rows of one stretch: its texts with what is known so far, then its questions by segment.
 
-    With the whole filter at hand questions are the words without a broadcast count; without
-    it they are all words and pairs, and the codes by position go along to score the answers.
+    Questions are the words without a broadcast count. Without the whole filter at hand they are
+    also the pairs without a broadcast level, and the codes by position go along to score the
+    answers. levels: of the known words, then keys and levels of the known pairs.
     """
     stretch = Stretch(hashes, segments)
     c = looked_up(stretch.words, *known)
@@ -321,7 +349,7 @@ def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, kn
     with pa.ipc.new_stream(sink, texts.schema) as writer:
         writer.write_batch(texts)
     # what the texts ask: (text, word) once, with the times it occurs
-    asked = np.flatnonzero(rare) if whole is not None else np.arange(len(stretch.words))
+    asked = np.flatnonzero(rare)
     number = np.full(len(stretch.words), -1, np.int64)
     number[asked] = np.arange(len(asked))
     at = np.flatnonzero(rare[stretch.codes])
@@ -329,9 +357,15 @@ def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, kn
     pairs, times = np.unique(owner * max(1, len(asked)) + number[stretch.codes[at]], return_counts=True)
     rare_rows = np.stack([pairs // max(1, len(asked)), pairs % max(1, len(asked)), times]).astype(np.int32)
     word_edges = np.searchsorted(asked, stretch.word_edges)
-    pair_edges = stretch.pair_edges if whole is None else np.zeros(segments + 1, np.int64)
+    pairs_asked, pair_known, word_known = np.empty(0, np.int64), b"", b""
+    if whole is None:
+        key = (segment_of(stretch.pairs, segments).astype(np.uint64) << np.uint64(40)) | (stretch.pairs & LOW)
+        held = [looked_up(stretch.words, known[0], levels[0]), looked_up(key, levels[1], levels[2])]
+        pairs_asked = np.flatnonzero(held[1] == 0)
+        word_known, pair_known = (np.where(x == 0, ASKED, x).astype(np.uint8).tobytes() for x in held)
+    pair_edges = np.searchsorted(pairs_asked, stretch.pair_edges)
     some = np.flatnonzero((word_edges[1:] > word_edges[:-1]) | (pair_edges[1:] > pair_edges[:-1]))
-    words = stretch.words[asked]
+    words, some_pairs = stretch.words[asked], stretch.pairs[pairs_asked]
     empty = [None] * len(some)
     away = whole is None
     home = ((place * int(MIX_A) & (1 << 64) - 1) >> 40) % segments
@@ -340,11 +374,13 @@ def _rows(place: int, ids: pa.Array, hashes: list[np.ndarray], segments: int, kn
             pa.array([place] * (1 + len(some)), pa.int64()),
             pa.array([home, *some.tolist()], pa.int32()),
             pa.array([None, *(words[word_edges[s] : word_edges[s + 1]].tobytes() for s in some)], pa.binary()),
-            pa.array([None, *(packed(stretch.pairs[pair_edges[s] : pair_edges[s + 1]]) for s in some)], pa.binary()),
+            pa.array([None, *(packed(some_pairs[pair_edges[s] : pair_edges[s + 1]]) for s in some)], pa.binary()),
             pa.array([sink.getvalue().to_pybytes(), *empty], pa.binary()),
             pa.array([rare_rows.tobytes(), *empty], pa.binary()),
             pa.array([stretch.codes.tobytes() if away else b"", *empty], pa.binary()),
             pa.array([stretch.pair_codes.tobytes() if away else b"", *empty], pa.binary()),
+            pa.array([word_known, *empty], pa.binary()),
+            pa.array([pair_known, *empty], pa.binary()),
         ],
         names=[c.split()[0] for c in STRETCH.split(", ")],
     )
@@ -362,26 +398,27 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     segments = max(MIN_SEGMENTS, -(-size // segment_bytes))
-    counts = durable(count_ngrams(docs.where(train).select(text_col), segments))
+    counts = durable(count_ngrams(docs.where(train).select(text_col), segments, max(2, -(-size // heavy))))
     total = counts.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.length("bits"))).first()
     n_tokens, n_words, n_bytes = (x or 0 for x in total)
     denominator = n_tokens + 0.5 * (n_words + 1)
     away = n_bytes > part_bytes
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
-    known = spark.sparkContext.broadcast(none if away else heavy_words(counts, max(1, -(-n_tokens // heavy))))
+    words, found, word_levels = heavy_words(counts, max(1, -(-n_tokens // heavy)))
+    known = spark.sparkContext.broadcast((words, found))
+    levels = spark.sparkContext.broadcast((word_levels, *heavy_pairs(counts)) if away else None)
     whole = None if away else spark.sparkContext.broadcast(LevelFilter(segments, {r["segment"]: bytes(r["bits"]) for r in counts.select("segment", "bits").toLocalIterator()}))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
         for ids, hashes in _stretches(batches):
-            yield _rows(place, ids, hashes, segments, known.value, denominator, None if whole is None else whole.value, n_tokens, n_words)
+            yield _rows(place, ids, hashes, segments, known.value, denominator, None if whole is None else whole.value, n_tokens, n_words, levels.value)
             place += 1
 
     return _answered(map_arrow(texts, run, STRETCH), counts, segments, denominator, n_tokens, n_words, away, texts.schema["id"].dataType.simpleString(), id_col)
 
 
-ANSWERED = "place long, segment int, counts binary, word_levels binary, pair_levels binary, texts binary, rare binary, codes binary, pair_codes binary"
+ANSWERED = "place long, segment int, counts binary, word_levels binary, pair_levels binary, texts binary, rare binary, codes binary, pair_codes binary, word_known binary, pair_known binary"
 
 
 def _answered(rows: DataFrame, counts: DataFrame, segments: int, denominator: float, n_tokens: int, n_words: int, away: bool, id_type: str, id_col: str) -> DataFrame:
@@ -389,14 +426,14 @@ def _answered(rows: DataFrame, counts: DataFrame, segments: int, denominator: fl
 
     Tasks are as many as segments allow, so what one of them reads does not grow with the corpus.
     """
-    through = ("texts", "rare", "codes", "pair_codes")
+    through = ("texts", "rare", "codes", "pair_codes", "word_known", "pair_known")
 
     def meet(left, right):
         some = right.num_rows > 0
         words = np.frombuffer(right["words"][0].as_py(), np.uint64) if some else np.empty(0, np.uint64)
         n = np.frombuffer(right["word_counts"][0].as_py(), np.int64) if some else np.empty(0, np.int64)
         bits = np.frombuffer(right["bits"][0].as_py(), np.uint8) if some and away else np.empty(0, np.uint8)
-        levels = lambda keys: levels_in(bits, np.zeros(len(keys), np.int64), np.full(len(keys), 8 * len(bits)), keys).astype(np.uint8).tobytes()
+        levels = lambda keys: levels_of(bits, keys).tobytes()
         answers = []
         for asked, pairs in zip(left["words"].to_pylist(), left["pairs"].to_pylist()):
             if asked is None:
@@ -420,10 +457,13 @@ def _answered(rows: DataFrame, counts: DataFrame, segments: int, denominator: fl
         if away:
             starts = np.cumsum([0, *texts.column("n_tokens").to_pylist()[:-1]])
             codes, pair_codes = (np.frombuffer(own[k], np.int32) for k in ("codes", "pair_codes"))
-            score = np.add.reduceat(log_probabilities(codes, pair_codes, starts, word_levels.astype(np.int64), pair_levels.astype(np.int64), n_tokens, n_words), starts)
+            levels = [np.frombuffer(own[k], np.uint8).astype(np.int64) for k in ("word_known", "pair_known")]
+            for held, answers in zip(levels, (word_levels, pair_levels)):
+                held[held == ASKED] = answers
+            score = np.add.reduceat(log_probabilities(codes, pair_codes, starts, *levels, n_tokens, n_words), starts)
         return pa.table({id_col: texts.column("id"), "n_tokens": texts.column("n_tokens"), "n_known": pa.array(known), "train_tokens": pa.array([n_tokens] * len(base), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
-    tasks = max(MIN_SEGMENTS, segments // SEGMENTS_A_TASK)
+    tasks = min(MOST_TASKS, max(MIN_SEGMENTS, segments // SEGMENTS_A_TASK))
     held = counts.select("segment", "words", "word_counts", *["bits"] * away)
     met = rows.repartition(tasks, "segment").groupBy("segment").cogroup(held.repartition(tasks, "segment").groupBy("segment")).applyInArrow(meet, ANSWERED)
     return met.repartition(tasks, "place").groupBy("place").applyInArrow(gather, f"`{id_col}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

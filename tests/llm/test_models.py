@@ -192,13 +192,29 @@ def test_language_model_counts(docs, rows, heavy, part_bytes, monkeypatch):
 def test_filter_in_segments_scores_like_the_broadcast_filter(docs, monkeypatch):
     monkeypatch.setattr(lm, "POSITIONS", 20_000)
     train = ~(crc_fold(F.col("doc_id"), 5) == 1)
-    a, b = ({r["doc_id"]: r for r in lm.score_texts(docs, train, part_bytes=n, segment_bytes=1 << 14).collect()} for n in (lm.PART_BYTES, 0))
+    a, b = ({r["doc_id"]: r for r in lm.score_texts(docs, train, part_bytes=n, segment_bytes=1 << 14, heavy=5000).collect()} for n in (lm.PART_BYTES, 0))
     assert a.keys() == b.keys()
     for i, r in a.items():
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (b[i]["n_tokens"], b[i]["n_known"], b[i]["train_tokens"])
         assert abs(r["score"] - b[i]["score"]) < 1e-6 * max(1, abs(r["score"])) and abs(r["base_score"] - b[i]["base_score"]) < 1e-6 * max(1, abs(r["base_score"]))
 
 
+def test_common_words_and_pairs_are_asked_of_no_segment():
+    """Without the whole filter, a known word or pair is no question, and its level goes along."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = lm.text_hashes(b"the cat the cat the dog")
+    words = np.sort(text[[0, 1]])  # the, cat
+    pair = lm.mix(text[:1], text[1:2])
+    key = (lm.segment_of(pair, 64).astype(np.uint64) << np.uint64(40)) | (pair & lm.LOW)
+    levels = np.array([2, 3], np.uint8), key, np.array([5], np.uint8)
+    own, *asked = lm._rows(0, pa.array([1]), [text], 64, (words, np.array([3, 5])), 10.0, None, 9, 9, levels).to_pylist()
+    assert sum(len(r["words"]) for r in asked) == 2 * 8  # dog, the end
+    assert sum(len(r["pairs"]) for r in asked) == 4 * 5  # end the, cat the, the dog, dog end
+    assert sorted(own["word_known"]) == [2, 3, lm.ASKED, lm.ASKED] and sorted(own["pair_known"]) == [5] + [lm.ASKED] * 4
+
+
 def test_filter_levels_are_never_too_low():
     import numpy as np
 
