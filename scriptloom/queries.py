@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, detect, export, feedback, intervals, review, takes
+from .operators import align, captions, choose, detect, export, feedback, intervals, review, takes
 from .plans.edit import decide, edit
 from .session import read_table
 from .sources.readers import Settings, habits, manuscript, settings_rows
@@ -278,6 +278,19 @@ def q_cues(spark, sf_dir):
     return export.cues(_kept(spark, sf_dir), GAP_MS, CUE_WORDS)
 
 
+def q_readable_cues(spark, sf_dir):
+    return captions.readable_cues(_kept(spark, sf_dir), GAP_MS)
+
+
+def q_chosen_spans(spark, sf_dir):
+    """Spans of two detectors that often disagree on where a cut begins and ends."""
+    words = _words(spark, sf_dir)
+    span = lambda name, first, last, weight: (F.expr(first).alias("first_idx"), F.expr(last).alias("last_idx"), F.lit(name).alias("layer"), F.lit(name).alias("reason"), F.expr(weight).alias("weight"))
+    takes_of = words.where("idx % 9 = 4").select("stream_id", *span("retake", "idx", "idx + idx % 7", "10 + idx % 13"))
+    judged = words.where("idx % 14 = 3").select("stream_id", *span("judge", "idx - 2", "idx + 5", "20 + idx % 5"))
+    return choose.without_overlap(takes_of.unionByName(judged))
+
+
 def q_srt(spark, sf_dir):
     return export.srt(q_cues(spark, sf_dir))
 
@@ -462,6 +475,31 @@ cells AS (SELECT stream_id, t AS s, lead(t) OVER (PARTITION BY stream_id ORDER B
 counted AS (SELECT c.stream_id, c.s, c.e, count(*) AS n FROM cells c JOIN every v ON v.stream_id = c.stream_id AND v.s <= c.s AND c.e <= v.e GROUP BY ALL),
 runs AS (SELECT *, sum(f) OVER (PARTITION BY stream_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN lag(e) OVER o = s AND lag(n) OVER o = n THEN 0 ELSE 1 END AS f FROM counted WINDOW o AS (PARTITION BY stream_id ORDER BY s)))
 SELECT stream_id, min(s) AS start_ms, max(e) AS end_ms, n FROM runs GROUP BY stream_id, run, n"""
+def _readable() -> str:
+    """Least costs from the end of a segment as a fold over its words; a cost and the words of the first cue share a number."""
+    r = captions.Reading()
+    bound = ", ".join(f"'{w}'" for w in r.bound)
+    chars = "(p[j + 1] - p[i] + j - i)"
+    end = f"CASE WHEN j = len(t) THEN 0 WHEN b[j] THEN {r.bound_price} WHEN c[j] THEN 0 ELSE {r.open_price} END"
+    cost = f"{r.cue_price} + greatest(0, {r.chars} - {chars}) * greatest(0, {r.chars} - {chars}) + {end} + greatest(0, 1000 * {chars} - {r.chars_a_second} * (e[j] - s[i])) // 100"
+    least = f"list_min(list_transform(list_filter(range(i, least(len(t), i + {r.chars}) + 1), lambda j: j = i OR {chars} <= {r.chars}), lambda j: ({cost} + acc[len(t) - j + 1] // 1000) * 1000 + 999 - (j - i + 1)))"
+    return f"""WITH {_LAYERS},
+seglists AS (SELECT stream_id, seg, list(text ORDER BY idx) AS t, list(start_ms ORDER BY idx) AS s, list(end_ms ORDER BY idx) AS e, list(regexp_replace(lower(text), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g') IN ({bound}) ORDER BY idx) AS b,
+  list(substr(text, -1, 1) IN ('.', ',', ';', ':', '!', '?', '。', '，', '！', '？') ORDER BY idx) AS c FROM outw GROUP BY stream_id, seg),
+sums AS (SELECT *, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(t) + 1), lambda k: CAST(list_sum(list_transform(t[:k], lambda x: length(x))) AS BIGINT))) AS p FROM seglists),
+solved AS (SELECT *, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(len(t), 0, -1), lambda i: [i])), lambda acc, x: list_append(acc, list_transform([x[1]], lambda i: {least})[1])) AS f FROM sums),
+walked AS (SELECT *, list_reduce(list_prepend([CAST(1 AS BIGINT)], list_transform(range(1, len(t) + 1), lambda i: [i])), lambda acc, x: CASE WHEN x[1] = acc[1] THEN list_append(list_concat([x[1] + 999 - f[len(t) - x[1] + 2] % 1000], acc[2:]), x[1]) ELSE acc END)[2:] AS starts FROM solved),
+each AS (SELECT stream_id, seg, unnest(starts) AS i, unnest(list_append(starts[2:], len(t) + 1)) AS n, t, s, e FROM walked)
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY seg, i) AS cue, s[i] AS start_ms, list_max(e[i:n - 1]) AS end_ms, array_to_string(t[i:n - 1], ' ') AS text FROM each"""
+
+
+_CHOSEN = f"""WITH {_WORDS},
+spans AS (SELECT stream_id, idx AS f, idx + idx % 7 AS l, 'retake' AS layer, 10 + idx % 13 AS w FROM words WHERE idx % 9 = 4 UNION ALL SELECT stream_id, idx - 2, idx + 5, 'judge', 20 + idx % 5 FROM words WHERE idx % 14 = 3),
+listed AS (SELECT stream_id, list(f ORDER BY l, f, layer) AS fs, list(l ORDER BY l, f, layer) AS ls, list(layer ORDER BY l, f, layer) AS layers, list(w ORDER BY l, f, layer) AS ws FROM spans GROUP BY stream_id),
+met AS (SELECT *, list_transform(fs, lambda f: len(list_filter(ls, lambda l: l < f))) AS before FROM listed),
+solved AS (SELECT *, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(fs) + 1), lambda k: [k])), lambda acc, x: list_append(acc, greatest(acc[len(acc)], ws[x[1]] + acc[before[x[1]] + 1]))) AS best FROM met),
+picked AS (SELECT *, list_reduce(list_prepend([CAST(len(fs) AS BIGINT)], list_transform(range(len(fs), 0, -1), lambda k: [k])), lambda acc, x: CASE WHEN x[1] <> acc[1] THEN acc WHEN ws[x[1]] + best[before[x[1]] + 1] > best[x[1]] THEN list_append(list_concat([CAST(before[x[1]] AS BIGINT)], acc[2:]), x[1]) ELSE list_concat([acc[1] - 1], acc[2:]) END)[2:] AS ks FROM solved)
+SELECT stream_id, fs[k] AS first_idx, ls[k] AS last_idx, layers[k] AS layer, layers[k] AS reason, ws[k] AS weight FROM (SELECT *, unnest(ks) AS k FROM picked)"""
 _EVERY = (
     _LAYERS
     + """,
@@ -518,6 +556,8 @@ _SQL = {
     "c15_mostly_unvoiced": _MOSTLY,
     "c15_cover": _COVER,
     "c31_quiet": f"{_L}, ow AS (SELECT stream_id, start_ms AS s, end_ms AS e FROM outw), {_quiet(_extent('outw'), 'ow', 200)}",
+    "c27_readable_cues": _readable(),
+    "c18_chosen_spans": _CHOSEN,
     "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
     "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
     "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
@@ -567,6 +607,8 @@ _QUERIES = {
     "c15_mostly_unvoiced": q_mostly_unvoiced,
     "c15_cover": q_cover,
     "c31_quiet": q_output_quiet,
+    "c27_readable_cues": q_readable_cues,
+    "c18_chosen_spans": q_chosen_spans,
     "c21_alignment": q_alignment,
     "c21_suspects": q_suspects,
     "c32_reconcile": q_reconcile,
