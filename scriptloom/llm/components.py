@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, durable_in_loop
+from ..session import delete_folder, durable, scratch_folder
 
 #: Tables of up to this many rows, counted first, are broadcast; larger ones are joined by shuffle.
 #: Such tables hold at most five numbers a row, so this is a bound of about 4 MB.
@@ -76,14 +78,25 @@ def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame
     edges: (u, v) longs in any direction, repeated edges, loops and nulls allowed (loops and
     nulls are ignored). Nodes that are themselves the smallest of their component are not
     listed. Every half-step is shuffled with partial aggregation, and each round is written to
-    the checkpoint folder, so a lost executor costs one round at most.
+    the checkpoint folder, so a lost executor costs one round at most; when a round has been
+    written, the one before is deleted.
     """
-    now = durable_in_loop(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-    was, is_now = None, mark(now)
-    while was != is_now and is_now[0]:
-        rows = is_now[0]
-        held = now.coalesce(-(-rows // ROWS_A_TASK))
-        now = durable_in_loop(_small_star(_large_star(held, rows, limit), rows, limit).coalesce(-(-rows // ROWS_A_TASK)))
-        was, is_now = is_now, mark(now)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")), is_now[0]
+    with scratch_folder(spark, "rounds") as folder:
+
+        def written(df: DataFrame, k: int) -> DataFrame:
+            df.write.parquet(f"{folder}/{k}")
+            return spark.read.parquet(f"{folder}/{k}")
+
+        now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0)
+        was, is_now = None, mark(now)
+        for k in count(1):
+            if was == is_now or not is_now[0]:
+                break
+            rows = is_now[0]
+            held = now.coalesce(-(-rows // ROWS_A_TASK))
+            now = written(_small_star(_large_star(held, rows, limit), rows, limit).coalesce(-(-rows // ROWS_A_TASK)), k)
+            delete_folder(spark, f"{folder}/{k - 1}")
+            was, is_now = is_now, mark(now)
+        return durable(now.select(F.col("u").alias("node"), F.col("v").alias("component"))), is_now[0]

@@ -37,6 +37,8 @@ from .components import BROADCAST_ROWS, components, joined, maybe_in
 
 #: A group is cut into chunks of about this many classes; two chunks are a block.
 BLOCK = 128
+#: Bytes of the sets of a chunk, about: a group of long documents is cut into more chunks.
+BLOCK_BYTES = 64 << 20
 #: Columns of the membership matrix that are multiplied at once.
 SLICE = 4096
 #: Chunks in which signatures are compared.
@@ -172,16 +174,26 @@ def _edges(rep: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
 
 
+def weighed(members: DataFrame, classes: DataFrame, n_members: int, limit: int) -> DataFrame:
+    """``members`` with ``bytes``: of the sets of the group where these pass ``BLOCK_BYTES``, else 0."""
+    sized = joined(classes.select("rep", "n_shingles"), members, "rep", n_members, limit=limit)
+    heavy = durable(sized.groupBy("group").agg((F.sum("n_shingles") * 8).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES))
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return members.withColumn("bytes", F.lit(0).cast("long"))
+    return durable(joined(members, heavy, "group", n_heavy, "left", limit).withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long"))).select(*members.columns, "bytes"))
+
+
 def _chunked(members: DataFrame, block: int) -> DataFrame:
-    """Adds the number of chunks of the group and the one that the class is in."""
-    chunks = members.withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
+    """Adds the number of chunks of the group, by its classes and the bytes of their sets, and the one that the class is in."""
+    chunks = members.withColumn("chunks", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int"))
     return chunks.withColumn("mine", F.pmod(F.xxhash64("rep", "group"), F.col("chunks")).cast("int"))
 
 
 def linked_to_first(members: DataFrame, percent: int) -> DataFrame:
     """(u, v), u > v: spanning forests of the links in each chunk and of it to the first chunk.
 
-    members: (rep, group, n, found). Classes of the first chunk go to every block of the group,
+    members: (rep, group, n, bytes, found). Classes of the first chunk go to every block of the group,
     the others to one.
     """
     cut = _chunked(members, BLOCK)
@@ -199,7 +211,7 @@ def linked_to_first(members: DataFrame, percent: int) -> DataFrame:
 def likely_across(members: DataFrame, least: float) -> DataFrame:
     """(group, i, j, rep): the classes of each block that may be linked to one of another component there.
 
-    members: (rep, group, n, sig, comp). Signatures are compared, in blocks of two chunks, and
+    members: (rep, group, n, bytes, sig, comp). Signatures are compared, in blocks of two chunks, and
     a class is named if it agrees in the share ``least`` with a class of another component.
     """
     cut = _chunked(members, SIG_BLOCK).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -298,18 +310,19 @@ def with_sets(docs: DataFrame, members: DataFrame, count: int, width: int, limit
 
 def _edges_of(texts: DataFrame, classes: DataFrame, members: DataFrame, n_members: int, width: int, percent: int, least: float, limit: int) -> DataFrame:
     """Links that join all components of the members (rep, group, n): both rounds."""
+    members = weighed(members, classes, n_members, limit)
     edges = durable(linked_to_first(with_sets(texts, members, n_members, width, limit), percent))
-    large = members.where(F.col("n") > BLOCK)
+    large = members.where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES))
     if not (n_large := large.count()):
         return edges
     found, n_found = components(edges, limit)
-    placed = joined(large, found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit).select("rep", "group", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = joined(large, found.withColumnRenamed("node", "rep"), "rep", n_found, "left", limit).select("rep", "group", "n", "bytes", F.coalesce("component", "rep").alias("comp"))
     placed = durable(placed)
     apart = durable(placed.groupBy("group").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("group"))
     left = durable(joined(placed, apart, "group", apart.count(), limit=limit))
     if not (n_left := left.count()):
         return edges
-    signed = joined(classes.select("rep", "sig"), left, "rep", n_left, limit=limit).select("rep", "group", "n", "sig", "comp")
+    signed = joined(classes.select("rep", "sig"), left, "rep", n_left, limit=limit).select("rep", "group", "n", "bytes", "sig", "comp")
     named = durable(likely_across(signed, least))
     if not (n_named := named.count()):
         return edges
@@ -337,7 +350,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = durable(sign(docs, width, bands, rows, id_col, text_col))
     alike = signed.where("id is not null and digest is not null")
-    classes = durable(alike.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = durable(alike.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     members = durable(grouped(classes.select("rep", F.explode("bands").alias("key")), limit))
     n_members = members.count()
     n_found = 0

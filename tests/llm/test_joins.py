@@ -67,11 +67,12 @@ def all_pairs(texts, width, percent):
     return forest
 
 
-@pytest.mark.parametrize("limit", [stars.BROADCAST_ROWS, 0])
-def test_groups_of_many_chunks(spark, monkeypatch, limit):
-    """Chains of texts that drift: all are in one group, most links are not to its first chunk."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "SIG_BLOCK", 16)
+@pytest.mark.parametrize("limit, block, sig_block, block_bytes", [(stars.BROADCAST_ROWS, 8, 16, minhash.BLOCK_BYTES), (0, 8, 16, minhash.BLOCK_BYTES), (0, 10_000, 10_000, 8_000), (stars.BROADCAST_ROWS, 10_000, 10_000, 8_000)])
+def test_groups_of_many_chunks(spark, monkeypatch, limit, block, sig_block, block_bytes):
+    """Chains of texts that drift: all are in one group, most links are not to its first chunk. Chunks are bounded by members or by bytes."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SIG_BLOCK", sig_block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block_bytes)
     across = []
     named = minhash.linked_across
     monkeypatch.setattr(minhash, "linked_across", lambda *a: across.append(1) or named(*a))
@@ -87,6 +88,31 @@ def test_groups_of_many_chunks(spark, monkeypatch, limit):
     assert across
 
 
+@pytest.mark.parametrize("width, percent, bands, rows, n_words", [(3, 85, 21, 6, 372), (5, 80, 25, 5, 454)])
+def test_recall_at_the_threshold(spark, width, percent, bands, rows, n_words):
+    """Pairs that share exactly the threshold: ten words apart, each of which changes ``width`` shingles."""
+    rng, texts = random.Random(width), []
+    for k in range(1500):
+        words = [f"{rng.randrange(10**9):x}" for _ in range(n_words)]
+        texts.append((2 * k, " ".join(words)))
+        for j in range(10):
+            words[20 + j * 30] = f"z{k}x{j}"
+        texts.append((2 * k + 1, " ".join(words)))
+    sets = word_sets(texts[:2], width)
+    assert 100 * len(sets[0] & sets[1]) == percent * len(sets[0] | sets[1])
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), width, percent, bands, rows).where("not kept").count()
+    assert got >= 0.99 * 1500
+
+
+def test_documents_of_a_million_words(spark, monkeypatch):
+    """Sets of 8 MB each: three of one group are three chunks."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 8 << 20)
+    text = "transform(sequence(1, 1000000), x -> case when x % 100000 = 7 then concat('v', id) else cast(x as string) end)"
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.expr(f"array_join({text}, ' ')").alias("text"))
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs, 3, 85, 21, 6).collect())
+    assert got == [(k, 999_998, 0, k == 0) for k in range(3)]
+
+
 def test_rows_by_a_bitmap_of_ids(spark, monkeypatch):
     df = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("k"), (F.col("id") * 3).alias("x"))
     ids = spark.range(0, 20_000, 3).select(F.col("id").alias("k"))
