@@ -86,14 +86,3 @@ def durable(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def durable_in_loop(df: DataFrame) -> DataFrame:
-    """``durable`` for tables that a loop makes anew from the last: without Spark's estimate of their size.
-
-    A checkpoint hands its plan's estimate on, and joins multiply estimates. After some rounds
-    the numbers are so long that planning takes longer than all else, and soon does not end.
-    """
-    spark = df.sparkSession
-    kept = durable(df)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
