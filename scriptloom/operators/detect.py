@@ -10,10 +10,15 @@ beyond those named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alike, bare
+from ..session import ship_package
 
 
 def by_stream():
@@ -109,8 +114,8 @@ def sentences_of(words: DataFrame, pause_ms: int | None = None) -> DataFrame:
     return words.withColumn("_ends", ends).withColumn("i", closed).groupBy("stream_id", "i").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), line.alias("line"))
 
 
-#: Sentences in a block of a recording; blocks are what tasks compare.
-BLOCK_SENTENCES = 64
+#: Sentences in a block of a recording; pairs of blocks are what tasks compare.
+BLOCK_SENTENCES = 128
 
 
 def repeats(vectors: DataFrame, least: float) -> DataFrame:
@@ -118,24 +123,58 @@ def repeats(vectors: DataFrame, least: float) -> DataFrame:
 
     vectors: (stream_id, i, embedding); null, zero and empty vectors and null keys repeat
     nothing, and vectors of different lengths do not meet. The whole recording is searched.
-    Its sentences are cut into blocks, and pairs of blocks are the keys of an equi-join, so a
-    long recording is spread over tasks; a pair of sentences leaves the join only if it is
-    alike, and partial aggregation keeps one of these for each sentence. The work is the
-    square of the sentences of one recording, never of the table.
+    Its sentences are cut into blocks, a row each, and pairs of blocks are the keys of an
+    equi-join, so a long recording is spread over tasks; a pair is one matrix product in double
+    precision, of which the first repetition of each sentence leaves. The work is the square of
+    the sentences of one recording, never of the table.
     """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.where("stream_id is not null and i is not null and size(embedding) > 0").select("stream_id", "i", "embedding", norm.alias("_norm")).where((F.col("_norm") > 0) & (F.col("_norm") < float("inf")))
-    unit = unit.select("stream_id", "i", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("u"))
+    known = vectors.where("stream_id is not null and i is not null and size(embedding) > 0").select("stream_id", F.col("i").cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("v"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
     place = F.row_number().over(Window.partitionBy("stream_id").orderBy("i")) - 1
-    blocks = unit.withColumn("mine", F.floor(place / BLOCK_SENTENCES))
-    last = F.max("mine").over(Window.partitionBy("stream_id"))
-    blocks = blocks.withColumn("last", last)
+    blocks = known.withColumn("mine", F.floor(place / BLOCK_SENTENCES)).groupBy("stream_id", "mine").agg(F.collect_list(F.struct("i", "v", "norm")).alias("held"))
+    blocks = blocks.withColumn("last", F.max("mine").over(Window.partitionBy("stream_id")))
     # a pair of blocks (a, b) holds the earlier sentences of a and the later ones of b
-    early = blocks.select("stream_id", F.col("mine").alias("a"), F.explode(F.sequence("mine", "last")).alias("b"), "i", "u")
-    late = blocks.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), "mine")).alias("a"), F.col("mine").alias("b"), F.col("i").alias("by"), F.col("u").alias("v"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    alike_pairs = early.join(late, ["stream_id", "a", "b"]).where((F.col("i") < F.col("by")) & (F.size("u") == F.size("v")) & (dot >= least))
-    return alike_pairs.groupBy("stream_id", "i").agg(F.min("by").alias("by"))
+    early = blocks.select("stream_id", F.col("mine").alias("a"), F.explode(F.sequence("mine", "last")).alias("b"), F.col("held").alias("early"))
+    late = blocks.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), "mine")).alias("a"), F.col("mine").alias("b"), F.col("held").alias("late"))
+    kind = vectors.schema["stream_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams, places, by = [], [], []
+            for r, stream in enumerate(batch["stream_id"].to_pylist()):
+                sides = [_by_length(batch[c][r]) for c in ("early", "late")]
+                for size in sides[0].keys() & sides[1].keys():
+                    (i, u), (j, w) = sides[0][size], sides[1][size]
+                    later = np.where((u @ w.T >= least) & (i[:, None] < j[None, :]), j[None, :], NEVER).min(axis=1)
+                    hit = later < NEVER
+                    streams += [stream] * int(hit.sum())
+                    places.append(i[hit])
+                    by.append(later[hit])
+            none = [np.empty(0, np.int64)]
+            yield pa.record_batch([pa.array(streams, batch.schema.field("stream_id").type), pa.array(np.concatenate(places or none)), pa.array(np.concatenate(by or none))], ["stream_id", "i", "by"])
+
+    ship_package(vectors.sparkSession)
+    found = early.join(late, ["stream_id", "a", "b"]).select("stream_id", "early", "late").mapInArrow(run, f"stream_id {kind}, i long, by long")
+    return found.groupBy("stream_id", "i").agg(F.min("by").alias("by"))
+
+
+NEVER = np.iinfo(np.int64).max
+
+
+def _by_length(block: pa.Scalar) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of a block, by the length of the vectors."""
+    held = block.values
+    places, norms = (held.field(c).to_numpy(zero_copy_only=False) for c in ("i", "norm"))
+    vectors = held.field("v")
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    out = {}
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        rows = flat[starts[at][:, None] + np.arange(size)] / norms[at][:, None]
+        out[int(size)] = places[at], rows
+    return out
 
 
 def overlapping(words: DataFrame, intervals: DataFrame) -> DataFrame:
