@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import align, captions, choose, detect, export, feedback, intervals, review, takes
 from .plans.edit import decide, edit
 from .session import read_table
+from .sources import editlists
 from .sources.readers import Settings, habits, manuscript, settings_rows
 
 HABITS_MD = ["# Filler", "Words to drop.", "- the", "- und", "- et", "# Protected", "* not", "* of", "* und"]
@@ -266,6 +267,25 @@ def q_time_map(spark, sf_dir):
     return export.to_output_time(points, _segments(spark, sf_dir))
 
 
+def q_srt_read(spark, sf_dir):
+    """The cues as the rendered captions say them."""
+    return editlists.parse_srt(q_srt(spark, sf_dir).select("stream_id", "body")).where("bad is null").drop("bad")
+
+
+def q_srt_words(spark, sf_dir):
+    """Word for word, the cut against its own captions, of which every ninth lost its text."""
+    cues = q_srt_read(spark, sf_dir).withColumn("text", F.when(F.col("cue") % 9 == 0, F.lit("")).otherwise(F.col("text")))
+    return align.reconcile(export.numbered(_kept(spark, sf_dir)), editlists.cue_words(cues))
+
+
+def q_edl_read(spark, sf_dir):
+    return editlists.parse_edl(q_edl(spark, sf_dir), FPS).where("bad is null").select("stream_id", "event", "src_frame", "rec_frame", "n_frames")
+
+
+def q_timeline_read(spark, sf_dir):
+    return editlists.parse_timeline(q_timeline_map(spark, sf_dir)).where("bad is null").drop("bad")
+
+
 def q_timeline_map(spark, sf_dir):
     return export.timeline_map(_segments(spark, sf_dir))
 
@@ -500,6 +520,7 @@ met AS (SELECT *, list_transform(fs, lambda f: len(list_filter(ls, lambda l: l <
 solved AS (SELECT *, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(fs) + 1), lambda k: [k])), lambda acc, x: list_append(acc, greatest(acc[len(acc)], ws[x[1]] + acc[before[x[1]] + 1]))) AS best FROM met),
 picked AS (SELECT *, list_reduce(list_prepend([CAST(len(fs) AS BIGINT)], list_transform(range(len(fs), 0, -1), lambda k: [k])), lambda acc, x: CASE WHEN x[1] <> acc[1] THEN acc WHEN ws[x[1]] + best[before[x[1]] + 1] > best[x[1]] THEN list_append(list_concat([CAST(before[x[1]] AS BIGINT)], acc[2:]), x[1]) ELSE list_concat([acc[1] - 1], acc[2:]) END)[2:] AS ks FROM solved)
 SELECT stream_id, fs[k] AS first_idx, ls[k] AS last_idx, layers[k] AS layer, layers[k] AS reason, ws[k] AS weight FROM (SELECT *, unnest(ks) AS k FROM picked)"""
+_LOST = "e AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS idx, text AS w FROM kept), o AS (SELECT stream_id, cue * 4294967296 + generate_subscripts(t, 1) - 1 AS idx, unnest(t) AS w FROM (SELECT stream_id, cue, string_split(text, ' ') AS t FROM cues WHERE cue % 9 <> 0))"
 _EVERY = (
     _LAYERS
     + """,
@@ -558,6 +579,10 @@ _SQL = {
     "c31_quiet": f"{_L}, ow AS (SELECT stream_id, start_ms AS s, end_ms AS e FROM outw), {_quiet(_extent('outw'), 'ow', 200)}",
     "c27_readable_cues": _readable(),
     "c18_chosen_spans": _CHOSEN,
+    "c27_srt_read": f"{_L} SELECT * FROM cues",
+    "c29_edl_read": f"{_L} SELECT stream_id, seg + 1 AS event, f_in AS src_frame, rec AS rec_frame, f_out - f_in AS n_frames FROM recs",
+    "c23_timeline_read": f"{_L} SELECT stream_id, seg, src_start, src_end, out_start FROM segs",
+    "c32_srt_words": f"WITH RECURSIVE {_LAYERS}, {_LOST}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
     "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
     "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
     "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
@@ -609,6 +634,10 @@ _QUERIES = {
     "c31_quiet": q_output_quiet,
     "c27_readable_cues": q_readable_cues,
     "c18_chosen_spans": q_chosen_spans,
+    "c27_srt_read": q_srt_read,
+    "c29_edl_read": q_edl_read,
+    "c23_timeline_read": q_timeline_read,
+    "c32_srt_words": q_srt_words,
     "c21_alignment": q_alignment,
     "c21_suspects": q_suspects,
     "c32_reconcile": q_reconcile,
