@@ -37,7 +37,7 @@ GRAM = 64
 #: Windows of a stretch of text, and bytes of a buffer of stretches; positions in it need ``PLACE_BITS`` bits.
 STRETCH, PLACE_BITS = 1 << 19, 20
 #: Different pieces of a bucket that one suffix array takes, and bytes of pieces in one array.
-MOST_PIECES, ARRAY_BYTES = 4096, 2_000_000
+MOST_PIECES, ARRAY_BYTES = 1024, 2_000_000
 #: Offsets of a class of windows when a bucket is cut for the first time; a quarter of that each time after.
 CLASS_WIDTH = 16
 
