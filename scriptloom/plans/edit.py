@@ -20,6 +20,7 @@ class Cut:
     words: DataFrame
     segments: DataFrame
     cues: DataFrame
+    events: DataFrame
 
 
 def decide(
@@ -64,8 +65,9 @@ def decide(
 
 
 def edit(words: DataFrame, habits: DataFrame, settings: Settings = Settings(), decisions: DataFrame | None = None, **inputs: DataFrame | None) -> Cut:
-    """Build the plan; inputs are those of ``decide``. proposals: (stream_id, idx, layer)."""
+    """Build the plan; inputs are those of ``decide``. proposals: (stream_id, idx, layer); events: the cut list at the frame rate of the settings."""
     whole = decide(words, habits, settings, decisions, **inputs)
     kept = whole.where("keep")
     proposals = whole.select("stream_id", "idx", F.explode("layers").alias("layer"))
-    return Cut(proposals, whole, review.segments(kept, settings.silence_ms), export.cues(kept, settings.silence_ms, settings.cue_words))
+    segments = review.segments(kept, settings.silence_ms)
+    return Cut(proposals, whole, segments, export.cues(kept, settings.silence_ms, settings.cue_words), export.edl_events(segments, settings.fps))

@@ -156,6 +156,12 @@ def test_user_wins_and_protection_holds(spark):
     assert {r["idx"] for r in cut.proposals.collect()} == {0, 2, 4}
 
 
+def test_the_cut_list_has_the_frame_rate_of_the_settings(spark):
+    words = timed(spark, 1, "a b c", step=1000)
+    cut = edit(words, spark.createDataFrame([], "token string, rule string"), readers.Settings(layers=(), fps=25))
+    assert [r["src_out"] for r in cut.events.collect()] == ["00:00:02:24"]
+
+
 def test_a_layer_that_is_off_proposes_nothing(spark):
     words = timed(spark, 1, "um um fine")
     rules = spark.createDataFrame([("um", "filler")], "token string, rule string")
