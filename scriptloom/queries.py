@@ -365,6 +365,13 @@ def q_examples(spark, sf_dir):
     return feedback.examples(_feedback(spark, sf_dir), 5)
 
 
+def q_varied_examples(spark, sf_dir):
+    """Corrections with the word that follows, so that examples have words in common."""
+    records = _feedback(spark, sf_dir)
+    after = F.lead("text").over(detect.by_stream())
+    return feedback.varied_examples(records.withColumn("text", F.concat_ws(" ", "text", after)), 6)
+
+
 _WORDS = r"""
 toks AS (SELECT conv_id AS stream_id, turn, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS text FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM conversations)),
 timed AS (SELECT *, 40 + 60 * length(text) AS took, CASE WHEN text LIKE '%.' THEN 900 WHEN text LIKE '%,' THEN 250 ELSE 20 END AS pause FROM toks),
@@ -521,6 +528,14 @@ solved AS (SELECT *, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transfor
 picked AS (SELECT *, list_reduce(list_prepend([CAST(len(fs) AS BIGINT)], list_transform(range(len(fs), 0, -1), lambda k: [k])), lambda acc, x: CASE WHEN x[1] <> acc[1] THEN acc WHEN ws[x[1]] + best[before[x[1]] + 1] > best[x[1]] THEN list_append(list_concat([CAST(before[x[1]] AS BIGINT)], acc[2:]), x[1]) ELSE list_concat([acc[1] - 1], acc[2:]) END)[2:] AS ks FROM solved)
 SELECT stream_id, fs[k] AS first_idx, ls[k] AS last_idx, layers[k] AS layer, layers[k] AS reason, ws[k] AS weight FROM (SELECT *, unnest(ks) AS k FROM picked)"""
 _LOST = "e AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS idx, text AS w FROM kept), o AS (SELECT stream_id, cue * 4294967296 + generate_subscripts(t, 1) - 1 AS idx, unnest(t) AS w FROM (SELECT stream_id, cue, string_split(text, ' ') AS t FROM cues WHERE cue % 9 <> 0))"
+_VARIED = f"""WITH RECURSIVE {_LAYERS}{_FEEDBACK}, pairs AS (SELECT class, reasons, concat_ws(' ', text, lead(text) OVER (PARTITION BY stream_id ORDER BY idx)) AS text FROM fb),
+x AS (SELECT unnest(string_split(coalesce(reasons, ''), '+')) AS reason, class, text FROM pairs WHERE class <> 'agreed'), counted AS (SELECT reason, class, text, count(*) AS n FROM x GROUP BY ALL),
+cand AS (SELECT *, list_distinct(string_split(lower(text), ' ')) AS ws FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY n DESC, class, text) AS place FROM counted) WHERE place <= 1000),
+picked AS (SELECT DISTINCT reason, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS shown, CAST([] AS BIGINT[]) AS gone FROM cand
+  UNION ALL SELECT reason, rank, place, shown, gone FROM (SELECT p.reason, p.rank + 1 AS rank, c.place, list_concat(p.shown, c.ws) AS shown, list_append(p.gone, c.place) AS gone,
+    row_number() OVER (PARTITION BY p.reason ORDER BY c.n * len(list_filter(c.ws, lambda w: NOT list_contains(p.shown, w))) DESC, c.n DESC, c.class, c.text) AS best
+    FROM picked p JOIN cand c ON c.reason = p.reason AND NOT list_contains(p.gone, c.place) WHERE p.rank < 6) WHERE best = 1)
+SELECT reason, CAST(rank AS INTEGER) AS rank, class, text, n FROM picked JOIN cand USING (reason, place) WHERE rank > 0"""
 _EVERY = (
     _LAYERS
     + """,
@@ -583,6 +598,7 @@ _SQL = {
     "c29_edl_read": f"{_L} SELECT stream_id, seg + 1 AS event, f_in AS src_frame, rec AS rec_frame, f_out - f_in AS n_frames FROM recs",
     "c23_timeline_read": f"{_L} SELECT stream_id, seg, src_start, src_end, out_start FROM segs",
     "c32_srt_words": f"WITH RECURSIVE {_LAYERS}, {_LOST}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
+    "c35_varied_examples": _VARIED,
     "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
     "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
     "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
@@ -638,6 +654,7 @@ _QUERIES = {
     "c29_edl_read": q_edl_read,
     "c23_timeline_read": q_timeline_read,
     "c32_srt_words": q_srt_words,
+    "c35_varied_examples": q_varied_examples,
     "c21_alignment": q_alignment,
     "c21_suspects": q_suspects,
     "c32_reconcile": q_reconcile,

@@ -3,8 +3,8 @@
 import itertools
 import random
 
-from scriptloom.operators import captions, choose, export
 from scriptloom import queries as own
+from scriptloom.operators import captions, choose, export, feedback
 
 
 def test_breaks_are_the_cheapest():
@@ -59,3 +59,25 @@ def test_chosen_spans_weigh_most(spark):
     tie = spark.createDataFrame([(1, 0, 3, "a", "a", 2), (1, 2, 5, "b", "b", 2)], df.schema)
     assert [r["layer"] for r in choose.without_overlap(tie).collect()] == ["a"]
     assert choose.without_overlap(df.limit(0)).count() == 0
+
+
+def test_examples_differ(spark):
+    rows = [("restored", ["r"], "the old sea")] * 5 + [("restored", ["r"], "the old")] * 6 + [("added", ["r"], "sea")] * 4 + [("added", None, "x y")] * 2 + [("agreed", ["r"], "no")] + [("added", ["r"], None)]
+    history = spark.createDataFrame(rows, "class string, reasons array<string>, text string")
+    got = [tuple(r) for r in feedback.varied_examples(history, 3).orderBy("reason", "rank").collect()]
+    assert got == [("", 1, "added", "x y", 2), ("r", 1, "restored", "the old sea", 5), ("r", 2, "restored", "the old", 6), ("r", 3, "added", "sea", 4)]
+    assert feedback.varied_examples(history.limit(0), 3).count() == 0
+
+
+def test_picks_equal_plain_greedy():
+    rng = random.Random(6)
+    for _ in range(100):
+        rows = [(rng.randint(1, 9), rng.choice("ab"), " ".join(rng.choice("uvwxyz") for _ in range(rng.randint(0, 4)))) for _ in range(rng.randint(0, 12))]
+        shown, left, want = set(), list(range(len(rows))), []
+        while left and len(want) < 5:
+            scored = sorted((-rows[k][0] * len({w for w in rows[k][2].split() if w not in shown}), -rows[k][0], rows[k][1], rows[k][2]) for k in left)
+            k = next(k for k in left if (rows[k][0], rows[k][1], rows[k][2]) == (-scored[0][1], *scored[0][2:]))
+            want.append(rows[k])
+            left.remove(k)
+            shown |= set(rows[k][2].split())
+        assert [rows[k] for k in feedback.pick(rows, 5)] == want
