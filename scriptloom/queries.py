@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.convert import convert_words
 from .operators import align, captions, choose, detect, export, feedback, intervals, review, takes
 from .plans.edit import decide, edit
 from .session import read_table
@@ -111,6 +112,14 @@ def q_settings(spark, sf_dir):
     return rows.select("event_id", "silence_ms", "cue_words", "event_score", F.array_join("layers", ",").alias("layers"))
 
 
+def q_converted(spark, sf_dir):
+    """The words rewritten by a dictionary of beginnings of the manuscript's words, two and four letters long."""
+    said = q_manuscript(spark, sf_dir)
+    begin = lambda n: said.where(f"char_length(text) >= {n}").select(F.substring("text", 1, n).alias("phrase"))
+    entries = begin(2).select("phrase", F.concat(F.lit("["), "phrase", F.lit("]")).alias("into")).unionByName(begin(4).select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">")).alias("into")))
+    return convert_words(_words(spark, sf_dir).select("stream_id", "idx", "text"), entries.distinct())
+
+
 def q_silence(spark, sf_dir):
     return detect.silences(_words(spark, sf_dir), GAP_MS)
 
@@ -536,6 +545,13 @@ picked AS (SELECT DISTINCT reason, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGIN
     row_number() OVER (PARTITION BY p.reason ORDER BY c.n * len(list_filter(c.ws, lambda w: NOT list_contains(p.shown, w))) DESC, c.n DESC, c.class, c.text) AS best
     FROM picked p JOIN cand c ON c.reason = p.reason AND NOT list_contains(p.gone, c.place) WHERE p.rank < 6) WHERE best = 1)
 SELECT reason, CAST(rank AS INTEGER) AS rank, class, text, n FROM picked JOIN cand USING (reason, place) WHERE rank > 0"""
+_CONVERTED = f"""WITH {_WORDS}, {_BENCH},
+dict AS (SELECT DISTINCT text[1:2] AS phrase, '[' || text[1:2] || ']' AS form FROM man WHERE length(text) >= 2 UNION SELECT text[1:4], '<' || text[1:4] || '>' FROM man WHERE length(text) >= 4),
+vocab AS (SELECT DISTINCT text FROM words),
+best AS (SELECT text, p, max(n) AS n, arg_max(form, n) AS form FROM (SELECT v.text, v.p, d.form, length(d.phrase) AS n FROM (SELECT text, unnest(range(1, length(text) + 1)) AS p FROM vocab) v JOIN dict d ON (length(d.phrase) = 2 AND d.phrase = v.text[v.p:v.p + 1]) OR (length(d.phrase) = 4 AND d.phrase = v.text[v.p:v.p + 3])) GROUP BY text, p),
+steps AS (SELECT v.text, list([CAST(p AS VARCHAR), CAST(coalesce(n, 1) AS VARCHAR), coalesce(form, v.text[p:p])] ORDER BY p) AS l FROM (SELECT text, unnest(range(1, length(text) + 1)) AS p FROM vocab) v LEFT JOIN best USING (text, p) GROUP BY v.text),
+done AS (SELECT text, list_reduce(list_prepend(['1', ''], l), lambda acc, x: CASE WHEN CAST(x[1] AS INTEGER) < CAST(acc[1] AS INTEGER) THEN acc ELSE [CAST(CAST(x[1] AS INTEGER) + CAST(x[2] AS INTEGER) AS VARCHAR), acc[2] || x[3]] END)[2] AS form FROM steps)
+SELECT stream_id, idx, form AS text FROM words JOIN done USING (text)"""
 _EVERY = (
     _LAYERS
     + """,
@@ -599,6 +615,7 @@ _SQL = {
     "c23_timeline_read": f"{_L} SELECT stream_id, seg, src_start, src_end, out_start FROM segs",
     "c32_srt_words": f"WITH RECURSIVE {_LAYERS}, {_LOST}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
     "c35_varied_examples": _VARIED,
+    "c08_converted": _CONVERTED,
     "c21_alignment": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('heard', 'eman')} SELECT * FROM aligned",
     "c21_suspects": f"WITH RECURSIVE {_WORDS}, {_EDITED}, {_aligned('mine', 'eman')} SELECT x.stream_id, x.idx, w.text, m.text AS meant FROM aligned x JOIN words w ON w.stream_id = x.stream_id AND w.idx = x.idx LEFT JOIN eman m ON m.stream_id = x.stream_id AND m.idx = x.m_idx WHERE op IN ('replaced', 'inserted') AND w.bare <> ''",
     "c32_reconcile": f"WITH RECURSIVE {_LAYERS}, {_HEARD}, {_aligned('o', 'e')} SELECT stream_id, count(m_idx) AS n_expected, count(idx) AS n_observed, count(*) FILTER (op = 'deleted') AS n_lost, count(*) FILTER (op = 'inserted') AS n_added, count(*) FILTER (op = 'replaced') AS n_changed FROM aligned GROUP BY 1",
@@ -655,6 +672,7 @@ _QUERIES = {
     "c23_timeline_read": q_timeline_read,
     "c32_srt_words": q_srt_words,
     "c35_varied_examples": q_varied_examples,
+    "c08_converted": q_converted,
     "c21_alignment": q_alignment,
     "c21_suspects": q_suspects,
     "c32_reconcile": q_reconcile,
