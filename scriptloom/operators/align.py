@@ -6,12 +6,13 @@ heard, m_idx is null; deleted: only meant, idx is null.
 
 Runs of ``gram`` words that each side of a recording has once are anchors. The longest chain of
 anchors that goes forward on both sides splits a recording into stretches, so a recording of hours
-is not aligned as a whole; anchors are found by a join, and a stretch is a row with two lists. In a
-stretch the edit distance is least: the band of cells around the diagonal is doubled until the
-distance fits into it, and a path that leaves a band as wide as its cost costs more than that. Of
-equally cheap ways the one is taken that, from the end on, pairs words where it can, then drops a
-heard one, then a meant one. Without anchors a recording is one stretch, and its work the product
-of its words and the distance.
+is not aligned as a whole. Both sides lie in one order by recording, and anchors are met in it, so
+words are dealt once; the words of a recording are one group of numbers. In a stretch the edit
+distance is least. Short stretches fill all cells; in longer ones the band of cells around the
+diagonal is doubled until the distance fits into it, and a path that leaves a band as wide as its
+cost costs more than that. Of equally cheap ways the one is taken that, from the end on, pairs words
+where it can, then drops a heard one, then a meant one. Without anchors a recording is one stretch,
+and its work the product of its words and the distance.
 
 Words of null recordings or indexes are left out, null texts are empty words. Words that share an
 index stay, ordered by their text. Empty tables give empty tables; recordings of one side alone are
@@ -20,7 +21,8 @@ all inserted or all deleted. Columns that are not named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from ..functions.text import bare
 from ..session import ship_package
 
-#: Half the width of the first band, and cells for which directions are held at once.
-BAND, CELLS = 16, 1 << 25
+#: Half the width of the first band, cells for which directions are held at once, and cells of a stretch that are all filled.
+BAND, CELLS, SMALL = 16, 1 << 25, 1 << 13
 
 
 def _row(cost: np.ndarray, differs: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +64,8 @@ def edits(heard: np.ndarray, meant: np.ndarray) -> list[tuple[int, int]]:
     if not n or not m:
         tail += [(i, -1) for i in range(n - 1, -1, -1)] + [(-1, j) for j in range(m - 1, -1, -1)]
         return tail[::-1]
+    if n * m <= SMALL:
+        return _all_cells(heard[:n].tolist(), meant[:m].tolist(), n, m) + tail[::-1]
     band, far = max(BAND, abs(n - m)), np.int64(1 << 40)
     while True:
         width = 2 * band + 1
@@ -99,12 +103,37 @@ def edits(heard: np.ndarray, meant: np.ndarray) -> list[tuple[int, int]]:
     return tail[::-1]
 
 
+def _all_cells(heard: list[int], meant: list[int], n: int, m: int) -> list[tuple[int, int]]:
+    """What ``edits`` gives, by all cells: for short lists a row of a band costs more than these."""
+    costs = [list(range(m + 1))]
+    for i, word in enumerate(heard, 1):
+        above, here, left = costs[-1], [i], i
+        for j, other in enumerate(meant):
+            left = min(above[j] + (word != other), above[j + 1] + 1, left + 1)
+            here.append(left)
+        costs.append(here)
+    out = []
+    while n and m:
+        cost = costs[n][m]
+        if cost == costs[n - 1][m - 1] + (heard[n - 1] != meant[m - 1]):
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        elif cost == costs[n - 1][m] + 1:
+            n -= 1
+            out.append((n, -1))
+        else:
+            m -= 1
+            out.append((-1, m))
+    out += [(i, -1) for i in range(n - 1, -1, -1)] + [(-1, j) for j in range(m - 1, -1, -1)]
+    return out[::-1]
+
+
 def longest_chain(places: np.ndarray) -> np.ndarray:
     """Positions of a longest increasing run of different numbers; of those the one that is last, from the end on."""
     ends: list[int] = []
     length = np.empty(len(places), np.int64)
     for k, p in enumerate(places.tolist()):
-        at = int(np.searchsorted(ends, p)) if ends and p <= ends[-1] else len(ends)
+        at = bisect_left(ends, p) if ends and p <= ends[-1] else len(ends)
         ends[at : at + 1] = [p]
         length[k] = at + 1
     chosen, need, below = [], len(ends), None
@@ -122,60 +151,54 @@ def numbered(words: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
     return known.select("stream_id", "idx", form(F.col("text")).alias("w"), pos.cast("long").alias("pos"))
 
 
-def _single(side: DataFrame, gram: int) -> DataFrame:
-    """(stream_id, grams, pos, idx) of runs of words that occur once in their recording."""
-    order = Window.partitionBy("stream_id").orderBy("pos")
-    runs = side.select("stream_id", "pos", "idx", F.array(*(F.lead("w", k).over(order) for k in range(gram))).alias("grams"), F.lead("w", gram - 1).over(order).alias("_last"))
-    return runs.where("_last is not null").groupBy("stream_id", "grams").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min("idx").alias("idx")).where("n = 1").drop("n")
-
-
-def anchors(heard: DataFrame, meant: DataFrame, gram: int) -> DataFrame:
-    """(stream_id, pos, idx, m_pos, m_idx): the first words of the runs of the longest chain."""
-    there = _single(meant, gram).withColumnsRenamed({"pos": "m_pos", "idx": "m_idx"})
-    met = _single(heard, gram).join(there, ["stream_id", "grams"]).drop("grams")
-    kind = met.schema["stream_id"].dataType.simpleString()
-
-    def chain(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        return table.take(longest_chain(table["m_pos"].to_numpy()))
-
-    ship_package(heard.sparkSession)
-    return met.groupBy("stream_id").applyInArrow(chain, f"stream_id {kind}, pos long, idx long, m_pos long, m_idx long")
-
-
-def _stretches(side: DataFrame, chosen: DataFrame, at: str, name: str) -> DataFrame:
-    """(stream_id, stretch, name): the words after each anchor, without it, as one ordered list."""
-    marked = side.join(chosen.select("stream_id", F.col(at).alias("pos"), F.lit(1).alias("_anchor")), ["stream_id", "pos"], "left")
-    before = F.coalesce(F.sum("_anchor").over(Window.partitionBy("stream_id").orderBy("pos")), F.lit(0))
-    rest = marked.withColumn("stretch", before).where("_anchor is null")
-    return rest.groupBy("stream_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("pos", "idx", "w"))).alias(name))
+def _laid(heard: DataFrame, meant: DataFrame, gram: int) -> DataFrame:
+    """(stream_id, side, pos, idx, w, m_pos): both sides (0 heard, 1 meant), and where the run that begins at a heard word is meant, if each side has it once."""
+    both = heard.withColumn("side", F.lit(0)).unionByName(meant.withColumn("side", F.lit(1)))
+    order = Window.partitionBy("stream_id", "side").orderBy("pos")
+    runs = both.withColumns({"grams": F.array(*(F.lead("w", k).over(order) for k in range(gram))), "_last": F.lead("w", gram - 1).over(order)})
+    same = Window.partitionBy("_hash", "stream_id", "grams")  # the hash alone orders nearly all runs
+    mine, there = F.col("side") == 0, F.col("side") == 1
+    once = F.col("_last").isNotNull() & (F.count_if(mine).over(same) == 1) & (F.count_if(there).over(same) == 1)
+    return runs.withColumn("_hash", F.xxhash64("stream_id", "grams")).withColumn("m_pos", F.when(once & mine, F.max(F.when(there, F.col("pos"))).over(same))).select("stream_id", "side", "pos", "idx", "w", "m_pos")
+
+
+def _paired(heard: np.ndarray, meant: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of one recording, of which -1 is none. places: where the run at each heard word is meant, or -1."""
+    met = np.flatnonzero(places >= 0)
+    chosen = met[longest_chain(places[met])]
+    pairs = [(chosen, places[chosen])]
+    ends = [np.append(chosen, len(heard)), np.append(places[chosen], len(meant))]
+    starts = [np.append(0, e[:-1] + 1) for e in ends]
+    for i, k, j, m in zip(*(x[np.flatnonzero((ends[0] > starts[0]) | (ends[1] > starts[1]))].tolist() for x in (starts[0], ends[0], starts[1], ends[1]))):
+        if i == k or j == m:
+            pairs.append((np.append(np.arange(i, k), np.full(m - j, -1)), np.append(np.full(k - i, -1), np.arange(j, m))))
+        else:
+            found = np.array(edits(heard[i:k], meant[j:m]), np.int64)
+            pairs.append(tuple(np.where(found < 0, -1, found + [i, j]).T))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*pairs))
 
 
 def align(heard: DataFrame, meant: DataFrame, gram: int = 3, form: Callable[[Column], Column] = bare) -> DataFrame:
     """(stream_id, idx, m_idx, op) from two tables (stream_id, idx, text). ``form`` gives what is compared of a word."""
     spark = heard.sparkSession
-    a, b = numbered(heard, form), numbered(meant, form)
-    chosen = anchors(a, b, gram)
-    both = _stretches(a, chosen, "pos", "heard").join(_stretches(b, chosen, "m_pos", "meant"), ["stream_id", "stretch"], "full")
-    kind = a.schema["stream_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ("stream_id", "idx", "m_idx", "op")
-            out: list[list] = [[], [], [], []]
-            for stream, x, y in zip(*(batch[c].to_pylist() for c in ("stream_id", "heard", "meant"))):
-                x, y, numbers = x or [], y or [], {}
-                coded = [np.array([numbers.setdefault(r["w"], len(numbers)) for r in side], np.int64) for side in (x, y)]
-                for i, j in edits(*coded):
-                    op = "deleted" if i < 0 else "inserted" if j < 0 else "same" if coded[0][i] == coded[1][j] else "replaced"
-                    for column, value in zip(out, (stream, None if i < 0 else x[i]["idx"], None if j < 0 else y[j]["idx"], op)):
-                        column.append(value)
-            types = (batch.schema.field("stream_id").type, pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], names)
+    both = _laid(numbered(heard, form), numbered(meant, form), gram)
+    kind = both.schema["stream_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("pos", "ascending")])
+        n = int(np.count_nonzero(table["side"].to_numpy() == 0))
+        words = table["w"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        at = table["idx"].to_numpy()
+        i, j = _paired(words[:n], words[n:], table["m_pos"].fill_null(-1).to_numpy()[:n])
+        equal = (i >= 0) & (j >= 0)
+        equal[equal] = words[:n][i[equal]] == words[n:][j[equal]]
+        ops = pa.array(["deleted", "inserted", "same", "replaced"]).take(pa.array(np.where(i < 0, 0, np.where(j < 0, 1, np.where(equal, 2, 3)))))
+        idx, m_idx = (pa.array(at[np.where(k < 0, 0, k + first)], pa.int64(), mask=k < 0) for k, first in ((i, 0), (j, n)))
+        stream = pa.repeat(table["stream_id"][0], len(i))
+        return pa.table([stream, idx, m_idx, ops], ["stream_id", "idx", "m_idx", "op"])
 
     ship_package(spark)
-    found = both.select("stream_id", "heard", "meant").mapInArrow(run, f"stream_id {kind}, idx long, m_idx long, op string")
-    return found.unionByName(chosen.select("stream_id", "idx", "m_idx", F.lit("same").alias("op")))
+    return both.groupBy("stream_id").applyInArrow(run, f"stream_id {kind}, idx long, m_idx long, op string")
 
 
 def suspects(words: DataFrame, manuscript: DataFrame, gram: int = 3) -> DataFrame:

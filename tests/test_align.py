@@ -100,3 +100,16 @@ def test_odd_words(spark):
     assert {tuple(r) for r in align.suspects(heard, meant).collect()} == {(1, 1, "cat,", None), (1, 2, "sat", "sits")}
     empty = heard.limit(0)
     assert align.align(empty, empty).count() == 0 and align.align(empty, meant).count() == 3 and align.suspects(heard, empty).count() == 0
+
+
+@pytest.mark.parametrize("band, cells", [(1, 1), (2, 50), (16, 1 << 25)])
+def test_bands_equal_all_cells(monkeypatch, band, cells):
+    monkeypatch.setattr(align, "SMALL", 0)
+    test_edits_equal_all_cells(monkeypatch, band, cells)
+
+
+def test_words_are_dealt_once(spark):
+    """Both sides meet in the parts in which they come: no join and no shuffle of words."""
+    words = spark.createDataFrame([(s, i, f"w{i % 7}") for s in range(9) for i in range(30)], WORDS).repartition(3, "stream_id")
+    plan = align.align(words, words.where("idx % 5 <> 2"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
