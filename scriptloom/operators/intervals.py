@@ -30,18 +30,23 @@ def _spans(sets: list[DataFrame]) -> DataFrame:
         return sound.select("stream_id", F.explode(F.array(*steps)).alias("e")).select("stream_id", "e.*")
 
     every = reduce(DataFrame.unionByName, (ends(df, k) for k, df in enumerate(sets)))
-    at_once = every.groupBy("stream_id", "at").agg(*(F.sum(n).alias(n) for n in names))
     order = Window.partitionBy("stream_id").orderBy("at")
     so_far = {n: F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) for n in names}
-    return at_once.select("stream_id", F.col("at").alias("start_ms"), F.lead("at").over(order).alias("end_ms"), *(c.alias(n) for n, c in so_far.items())).where("end_ms is not null")
+    # of ends at one time the last one has counted them all, and it alone is followed by a later one
+    return every.select("stream_id", F.col("at").alias("start_ms"), F.lead("at").over(order).alias("end_ms"), *(c.alias(n) for n, c in so_far.items())).where("start_ms < end_ms")
 
 
 def _merged(spans: DataFrame, *by: str) -> DataFrame:
-    """Spans that touch, with equal values of ``by``, as one."""
+    """Spans that touch, with equal values of ``by``, as one.
+
+    Only the first and the last span of each run are kept, then the first with the end of the last,
+    all in the order in which the spans come.
+    """
     order = Window.partitionBy("stream_id").orderBy("start_ms")
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lag(c).over(order)) for c in by), F.col("start_ms") == F.lag("end_ms").over(order))
-    marked = spans.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("stream_id", "_run", *by).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).select("stream_id", "start_ms", "end_ms", *by)
+    goes_on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lag(c).over(order)) for c in by), F.coalesce(F.col("start_ms") == F.lag("end_ms").over(order), F.lit(False)))
+    marked = spans.withColumn("_first", ~goes_on).withColumn("_last", F.coalesce(F.lead("_first").over(order), F.lit(True))).where("_first or _last")
+    until = F.when(F.col("_last"), F.col("end_ms")).otherwise(F.lead("end_ms").over(order))
+    return marked.withColumn("end_ms", until).where("_first").select("stream_id", "start_ms", "end_ms", *by)
 
 
 def cover(intervals: DataFrame) -> DataFrame:
@@ -108,12 +113,11 @@ def mostly_outside(words: DataFrame, voiced: DataFrame, most: float) -> DataFram
 def _voiced_ms(words: DataFrame, voiced: DataFrame) -> DataFrame:
     """Words with _ms, how much of them is voiced: voice up to their end less voice up to their start, by one sort."""
 
-    def points(column: str, sign: int) -> DataFrame:
-        return words.select("stream_id", F.col(column).cast("long").alias("at"), F.lit(None).cast("long").alias("_end"), "idx", "start_ms", "end_ms", F.lit(sign).alias("_sign"))
-
+    ends = F.array(*(F.struct(F.col(c).cast("long").alias("at"), F.lit(sign).alias("_sign")) for c, sign in (("end_ms", 1), ("start_ms", -1))))
+    points = words.select(F.explode(ends).alias("p"), "stream_id", "idx", "start_ms", "end_ms").select("stream_id", "p.at", F.lit(None).cast("long").alias("_end"), "idx", "start_ms", "end_ms", "p._sign")
     empty: list[Column] = [F.lit(None).cast(words.schema[c].dataType).alias(c) for c in ("idx", "start_ms", "end_ms")]
     begun = voiced.select("stream_id", F.col("start_ms").cast("long").alias("at"), F.col("end_ms").cast("long").alias("_end"), *empty, F.lit(0).alias("_sign"))
-    line = points("end_ms", 1).unionByName(points("start_ms", -1)).unionByName(begun)
+    line = points.unionByName(begun)
     # spans of voice are disjoint: all but the last begun are over
     order = Window.partitionBy("stream_id").orderBy("at", F.abs("_sign"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -89,3 +89,11 @@ def test_two_thresholds(spark):
     got = sorted(tuple(r) for r in intervals.voice_from_frames(df, 0.8, 0.5, 30, 20, 10).collect())
     assert got == sorted((s, *x) for s, f in best.items() for x in plain_voice(f, 0.8, 0.5, 30, 20, 10)) and got
     assert intervals.voice_from_frames(df.limit(0), 0.8, 0.5, 30, 20, 10).count() == 0
+
+
+def test_intervals_stay_in_their_parts(spark):
+    """Sets that come by recording are worked there, by sorts alone: no shuffle, no table of all ends."""
+    rows = spark.createDataFrame([(s, 10 * i, 10 * i + 15) for s in range(5) for i in range(20)], SPANS).repartition(3, "stream_id")
+    for found in (intervals.cover(rows), intervals.difference(rows, rows.where("start_ms % 20 = 0"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Exchange hashpartitioning(stream_id" in plan and ", 4)" not in plan
