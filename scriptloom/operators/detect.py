@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alike, bare
@@ -115,7 +115,7 @@ def sentences_of(words: DataFrame, pause_ms: int | None = None) -> DataFrame:
 
 
 #: Sentences in a block of a recording; pairs of blocks are what tasks compare.
-BLOCK_SENTENCES = 128
+BLOCK_SENTENCES = 1024
 
 
 def repeats(vectors: DataFrame, least: float) -> DataFrame:
@@ -123,57 +123,77 @@ def repeats(vectors: DataFrame, least: float) -> DataFrame:
 
     vectors: (stream_id, i, embedding); null, zero and empty vectors and null keys repeat
     nothing, and vectors of different lengths do not meet. The whole recording is searched.
-    Its sentences are cut into blocks, a row each, and pairs of blocks are the keys of an
-    equi-join, so a long recording is spread over tasks; a pair is one matrix product in double
-    precision, of which the first repetition of each sentence leaves. The work is the square of
-    the sentences of one recording, never of the table.
+    Its sentences are cut into blocks, a row each, and a block is compared with itself where it
+    lies. Only sentences that nothing in their own block repeats are gathered into blocks again,
+    and those meet the blocks after theirs: pairs of blocks are the keys of an equi-join, so a long
+    recording is spread over tasks. A pair is one matrix product in double precision, of which the
+    first repetition of each sentence leaves. Where few sentences are repeated, the work is the
+    square of the sentences of one recording, never of the table.
     """
+    spark = vectors.sparkSession
+    kind, vector = vectors.schema["stream_id"].dataType.simpleString(), vectors.schema["embedding"].dataType.simpleString()
+    vector = vector if vector == "array<float>" else "array<double>"
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    known = vectors.where("stream_id is not null and i is not null and size(embedding) > 0").select("stream_id", F.col("i").cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("v"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("i")) - 1
-    blocks = known.withColumn("mine", F.floor(place / BLOCK_SENTENCES)).groupBy("stream_id", "mine").agg(F.collect_list(F.struct("i", "v", "norm")).alias("held"))
-    blocks = blocks.withColumn("last", F.max("mine").over(Window.partitionBy("stream_id")))
-    # a pair of blocks (a, b) holds the earlier sentences of a and the later ones of b
-    early = blocks.select("stream_id", F.col("mine").alias("a"), F.explode(F.sequence("mine", "last")).alias("b"), F.col("held").alias("early"))
-    late = blocks.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), "mine")).alias("a"), F.col("mine").alias("b"), F.col("held").alias("late"))
-    kind = vectors.schema["stream_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = vectors.where("stream_id is not null and i is not null and size(embedding) > 0").select("stream_id", F.col("i").cast("long").alias("i"), F.col("embedding").cast(vector).alias("v"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    order = Window.partitionBy("stream_id").orderBy("i", "v")
+
+    def blocks(df: DataFrame, name: str, *more: Column) -> DataFrame:
+        number = F.floor((F.row_number().over(order) - 1) / BLOCK_SENTENCES)
+        return df.withColumn(name, number).groupBy("stream_id", name).agg(F.collect_list(F.struct("i", "v", "norm")).alias("held"), *more)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                held = batch["held"][r].values
+                by = np.full(len(held), NEVER)
+                for at, places, rows in _by_length(held).values():
+                    by[at] = _later(places, rows, places, rows, least)
+                fixed = [pa.repeat(batch[c][r], len(held)) for c in ("stream_id", "b")]
+                yield pa.record_batch([*fixed, *(held.field(c) for c in ("i", "v", "norm")), pa.array(by, mask=by == NEVER)], ["stream_id", "b", "i", "v", "norm", "by"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams, places, by = [], [], []
-            for r, stream in enumerate(batch["stream_id"].to_pylist()):
-                sides = [_by_length(batch[c][r]) for c in ("early", "late")]
+            for r in range(len(batch)):
+                sides = [_by_length(batch[c][r].values) for c in ("early", "late")]
                 for size in sides[0].keys() & sides[1].keys():
-                    (i, u), (j, w) = sides[0][size], sides[1][size]
-                    later = np.where((u @ w.T >= least) & (i[:, None] < j[None, :]), j[None, :], NEVER).min(axis=1)
-                    hit = later < NEVER
-                    streams += [stream] * int(hit.sum())
-                    places.append(i[hit])
-                    by.append(later[hit])
-            none = [np.empty(0, np.int64)]
-            yield pa.record_batch([pa.array(streams, batch.schema.field("stream_id").type), pa.array(np.concatenate(places or none)), pa.array(np.concatenate(by or none))], ["stream_id", "i", "by"])
-
-    ship_package(vectors.sparkSession)
-    found = early.join(late, ["stream_id", "a", "b"]).select("stream_id", "early", "late").mapInArrow(run, f"stream_id {kind}, i long, by long")
-    return found.groupBy("stream_id", "i").agg(F.min("by").alias("by"))
+                    (_, i, u), (_, j, w) = sides[0][size], sides[1][size]
+                    by = _later(i, u, j, w, least)
+                    hit = by < NEVER
+                    yield pa.record_batch([pa.repeat(batch["stream_id"][r], int(hit.sum())), pa.array(i[hit]), pa.array(by[hit])], ["stream_id", "i", "by"])
+
+    ship_package(spark)
+    late = blocks(known, "b")
+    first = late.select("stream_id", "b", "held").mapInArrow(alone, f"stream_id {kind}, b long, i long, v {vector}, norm double, by long")
+    # what is open goes on from the block after that of the first sentence of its new block
+    early = blocks(first.where("by is null"), "a", F.min("b").alias("own")).withColumnRenamed("held", "early")
+    last = late.select("stream_id", "b").groupBy("stream_id").agg(F.max("b").alias("last"))
+    many = early.select("stream_id", "a").groupBy("stream_id").agg(F.max("a").alias("many"))
+    early = early.join(last, "stream_id").where("own < last").select("stream_id", "a", F.explode(F.expr("sequence(own + 1, last)")).alias("b"), "early")
+    late = late.join(many, "stream_id").where("b > 0").select("stream_id", F.explode(F.expr("sequence(0L, many)")).alias("a"), "b", F.col("held").alias("late"))
+    found = early.join(late, ["stream_id", "a", "b"]).select("stream_id", "early", "late").mapInArrow(across, f"stream_id {kind}, i long, by long")
+    return first.where("by is not null").select("stream_id", "i", "by").unionByName(found).groupBy("stream_id", "i").agg(F.min("by").alias("by"))
 
 
 NEVER = np.iinfo(np.int64).max
 
 
-def _by_length(block: pa.Scalar) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Places and unit vectors of a block, by the length of the vectors."""
-    held = block.values
+def _later(i: np.ndarray, u: np.ndarray, j: np.ndarray, w: np.ndarray, least: float) -> np.ndarray:
+    """For each of the unit vectors u at places i the first later place of j whose vector is alike, or NEVER."""
+    return np.where((u @ w.T >= least) & (i[:, None] < j[None, :]), j[None, :], NEVER).min(axis=1)
+
+
+def _by_length(held: pa.StructArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, places and unit vectors of a block, by the length of the vectors."""
     places, norms = (held.field(c).to_numpy(zero_copy_only=False) for c in ("i", "norm"))
     vectors = held.field("v")
     sizes = np.diff(vectors.offsets.to_numpy())
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     starts = np.cumsum(sizes) - sizes
     out = {}
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
         rows = flat[starts[at][:, None] + np.arange(size)] / norms[at][:, None]
-        out[int(size)] = places[at], rows
+        out[int(size)] = at, places[at], rows
     return out
 
 

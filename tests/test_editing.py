@@ -1,6 +1,7 @@
 """Editing operators on small inputs, and what must always hold of a cut."""
 
 import json
+import math
 import random
 from pathlib import Path
 from xml.etree import ElementTree
@@ -280,3 +281,21 @@ def test_empty_inputs(spark):
     words = spark.createDataFrame([], WORDS)
     cut = edit(words, spark.createDataFrame([], "token string, rule string"))
     assert cut.segments.count() == cut.cues.count() == export.srt(cut.cues).count() == 0
+
+
+def test_repeats_beyond_a_block(spark, monkeypatch):
+    """Blocks of their own rows first, then open rows against later blocks, equal comparing all with all."""
+    monkeypatch.setattr(detect, "BLOCK_SENTENCES", 3)
+    rng = random.Random(6)
+    rows = [(s, i, [float(rng.choice([-1, 0, 1])) for _ in range(6)]) for s in range(4) for i in range(0, 40, 1 + s)]
+    rows += [(0, 90, [1.0, 1.0]), (0, 91, [0.0] * 6), (0, 92, None), (1, 5, [1.0] * 6)]
+    length = lambda v: math.sqrt(sum(x * x for x in v))
+    sound = [r for r in rows if r[2] and length(r[2]) > 0]
+    want = {}
+    for s, i, v in sound:
+        for z, j, w in sound:
+            if z == s and j > i and len(v) == len(w) and sum(a * b for a, b in zip(v, w)) / length(v) / length(w) >= 0.75:
+                want[s, i] = min(j, want.get((s, i), j))
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"stream_id long, i long, embedding array<{kind}>")
+        assert {(r["stream_id"], r["i"]): r["by"] for r in detect.repeats(df, 0.75).collect()} == want and any(j - i > 12 for (_, i), j in want.items())
