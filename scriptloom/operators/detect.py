@@ -26,10 +26,6 @@ def by_stream():
     return Window.partitionBy("stream_id").orderBy("idx")
 
 
-#: Width of the time buckets by which intervals and words meet.
-BUCKET_MS = 10_000
-
-
 def proposal(df: DataFrame, layer: str, reason: str | None = None) -> DataFrame:
     return df.select("stream_id", "idx", F.lit(layer).alias("layer"), F.lit(reason or layer).alias("reason"))
 
@@ -52,8 +48,9 @@ def event_gaps(events: DataFrame, least_s: int) -> DataFrame:
 def flagged(words: DataFrame, habits: DataFrame) -> DataFrame:
     """The words with bare, filler, protected and stumble, in one pass over each recording.
 
-    habits: (token, rule). Tokens are gathered to one row each, so a word meets one row at
-    most; the optimiser broadcasts that table by its size. A lexicon joins by the bare form,
+    habits: (token, rule), the lists of one user. Tokens are gathered to one row each, so a word
+    meets one row at most, and are broadcast: a shuffle by the bare form would send all sayings of
+    a common word to one task. A lexicon joins by the bare form,
     a stumble is a word that the next repeats.
     """
     has = lambda rule: F.max(F.coalesce(F.col("rule") == rule, F.lit(False)))
@@ -61,7 +58,7 @@ def flagged(words: DataFrame, habits: DataFrame) -> DataFrame:
     after = F.lead("bare").over(by_stream())
     marked = words.withColumn("bare", bare(F.col("text"))).withColumn("stumble", F.coalesce((F.col("bare") == after) & (F.col("bare") != ""), F.lit(False)))
     none = F.lit(False)
-    return marked.join(rules, "bare", "left").withColumns({"filler": F.coalesce("filler", none), "protected": F.coalesce("protected", none)})
+    return marked.join(F.broadcast(rules), "bare", "left").withColumns({"filler": F.coalesce("filler", none), "protected": F.coalesce("protected", none)})
 
 
 def fillers(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -200,17 +197,16 @@ def _by_length(held: pa.StructArray) -> dict[int, tuple[np.ndarray, np.ndarray,
 def overlapping(words: DataFrame, intervals: DataFrame) -> DataFrame:
     """(stream_id, idx): words that overlap an interval of their recording.
 
-    An equi-join on recording and time bucket, not a comparison of all with all; words and
-    intervals are laid into every bucket that they touch.
+    Words by their end and intervals by their start are laid in one order: of the intervals that
+    begin before a word ends, one reaches into it if the latest end does. So the work is a sort of
+    a recording, not a comparison of all with all.
     """
-
-    def laid(df: DataFrame, *keep: str) -> DataFrame:
-        buckets = F.sequence(F.floor(F.col("start_ms") / BUCKET_MS), F.floor(F.greatest("start_ms", F.col("end_ms") - 1) / BUCKET_MS))
-        return df.where("start_ms is not null and end_ms is not null").select("stream_id", *keep, "start_ms", "end_ms", F.explode(buckets).alias("bucket"))
-
-    a, b = laid(words, "idx").alias("a"), laid(intervals).alias("b")
-    meet = (F.col("a.stream_id") == F.col("b.stream_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.start_ms") < F.col("b.end_ms")) & (F.col("b.start_ms") < F.col("a.end_ms"))
-    return a.join(b, meet, "left_semi").select("stream_id", "idx").distinct()
+    timed = "stream_id is not null and start_ms is not null and end_ms is not null"
+    spans = intervals.where(timed).select("stream_id", F.col("start_ms").alias("at"), F.col("end_ms").alias("until"))
+    points = words.where(timed).select("stream_id", F.col("end_ms").alias("at"), "idx", "start_ms", F.lit(True).alias("word"))
+    order = Window.partitionBy("stream_id").orderBy("at", F.col("word").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = points.unionByName(spans, allowMissingColumns=True).withColumn("until", F.max("until").over(order))
+    return met.where("word and until > start_ms").select("stream_id", "idx").distinct()
 
 
 def non_speech(words: DataFrame, intervals: DataFrame, least: float) -> DataFrame:

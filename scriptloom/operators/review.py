@@ -7,14 +7,19 @@ words are decided each. Empty tables give empty tables, other columns are ignore
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bare, words_of
+from ..session import parts_of
 from .detect import by_stream
 
+#: Characters of text in a part of stand-in words, at most and, where there are more cores than that fills, at least.
+PART_CHARS, LEAST_CHARS = 1 << 19, 1 << 16
+
 
 def protect(proposals: DataFrame, words: DataFrame, protected: DataFrame) -> DataFrame:
     """Proposals without those on words whose bare form must never be deleted."""
@@ -41,24 +46,38 @@ def decided_at_once(flagged: DataFrame, enabled: tuple[str, ...], other: DataFra
     """What ``protect``, ``with_reasons`` and ``decided`` give, from flagged words in one pass.
 
     flagged: words as ``detect.flagged`` gives them; their own layers (filler, stumble) are
-    read from the row. other: proposals of further layers, which are gathered to one row for
-    each word and joined once. The result adds layers and n_layers to that of ``decided``.
+    read from the row. other: proposals of further layers. The result adds layers and n_layers to that of ``decided``.
     """
     own = [F.when(F.col(layer), F.lit(layer)) for layer in ("filler", "stumble") if layer in enabled]
     layers = reasons = F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
-    out = flagged
+    asked = {}
+    if other is not None:
+        asked |= {"_reasons": (other, F.col("reason"), F.collect_set), "_layers": (other, F.col("layer"), F.collect_set)}
+    if decisions is not None:
+        asked["_user_keep"] = (decisions, F.col("keep"), F.max)
+    out = _beside(flagged, asked)
     if other is not None:
-        found = other.groupBy("stream_id", "idx").agg(F.collect_set("reason").alias("_reasons"), F.collect_set("layer").alias("_layers"))
-        out = out.join(found, ["stream_id", "idx"], "left")
-        none = F.array().cast("array<string>")
-        layers, reasons = (F.array_union(own_part, F.coalesce(c, none)) for own_part, c in ((layers, "_layers"), (reasons, "_reasons")))
+        layers, reasons = (F.array_union(own_part, c) for own_part, c in ((layers, "_layers"), (reasons, "_reasons")))
     open_to = F.when(F.col("protected"), F.array().cast("array<string>"))
     out = out.withColumns({"layers": F.array_sort(F.coalesce(open_to, layers)), "reasons": F.array_sort(F.coalesce(open_to, reasons))})
     out = out.withColumn("proposed", F.size("layers") > 0).withColumns({"n_layers": F.size("layers").cast("long"), "reasons": F.when(F.col("proposed"), F.col("reasons"))})
-    if decisions is None:
-        return out.withColumn("keep", ~F.col("proposed"))
-    said = decisions.where("keep is not null").groupBy("stream_id", "idx").agg(F.max("keep").alias("user_keep"))
-    return out.join(said, ["stream_id", "idx"], "left").withColumn("keep", F.coalesce("user_keep", ~F.col("proposed"))).drop("user_keep")
+    keep = ~F.col("proposed")
+    return out.withColumn("keep", keep if decisions is None else F.coalesce("_user_keep", keep)).drop(*asked)
+
+
+def _beside(words: DataFrame, asked: dict[str, tuple[DataFrame, Column, Callable[[Column], Column]]]) -> DataFrame:
+    """The words with what other tables (stream_id, idx, ...) say of them: by name a table, a column of it and its aggregate.
+
+    Rows of all tables are laid beside the words, by recording and index, which costs a sort of a
+    recording. A join by both keys would shuffle all words once more. Null keys meet nothing.
+    """
+    rows = words.withColumn("_word", F.lit(True))
+    kinds = {k: words.schema[k].dataType for k in ("stream_id", "idx")}
+    for df in {id(df): df for df, _, _ in asked.values()}.values():
+        said = df.select(*(F.col(k).try_cast(kind).alias(k) for k, kind in kinds.items()), *(c.alias(name) for name, (of, c, _) in asked.items() if of is df))
+        rows = rows.unionByName(said.where("stream_id is not null and idx is not null"), allowMissingColumns=True)
+    place = Window.partitionBy("stream_id", "idx")
+    return rows.withColumns({name: f(F.col(name)).over(place) for name, (_, _, f) in asked.items()}).where("_word").drop("_word")
 
 
 def decided(words: DataFrame, preselected: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -126,10 +145,20 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def stand_in_words(conversations: DataFrame) -> DataFrame:
-    """Timed words from conversation turns: 40 + 60 ms a character, pauses by punctuation."""
-    each = conversations.select(F.col("conv_id").alias("stream_id"), "turn", F.posexplode(words_of(F.col("text"))).alias("pos", "text"))
+    """Timed words from conversation turns: 40 + 60 ms a character, pauses by punctuation.
+
+    Turns are dealt by recording before they are split, so texts are shuffled, not words, and what
+    follows by recording stays in these parts, whose number grows with the texts.
+    """
+    turns = conversations.select(F.col("conv_id").alias("stream_id"), "turn", "text").repartition(word_parts(conversations), "stream_id")
+    each = turns.select("stream_id", "turn", F.posexplode(words_of(F.col("text"))).alias("pos", "text"))
     order = Window.partitionBy("stream_id").orderBy("turn", "pos")
     took = 40 + 60 * F.char_length("text")
     pause = F.when(F.col("text").endswith("."), 900).when(F.col("text").endswith(","), 250).otherwise(20)
     start = F.coalesce(F.sum(took + pause).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return each.select("stream_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "text", start.alias("start_ms"), (start + took).cast("long").alias("end_ms"))
+
+
+def word_parts(conversations: DataFrame) -> int:
+    """In how many parts the words of these turns are dealt."""
+    return parts_of(conversations, F.char_length("text"), PART_CHARS, LEAST_CHARS)

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,6 +38,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(df: DataFrame, size: Column, most: int, least: int) -> int:
+    """Parts for a table by its summed ``size``: at most about ``most`` in each.
+
+    Left to the session, a shuffle has a fixed number of parts, or is merged to a few for each core,
+    and what a task holds grows with the table. Below ``most`` there is a part for each core, unless
+    parts would be below ``least``. The sum is one pass over the table.
+    """
+    total = df.agg(F.sum(size)).first()[0] or 0
+    spread = min(df.sparkSession.sparkContext.defaultParallelism, total // least)
+    return max(1, spread, -(-total // most))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers unless their PYTHONPATH has it already."""
     root = Path(__file__).resolve().parents[1]
