@@ -283,6 +283,17 @@ def test_empty_inputs(spark):
     assert cut.segments.count() == cut.cues.count() == export.srt(cut.cues).count() == 0
 
 
+def test_parts_grow_with_the_texts(spark, monkeypatch):
+    turns = spark.createDataFrame([(c, t, "so we go on. " * 20) for c in range(40) for t in range(3)], "conv_id long, turn long, text string")
+    monkeypatch.setattr(review, "PART_CHARS", 1 << 12)
+    parts = review.word_parts(turns)
+    assert parts == -(-120 * 260 // (1 << 12)) and review.word_parts(turns.unionByName(turns)) > parts
+    words = review.stand_in_words(turns)
+    assert words.select(F.spark_partition_id().alias("p")).distinct().count() > 4 and words.count() == 120 * 80
+    none = turns.limit(0)
+    assert review.word_parts(none) == 1 and review.stand_in_words(none).count() == 0
+
+
 def test_repeats_beyond_a_block(spark, monkeypatch):
     """Blocks of their own rows first, then open rows against later blocks, equal comparing all with all."""
     monkeypatch.setattr(detect, "BLOCK_SENTENCES", 3)
