@@ -24,15 +24,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def alike(a: Column, b: Column, least: float) -> Column:
-    """Whether the likeness is at least ``least``; false if either is null.
+def alike_by_length(a: Column, b: Column, least: float) -> Column:
+    """Whether the likeness is at least ``least``, false if either is null; null where only the distance tells.
 
     The distance is no less than the difference of the lengths. Only pairs for which that
     leaves the question open pay for the distance, which is quadratic in their length.
     """
     m, n = F.char_length(a), F.char_length(b)
     possible = 1 - F.abs(m - n) / F.greatest(m, n) >= least
-    return F.when(a.isNull() | b.isNull(), False).when(a == b, F.lit(least <= 1)).when(possible, likeness(a, b) >= least).otherwise(False)
+    return F.when(a.isNull() | b.isNull(), False).when(a == b, F.lit(least <= 1)).when(~possible, False)
 
 
 def cosine(a: Column, b: Column) -> Column:

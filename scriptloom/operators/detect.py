@@ -11,13 +11,17 @@ beyond those named are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import alike, bare
+from ..functions.distance import edit_distances
+from ..functions.text import alike_by_length, bare
 from ..session import ship_package
 
 
@@ -78,13 +82,33 @@ def retakes(sentences: DataFrame, least: float, ahead: int = 1) -> DataFrame:
     """(stream_id, i, by): sentences that one of the next ``ahead`` says again; the last take stays.
 
     sentences: (stream_id, i, line), of any length and in any script. A sentence of fewer than
-    two words is no take; a null line is none either, and nothing repeats it.
+    two words is no take; a null line is none either, and nothing repeats it. Pairs that null
+    lines, equality or lengths do not settle go to tasks in batches, which compute their distances together.
     """
     order = Window.partitionBy("stream_id").orderBy("i")
     enough = F.size(F.split(F.trim("line"), "\\s+")) >= 2
-    found = sentences.select("stream_id", "i", "line", *(F.struct(F.lead("i", k).over(order).alias("i"), F.lead("line", k).over(order).alias("line")).alias(f"n{k}") for k in range(1, ahead + 1)))
-    first = F.coalesce(*(F.when(alike(F.col("line"), F.col(f"n{k}.line"), least), F.col(f"n{k}.i")) for k in range(1, ahead + 1)))
-    return found.where(enough).select("stream_id", "i", first.alias("by")).where("by is not null")
+    near = range(1, ahead + 1)
+    found = sentences.select("stream_id", "i", "line", *(F.lead(c, k).over(order).alias(f"{c}{k}") for k in near for c in ("i", "line")))
+    told = found.where(enough).withColumns({f"told{k}": alike_by_length(F.col("line"), F.col(f"line{k}"), least) for k in near})
+    some = told.where(reduce(Column.__or__, (F.coalesce(f"told{k}", F.lit(True)) for k in near)))
+    opened = some.withColumns({f"line{k}": F.when(F.col(f"told{k}").isNull(), F.col(f"line{k}")) for k in near})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = pa.nulls(len(batch), batch["i1"].type)
+            for k in near:
+                said, own = batch[f"told{k}"], batch[f"i{k}"]
+                yes = said.fill_null(False).to_numpy(zero_copy_only=False).copy()
+                at = np.flatnonzero(pc.and_(said.is_null(), by.is_null()).to_numpy(zero_copy_only=False))
+                a, b = (batch[c].take(pa.array(at)).to_pylist() for c in ("line", f"line{k}"))
+                longer = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+                yes[at] = 1 - edit_distances(a, b) / longer >= least
+                by = pc.coalesce(by, pc.if_else(pa.array(yes), own, pa.scalar(None, own.type)))
+            yield pa.record_batch([batch["stream_id"], batch["i"], by], ["stream_id", "i", "by"]).filter(by.is_valid())
+
+    ship_package(sentences.sparkSession)
+    keys = [sentences.schema[c] for c in ("stream_id", "i")]
+    return opened.mapInArrow(decide, StructType([*keys, StructField("by", keys[1].dataType)]))
 
 
 def retake_words(words: DataFrame, sentences: DataFrame, taken: DataFrame, layer: str = "retake") -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom import queries as own
+from scriptloom.functions import distance as many
 from scriptloom.functions import text as fn
 from scriptloom.operators import detect, export, feedback, review
 from scriptloom.plans.edit import edit
@@ -310,3 +312,29 @@ def test_repeats_beyond_a_block(spark, monkeypatch):
     for kind in ("float", "double"):
         df = spark.createDataFrame(rows, f"stream_id long, i long, embedding array<{kind}>")
         assert {(r["stream_id"], r["i"]): r["by"] for r in detect.repeats(df, 0.75).collect()} == want and any(j - i > 12 for (_, i), j in want.items())
+
+
+def test_distances_of_many_pairs_at_once(monkeypatch):
+    rng = random.Random(8)
+    said = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for _ in range(150):
+        a = said(rng.choice(["ab", "abc def", "é😀字d"]), rng.choice([1, 5, 63, 64, 65, 128, 129, 200]))
+        changed = "".join(c if rng.random() > 0.1 else rng.choice(["", "xy", "q"]) for c in a)
+        pairs.append((a, changed or "z" if rng.random() < 0.5 else said("abz", rng.choice([1, 64, 150]))))
+    want = [distance(a, b) for a, b in pairs]
+    for lanes, table in ((4096, 1 << 22), (3, 1 << 22), (4096, 0)):
+        monkeypatch.setattr(many, "LANES", lanes)
+        monkeypatch.setattr(many, "TABLE", table)
+        assert many.edit_distances(*zip(*pairs)).tolist() == want
+    assert many.edit_distances([], []).tolist() == []
+
+
+def test_long_retakes_are_decided_in_a_moment(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("abcdefg ") for _ in range(n)) for n in (60_000, 59_000))
+    near = "".join(c if rng.random() > 0.2 else "x" for c in b)
+    lines = spark.createDataFrame([(1, 0, a), (1, 1, b), (1, 2, near), (1, 3, None), (1, 4, "a b c"), (1, 5, "a b d")], "stream_id long, i long, line string")
+    began = time.monotonic()
+    got = {tuple(r) for r in detect.retakes(lines, 0.7, 2).collect()}
+    assert got == {(1, 1, 2), (1, 4, 5)} and time.monotonic() - began < 60
