@@ -1,5 +1,8 @@
 """Files written, read back, and broken ones."""
 
+import random
+import re
+
 from scriptloom.operators import export, review
 from scriptloom.sources import editlists, sinks
 from test_editing import timed
@@ -36,3 +39,36 @@ def test_malformed_files(spark):
     assert [(r["event"], r["src_frame"], r["rec_frame"], r["n_frames"]) for r in rows if r["bad"] is None] == [(1, 0, 0, 25), (5, 90_010, 25, 25)]
     assert sorted(r["bad"][:3] for r in rows if r["bad"]) == ["002", "003", "004"]
     assert editlists.parse_srt(files(None, "", "\n\n")).count() == 0
+
+
+def test_a_text_is_matched_once(spark):
+    """However many columns are read and filtered by, the pattern stands in the plan once."""
+    files = spark.createDataFrame([(1, "001 AX V C 00:00:00:00 00:00:01:00 00:00:00:00 00:00:01:00")], "stream_id long, body string")
+    for read, mark in ((editlists.parse_edl(files, 25), r"\S+\s+\S+\s+\S+"), (editlists.parse_srt(files), "-->")):
+        plan = read.where("bad is null").drop("bad")._jdf.queryExecution().optimizedPlan().treeString()
+        assert plan.count(mark) == 1, plan
+
+
+def test_lines_are_read_as_by_the_plain_pattern(spark):
+    rng = random.Random(4)
+    clock = lambda s: f"{s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}{rng.choice(':;')}{rest}"
+    lines = []
+    for n in range(300):
+        at, to = rng.randrange(9000), rng.randrange(9000)
+        length, rest = rng.choice([0, 1, 60, 4000]), rng.choice(["00", "07", "012"])
+        cells = [str(n).zfill(3), "AX", "V", rng.choice("CD"), *rng.choice([[], [], ["010"], ["x"]]), clock(at), clock(at + length), clock(to), clock(to + length)]
+        for _ in range(rng.choice([0, 0, 0, 1])):
+            cells[rng.randrange(len(cells))] = rng.choice(["", "00:60:00:00", "1:00:00:00", "00:00:00:0", "\n", "7"])
+        lines += (rng.choice(["", " ", "\t"]) + rng.choice([" ", "  ", "\t"]).join(cells) + rng.choice(["", " ", "\t "])).split("\n")
+    lines += ["900 AX V C 00:00:00:00 00:00:01:00 00:00:00:00 00:00:01:00\u2028", "901 AX V C 99999999999999999999:00:00:00 00:00:01:00 00:00:00:00 00:00:01:00"]
+    code = r"(\d+:[0-5]\d:[0-5]\d[:;]\d{2,3})"
+    want = []
+    for line in lines:
+        if not re.match(r"\s*\d+\s", line, re.ASCII):
+            continue
+        met = re.search(rf"^\s*(\d+)\s+\S+\s+\S+\s+\S+(?:\s+\d+)?\s+{code}\s+{code}\s+{code}\s+{code}[\s\u2028]*$", line, re.ASCII)
+        frames = [sum(int(x) * k for x, k in zip(re.split("[:;]", met[g]), (90_000, 1500, 25, 1))) for g in range(2, 6)] if met else []
+        good = met and max(frames) < 1 << 40 and frames[1] > frames[0] and frames[1] - frames[0] == frames[3] - frames[2]
+        want.append((int(met[1]), *met.groups()[1:], frames[0], frames[2], frames[1] - frames[0], None) if good else (*[None] * 8, line))
+    got = editlists.parse_edl(spark.createDataFrame([(1, "\n".join(lines))], "stream_id long, body string"), 25).drop("stream_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and 30 < sum(r[-1] is None for r in want) < len(want) - 30
